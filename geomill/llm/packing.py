@@ -12,8 +12,8 @@ Pieces are dealt by a hash of the document into groups of about ``GROUP`` pieces
 packed apart: a group's few open sequences at its end are all that this costs.
 
 Defined cases: a null or empty text is ``END`` alone; a piece that no empty sequence
-admits (capacity below one document's own cost) gets a sequence alone; ties go to the
-sequence opened first; rows repeated with one id are documents of their own; an empty
+admits (capacity below one document's own cost) gets a sequence alone; of equal scores
+the first in the list of open sequences wins; rows repeated with one id are documents of their own; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -31,39 +31,40 @@ from pyspark.sql import functions as F
 from geomill.llm import scratch
 from geomill.llm.tokens import WordEncoder
 
-SEQUENCE, END, GROUP = 4096, 1, 16_384
+SEQUENCE, END, GROUP = 4096, 1, 8_192
 
 
 def best_fit(lengths: np.ndarray, capacity: int = SEQUENCE, documents: int = SEQUENCE, attention: int = SEQUENCE * SEQUENCE, weights: tuple[float, float, float] = (1.0, 0.05, 0.05), score: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """(sequence, offset) of each piece; a piece of n tokens costs n tokens, one document and n * n of attention."""
     n = len(lengths)
     sequence, offset = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    scale = np.array([capacity, documents, attention], float)
-    weight = np.asarray(weights, float)
-    left = np.empty((max(n, 1), 3))
+    wt, wd, wa = weights[0] / capacity**2, weights[1] / documents**2, weights[2] / float(attention) ** 2
+    # residual tokens, documents and attention of the open sequences, and their numbers
+    left = np.empty((3, max(n, 1)))
     ids = np.empty(max(n, 1), np.int64)
     open_, made = 0, 0
     order = np.argsort(-lengths, kind="stable")
-    smallest = lengths[order[-1]] if n else 0
-    least = np.array([smallest, 1, smallest * smallest], float)
-    for step, i in enumerate(order):
+    least = float(lengths[order[-1]]) if n else 0.0
+    for i in order:
         size = float(lengths[i])
-        need = np.array([size, 1.0, size * size])
-        r = left[:open_]
-        fits = np.flatnonzero((r >= need).all(axis=1))
+        cost = size * size
+        t, d, a = left[0, :open_], left[1, :open_], left[2, :open_]
+        fits = np.flatnonzero((t >= size) & (d >= 1) & (a >= cost))
         if len(fits):
-            rest = (r[fits] - need) / scale if score == "norm" else r[fits] / scale
-            value = (weight * rest * rest).sum(axis=1) if score == "norm" else -(weight * rest * (need / scale)).sum(axis=1)
-            at = fits[int(np.argmin(value))]
+            t, d, a = t[fits], d[fits], a[fits]
+            if score == "norm":
+                at = fits[np.argmin(wt * (t - size) ** 2 + wd * (d - 1) ** 2 + wa * (a - cost) ** 2)]
+            else:
+                at = fits[np.argmax(wt * t * size + wd * d + wa * a * cost)]
         else:
             at = open_
-            left[at], ids[at] = scale, made
+            left[:, at], ids[at] = (capacity, documents, attention), made
             open_, made = open_ + 1, made + 1
-        sequence[i], offset[i] = ids[at], capacity - left[at, 0]
-        left[at] -= need
-        if step % 256 == 255 or not (left[at] >= least).all():  # sequences that admit nothing more are closed
-            keep = np.flatnonzero((left[:open_] >= least).all(axis=1))
-            left[: len(keep)], ids[: len(keep)], open_ = left[keep], ids[keep], len(keep)
+        sequence[i], offset[i] = ids[at], capacity - left[0, at]
+        left[:, at] -= (size, 1.0, cost)
+        if left[0, at] < least or left[1, at] < 1 or left[2, at] < least * least:  # it admits nothing more: closed
+            open_ -= 1
+            left[:, at], ids[at] = left[:, open_], ids[open_]
     return sequence, offset
 
 

@@ -4,7 +4,8 @@ The tokenizer drops white space and never joins across it, so a text's ids are i
 words' ids one after another. Words are encoded by the ``tokenizers`` library once and
 kept, as packed ids, in a dictionary of at most ``CACHE_WORDS`` entries per worker.
 Texts are lower-cased (A-Z) before the look-up only where they hold no combining
-marks: there, composing and then lower-casing could differ.
+marks: there, composing and then lower-casing could differ. This is for byte-level BPE
+files that compose, lower-case and split letters from marks, as ``word_bpe_49k.json``.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import os
 from itertools import compress
 
 CACHE_WORDS = 1_000_000
+#: Never part of a contraction: behind letters they are a token of their own.
+MARKS = b".,!#$%&*?;:"
 #: Longer words are encoded, but not kept.
 CACHE_WORD_BYTES = 64
 
@@ -34,12 +37,41 @@ class WordEncoder:
 
         self.tokenizer, self.np = Tokenizer.from_file(path), np
         self.known: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
+        # byte-level models write a byte that has no printable character of its own as one from U+0100 on
+        hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+        self.byte_chars = {b: 256 + k for k, b in enumerate(hidden)}
+
+    def _letters(self, word: str) -> bytes | None:
+        """Ids of a word that is letters alone and that neither composing nor splitting would change, straight from the model; else None."""
+        if not word.isalpha() or max(word) > "\u017f" or "\u0130" in word:
+            return None
+        own = word if word.isascii() else word.encode().decode("iso-8859-1").translate(self.byte_chars)
+        return self.np.array([t.id for t in self.tokenizer.model.tokenize(own)], "<u4").tobytes()
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words not in the cache; those worth it go there."""
-        np, out = self.np, {}
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
+        np, out, other = self.np, {}, []
+        for w in words:
+            # letters, then marks: two tokens of the pre-tokenizer, or one
+            letters = w.rstrip(MARKS)
+            try:
+                ids = self._letters(letters.decode().lower()) if letters else None
+            except UnicodeDecodeError:
+                ids = None
+            if ids is None:
+                other.append(w)
+            elif len(letters) < len(w):
+                tail = w[len(letters) :]
+                if tail not in self.tails:
+                    if len(self.tails) >= 10_000:
+                        self.tails.clear()
+                    self.tails[tail] = np.array(self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+                out[w] = ids + self.tails[tail]
+            else:
+                out[w] = ids
+        for at in range(0, len(other), 4096):
+            part = other[at : at + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
                 out[w] = np.array(e.ids, "<u4").tobytes()
         if len(self.known) + len(out) > CACHE_WORDS:
