@@ -26,6 +26,8 @@ from geomill.llm import scratch
 BITS_PER_ROW = 16
 #: About 50 MB of broadcast hash table.
 BROADCAST_WORDS = 2_000_000
+#: Groups of copies: about 30 MB of broadcast hash table.
+BROADCAST_GROUPS = 200_000
 
 
 def normalised(text: Column) -> Column:
@@ -81,21 +83,32 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     digests, bloom, words, small = _prepared(docs, id_col, text_col)
     probed = _probe(digests, bloom, words, small)
-    columns = [F.col("id").alias("doc_id"), "keep_id", F.col("n").alias("group_size"), F.coalesce(F.col("rid") == F.col("keep_rid"), F.lit(False)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")]
-    alone = probed.where("not hit").withColumns({"keep_id": F.col("id"), "keep_rid": F.col("rid"), "n": F.lit(1).cast("long")}).select(*columns)
+    columns = [F.col("id").alias("doc_id"), F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), (F.col("n").isNull() | (F.col("rid") == F.col("keep_rid"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")]
+    alone = probed.where("not hit").select("id", "rid", "sha", F.lit(None).cast(digests.schema["id"].dataType).alias("keep_id"), F.lit(None).cast("long").alias("keep_rid"), F.lit(None).cast("long").alias("n"))
     candidates = probed.where("hit").select("id", "rid", "sha")
-    return alone.unionByName(candidates.join(_groups(candidates), "sha").select(*columns))
+    joined = _with_group(candidates, _copies(candidates))
+    return alone.unionByName(joined.select(alone.columns)).select(*columns)
+
+
+def _copies(candidates: DataFrame) -> DataFrame:
+    """The groups of two rows or more, as a table: a join with it can split a hot group."""
+    return scratch.materialize(_groups(candidates).where("n > 1"), "copies")
+
+
+def _with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    few = groups.count() <= BROADCAST_GROUPS
+    return rows.join(F.broadcast(groups) if few else groups, "sha", "left")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the copies: of equal texts the row with the smallest id stays."""
     digests, bloom, words, small = _prepared(docs, id_col, text_col)
-    groups = scratch.materialize(_groups(_probe(digests, bloom, words, small).where("hit")).where("n > 1"), "copies")
+    groups = _copies(_probe(digests, bloom, words, small).where("hit"))
     own = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), _digest(F.col(text_col)).alias("sha"))
     probed = _probe(rows, bloom, words, small)
     alone = probed.where("not hit").select("row")
-    kept = probed.where("hit").join(groups.select("sha", "keep_id", F.lit(True).alias("many")), "sha", "left")
-    single = kept.where("many is null").select("row")
-    first = kept.where(F.col("many") & F.col(f"row.{id_col}").eqNullSafe(F.col("keep_id"))).groupBy("sha").agg(F.first("row").alias("row")).select("row")
+    kept = _with_group(probed.where("hit"), groups)
+    single = kept.where("n is null").select("row")
+    first = kept.where(F.col("n").isNotNull() & F.col(f"row.{id_col}").eqNullSafe(F.col("keep_id"))).groupBy("sha").agg(F.first("row").alias("row")).select("row")
     return alone.unionByName(single).unionByName(first).select("row.*")
