@@ -142,7 +142,7 @@ def _hav(a: str, b: str, c: str, e: str) -> str:
 
 
 _TRACKS = f"""
-    WITH p AS (SELECT user_id AS sequence_id, CAST(event_id AS VARCHAR) AS photo_id, epoch_ms(ts) AS t, (event_id * 7919 % 997) / 10000.0e0 + 40 AS lat, (event_id * 104729 % 991) / 10000.0e0 + 9 AS lon FROM events),
+    WITH p AS (SELECT user_id AS sequence_id, CAST(event_id AS VARCHAR) AS photo_id, (epoch_us(ts) // 1000) AS t, (event_id * 7919 % 997) / 10000.0e0 + 40 AS lat, (event_id * 104729 % 991) / 10000.0e0 + 9 AS lon FROM events),
     w AS (SELECT *, lag(lat) OVER o AS plat, lag(lon) OVER o AS plon, t - lag(t) OVER o AS dt, avg(lat) OVER (PARTITION BY sequence_id) AS mlat, avg(lon) OVER (PARTITION BY sequence_id) AS mlon,
                first_value(lat) OVER a AS lat0, first_value(lon) OVER a AS lon0, last_value(lat) OVER a AS lat1, last_value(lon) OVER a AS lon1
           FROM p WINDOW o AS (PARTITION BY sequence_id ORDER BY t, photo_id), a AS (PARTITION BY sequence_id ORDER BY t, photo_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
@@ -164,7 +164,7 @@ def even_subsample(spark: SparkSession, d: str) -> DataFrame:
 
 
 EVEN_SUBSAMPLE = """
-    WITH p AS (SELECT user_id AS sequence_id, CAST(event_id AS VARCHAR) AS photo_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), CAST(event_id AS VARCHAR)) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+    WITH p AS (SELECT user_id AS sequence_id, CAST(event_id AS VARCHAR) AS photo_id, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), CAST(event_id AS VARCHAR)) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
     j AS (SELECT sequence_id, n, CASE WHEN k = 4 THEN n - 1 ELSE CAST(floor(k * (n / 5.0e0)) AS BIGINT) END AS i FROM (SELECT DISTINCT sequence_id, n FROM p WHERE n > 5), range(5) r(k))
     SELECT sequence_id, photo_id FROM p WHERE n <= 5 UNION ALL SELECT sequence_id, photo_id FROM p JOIN j USING (sequence_id, i)"""
 
