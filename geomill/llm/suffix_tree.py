@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from geomill.llm import scratch
 
-DEPTH, LEAST_SHARE, DIVERGENCE, SMOOTHING = 5, 2e-5, 0.01, 6.0
+DEPTH, LEAST_SHARE, DIVERGENCE, SMOOTHING = 6, 3e-6, 0.01, 10.0
 FOLDS, HELD_OUT = 5, 1
 COMMON, COMMON_BYTES = 200_000, 48
 END = 10
@@ -97,7 +97,7 @@ def _counts(depth: int):  # noqa: ANN202
                 held += len(streams[-1])
                 if held >= HELD_BYTES:
                     fold()
-                if len(words) >= HELD_WORDS or len(codes) >= 8:
+                if len(words) >= HELD_WORDS or len(codes) >= 16:
                     yield from send()
         yield from send()
         # the end mark: a word of its own, with neither word nor code here
