@@ -40,8 +40,10 @@ from geomill.llm import repeated, scratch
 from geomill.llm.components import components
 from geomill.llm.wordhash import mix, shingle_set, word_hashes
 
-#: A signature of more sets than this counts as frequent; no task compares more than twice as many sets with each other.
+#: A signature of more sets than this counts as frequent.
 FREQUENT = 64
+#: No task compares more than twice as many sets with each other.
+BLOCK = 1_024
 #: Ids whose texts are fetched by a broadcast of at most 16 MB; beyond, by a shuffled join.
 BROADCAST_IDS = 1_000_000
 #: Documents whose sets are made at once.
@@ -68,32 +70,43 @@ class Bands:
                 self.of(self.last[-1] + 1)
             most, least = self.last[band], self.last[max(band - 2, 0)] + 1
             k = 2 * most * (100 - self.percent) // (100 + self.percent)
-            e = 2
+            e = max(2, k // 4)
             for _ in range(20):  # room for the partitions that are empty by chance
                 empty = (k + 1 + e) * math.exp(-least / (k + 1 + e))
                 e = max(e, math.ceil(empty + 4 * math.sqrt(empty)) + 1)
             self.known[band] = (k, e, k + 1 + e)
         return self.known[band]
 
+    def contents(self, elements: np.ndarray, k_band: int) -> tuple[np.ndarray, np.ndarray]:
+        """(partition numbers, content hashes) of a sorted set's partitions that aren't empty."""
+        part = ((elements >> np.uint64(32)) * np.uint64(self.parameters(k_band)[2])) >> np.uint64(32)
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        sums = np.add.reduceat(mix(elements ^ np.uint64(0x5851F42D4C957F2D)), first)
+        return part[first], mix(sums + mix(part[first] + (np.uint64(k_band) << np.uint64(32))))
+
+    def vector(self, elements: np.ndarray, k_band: int) -> np.ndarray:
+        """All partitions' contents as 32-bit hashes, 0 for empty ones: similar sets agree in all but k."""
+        out = np.zeros(self.parameters(k_band)[2], np.uint32)
+        part, content = self.contents(elements, k_band)
+        out[part.astype(np.int64)] = (content >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        return out
+
     def signatures(self, elements: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-        """(own band or next: 0 or 1, frequent partitions that may still be left out, signatures) of a sorted set."""
+        """(band, frequent partitions that may still be left out, signatures) of a sorted set, for its own band and the next."""
         out = []
         own = self.of(len(elements))
         for k_band in (own, own + 1):
             k, e, n = self.parameters(k_band)
             if not k:  # only equal sets are similar; they are linked without signatures
                 continue
-            part = ((elements >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            sums = np.add.reduceat(mix(elements ^ np.uint64(0x5851F42D4C957F2D)), first)
-            tag = np.uint64(k_band) << np.uint64(32)
-            found = mix(sums + mix(part[first] + tag))
-            empty = n - len(first)
+            part, found = self.contents(elements, k_band)
+            empty = n - len(part)
             if empty > e:
-                gone = np.setdiff1d(np.arange(n, dtype=np.uint64), part[first])
+                gone = np.setdiff1d(np.arange(n, dtype=np.uint64), part)
+                tag = np.uint64(k_band) << np.uint64(32)
                 subsets = [np.add.reduce(mix(np.array(s, np.uint64) + tag)) for s in itertools.combinations(gone.tolist(), e + 1)]
                 found = np.r_[found, mix(np.array(subsets, np.uint64) + np.uint64(77))]
-            out.append((k_band - own, e - empty, found))
+            out.append((k_band, e - empty, found))
         return out
 
 
@@ -163,7 +176,7 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bands = Bands(percent)
     texts = _texts(docs, id_col, text_col)
     size = texts.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    share = 2.2 * (100 - percent) / (100 + percent) * 2
+    share = 3 * (100 - percent) / (100 + percent) * 2
     log2, ranges = repeated.table_size(int(size / 6 * share))
 
     def first_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,103 +206,127 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def second_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, bits = Bands(percent), np.frombuffer(held.value, np.uint8)
-        names = ["sig", "id", "tag", "spare", "h"]
+        names = ["sig", "id", "band", "spare"]
         for batch in batches:
-            parts: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 5]
+            parts: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 4]
             for i, s in _sets(batch, shingle):
                 if not len(s) or i is None:
                     continue
-                h = _identity(s)[0]
-                for tag, spare, found in own.signatures(s):
+                for band, spare, found in own.signatures(s):
                     hit = found[repeated.maybe_repeated(found, bits, log2)]
-                    parts.append((hit.view(np.int64), *(np.full(len(hit), x, np.int64) for x in (i, tag, spare, h))))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts])) for k in range(5)], names=names)
+                    parts.append((hit.view(np.int64), *(np.full(len(hit), x, np.int64) for x in (i, band, spare))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts])) for k in range(4)], names=names)
 
-    signed = scratch.materialize(texts.mapInArrow(second_scan, "sig long, id long, tag long, spare long, h long"), "signatures")
+    signed = scratch.materialize(texts.mapInArrow(second_scan, "sig long, id long, band long, spare long"), "signatures")
     held.unpersist()
     return _classes(sets, signed, texts, shingle, percent)
 
 
 def _classes(sets: DataFrame, signed: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    # groups of at least two different sets, and which of them are frequent
-    lead = F.min(F.struct("id", "h")).alias("lead")
-    groups = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), lead, F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("sig", "n", F.col("lead.id").alias("leader"), F.col("lead.h").alias("leader_h"))
+    # one document stands for those with an equal set
+    real = sets.where("n > 0 and id is not null")
+    same = real.groupBy("h1", "h2").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b <> last").select("h1", "h2", "b")
+    equal = scratch.materialize(real.join(same, ["h1", "h2"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "equal")
+    few = equal.count() <= BROADCAST_IDS
+    copies = equal.select(F.col("a").alias("id"))
+    signed = signed.join(F.broadcast(copies) if few else copies, "id", "left_anti")
+
+    # groups of at least two, and which of them are frequent
+    groups = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").drop("last")
     members = scratch.materialize(signed.join(groups, "sig"), "members")
-    frequent = members.where(F.col("n") > FREQUENT).groupBy("id", "tag").agg(F.count(F.lit(1)).alias("m"))
-    kept = members.where(F.col("n") > FREQUENT).join(frequent, ["id", "tag"]).where(F.col("m") > F.col("spare")).select(*members.columns)
+    frequent = members.where(F.col("n") > FREQUENT).groupBy("id", "band").agg(F.count(F.lit(1)).alias("m"))
+    kept = members.where(F.col("n") > FREQUENT).join(frequent, ["id", "band"]).where(F.col("m") > F.col("spare")).select(*members.columns)
     members = scratch.materialize(members.where(F.col("n") <= FREQUENT).unionByName(kept), "members")
 
-    # equal sets are links; each other member meets its leader
-    same = sets.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    equal = sets.where("n > 0 and id is not null").join(same, ["h1", "h2"]).select(F.col("id").alias("a"), "b")
-    pairs = members.where("id <> leader and h <> leader_h").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    # each other member meets its leader
+    pairs = members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     compared = scratch.materialize(_verify(scratch.materialize(pairs, "pairs"), texts, shingle), "compared")
     near = F.col("inter") * 100 >= F.col("uni") * percent
     links = scratch.materialize(equal.unionByName(compared.where(near).select("a", "b")), "links")
     roots = components(links)
 
-    # what the comparisons with leaders leave open
-    def rooted(df: DataFrame, node: str, name: str) -> DataFrame:
-        r = roots.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
-        return df.join(r, F.col(node) == F.col("__n"), "left").withColumn(name, F.coalesce("__r", node)).drop("__n", "__r")
-
+    # what the comparisons with leaders leave open: pairs of different classes in a leader's group
     # 1 - similarity > 2 * (1 - percent / 100)
     far = (F.col("uni") - F.col("inter")) * 100 > F.col("uni") * (2 * (100 - percent))
-    marks = compared.select(F.col("a").alias("id"), F.col("b").alias("leader"), F.when(near, 0).when(far, 2).otherwise(1).alias("far"))
-    state = members.join(marks, ["id", "leader"], "left").withColumn("far", F.coalesce("far", F.lit(0)))
-    state = rooted(rooted(state, "id", "root"), "leader", "leader_root")
-    away = F.col("root") != F.col("leader_root")
-    open_ = state.groupBy("sig").agg(F.max(away & (F.col("far") == 1)).alias("unsure"), F.min(F.when(F.col("far") > 0, F.col("root"))).alias("r0"), F.max(F.when(F.col("far") > 0, F.col("root"))).alias("r1"))
-    open_ = open_.where(F.col("unsure") | (F.col("r0") != F.col("r1"))).select("sig", "unsure")
-    rest = state.join(open_, "sig").where((F.col("id") != F.col("leader")) & (F.col("unsure") | (F.col("far") > 0))).select("sig", "id", "root")
-    rest = scratch.materialize(rest, "open")
-    more = _within(rest, texts, shingle, percent)
-    if more is not None:
+    met = compared.select(F.col("a").alias("id"), F.col("b").alias("leader"), F.when(near, 0).when(far, 2).otherwise(1).alias("far"))
+    state = _rooted(_rooted(met, roots, "id", "root"), roots, "leader", "leader_root")
+    unsure = state.groupBy("leader").agg(F.max((F.col("root") != F.col("leader_root")) & (F.col("far") == 1)).alias("unsure"))
+    rest = state.join(unsure, "leader").where(F.col("unsure") | (F.col("far") > 0)).select("leader", "id", "root")
+    split = rest.groupBy("leader").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).where("r0 <> r1").select("leader", "n")
+    rest = scratch.materialize(rest.join(split, "leader"), "open")
+    if not rest.isEmpty():
+        found = scratch.materialize(_settle(rest, texts, shingle, percent).distinct(), "found")
+        more = scratch.materialize(_verify(found, texts, shingle), "compared").where(near).select("a", "b")
         roots = components(links.unionByName(more))
-    final = rooted(sets.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")), "doc_id", "component_id")
-    return final
-
-
-def _within(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame | None:
-    """Links (a, b) between members (sig, id, root) of one group that join different roots. Groups are cut into blocks, each two of which meet in a task."""
-    members = F.sum(F.xxhash64("id").bitwiseAND((1 << 40) - 1)).alias("members")
-    sizes = scratch.materialize(rest.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), members), "sizes")
-    if sizes.isEmpty():
-        return None
-    # groups of the very same members need one visit
-    once = sizes.groupBy("n", "low", "high", "members").agg(F.min("sig").alias("sig"))
-    blocks = F.ceil(F.col("n") / FREQUENT).cast("int")
-    dealt = rest.join(once.select("sig", blocks.alias("blocks")), "sig").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
-    cells = dealt.select("sig", "id", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("sig", "id", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    own = scratch.materialize(_fetch(texts, rest.select("id")), "texts")
+    return _rooted(sets.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")), roots, "doc_id", "component_id")
+
+
+def _rooted(df: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
+    """df with the root of a node, which is the node itself where it has no links."""
+    r = roots.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+    return df.join(r, F.col(node) == F.col("__n"), "left").withColumn(name, F.coalesce("__r", node)).drop("__n", "__r")
+
+
+def _elements(rest: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, e): the sorted shingle hashes of the sets that are still open."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, elements = zip(*[(i, s.tobytes()) for i, s in _sets(batch, shingle)], strict=True) if len(batch) else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(elements, pa.binary())], names=["id", "e"])
+
+    return scratch.materialize(_fetch(texts, rest.select("id")).select("id", "text").mapInArrow(make, "id long, e binary"), "elements")
+
+
+def settled(ids: list[int], roots: list[int], block: list[int], sets: list[np.ndarray], percent: int, two_blocks: bool) -> list[tuple[int, int]]:
+    """Links that join different roots, at most one fewer than there are sets. Pairs inside a block are passed over if two blocks meet."""
+    bands, tree = Bands(percent), {r: r for r in roots}
+
+    def top(r: int) -> int:
+        while tree[r] != r:
+            tree[r] = tree[tree[r]]
+            r = tree[r]
+        return r
+
+    own = np.array([bands.of(len(s)) for s in sets])
+    at_block, out = np.array(block), []
+    for band in np.unique(np.r_[own, own + 1]):
+        k, _, n = bands.parameters(int(band))
+        here = np.flatnonzero((own == band) | (own + 1 == band))
+        if not k or len(here) < 2:
+            continue
+        v = np.stack([bands.vector(sets[x], int(band)) for x in here])
+        for x in range(len(here)):
+            i = here[x]
+            rest = here[x + 1 :]
+            # the band in which two sets of neighbouring sizes meet is the larger one's own
+            ok = ((v[x + 1 :] == v[x]).sum(axis=1) >= n - k) & (np.maximum(own[rest], own[i]) == band)
+            if two_blocks:
+                ok &= at_block[rest] != at_block[i]
+            for j in rest[ok]:
+                a, b = len(sets[i]), len(sets[j])
+                if min(a, b) * 100 < max(a, b) * percent or top(roots[i]) == top(roots[j]):
+                    continue
+                both = a + b - len(np.union1d(sets[i], sets[j]))
+                if both * 100 >= (a + b - both) * percent:
+                    out.append((ids[i], ids[j]))
+                    tree[top(roots[i])] = top(roots[j])
+    return out
+
+
+def _settle(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between members (leader, id, root, n) of one group that join different roots; larger groups are cut into blocks of which each two meet in a task."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+    cells = dealt.select("leader", "id", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("leader", "id", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        pdf = pdf.drop_duplicates("id")
-        ids, blocks_, sets = pdf["id"].tolist(), pdf["block"].tolist(), [string_set(t or b"", shingle) for t in pdf["text"]]
-        tree = {r: r for r in pdf["root"]}
-
-        def top(r: int) -> int:
-            while tree[r] != r:
-                tree[r] = tree[tree[r]]
-                r = tree[r]
-            return r
-
-        roots, out = pdf["root"].tolist(), []
-        for x, y in itertools.combinations(range(len(ids)), 2):
-            if i != j and blocks_[x] == blocks_[y]:
-                continue
-            a, b = sorted((len(sets[x]), len(sets[y])))
-            if a * 100 < b * percent or top(roots[x]) == top(roots[y]):
-                continue
-            both = len(sets[x] & sets[y])
-            if both * 100 >= (a + b - both) * percent:
-                out.append((ids[x], ids[y]))
-                tree[top(roots[x])] = top(roots[y])
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    met = cells.join(own, "id").groupBy("sig", "i", "j").applyInPandas(settle, "a long, b long")
-    return scratch.materialize(met.distinct(), "more-links")
+        pdf = pdf.drop_duplicates("id").sort_values("id", ignore_index=True)
+        sets = [np.frombuffer(e, np.uint64) for e in pdf["e"]]
+        found = settled(pdf["id"].tolist(), pdf["root"].tolist(), pdf["block"].tolist(), sets, percent, bool(pdf["i"].iloc[0] != pdf["j"].iloc[0]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return cells.join(_elements(rest, texts, shingle), "id").groupBy("leader", "i", "j").applyInPandas(settle, "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
