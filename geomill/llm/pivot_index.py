@@ -16,9 +16,10 @@ every row is indexed and the result is exact whatever the pivots are.
 
 Defined cases: a null vector, or one with null or non-finite components, takes no
 part; vectors of another length than the most rows' raise an error; ties go to the
-smaller id; fewer than k candidates give fewer rows; a null id takes no part; rows
-repeated with one id: a query never meets rows with its own id; an empty table gives
-an empty result; other columns are ignored.
+smaller id; fewer than k candidates give fewer rows; a null id takes no part; of rows
+repeated with one id the smallest vector asks and all are candidates, but a query never
+meets rows with its own id; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -70,8 +71,8 @@ def _bounds(d: np.ndarray, pivot: np.ndarray, lo: np.ndarray, hi: np.ndarray) ->
     return np.maximum(np.maximum(own - hi, lo - own), 0.0) * (1 - ROOM)
 
 
-def search_shard(x_id: np.ndarray, x: np.ndarray, pivot: np.ndarray, r: np.ndarray, q_id: np.ndarray, q: np.ndarray, d: np.ndarray, floor: np.ndarray, most: float, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query ids, vec ids, scores) of the k best of this shard at least; floor: the k-th score that each query has already."""
+def search_shard(x_id: np.ndarray, x: np.ndarray, pivot: np.ndarray, r: np.ndarray, q_id: np.ndarray, q: np.ndarray, d: np.ndarray, floor: np.ndarray, floor_id: np.ndarray, most: float, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query ids, vec ids, scores) of this shard's k best that beat the k-th (score, id) that each query has already."""
     order = np.lexsort((r, pivot))
     x_id, x, pivot, r = x_id[order], x[order], pivot[order], r[order]
     starts = np.flatnonzero(np.r_[True, pivot[1:] != pivot[:-1]])
@@ -101,7 +102,7 @@ def search_shard(x_id: np.ndarray, x: np.ndarray, pivot: np.ndarray, r: np.ndarr
                 all_s, all_i = np.take_along_axis(all_s, keep, 1), np.take_along_axis(all_i, keep, 1)
             o = np.lexsort((all_i, -all_s), axis=1)[:, :k]
             best[mine], best_id[mine] = np.take_along_axis(all_s, o, 1), np.take_along_axis(all_i, o, 1)
-    ok = (best > -np.inf) & (best >= floor[:, None])
+    ok = (best > -np.inf) & ((best > floor[:, None]) | ((best == floor[:, None]) & (best_id < floor_id[:, None])))
     who = np.broadcast_to(q_id[:, None], best.shape)
     return [(who[ok], best_id[ok], best[ok].astype(np.int64))]
 
@@ -143,7 +144,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
         out = [(np.empty(0, np.int64),) * 3]
         if len(x) and len(q):
             qv = _matrix(q["v"], width)
-            out = search_shard(x["vec_id"].to_numpy(), _matrix(x["v"], width), x["pivot"].to_numpy(), x["r"].to_numpy(), q["vec_id"].to_numpy(), qv, distances(qv, np.zeros(len(qv))), q["floor"].to_numpy(), most, k)
+            out = search_shard(x["vec_id"].to_numpy(), _matrix(x["v"], width), x["pivot"].to_numpy(), x["r"].to_numpy(), q["vec_id"].to_numpy(), qv, distances(qv, np.zeros(len(qv))), q["floor"].to_numpy(), q["floor_id"].to_numpy(), most, k)
         return pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("query_id", "vec_id", "score"))})
 
     def route(first: bool):  # noqa: ANN202
@@ -162,7 +163,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
 
         return go
 
-    routed = "vec_id long, v array<double>, floor double, block int, shard int"
+    routed = "vec_id long, v array<double>, floor double, floor_id long, block int, shard int"
     result = "query_id long, vec_id long, score long"
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks).cast("long")).cast("int")
     numbers = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
@@ -171,13 +172,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     def run(queries: DataFrame) -> DataFrame:
         return held.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(search, result)
 
-    asked = index.where(is_query).select("vec_id", "v", F.lit(float("-inf")).alias("floor"), block.alias("block"))
+    # of rows repeated with one id one asks
+    asked = index.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", "v", F.lit(float("-inf")).alias("floor"), F.lit(0).cast("long").alias("floor_id"), block.alias("block"))
     near = scratch.materialize(run(asked.mapInPandas(route(True), routed)), "near")
     # k rows of each query at most
-    floors = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("kth"))
-    known = asked.drop("floor").join(floors, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", F.coalesce("kth", F.lit(float("-inf"))).alias("floor"), "block")
+    last = F.max(F.struct((-F.col("score")).alias("s"), "vec_id"))
+    floors = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, last).alias("kth")).select("query_id", (-F.col("kth.s")).cast("double").alias("kth"), F.col("kth.vec_id").alias("kth_id"))
+    known = asked.drop("floor", "floor_id").join(floors, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", F.coalesce("kth", F.lit(float("-inf"))).alias("floor"), F.coalesce("kth_id", F.lit(0).cast("long")).alias("floor_id"), "block")
     far = run(known.mapInPandas(route(False), routed))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.unionByName(far).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
