@@ -30,9 +30,9 @@ from pyspark.sql.window import Window
 
 from geomill.llm import repeated, scratch
 
-LEAST, MOST, ONE_IN = 16, 256, 8
+LEAST, MOST, ONE_IN = 16, 256, 4
 #: Passages of more than 50 words are sought; their outer chunks may be cut elsewhere.
-MIN_WORDS = 20
+MIN_WORDS = 16
 #: Spans cut by a broadcast of at most some 30 MB; beyond, by a shuffled join.
 BROADCAST_SPANS = 300_000
 
@@ -101,7 +101,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, text_hash, start, length, n_words, n_chunks, first_doc_id, first_start of each repeated span."""
     source = docs.select(F.col(text_col).cast("binary").alias("text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"))
     size = source.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    log2, ranges = repeated.table_size(size // 40)
+    log2, ranges = repeated.table_size(size // 30)
 
     def first_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         collector = repeated.Collector(log2, ranges)
