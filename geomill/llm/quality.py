@@ -7,8 +7,9 @@ towards the global one, each by a weight that the spread between the groups fixe
 (method of moments): sparse sites stay near the prior. A document's posterior adds its
 own log-odds to what its path's posterior says beyond the global prior.
 
-Everything is column expressions and grouped aggregates; only the sample reaches the
-driver. Site statistics are broadcast where their measured row count is small.
+Features are made by NumPy on Arrow batches, all else by column expressions and grouped
+aggregates; only the sample reaches the driver. Site statistics are broadcast where their
+measured row count is small.
 
 Defined cases: a null or blank text has the features of an empty one; null host or
 path are groups of their own; without both classes among the labels the model is the
@@ -20,11 +21,15 @@ judged each; an empty table gives an empty result; other columns are carried by
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geomill.llm import scratch
+from geomill.llm.wordhash import word_hashes
 
 #: Labelled rows that the model is fitted on at most.
 SAMPLE = 20_000
@@ -36,26 +41,35 @@ BROADCAST_SITES = 200_000
 MOST_LOGIT, MOST_SITE = 12.0, 3.0
 
 
-def features(text: Column) -> list[Column]:
-    """Shares and ratios of one text, each about 0 to 1; for an empty text all are 0."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.greatest(F.char_length(t), F.lit(1)).cast("double")
-    words = F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    m = F.greatest(F.size(words), F.lit(1)).cast("double")
-    lower = "abcdefghijklmnopqrstuvwxyz"
-    gone = lambda which: (n - F.char_length(F.translate(t, which, ""))) / n
-    return [
-        gone(lower.upper()),
-        gone("!?"),
-        gone("#%&$*@^~=+<>{}[]\\|_"),
-        gone("0123456789"),
-        gone(".,;:"),
-        gone("\n"),
-        F.size(F.array_distinct(words)) / m,
-        F.least(F.log1p(m) / 10, F.lit(1.0)),
-        F.least(n / m / 20, F.lit(1.0)),
-        F.size(F.filter(F.arrays_zip(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))).alias("a"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("b")), lambda p: p["a"] == p["b"])) / m,
-    ]
+#: Byte classes whose shares are features: capitals, exclamation, symbols, digits, punctuation, line ends.
+CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!?", b"#%&$*@^~=+<>{}[]\\|_", b"0123456789", b".,;:", b"\n")
+#: Numbers that ``text_features`` returns.
+WIDTH = 3 * (len(CLASSES) + 3)
+_MEMBERS = np.stack([np.isin(np.arange(256), np.frombuffer(c, np.uint8)) for c in CLASSES])
+
+
+def text_features(texts: list[bytes]) -> np.ndarray:
+    """For each text the shares of its byte classes, of distinct words, and sizes, all from 0 to 1, with their squares and roots; 0 for a text without words."""
+    words = word_hashes(texts)
+    out = np.zeros((len(texts), WIDTH // 3))
+    for i, (text, w) in enumerate(zip(texts, words, strict=True)):
+        if len(w):
+            counts = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+            n, m = len(text), len(w)
+            out[i] = [*(_MEMBERS @ counts / n), len(np.unique(w)) / m, min(np.log1p(m) / 10, 1.0), min(n / m / 20, 1.0)]
+    return np.concatenate([out, out * out, np.sqrt(out)], axis=1)
+
+
+def with_features(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with ``__x``, the features of the text."""
+
+    @F.pandas_udf("array<double>")
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            rows = [text_features([t or b"" for t in s.iloc[at : at + 512]]) for at in range(0, len(s), 512)]
+            yield pd.Series([x for block in rows for x in block], dtype=object)
+
+    return docs.withColumn("__x", features(F.col(text_col).cast("binary")))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -73,21 +87,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarra
     return w
 
 
-def _expanded(f: Column) -> Column:
-    """Each feature, its square and its root."""
-    return F.concat(f, F.transform(f, lambda x: x * x), F.transform(f, lambda x: F.sqrt(x)))
-
-
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> list[float]:
     """The model's weights: labels has the id and quality (1 good, 0 bad)."""
     known = labels.where("quality is not null").select(F.col(id_col).alias("__l"), F.col("quality").cast("int").alias("__q")).dropDuplicates(["__l"])
     chosen = scratch.materialize(known.orderBy(F.xxhash64("__l")).limit(sample), "labelled")
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__l")).select(_expanded(F.array(*features(F.col(text_col)))).alias("x"), "__q").limit(sample).toPandas()
-    size = 3 * len(features(F.lit("")))
+    few = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("__l"))
+    rows = with_features(few, text_col).select(F.col("__x").alias("x"), "__q").limit(sample).toPandas()
     y = rows["__q"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean(), 0.001, 0.999)) if len(y) else 0.5
-        return [0.0] * size + [float(np.log(share / (1 - share)))]
+        return [0.0] * WIDTH + [float(np.log(share / (1 - share)))]
     return fit_logistic(np.stack(rows["x"].to_numpy()), y).tolist()
 
 
@@ -113,11 +122,11 @@ def _sites(evidence: DataFrame) -> tuple[DataFrame, float]:
     return joined.withColumn("host_p", host_p).withColumn("path_p", path_p).select("host", "path", "host_p", "path_p"), mean
 
 
-def _logit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Column:
-    """A document's own log-odds, as a column of docs."""
+def with_logit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with ``__logit``, a document's own log-odds."""
     w = fit(docs, labels, id_col, text_col)
-    dot = F.aggregate(F.zip_with(_expanded(F.array(*features(F.col(text_col)))), F.array(*map(F.lit, w[:-1])), lambda a, b: a * b), F.lit(w[-1]), lambda a, b: a + b)
-    return F.least(F.greatest(dot, F.lit(-MOST_LOGIT)), F.lit(MOST_LOGIT))
+    dot = F.aggregate(F.zip_with("__x", F.array(*map(F.lit, w[:-1])), lambda a, b: a * b), F.lit(w[-1]), lambda a, b: a + b)
+    return with_features(docs, text_col).withColumn("__logit", F.least(F.greatest(dot, F.lit(-MOST_LOGIT)), F.lit(MOST_LOGIT))).drop("__x")
 
 
 def _share(log_odds: Column) -> Column:
@@ -137,13 +146,14 @@ def _judged(rows: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, host, path, evidence, host_p, path_p, posterior, keep of each row."""
-    evidence = scratch.materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), _logit(docs, labels, id_col, text_col).alias("logit")), "evidence")
+    own = with_logit(docs.select(id_col, text_col, host_col, path_col), labels, id_col, text_col)
+    evidence = scratch.materialize(own.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col("__logit").alias("logit")), "evidence")
     return _judged(evidence, evidence).select("doc_id", "host", "path", _share(F.col("logit")).alias("evidence"), "host_p", "path_p", "posterior", (F.col("posterior") >= threshold).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose posterior reaches the threshold."""
-    host, path, logit = F.col(host_col).alias("host"), F.col(path_col).alias("path"), _logit(docs, labels, id_col, text_col).alias("logit")
-    evidence = scratch.materialize(docs.select(host, path, logit), "evidence")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), host, path, logit)
-    return _judged(rows, evidence).where(F.col("posterior") >= threshold).select("row.*")
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(host_col).alias("host"), F.col(path_col).alias("path"))
+    judged = with_logit(base, labels.withColumn("__id", F.col(id_col)), "__id", "__text").withColumn("logit", F.col("__logit"))
+    evidence = scratch.materialize(judged.select("host", "path", "logit"), "evidence")
+    return _judged(judged.select("row", "host", "path", "logit"), evidence).where(F.col("posterior") >= threshold).select("row.*")
