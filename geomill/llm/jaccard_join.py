@@ -226,6 +226,7 @@ def _classes(sets: DataFrame, signed: DataFrame, texts: DataFrame, shingle: int,
     # one document stands for those with an equal set
     real = sets.where("n > 0 and id is not null")
     same = real.groupBy("h1", "h2").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b <> last").select("h1", "h2", "b")
+    same = scratch.materialize(same, "same")
     equal = scratch.materialize(real.join(same, ["h1", "h2"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "equal")
     few = equal.count() <= BROADCAST_IDS
     copies = equal.select(F.col("a").alias("id"))
@@ -233,6 +234,7 @@ def _classes(sets: DataFrame, signed: DataFrame, texts: DataFrame, shingle: int,
 
     # groups of at least two, and which of them are frequent
     groups = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").drop("last")
+    groups = scratch.materialize(groups, "groups")
     members = scratch.materialize(signed.join(groups, "sig"), "members")
     frequent = members.where(F.col("n") > FREQUENT).groupBy("id", "band").agg(F.count(F.lit(1)).alias("m"))
     kept = members.where(F.col("n") > FREQUENT).join(frequent, ["id", "band"]).where(F.col("m") > F.col("spare")).select(*members.columns)
@@ -250,9 +252,12 @@ def _classes(sets: DataFrame, signed: DataFrame, texts: DataFrame, shingle: int,
     far = (F.col("uni") - F.col("inter")) * 100 > F.col("uni") * (2 * (100 - percent))
     met = compared.select(F.col("a").alias("id"), F.col("b").alias("leader"), F.when(near, 0).when(far, 2).otherwise(1).alias("far"))
     state = _rooted(_rooted(met, roots, "id", "root"), roots, "leader", "leader_root")
-    unsure = state.groupBy("leader").agg(F.max((F.col("root") != F.col("leader_root")) & (F.col("far") == 1)).alias("unsure"))
+    state = scratch.materialize(state.select("leader", "id", "root", "leader_root", "far"), "state")
+    # tables of one row a leader: in joins with them a hot leader's members can be split
+    unsure = scratch.materialize(state.groupBy("leader").agg(F.max((F.col("root") != F.col("leader_root")) & (F.col("far") == 1)).alias("unsure")), "unsure")
     rest = state.join(unsure, "leader").where(F.col("unsure") | (F.col("far") > 0)).select("leader", "id", "root")
     split = rest.groupBy("leader").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).where("r0 <> r1").select("leader", "n")
+    split = scratch.materialize(split, "split")
     rest = scratch.materialize(rest.join(split, "leader"), "open")
     if not rest.isEmpty():
         found = scratch.materialize(_settle(rest, texts, shingle, percent).distinct(), "found")

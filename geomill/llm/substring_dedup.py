@@ -140,6 +140,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held.unpersist()
     place = F.struct("id", "th", "start")
     first = hits.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("d1", "d2", "first")
+    # a table of one row a digest: in a join with it a very common chunk can be split
+    first = scratch.materialize(first, "repeated")
     again = hits.join(first, ["d1", "d2"]).where(~place.eqNullSafe(F.col("first"))).dropDuplicates(["id", "th", "k"])
     # a text's chunks stand together: neighbours share k minus their rank
     order = Window.partitionBy("id", "th").orderBy("k")
