@@ -20,6 +20,12 @@ def keep_keys(df: DataFrame, active: DataFrame) -> DataFrame:
     return with_key(df).join(with_key(active).select("photo_key").distinct(), "photo_key", "left_semi").select(df.columns)
 
 
+def keep_relaxed(df: DataFrame, active: DataFrame) -> DataFrame:
+    """The rows that are active under either name of a platform."""
+    key = F.concat_ws("_", keys.relaxed_platform(F.col("Platform")), keys.clean_photo_id(F.col("Photo_ID")))
+    return df.withColumn("__key", key).join(active.select(key.alias("__key")).distinct(), "__key", "left_semi").select(df.columns)
+
+
 def drop_keys(df: DataFrame, gone: DataFrame) -> DataFrame:
     return with_key(df).join(with_key(gone).select("photo_key").distinct(), "photo_key", "left_anti").select(df.columns)
 

@@ -61,11 +61,20 @@ def exact_match(answers: DataFrame, columns: list[str], truth: str = "_true") ->
     return answers.agg(*[F.round(F.avg(F.coalesce(same(c), F.lit(0))) * 100, 6).alias(c) for c in columns])
 
 
+def report_name(line: Column) -> Column:
+    return F.trim(F.get(F.split(_inside_bars(line), r"\|"), F.lit(0)))
+
+
+def report_values(line: Column) -> Column:
+    """The figures of a table line behind its name, without percent signs and bold marks."""
+    cells = F.split(_inside_bars(line), r"\|")
+    return F.transform(F.slice(cells, 2, 100), lambda x: F.trim(F.regexp_replace(x, "[%*]", "")).try_cast("double"))
+
+
 def parse_report(lines: DataFrame, line: str = "value") -> DataFrame:
     """name, values of the rows of a Markdown table."""
-    cells = F.transform(F.split(F.trim(_inside_bars(F.col(line))), r"\|"), lambda x: F.trim(x))
-    rows = lines.where(F.col(line).startswith("|") & ~F.col(line).rlike(r"^\|[\s:|-]+\|?$")).select(cells.alias("c"))
-    return rows.select(F.col("c")[0].alias("name"), F.transform(F.slice("c", 2, 100), lambda x: F.regexp_replace(x, "[%*]", "").try_cast("double")).alias("values"))
+    rows = lines.where(F.col(line).startswith("|") & ~F.col(line).rlike(r"^\|[\s:|-]+\|?$"))
+    return rows.select(report_name(F.col(line)).alias("name"), report_values(F.col(line)).alias("values"))
 
 
 def _inside_bars(c: Column) -> Column:

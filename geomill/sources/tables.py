@@ -51,6 +51,49 @@ def save(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: tu
         raise ValueError(f"no table format is known for .{kind} files: {path}")
 
 
+def scan_cells(rows: DataFrame, active: DataFrame, cell: str = "H3_Cell") -> DataFrame:
+    """The rows of active cells: a semi-join that Spark broadcasts, and pushes into partitions, when the cells are few."""
+    return rows.join(active.select(cell).where(F.col(cell).isNotNull()).distinct(), cell, "left_semi").select(rows.columns)
+
+
+def batches(rows: DataFrame, size: int = 10_000):  # noqa: ANN201
+    """Lists of at most size rows, fetched partition by partition."""
+    from itertools import batched
+
+    yield from map(list, batched(rows.toLocalIterator(prefetchPartitions=True), size))
+
+
+def raster(spark: SparkSession, path: str) -> DataFrame:
+    """row, col, value of an Esri ASCII grid: the cells as rows; ``raster_header`` has its place."""
+    lines = spark.read.text(path, wholetext=True).select(F.split(F.trim("value"), r"\r?\n").alias("lines"))
+    body = F.filter("lines", lambda line: ~F.regexp_like(line, F.lit(r"^\s*[A-Za-z]")))
+    rows = lines.select(F.posexplode(body).alias("row", "line"))
+    return rows.select("row", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "v")).select("row", "col", F.col("v").try_cast("double").alias("value"))
+
+
+def raster_header(spark: SparkSession, path: str) -> dict[str, float]:
+    """The header fields of an Esri ASCII grid, lower-cased."""
+    head = spark.read.text(path).where(F.regexp_like("value", F.lit(r"^\s*[A-Za-z]"))).limit(16).collect()
+    return {k.lower(): float(v) for k, v in (r.value.split()[:2] for r in head)}
+
+
+def polygons(spark: SparkSession, path: str, name: str = "NAME", continent: str = "CONTINENT") -> DataFrame:
+    """name, continent, ring of a GeoJSON feature collection: the outer rings of polygons and multipolygons, one row each. Property names are compared without case."""
+    shape = "features array<struct<properties map<string, string>, geometry struct<type string, coordinates string>>>"
+    ring = "array<array<array<double>>>"
+    f = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", shape)["features"]).alias("f"))
+    prop = lambda n: F.element_at(F.map_filter(F.transform_keys("f.properties", lambda k, _: F.upper(k)), lambda k, _: k == n.upper()), n.upper())
+    shapes = F.when(F.col("f.geometry.type") == "Polygon", F.array(F.from_json("f.geometry.coordinates", ring))).otherwise(F.from_json("f.geometry.coordinates", f"array<{ring}>"))
+    return f.select(prop(name).alias("name"), prop(continent).alias("continent"), F.explode(shapes).alias("p")).select("name", "continent", F.col("p")[0].alias("ring"))
+
+
+def polygon_boxes(shapes: DataFrame) -> DataFrame:
+    """name, south, north, west, east and WKT of each ring."""
+    lat, lon = F.transform("ring", lambda p: p[1]), F.transform("ring", lambda p: p[0])
+    wkt = F.concat(F.lit("POLYGON(("), F.array_join(F.transform("ring", lambda p: F.concat_ws(" ", p[0].cast("string"), p[1].cast("string"))), ", "), F.lit("))"))
+    return shapes.select("name", F.array_min(lat).alias("south"), F.array_max(lat).alias("north"), F.array_min(lon).alias("west"), F.array_max(lon).alias("east"), wkt.alias("wkt"))
+
+
 def with_clusters(photos: DataFrame, sidecar: DataFrame, lead: str = "photos") -> DataFrame:
     """photos with cluster columns by key, all photos kept; with lead='sidecar' all sidecar rows kept."""
     from geomill.operators.maintain import with_key

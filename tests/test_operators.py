@@ -288,3 +288,19 @@ def test_stream(spark, tmp_path):
     s = streaming.photo_stream(spark, str(tmp_path / "in"), "Photo_ID string, Platform string, Latitude double, Longitude double, Captured_At string")
     streaming.write_batches(s, str(tmp_path / "check"), lambda b, i: seen.extend(r.photo_key for r in b.collect())).awaitTermination()
     assert sorted(seen) == ["flickr_0", "flickr_1", "flickr_2"]
+
+
+def test_raster_and_polygons(spark, tmp_path):
+    (tmp_path / "r.asc").write_text("ncols 2\nnrows 2\nxllcorner 0\nyllcorner 0\ncellsize 10\n1 2\n3 -9999\n")
+    assert tables.raster_header(spark, str(tmp_path / "r.asc"))["cellsize"] == 10
+    r = tables.raster(spark, str(tmp_path / "r.asc"))
+    assert sorted((x.row, x.col, x.value) for x in r.collect()) == [(0, 0, 1.0), (0, 1, 2.0), (1, 0, 3.0), (1, 1, -9999.0)]
+    p = photo_rows(spark, [(1, 15.0, 5.0), (2, 5.0, 5.0), (3, 50.0, 5.0)], ["id", "Latitude", "Longitude"])
+    assert {x.id: x.value for x in regions.raster_lookup(p, r, 0.0, 20.0, 10.0).collect()} == {1: 1.0, 2: 3.0, 3: None}
+    (tmp_path / "p.geojson").write_text('{"type": "FeatureCollection", "features": [{"properties": {"name": "A", "continent": "X"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 2]]]}}, {"properties": {"NAME": "B"}, "geometry": {"type": "MultiPolygon", "coordinates": [[[[5, 5], [6, 5], [6, 6]]], [[[8, 8], [9, 8], [9, 9]]]]}}]}')
+    shapes = tables.polygons(spark, str(tmp_path / "p.geojson"))
+    assert sorted((x.name, x.south, x.east) for x in tables.polygon_boxes(shapes).collect()) == [("A", 0.0, 1.0), ("B", 5.0, 6.0), ("B", 8.0, 9.0)]
+
+
+def test_batches(spark):
+    assert [len(b) for b in tables.batches(spark.range(25), 10)] == [10, 10, 5]
