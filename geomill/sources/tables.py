@@ -66,7 +66,7 @@ def batches(rows: DataFrame, size: int = 10_000):  # noqa: ANN201
 def raster(spark: SparkSession, path: str) -> DataFrame:
     """row, col, value of an Esri ASCII grid: the cells as rows; ``raster_header`` has its place."""
     lines = spark.read.text(path, wholetext=True).select(F.split(F.trim("value"), r"\r?\n").alias("lines"))
-    body = F.filter("lines", lambda line: ~F.regexp_like(line, F.lit(r"^\s*[A-Za-z]")))
+    body = F.filter("lines", lambda line: (F.trim(line) != "") & ~F.regexp_like(line, F.lit(r"^\s*[A-Za-z]")))
     rows = lines.select(F.posexplode(body).alias("row", "line"))
     return rows.select("row", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "v")).select("row", "col", F.col("v").try_cast("double").alias("value"))
 
