@@ -40,11 +40,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, *unless: DataFrame) -> None:
-    """Delete the scratch tables so far, but for those that ``unless`` still reads."""
-    needed = "\n".join(df._jdf.queryExecution().optimizedPlan().toString() + "\n".join(df.inputFiles()) for df in unless)
-    for path in list(_tables):
-        if path.rpartition("/")[2] not in needed:
+def tables() -> list[str]:
+    """The paths given out so far and not released."""
+    return list(_tables)
+
+
+def release(spark: SparkSession, paths: list[str], *unless: DataFrame) -> None:
+    """Delete these scratch tables, but for those that ``unless`` still reads."""
+    needed = "\n".join("\n".join(df.inputFiles()) for df in unless)
+    for path in paths:
+        if path in _tables and path.rpartition("/")[2] not in needed:
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
             _tables.remove(path)
