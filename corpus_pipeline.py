@@ -7,6 +7,7 @@ again between them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -19,34 +20,51 @@ from geomill.llm.quality import keep_good
 from geomill.llm.substring_dedup import drop_repeats
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Scratch tables of the stage before, by session.
+_used: dict[int, list[str]] = {}
 
 
+def _stage(stage: Stage) -> Stage:
+    """The stage, which first gives up the scratch tables of the stage before: that one's result is written by then."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scratch.release(spark, _used.pop(id(spark), []), docs)
+        before = set(scratch.tables())
+        out = stage(spark, docs, sf_dir)
+        _used[id(spark)] = [p for p in scratch.tables() if p not in before]
+        return out
+
+    return run
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_stage
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts that with the smallest doc_id stays."""
-    scratch.release(spark, docs)
     return drop_exact_duplicates(docs)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones stays: five-word shingles, similarity 0.8."""
-    scratch.release(spark, docs)
     return drop_near_duplicates(docs)
 
 
+@_stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are cut out of all texts but the first."""
-    scratch.release(spark, docs)
     return drop_repeats(docs)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence."""
-    scratch.release(spark, docs)
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
