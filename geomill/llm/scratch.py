@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_file(spark: SparkSession, name: str, parts: Iterable[bytes]) -> str:
+    """The path of a new file in the shared folder."""
+    path = f"{new_path(spark, name)}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop)
+    for part in parts:
+        for at in range(0, len(part), 4 << 20):
+            out.write(bytearray(part[at : at + (4 << 20)]))
+    out.close()
+    return path
+
+
 def tables() -> list[str]:
     """The paths given out so far and not released."""
     return list(_tables)

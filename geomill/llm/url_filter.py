@@ -14,9 +14,7 @@ the default; repeated rules count once, and among equal ones the last verdict ho
 
 from __future__ import annotations
 
-import os
 import struct
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,6 +24,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geomill.llm import scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,18 +51,17 @@ class DigestIndex:
         self.strings = raw[24 + 16 * n + 8 * lengths :]
 
     @staticmethod
-    def write(path: str, rules: Iterable[tuple[str, bool]]) -> None:
-        """rules: (host/path, allow)."""
+    def parts(rules: Iterable[tuple[str, bool]]) -> Iterator[bytes]:
+        """The file's bytes, of (host/path, allow) rules."""
         last = dict(rules)
         ordered = sorted((key(r), r) for r in last)
         strings = [r.encode("utf-8", "surrogatepass") + (b"\x01" if last[r] else b"\x00") for _, r in ordered]
         lengths = sorted({len(r) - len(r.partition("/")[0]) for r in last})
-        with open(path, "wb") as f:
-            f.write(struct.pack("<qq", len(ordered), len(lengths)))
-            f.write(np.array([k for k, _ in ordered], np.uint64).tobytes())
-            f.write(np.cumsum([0, *map(len, strings)], dtype=np.int64).tobytes())
-            f.write(np.array(lengths, np.int64).tobytes())
-            f.write(b"".join(strings) or b"\x00")
+        yield struct.pack("<qq", len(ordered), len(lengths))
+        yield np.array([k for k, _ in ordered], np.uint64).tobytes()
+        yield np.cumsum([0, *map(len, strings)], dtype=np.int64).tobytes()
+        yield np.array(lengths, np.int64).tobytes()
+        yield b"".join(strings) or b"\x00"
 
     def find(self, probes: list[str]) -> list[bool | None]:
         """For each probe the verdict of the rule that is this very string, else None."""
@@ -103,12 +102,12 @@ class DigestIndex:
 def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, bool]], default_allow: bool = True, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block) of every row.
 
-    The index file goes to each executor once, through Spark's file server.
+    The index file is written to the shared folder, from which Spark gives each executor a
+    copy to map.
     """
-    folder = tempfile.mkdtemp()
-    name = os.path.basename(folder) + ".digests"
-    DigestIndex.write(os.path.join(folder, name), rules)
-    pages.sparkSession.sparkContext.addFile(os.path.join(folder, name))
+    path = scratch.write_file(pages.sparkSession, "digests", DigestIndex.parts(rules))
+    name = path.rpartition("/")[2]
+    pages.sparkSession.sparkContext.addFile(path)
     id_type = dict(pages.dtypes)[id_col]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
