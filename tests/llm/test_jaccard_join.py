@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from geomill.llm import jaccard_join
@@ -77,3 +78,22 @@ def test_bands_hold_similar_sizes():
         for a in range(1, 400):
             for b in range(a, a * 100 // percent + 1):
                 assert bands.of(b) - bands.of(a) in (0, 1)
+
+
+@pytest.mark.parametrize("percent", [70, 80, 90])
+def test_similar_sets_agree_in_enough_partitions(percent):
+    r = random.Random(percent)
+    bands = jaccard_join.Bands(percent)
+    for _ in range(400):
+        base = [r.getrandbits(64) for _ in range(r.choice([1, 5, 9, 10, 20, 60, 300]))]
+        other = [x for x in base if r.random() > 0.12] + [r.getrandbits(64) for _ in range(r.randint(0, 1 + len(base) // 12))]
+        a, b = (np.unique(np.array(s, np.uint64)) for s in (base, other))
+        if not len(b) or not len(np.intersect1d(a, b)) * 100 >= len(np.union1d(a, b)) * percent:
+            continue
+        if len(a) == len(b) and (a == b).all():
+            continue
+        band = max(bands.of(len(a)), bands.of(len(b)))
+        k, e, n = bands.parameters(band)
+        assert k and (bands.vector(a, band) == bands.vector(b, band)).sum() >= n - k == e + 1
+        signs = [{s for x, _, found in bands.signatures(own) if x == band for s in found.tolist()} for own in (a, b)]
+        assert signs[0] & signs[1]
