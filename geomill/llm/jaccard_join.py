@@ -12,11 +12,12 @@ lose nothing, for a similar set shares at least ``e + 1``; one with more than ``
 empty ones signs for the subsets of ``e + 1`` empty partitions as well.
 
 Two scans: the first finds which signatures may repeat (``repeated``), the second
-emits only those. In each signature's group all members are compared, on the whole
-texts, with its smallest document, not with each other. By the triangle inequality of
-the Jaccard distance t = 1 - similarity, members farther than 2t from it can't be
-linked to members within t. What that leaves open is settled inside small groups, or
-block by block in large ones, where pairs already connected are passed over.
+emits only those. In each signature's group every member is compared with its smallest
+document, not with each other: sketches (a byte for each partition) rule out pairs with
+too few equal partitions, whole texts decide on the rest. Where a leader's group then
+holds different classes, its members are compared in the group, in blocks: sketches first,
+then the shingle hashes of those with a partner left, unless they are connected by then.
+Only links that connect come out, and whole texts decide on them too.
 
 Defined cases: a null or blank text has an empty set and no links; fewer words than a
 shingle count as one shingle; equal sets are linked; a null id is returned with no
@@ -142,33 +143,75 @@ def string_set(text: bytes, shingle: int) -> set[bytes]:
     return set(map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False)))
 
 
-def _fetch(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text), one row an id, of the ids given."""
+def _of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts' rows of the ids given."""
     ids = scratch.materialize(ids.distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
-    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
+    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """pairs(a, b) with the intersection and union of their sets. b may be a hot key: its text meets the pairs in a join that can be split."""
-    own = scratch.materialize(_fetch(texts, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))), "texts")
+def _sketches(ids: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(id, n, own, next): a set's size and its partitions' contents in two bands, a byte each: 0 for an empty one."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
+        for batch in batches:
+            ids, n, own, after = [], [], [], []
+            for i, s in _sets(batch, shingle):
+                band = bands.of(len(s))
+                ids.append(i), n.append(len(s))
+                for out, b in ((own, band), (after, band + 1)):
+                    v = bands.vector(s, b)
+                    out.append(((v >> np.uint32(8)).astype(np.uint8) | (v > 0)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(own, pa.binary()), pa.array(after, pa.binary())], names=["id", "n", "own", "next"])
+
+    made = _of(texts, ids).select("id", "text").mapInArrow(make, "id long, n long, own binary, next binary")
+    return scratch.materialize(made.dropDuplicates(["id"]), "sketches")
+
+
+def _may_be_similar(bands: Bands, a: tuple[int, bytes, bytes], b: tuple[int, bytes, bytes]) -> bool:
+    """Whether two sketches (size, own band, next band) allow the similarity: similar sets agree in all but k partitions."""
+    x, y = bands.of(a[0]), bands.of(b[0])
+    if abs(x - y) > 1 or min(a[0], b[0]) * 100 < max(a[0], b[0]) * bands.percent:
+        return False
+    k, _, n = bands.parameters(max(x, y))
+    v, w = (np.frombuffer(s[1] if band == max(x, y) else s[2], np.uint8) for s, band in ((a, x), (b, y)))
+    return int((v == w).sum()) >= n - k
+
+
+def _maybe(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches allow the similarity."""
+    side = lambda c: sketches.select(F.col("id").alias(c), F.struct("n", "own", "next").alias(f"s_{c}"))
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
+        for batch in batches:
+            keep = [_may_be_similar(bands, tuple(x.values()), tuple(y.values())) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(test, "a long, b long")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar, by their whole texts. b may be a hot key: its text meets the pairs in a join that can be split."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    own = scratch.materialize(_of(texts, ids).dropDuplicates(["id"]), "texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[bytes, set] = (b"", set())
         for batch in batches:
-            inter, union = [], []
+            keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 y = y.as_py() or b""
                 if y != seen[0]:
                     seen = (y, string_set(y, shingle))
                 s = string_set(x.as_py() or b"", shingle)
                 both = len(s & seen[1])
-                inter.append(both)
-                union.append(len(s) + len(seen[1]) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "inter", "uni"])
+                keep.append(both * 100 >= (len(s) + len(seen[1]) - both) * percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long, inter long, uni long")
+    return scratch.materialize(joined.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long"), "similar")
 
 
 def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90) -> DataFrame:
@@ -240,29 +283,23 @@ def _classes(sets: DataFrame, signed: DataFrame, texts: DataFrame, shingle: int,
     kept = members.where(F.col("n") > FREQUENT).join(frequent, ["id", "band"]).where(F.col("m") > F.col("spare")).select(*members.columns)
     members = scratch.materialize(members.where(F.col("n") <= FREQUENT).unionByName(kept), "members")
 
-    # each other member meets its leader
-    pairs = members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    compared = scratch.materialize(_verify(scratch.materialize(pairs, "pairs"), texts, shingle), "compared")
-    near = F.col("inter") * 100 >= F.col("uni") * percent
-    links = scratch.materialize(equal.unionByName(compared.where(near).select("a", "b")), "links")
+    # each other member meets its leader: sketches tell which may be similar, texts which are
+    pairs = scratch.materialize(members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
+    sketches = _sketches(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), texts, shingle, percent)
+    near = _similar(scratch.materialize(_maybe(pairs, sketches, percent), "maybe"), texts, shingle, percent)
+    links = scratch.materialize(equal.unionByName(near), "links")
     roots = components(links)
 
-    # what the comparisons with leaders leave open: pairs of different classes in a leader's group
-    # 1 - similarity > 2 * (1 - percent / 100)
-    far = (F.col("uni") - F.col("inter")) * 100 > F.col("uni") * (2 * (100 - percent))
-    met = compared.select(F.col("a").alias("id"), F.col("b").alias("leader"), F.when(near, 0).when(far, 2).otherwise(1).alias("far"))
-    state = _rooted(_rooted(met, roots, "id", "root"), roots, "leader", "leader_root")
-    state = scratch.materialize(state.select("leader", "id", "root", "leader_root", "far"), "state")
-    # tables of one row a leader: in joins with them a hot leader's members can be split
-    unsure = scratch.materialize(state.groupBy("leader").agg(F.max((F.col("root") != F.col("leader_root")) & (F.col("far") == 1)).alias("unsure")), "unsure")
-    rest = state.join(unsure, "leader").where(F.col("unsure") | (F.col("far") > 0)).select("leader", "id", "root")
-    split = rest.groupBy("leader").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).where("r0 <> r1").select("leader", "n")
-    split = scratch.materialize(split, "split")
-    rest = scratch.materialize(rest.join(split, "leader"), "open")
+    # groups that still hold different classes; tables of one row a leader, so that joins with them can split a hot one
+    met = pairs.select(F.col("a").alias("id"), F.col("b").alias("leader"))
+    state = scratch.materialize(_rooted(met, roots, "id", "root"), "state")
+    split = state.groupBy("leader").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).where("r0 <> r1").select("leader", "n")
+    rest = scratch.materialize(state.join(scratch.materialize(split, "split"), "leader"), "open")
     if not rest.isEmpty():
-        found = scratch.materialize(_settle(rest, texts, shingle, percent).distinct(), "found")
-        more = scratch.materialize(_verify(found, texts, shingle), "compared").where(near).select("a", "b")
-        roots = components(links.unionByName(more))
+        cells = _cells(rest)
+        hopeful = scratch.materialize(_hopeful(cells, sketches, percent), "hopeful")
+        found = scratch.materialize(_settle(cells.join(hopeful, ["leader", "i", "j", "id"]), texts, shingle, percent).distinct(), "found")
+        roots = components(links.unionByName(_similar(found, texts, shingle, percent)))
     return _rooted(sets.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")), roots, "doc_id", "component_id")
 
 
@@ -272,7 +309,41 @@ def _rooted(df: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
     return df.join(r, F.col(node) == F.col("__n"), "left").withColumn(name, F.coalesce("__r", node)).drop("__n", "__r")
 
 
-def _elements(rest: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+def _cells(rest: DataFrame) -> DataFrame:
+    """rest(leader, id, root, n) dealt into tasks (leader, i, j): larger groups are cut into blocks of which each two meet."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+    return dealt.select("leader", "id", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root", "block")
+
+
+def _hopeful(cells: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(leader, i, j, id) of the members with a partner in the task that is of another class and whose sketch allows the similarity."""
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("id", ignore_index=True)
+        bands = Bands(percent)
+        band, roots, block = np.array([bands.of(n) for n in pdf["n"]]), pdf["root"].to_numpy(), pdf["block"].to_numpy()
+        two_blocks, hit = bool(pdf["i"].iloc[0] != pdf["j"].iloc[0]), np.zeros(len(pdf), bool)
+        for meet in np.unique(np.r_[band, band + 1]):
+            k, _, n = bands.parameters(int(meet))
+            here = np.flatnonzero((band == meet) | (band + 1 == meet))
+            if not k or len(here) < 2:
+                continue
+            v = np.stack([np.frombuffer(pdf["own"].iloc[x] if band[x] == meet else pdf["next"].iloc[x], np.uint8) for x in here])
+            for x in range(len(here) - 1):
+                rest = here[x + 1 :]
+                ok = ((v[x + 1 :] == v[x]).sum(axis=1) >= n - k) & (np.maximum(band[rest], band[here[x]]) == meet) & (roots[rest] != roots[here[x]])
+                if two_blocks:
+                    ok &= block[rest] != block[here[x]]
+                if ok.any():
+                    hit[here[x]] = True
+                    hit[rest[ok]] = True
+        return pdf.loc[hit, ["leader", "i", "j", "id"]]
+
+    return cells.join(sketches, "id").groupBy("leader", "i", "j").applyInPandas(choose, "leader long, i int, j int, id long")
+
+
+def _elements(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """(id, e): the sorted shingle hashes of the sets that are still open."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +351,7 @@ def _elements(rest: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
             ids, elements = zip(*[(i, s.tobytes()) for i, s in _sets(batch, shingle)], strict=True) if len(batch) else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(elements, pa.binary())], names=["id", "e"])
 
-    return scratch.materialize(_fetch(texts, rest.select("id")).select("id", "text").mapInArrow(make, "id long, e binary"), "elements")
+    return scratch.materialize(_of(texts, ids).select("id", "text").mapInArrow(make, "id long, e binary").dropDuplicates(["id"]), "elements")
 
 
 def settled(ids: list[int], roots: list[int], block: list[int], sets: list[np.ndarray], percent: int, two_blocks: bool) -> list[tuple[int, int]]:
@@ -319,11 +390,8 @@ def settled(ids: list[int], roots: list[int], block: list[int], sets: list[np.nd
     return out
 
 
-def _settle(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) between members (leader, id, root, n) of one group that join different roots; larger groups are cut into blocks of which each two meet in a task."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
-    cells = dealt.select("leader", "id", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("leader", "id", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+def _settle(cells: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of one task that join different roots."""
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id").sort_values("id", ignore_index=True)
@@ -331,7 +399,7 @@ def _settle(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
         found = settled(pdf["id"].tolist(), pdf["root"].tolist(), pdf["block"].tolist(), sets, percent, bool(pdf["i"].iloc[0] != pdf["j"].iloc[0]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return cells.join(_elements(rest, texts, shingle), "id").groupBy("leader", "i", "j").applyInPandas(settle, "a long, b long")
+    return cells.join(_elements(cells.select("id"), texts, shingle), "id").groupBy("leader", "i", "j").applyInPandas(settle, "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
