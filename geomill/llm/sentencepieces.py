@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPACE, MISSING, CACHE, CACHE_CHARS = "▁", 10.0, 600_000, 48
+SPACE, MISSING, CACHE, CACHE_CHARS = "▁", 10.0, 300_000, 48
 
 
 class Pieces:
