@@ -11,7 +11,7 @@ knows the first boundary of its best path; when these agree, no later text can c
 that piece, and its id is committed. A place that no piece spans (before a space that
 follows something else, around a character that only stands alone) is such a point
 from the start, so the text falls apart there, and the stretches between are
-remembered, at most ``CACHE`` of them per worker.
+remembered, at most ``CACHE`` of them per worker, the newer half first.
 
 Defined cases: a null text is an empty one and has no ids; an empty table gives an
 empty result; a U+2581 in a text comes back as a space; repeated rows are encoded
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPACE, MISSING, CACHE, CACHE_CHARS = "▁", 10.0, 300_000, 48
+SPACE, MISSING, CACHE, CACHE_CHARS = "▁", 10.0, 700_000, 48
 
 
 class Pieces:
@@ -69,7 +70,10 @@ class Pieces:
         crossed = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.scores)
         alone = "" if "\n" in inner else "\n"
         self.stretches = re.compile(f".+|{SPACE}" if crossed else f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|{alone}" if alone else ""), re.DOTALL)
+        #: what each beginning of a piece scores as a piece of its own, or None
+        self.parts: dict[str, float | None] = {p[:k]: None for p in self.scores for k in range(1, len(p))} | self.scores
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def search(self, text: str) -> Iterator[tuple[str, int | None]]:
         """(piece, id or None) of the best path, committed as soon as all live paths agree."""
@@ -115,14 +119,35 @@ class Pieces:
                 if base == n:
                     break
 
+    def _short(self, text: str) -> list[tuple[str, int | None]]:
+        """The best path of a text that never outgrows the window: nothing is committed before its end."""
+        get, n = self.parts.get, len(text)
+        best, back = [0.0] + [float("-inf")] * n, [0] * (n + 1)
+        for s in range(n):
+            top = best[s]
+            if text[s] not in self.scores and top + self.missing > best[s + 1]:
+                best[s + 1], back[s + 1] = top + self.missing, s
+            for end in range(s + 1, n + 1):
+                score = get(text[s:end], False)
+                if score is False:  # no piece begins like this
+                    break
+                if score is not None and top + score > best[end]:
+                    best[end], back[end] = top + score, s
+        out, end = [], n
+        while end:
+            piece = text[back[end] : end]
+            out.append((piece, self.ids.get(piece)))
+            end = back[end]
+        return out[::-1]
+
     def _stretch(self, text: str) -> bytes:
         ids: list[int] = []
-        for piece, i in self.search(text):
+        for piece, i in self._short(text) if len(text) <= self.longest else self.search(text):
             if i is None:
                 ids.extend(self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass"))
             else:
                 ids.append(i)
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
@@ -132,10 +157,10 @@ class Pieces:
         found = list(map(self.known.get, parts))
         for k, x in enumerate(found):
             if x is None:
-                found[k] = ids = self.known.get(parts[k]) or self._stretch(parts[k])
+                found[k] = ids = self.known.get(parts[k]) or self.old.get(parts[k]) or self._stretch(parts[k])
                 if len(parts[k]) <= CACHE_CHARS:
-                    if len(self.known) >= CACHE:
-                        self.known.clear()
+                    if len(self.known) >= CACHE // 2:
+                        self.old, self.known = self.known, {}
                     self.known[parts[k]] = ids
         return b"".join(found)
 

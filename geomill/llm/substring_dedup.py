@@ -39,8 +39,8 @@ BROADCAST_SPANS = 300_000
 _GEAR = np.random.default_rng(5).integers(0, 1 << 16, 256).astype(np.uint16)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-#: Bytes whose rolling hashes are made at once.
-BLOCK = 4 << 20
+#: Bytes whose rolling hashes are made at once, and texts whose chunks are.
+BLOCK, SLICE = 4 << 20, 512
 
 
 def candidates(data: np.ndarray) -> np.ndarray:
@@ -111,9 +111,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return pa.RecordBatch.from_arrays([pa.array([r for r, _ in sent], pa.int32()), pa.array([c for _, c in sent], pa.binary())], names=["range", "cells"])
 
         for batch in batches:
-            for *_, digests in _chunks(batch):
-                if collector.add(digests[:, 0]):
-                    yield send()
+            for at in range(0, len(batch), SLICE):
+                for *_, digests in _chunks(batch.slice(at, SLICE)):
+                    if collector.add(digests[:, 0]):
+                        yield send()
         yield send()
 
     table = repeated.repeated_table(source.select("text").mapInArrow(first_scan, "range int, cells binary"), log2, ranges)
@@ -121,7 +122,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def second_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(held.value, np.uint8)
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, len(whole), SLICE)):
             owner, rows, words = [], [], []
             for i, _, ends, chunks, digests in _chunks(batch):
                 hit = np.flatnonzero(repeated.maybe_repeated(digests[:, 0], bits, log2))

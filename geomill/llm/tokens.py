@@ -13,7 +13,7 @@ from __future__ import annotations
 import os
 from itertools import compress
 
-CACHE_WORDS = 350_000
+CACHE_WORDS = 500_000
 #: Never part of a contraction: behind letters they are a token of their own.
 MARKS = b".,!#$%&*?;:"
 #: Longer words are encoded, but not kept.
@@ -37,6 +37,7 @@ class WordEncoder:
 
         self.tokenizer, self.np = Tokenizer.from_file(path), np
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {}
         # byte-level models write a byte that has no printable character of its own as one from U+0100 on
         hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
@@ -53,6 +54,9 @@ class WordEncoder:
         """Ids of words not in the cache; those worth it go there."""
         np, out, other = self.np, {}, []
         for w in words:
+            if w in self.old:
+                out[w] = self.old[w]
+                continue
             # letters, then marks: two tokens of the pre-tokenizer, or one
             letters = w.rstrip(MARKS)
             try:
@@ -74,7 +78,8 @@ class WordEncoder:
             part = other[at : at + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
                 out[w] = np.array(e.ids, "<u4").tobytes()
-        if len(self.known) + len(out) > CACHE_WORDS:
+        if len(self.known) + len(out) > CACHE_WORDS // 2:
+            self.old = dict(self.known)
             self.known.clear()
         self.known.update((w, ids) for w, ids in out.items() if len(w) <= CACHE_WORD_BYTES)
         return out
