@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 THRESHOLD, BLOCK = 0.95, 2_048
 
@@ -46,7 +47,7 @@ def dedup_cells(photos: DataFrame, cell: str, order: list[str], vector: str = "e
     rows = use(photos, False)
     if existing is not None:
         rows = rows.unionByName(use(existing, True))
-    ranked = rows.withColumn("k", F.row_number().over(_by_cell())).drop("o")
+    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("c").orderBy("o", "i"))).drop("o")
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k", ignore_index=True)
@@ -56,11 +57,3 @@ def dedup_cells(photos: DataFrame, cell: str, order: list[str], vector: str = "e
 
     kept = ranked.groupBy("c").applyInPandas(keep, f"i {dict(photos.dtypes)[id_col]}")
     return photos.join(kept.withColumnRenamed("i", "__i"), F.col(id_col) == F.col("__i"), "left_semi")
-
-
-def _by_cell():  # noqa: ANN202
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("c").orderBy("o", "i")
-
-

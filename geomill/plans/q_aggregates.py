@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geomill.functions import grid, times
 from geomill.operators import anomaly, cluster, index, metrics, sampling, stats, trajectory
+from geomill.plans.q_rows import _PLAIN
 from geomill.plans.views import PHOTOS_SQL, cell_sql, photos, table
 
 
@@ -17,8 +18,6 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
     return p.join(e, "vec_id").withColumns({"cluster_label": F.concat(F.lit("Cluster "), F.col("cluster_id").cast("string")), "cluster_description": F.lit(None).cast("string"), "parent_cluster_id": F.floor(F.col("cluster_id") / 3).cast("long")})
 
 
-from geomill.plans.q_rows import _PLAIN  # noqa: E402
-
 LABELLED = PHOTOS_SQL + f""", labelled AS (SELECT *, {_PLAIN} AS Season,
         CASE WHEN h IS NULL THEN 'Unknown' WHEN h BETWEEN 5 AND 7 THEN 'Dawn' WHEN h BETWEEN 8 AND 11 THEN 'Morning' WHEN h BETWEEN 12 AND 16 THEN 'Afternoon' WHEN h BETWEEN 17 AND 19 THEN 'Dusk' ELSE 'Night' END AS Time_Of_Day
     FROM (SELECT *, CAST(Captured_At[6:7] AS INTEGER) AS m, CAST(Captured_At[12:13] AS INTEGER) AS h, CAST(label AS BIGINT) AS cluster_id FROM photos JOIN embeddings USING (vec_id)))"""
