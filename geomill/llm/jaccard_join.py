@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from geomill.llm import repeated, scratch
 from geomill.llm.components import components
+from geomill.llm.memory import give_back
 from geomill.llm.wordhash import mix, shingle_set, word_hashes
 
 #: A signature of more sets than this counts as frequent.
@@ -241,6 +242,7 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                             yield rows([], [], [], [], list(collector.send()))
             yield rows(ids, n, h1, h2, [])
         yield rows([], [], [], [], list(collector.send()))
+        give_back()
 
     scanned = scratch.materialize(texts.mapInArrow(first_scan, "id long, n long, h1 long, h2 long, range int, cells binary"), "sets")
     sets = scanned.where("range is null").select("id", "n", "h1", "h2")
@@ -259,6 +261,7 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     hit = found[repeated.maybe_repeated(found, bits, log2)]
                     parts.append((hit.view(np.int64), *(np.full(len(hit), x, np.int64) for x in (i, band, spare))))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts])) for k in range(4)], names=names)
+        give_back()
 
     signed = scratch.materialize(texts.mapInArrow(second_scan, "sig long, id long, band long, spare long"), "signatures")
     held.unpersist()

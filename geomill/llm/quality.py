@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geomill.llm import scratch
+from geomill.llm.memory import give_back
 from geomill.llm.wordhash import word_hashes
 
 #: Labelled rows that the model is fitted on at most.
@@ -68,6 +69,7 @@ def with_features(docs: DataFrame, text_col: str) -> DataFrame:
         for s in batches:
             rows = [text_features([t or b"" for t in s.iloc[at : at + 512]]) for at in range(0, len(s), 512)]
             yield pd.Series([x for block in rows for x in block], dtype=object)
+        give_back()
 
     return docs.withColumn("__x", features(F.col(text_col).cast("binary")))
 

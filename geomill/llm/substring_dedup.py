@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geomill.llm import repeated, scratch
+from geomill.llm.memory import give_back
 
 LEAST, MOST, ONE_IN = 16, 256, 4
 #: Passages of more than 50 words are sought; their outer chunks may be cut elsewhere.
@@ -116,6 +117,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     if collector.add(digests[:, 0]):
                         yield send()
         yield send()
+        give_back()
 
     table = repeated.repeated_table(source.select("text").mapInArrow(first_scan, "range int, cells binary"), log2, ranges)
     held = docs.sparkSession.sparkContext.broadcast(table.tobytes())
@@ -136,6 +138,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             flat = np.concatenate(rows, axis=1) if rows else np.empty((5, 0), np.int64)
             take = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), *map(pa.array, flat), pa.array(words, pa.int64())], names=["id", "th", "d1", "d2", "k", "start", "length", "words"])
+        give_back()
 
     hits = scratch.materialize(source.mapInArrow(second_scan, "id long, th long, d1 long, d2 long, k long, start long, length long, words long"), "chunks")
     held.unpersist()

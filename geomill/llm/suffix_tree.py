@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geomill.llm import scratch
+from geomill.llm.memory import give_back
 
 DEPTH, LEAST_SHARE, DIVERGENCE, SMOOTHING = 6, 3e-6, 0.01, 10.0
 FOLDS, HELD_OUT = 5, 1
@@ -102,6 +103,7 @@ def _counts(depth: int):  # noqa: ANN202
         yield from send()
         # the end mark: a word of its own, with neither word nor code here
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([texts], pa.int64())], names=["word", "code", "c"])
+        give_back()
 
     return count
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 import os
 from itertools import compress
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: Never part of a contraction: behind letters they are a token of their own.
 MARKS = b".,!#$%&*?;:"
 #: Longer words are encoded, but not kept.
