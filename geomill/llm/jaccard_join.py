@@ -165,6 +165,7 @@ def _sketches(ids: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
                     v = bands.vector(s, b)
                     out.append(((v >> np.uint32(8)).astype(np.uint8) | (v > 0)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(own, pa.binary()), pa.array(after, pa.binary())], names=["id", "n", "own", "next"])
+        give_back()
 
     made = _of(texts, ids).select("id", "text").mapInArrow(make, "id long, n long, own binary, next binary")
     return scratch.materialize(made.dropDuplicates(["id"]), "sketches")
@@ -210,6 +211,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
                 both = len(s & seen[1])
                 keep.append(both * 100 >= (len(s) + len(seen[1]) - both) * percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     joined = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return scratch.materialize(joined.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long"), "similar")

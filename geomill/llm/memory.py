@@ -5,10 +5,17 @@ from __future__ import annotations
 import ctypes
 
 
-def give_back() -> None:
-    """Return what Arrow's pool and the C library hold unused to the system, at a task's end."""
+#: What operators keep in a worker for their next tasks, by operator.
+kept: dict[str, dict] = {}
+
+
+def give_back(keep: str = "") -> None:
+    """At a task's end, return what Arrow's pool and the C library hold unused to the system, and what other operators kept."""
     import pyarrow as pa
 
+    for name, cache in kept.items():
+        if name != keep:
+            cache.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

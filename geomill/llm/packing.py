@@ -88,7 +88,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
                 take = pa.array(source, pa.int64())
                 out = [part.column(0).take(take), part.column(1).take(take), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), *([pa.array(ids, pa.binary())] if keep_ids else [])]
                 yield pa.RecordBatch.from_arrays(out, names=[f for f, _ in fields])
-        give_back()
+        give_back("tokens")
 
     id_type = dict(docs.dtypes)[id_col]
     ddl = ", ".join(f"{f} {id_type if t == 'id' else t}" for f, t in fields)

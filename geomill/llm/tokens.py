@@ -13,6 +13,8 @@ from __future__ import annotations
 import os
 from itertools import compress
 
+from geomill.llm import memory
+
 CACHE_WORDS = 300_000
 #: Never part of a contraction: behind letters they are a token of their own.
 MARKS = b".,!#$%&*?;:"
@@ -96,3 +98,5 @@ class WordEncoder:
             out.append(b"".join(ids))
         return out
 
+
+memory.kept["tokens"] = WordEncoder._shared
