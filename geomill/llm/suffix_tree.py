@@ -2,17 +2,20 @@
 
 A text is its words (A-Z lower-cased), a space between two and an end mark behind the
 last. Training counts, over all training texts, every byte after the ``DEPTH`` bytes
-before it, and every word. A context stays in the tree if it makes up at least
-``LEAST_SHARE`` of all positions and its next-byte distribution diverges from that of
-its longest kept suffix: by ``DIVERGENCE`` nats, and by more than the description
-length of its own counts. Distributions are smoothed towards that suffix's, down to
-the root's add-half counts. For scoring, the contexts become an automaton whose states
-are the longest suffixes, and many texts step through it side by side.
-
-``LEAST_SHARE`` bounds the tree, whatever the corpus: at most DEPTH / LEAST_SHARE
-contexts, which are what is broadcast. Word counts for the unigram base score have no
-such bound: the ``COMMON`` most frequent short words are broadcast, and the others of
-each text meet the counts in a join.
+before it, and every word. A context stays in the tree if it was seen at least
+``LEAST_COUNT`` times and its next-byte distribution diverges from that of its longest
+kept suffix: by ``DIVERGENCE`` nats, and by more than the description length of its own
+counts. Distributions are smoothed towards that suffix's, down to the root's add-half
+counts.
+
+The least count is absolute, so the tree grows with the corpus. It is never in one
+place: contexts that end in the same three bytes are learned in one task (the shorter
+ones are at most 2^24 counts), and the kept ones, oldest byte last, are sorted arrays
+in files of the shared folder that workers map. Scoring looks up each distinct position
+of some texts: its longest kept context that has the byte, and the smoothing weights of
+the kept ones that are longer. Word counts for the unigram base score: the ``COMMON``
+most frequent short words are broadcast, and the others of each text meet the counts in
+a join.
 
 Defined cases: a null text is empty, its score that of the end mark; a null id counts
 as an empty text in the split; without training rows every byte is equally likely;
@@ -28,18 +31,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geomill.llm import scratch
 from geomill.llm.memory import give_back
 
-DEPTH, LEAST_SHARE, DIVERGENCE, SMOOTHING = 6, 3e-6, 0.01, 10.0
+DEPTH, LEAST_COUNT, DIVERGENCE, SMOOTHING = 6, 2, 0.01, 10.0
 FOLDS, HELD_OUT = 5, 1
 COMMON, COMMON_BYTES = 200_000, 48
 END = 10
 #: Distinct words and positions that a task holds before it passes counts on.
 HELD_WORDS, HELD_BYTES = 600_000, 4 << 20
+#: Contexts of up to so many bytes are learned by the driver; counts that a task gathers before it adds them up; bytes of texts scored at once.
+LOW, HELD_CODES, SCORED_BYTES = 2, 4 << 20, 1 << 20
+PARTS = ("contexts", "weights", "pairs", "logp")
 #: A text steps through the automaton in rows of so many bytes, so many rows at once.
 ROW, ROWS = 256, 8_192
 
@@ -59,6 +66,17 @@ def grams(streams: list[bytes], depth: int) -> np.ndarray:
     return code[inside[depth:]]
 
 
+def turned(codes: np.ndarray, depth: int) -> np.ndarray:
+    """Codes with the bytes of the context in reverse order: what ends alike lies together when sorted."""
+    raw = np.ascontiguousarray(codes, "<u8").view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(raw[:, [0, *range(depth, 0, -1), *range(depth + 1, 8)]]).view("<u8").ravel()
+
+
+def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    u, back = np.unique(np.concatenate(codes), return_inverse=True)
+    return u, np.bincount(back, np.concatenate(counts), len(u)).astype(np.int64)
+
+
 def _counts(depth: int):  # noqa: ANN202
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
@@ -69,7 +87,7 @@ def _counts(depth: int):  # noqa: ANN202
         def fold() -> None:
             nonlocal held
             if streams:
-                codes.append(np.unique(grams(streams, depth), return_counts=True))
+                codes.append(np.unique(turned(grams(streams, depth), depth), return_counts=True))
                 streams.clear()
                 held = 0
 
@@ -82,8 +100,7 @@ def _counts(depth: int):  # noqa: ANN202
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.nulls(n, pa.int64()), pa.array([words[w] for w in part], pa.int64())], names=["word", "code", "c"])
             words.clear()
             if codes:
-                u, back = np.unique(np.concatenate([c for c, _ in codes]), return_inverse=True)
-                c = np.bincount(back, np.concatenate([c for _, c in codes])).astype(np.int64)
+                u, c = _summed(*map(list, zip(*codes, strict=True)))
                 codes.clear()
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.binary()), pa.array(u.view(np.int64)), pa.array(c)], names=["word", "code", "c"])
 
@@ -108,8 +125,92 @@ def _counts(depth: int):  # noqa: ANN202
     return count
 
 
+def _find(among: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key stands among sorted ones, and whether it does."""
+    if not len(among):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
+    return at, among[at] == keys
+
+
+def grow(codes: np.ndarray, c: np.ndarray, depth: int, base: int, p: np.ndarray | None = None, below: np.ndarray | None = None) -> tuple[dict[int, list[np.ndarray]], np.ndarray, np.ndarray]:
+    """For each depth over ``base``: the kept contexts, log10 of their smoothing weights, their (context, byte) pairs, log10 of those probabilities.
+
+    codes: sorted, distinct, turned, of contexts of ``depth`` bytes. p: the probability of
+    each pair ``below``, which are those of ``base`` bytes (without: the root's). Last come
+    the pairs of ``depth`` bytes and their probabilities, whether kept or not.
+    """
+    pairs, counts, up = {depth: codes}, {depth: c.astype(np.float64)}, {}
+    for k in range(depth - 1, base - 1, -1):
+        pairs[k], up[k + 1] = np.unique(pairs[k + 1] >> np.uint64(16) << np.uint64(8) | pairs[k + 1] & np.uint64(255), return_inverse=True)
+        counts[k] = np.bincount(up[k + 1], counts[k + 1], len(pairs[k]))
+    if p is None:
+        now = (counts[0] + 0.5) / (counts[0].sum() + 0.5 * 256)
+    else:
+        now = p[_find(below, pairs[base])[0]]
+    out = {}
+    for k in range(base + 1, depth + 1):
+        before, n_of = now[up[k]], counts[k]
+        contexts = pairs[k] >> np.uint64(8)
+        first = np.flatnonzero(np.r_[True, contexts[1:] != contexts[:-1]]) if len(contexts) else np.empty(0, np.int64)
+        sizes = np.diff(np.r_[first, len(contexts)])
+        contexts = contexts[first]
+        n = np.add.reduceat(n_of, first) if len(first) else np.empty(0)
+        own = (n_of + SMOOTHING * before) / (np.repeat(n, sizes) + SMOOTHING)
+        gain = np.add.reduceat(n_of * np.log(own / before), first) if len(first) else np.empty(0)
+        kept = (n >= LEAST_COUNT) & (gain >= DIVERGENCE * n) & (gain > 0.5 * sizes * np.log(n + 1))
+        for j in range(k):  # those from before the start mark say what the mark says
+            kept &= (contexts >> np.uint64(8 * j)) & np.uint64(255) != 0
+        each = np.repeat(kept, sizes)
+        now = np.where(each, own, before)
+        out[k] = [contexts[kept], np.log10(SMOOTHING / (n[kept] + SMOOTHING)).astype(np.float32), pairs[k][each], np.log10(now[each]).astype(np.float32)]
+    return out, pairs[depth], now
+
+
+class SortedTree:
+    """The kept contexts as sorted arrays: levels[k] as from ``grow``, root: log10 of the probability of each byte."""
+
+    def __init__(self, root: np.ndarray, levels: dict[int, list[np.ndarray]], depth: int) -> None:
+        self.root, self.levels, self.depth = root, levels, depth
+
+    def positions(self, codes: np.ndarray) -> np.ndarray:
+        """log10 probability of the byte at each turned code."""
+        out, left = np.zeros(len(codes)), np.arange(len(codes))
+        for k in range(self.depth, 0, -1):
+            contexts, weights, pairs, logp = self.levels[k]
+            open_ = codes[left]
+            context = open_ >> np.uint64(8 * (self.depth - k + 1))
+            at, kept = _find(contexts, context)
+            inside = np.flatnonzero(kept)
+            pair, seen = _find(pairs, context[inside] << np.uint64(8) | open_[inside] & np.uint64(255))
+            out[left[inside[seen]]] += logp[pair[seen]]
+            out[left[inside[~seen]]] += weights[at[inside[~seen]]]
+            rest = np.ones(len(left), bool)
+            rest[inside[seen]] = False
+            left = left[rest]
+        out[left] += self.root[(codes[left] & np.uint64(255)).astype(np.int64)]
+        return out
+
+    def scores(self, streams: list[bytes]) -> np.ndarray:
+        """log10 probability of each stream and its end mark."""
+        total, at = np.zeros(len(streams)), 0
+        while at < len(streams):
+            end, held = at, 0
+            while end < len(streams) and (end == at or held + len(streams[end]) <= SCORED_BYTES):
+                held += len(streams[end])
+                end += 1
+            own, back = np.unique(turned(grams(streams[at:end], self.depth), self.depth), return_inverse=True)
+            sizes = np.array([len(s) + 1 for s in streams[at:end]])
+            total[at:end] = np.add.reduceat(self.positions(own)[back], np.cumsum(sizes) - sizes)
+            at = end
+        return total
+
+
 class SuffixTree:
-    """next and logp: for each state and byte class; classes: of each byte. Class 0 leads to the root at no cost."""
+    """The same tree as an automaton, whole and in memory, for a few texts.
+
+    next and logp: for each state and byte class; classes: of each byte. Class 0 leads to the root at no cost.
+    """
 
     def __init__(self, counts: dict[bytes, np.ndarray], divergence: float = DIVERGENCE, smoothing: float = SMOOTHING) -> None:
         """counts: for each context, oldest byte first, how often each byte follows; the root is b''."""
@@ -177,32 +278,75 @@ class SuffixTree:
         return total
 
 
-def _learn(counted: DataFrame, positions: int, depth: int, share: float) -> SuffixTree:
-    codes = counted.where("code is not null").groupBy("code").agg(F.sum("c").alias("c"))
-    orders = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("k")
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("k") * 8).cast("int")) - 1
-    context = F.shiftright("code", 8).bitwiseAND(mask).alias("context")
-    following = codes.select("code", "c", orders).select("k", context, F.col("code").bitwiseAND(255).cast("int").alias("b"), "c").groupBy("k", "context", "b").agg(F.sum("c").alias("c"))
-    often = following.groupBy("k", "context").agg(F.sum("c").alias("n"), F.collect_list(F.struct("b", "c")).alias("next")).where(F.col("n") >= max(1.0, share * positions))
-    counts = {}
-    for row in often.select("k", "context", "next").toLocalIterator():
-        c = np.zeros(256)
-        for b, n in row["next"]:
-            c[b] = n
-        name = int(row["context"]).to_bytes(8, "big")[8 - row["k"] :]
-        if 0 not in name:  # those from before the start mark say what the mark says
-            counts[name] = c
-    return SuffixTree(counts)
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, share: float = LEAST_SHARE) -> DataFrame:
+def _map(spark: SparkSession, path: str):  # noqa: ANN202
+    """A function that gives a worker the file's local path: itself if the shared folder is mounted, or else a copy by Spark."""
+    if path.startswith("file:"):
+        local = "/" + path.removeprefix("file:").lstrip("/")
+        return lambda: local
+    spark.sparkContext.addFile(path)
+    name = path.rpartition("/")[2]
+    return lambda: SparkFiles.get(name)
+
+
+def _learn(counted: DataFrame, depth: int):  # noqa: ANN202
+    """A function that opens the tree in a worker."""
+    spark, codes = counted.sparkSession, counted.where("code is not null").select("code", "c")
+    whole = F.shiftrightunsigned("code", 8 * (depth - LOW))
+    low = codes.groupBy(F.shiftleft(F.shiftright(whole, 8), 8).bitwiseOR(F.col("code").bitwiseAND(255)).alias("code")).agg(F.sum("c").alias("c")).toPandas().sort_values("code")
+    pairs, c = low["code"].to_numpy().astype(np.uint64), low["c"].to_numpy()
+    small, below, p = grow(pairs, c, LOW, 0)
+    times = np.bincount((pairs & np.uint64(255)).astype(np.int64), c, 256)
+    root = np.log10((times + 0.5) / (times.sum() + 0.5 * 256))
+    shared = spark.sparkContext.broadcast((below, p))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered: tuple[list, list] = ([], [])
+        held = distinct = 0
+
+        def add_up() -> None:
+            nonlocal held, distinct
+            u, c = _summed(*gathered)
+            gathered[0][:], gathered[1][:] = [u], [c]
+            held, distinct = 0, len(u)
+
+        for batch in batches:
+            gathered[0].append(batch.column(0).to_numpy().view(np.uint64))
+            gathered[1].append(batch.column(1).to_numpy())
+            held += len(batch)
+            if held >= max(HELD_CODES, distinct):
+                add_up()
+        if gathered[0]:
+            add_up()
+            below, p = shared.value
+            at = int(gathered[0][0][0]) >> 8 * (depth - LOW) if distinct else 0
+            for k, arrays in grow(gathered[0][0], gathered[1][0], depth, LOW, p, below)[0].items():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at], pa.int64()), pa.array([len(arrays[0])], pa.int64()), pa.array([len(arrays[2])], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in arrays]], names=["k", "at", "n", "m", *PARTS])
+        give_back()
+
+    ends_alike = F.shiftrightunsigned("code", 8 * (depth - LOW))
+    grown = scratch.materialize(codes.repartitionByRange(ends_alike).mapInArrow(learn, "k int, at long, n long, m long, " + ", ".join(f"{x} binary" for x in PARTS)), "tree")
+    sizes = {r["k"]: (r["n"], r["m"]) for r in grown.groupBy("k").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect()}
+    files = [_map(spark, scratch.write_file(spark, x, (bytes(r[x]) for r in grown.select("k", "at", x).orderBy("k", "at").toLocalIterator()))) for x in PARTS]
+
+    def tree() -> SortedTree:
+        levels, at = dict(small), [0, 0]
+        whole = [np.memmap(f(), kind, "r") if sizes and any(m for _, m in sizes.values()) else np.empty(0, kind) for f, kind in zip(files, (np.uint64, np.float32, np.uint64, np.float32), strict=True)]
+        for k in range(LOW + 1, depth + 1):
+            n, m = sizes.get(k, (0, 0))
+            levels[k] = [np.asarray(x[a : a + size]) for x, a, size in zip(whole, (at[0], at[0], at[1], at[1]), (n, n, m, m), strict=True)]
+            at = [at[0] + n, at[1] + m]
+        return SortedTree(root, levels, depth)
+
+    return tree
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     spark, id_type = docs.sparkSession, dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.monotonically_increasing_id().alias("row"))
     counted = scratch.materialize(rows.select("doc_id", "text").mapInArrow(_counts(depth), "word binary, code long, c long"), "counted")
     words = scratch.materialize(counted.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
     ends = counted.where("word is null and code is null").agg(F.sum("c").alias("c")).first()["c"] or 0
-    positions = counted.where("code is not null").agg(F.sum("c").alias("c")).first()["c"] or 0
     # eight bins an octave of counts
     short = F.octet_length("word") <= COMMON_BYTES
     bins = words.groupBy(F.floor(F.log2("c") * 8).alias("bin")).agg(F.count(F.when(short, 1)).alias("n"), F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds")).collect()
@@ -216,12 +360,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weight = total + 0.5 * (kinds + 1)
     common = {bytes(r["word"]): math.log10((r["c"] + 0.5) / weight) for r in words.where(is_common).toLocalIterator()}
     end_score = math.log10((ends + 0.5) / weight)
-    tree = _learn(counted, positions, depth, share)
-    shared = spark.sparkContext.broadcast((tree, common))
+    open_tree = _learn(counted, depth)
+    shared = spark.sparkContext.broadcast(common)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, common = shared.value
-        get = common.get
+        tree, get = open_tree(), shared.value.get
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
@@ -241,7 +384,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     rare.append(list(other))
                     times.append(list(other.values()))
                 held = [is_held_out(i) for i in ids]
-                columns = [part.column(0), part.column(2), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(tree.scores(streams, depth)), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
+                columns = [part.column(0), part.column(2), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(tree.scores(streams)), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "held_out", "n_tokens", "known", "base", "score", "rare", "times"])
 
     ddl = f"doc_id {id_type}, row long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>, times array<long>"

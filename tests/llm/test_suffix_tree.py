@@ -92,5 +92,29 @@ def test_held_out_texts_score_above_the_base(spark):
     assert r.s > r.b
 
 
+def test_scores_equal_those_of_the_whole_tree(documents, odd_rows, words):
+    """Every context seen twice may stay, however small its share, and the tables give the automaton's scores."""
+    rows = [*odd_rows, *[(100 + i, words(300, i)) for i in range(40)]]
+    streams = [b" ".join((t or "").encode().lower().split()) for _, t in rows]
+    train = [s for (i, _), s in zip(rows, streams, strict=True) if not suffix_tree.is_held_out(i)]
+    counts = {c: n for c, n in plain_counts(train, suffix_tree.DEPTH).items() if not c or (n.sum() >= suffix_tree.LEAST_COUNT and 0 not in c)}
+    want = SuffixTree(counts).scores(streams)
+    got = sorted((repr(r.doc_id), r.n_tokens, r.score) for r in score_documents(documents(rows)).collect())
+    own = sorted((repr(i), len(s.split()) + 1, w) for (i, _), s, w in zip(rows, streams, want, strict=True))
+    assert [g[:2] for g in got] == [w[:2] for w in own]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in own], rel=1e-5)
+
+
+def test_a_context_stays_whatever_the_size_of_the_corpus():
+    """A rare context that tells the next byte is not pushed out by more text of another kind."""
+    rare = [b"qqzzyyx"] * 20
+    for more in (100, 20_000):
+        codes, n = np.unique(suffix_tree.turned(grams([*rare, *[b"ab cd ef gh"] * more], 6), 6), return_counts=True)
+        low, below = np.unique(codes >> np.uint64(40) << np.uint64(8) | codes & np.uint64(255), return_inverse=True)
+        _, pairs, p = suffix_tree.grow(low, np.bincount(below, n), suffix_tree.LOW, 0)
+        levels, _, _ = suffix_tree.grow(codes, n, 6, suffix_tree.LOW, p, pairs)
+        assert int.from_bytes(b"zqq", "big") in levels[3][0].tolist()
+
+
 def test_empty(documents):
     assert score_documents(documents([])).count() == 0
