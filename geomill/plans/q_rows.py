@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geomill.functions import geo, grid, keys, text, times
@@ -116,10 +116,13 @@ ROW_DISTANCES = PHOTOS_SQL + f"""
            abs(Latitude) < 0.05 AND abs(Longitude) < 0.05 AS null_island, abs(Latitude - Longitude) < 1e-5 AND abs(Latitude) > 1 AS diagonal FROM photos"""
 
 
+def _lead() -> Column:
+    return F.when(F.col("doc_id") % 3 == 0, "The input image is a vertical stack of four real-world photographs. ").when(F.col("doc_id") % 3 == 1, "the composite image shows, in each frame , ").otherwise("Seen across all frames, ")
+
+
 def row_descriptions(spark: SparkSession, d: str) -> DataFrame:
-    """Clean-up of layout phrases put before and into document texts."""
-    lead = F.when(F.col("doc_id") % 3 == 0, "The input image is a vertical stack of four real-world photographs. ").when(F.col("doc_id") % 3 == 1, "the composite image shows, in each frame , ").otherwise("Seen across all frames, ")
-    return table(spark, d, "documents").select("doc_id", text.clean_description(F.concat(lead, F.substring(F.regexp_replace("text", r"\s+", " "), 1, 80))).alias("cleaned"))
+    """Clean-up of layout phrases put before the first 80 characters of document texts, as the SQL has it."""
+    return table(spark, d, "documents").select("doc_id", text.clean_description(F.concat(_lead(), F.substring(F.regexp_replace("text", r"\s+", " "), 1, 80))).alias("cleaned"))
 
 
 ROW_DESCRIPTIONS = r"""
@@ -129,6 +132,11 @@ ROW_DESCRIPTIONS = r"""
     SELECT doc_id, upper(s[1]) || s[2:] AS cleaned FROM v"""
 
 
+def row_descriptions_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Clean-up of layout phrases put before and into document texts, which are cleaned from end to end."""
+    return table(spark, d, "documents").select("doc_id", text.clean_description(F.concat(_lead(), "text")).alias("cleaned"))
+
+
 def row_addresses(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("url")
     listed = F.concat_ws("|", F.lit("ftp://x/a.jpg"), F.concat(u, F.lit("/original.jpg")), F.concat(u, F.lit(".png")))
@@ -187,6 +195,7 @@ QUERIES = {
     "row_h3_bits": (row_h3_bits, ROW_H3_BITS),
     "row_distances": (row_distances, ROW_DISTANCES),
     "row_descriptions": (row_descriptions, ROW_DESCRIPTIONS),
+    "row_descriptions_whole": (row_descriptions_whole, None),
     "row_addresses": (row_addresses, ROW_ADDRESSES),
     "row_normalized": (row_normalized, ROW_NORMALIZED),
     "filter_slice": (filter_slice, FILTER_SLICE),
