@@ -48,9 +48,25 @@ def _places(spark: SparkSession, d: str) -> DataFrame:
     return p.select("vec_id", F.col("Latitude").alias("lat"), F.col("Longitude").alias("lon"), "country", "Platform")
 
 
+def _with_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """All photos, each with one of all vectors by its number: vector v has photo v, and every n-th photo from there."""
+    e = _embeddings(spark, d)
+    n = (e.agg(F.max("vec_id")).first()[0] or 0) + 1
+    return photos(spark, d).withColumn("vec_id", F.pmod("event_id", F.lit(n))).join(e, "vec_id")
+
+
 def geographic_recall(spark: SparkSession, d: str) -> DataFrame:
-    """How near the most similar photos are."""
-    p = _places(spark, d)
+    """How near the most similar photos are, of those with event_id < 500, as the SQL has it."""
+    return _recall(spark, d, _places(spark, d))
+
+
+def geographic_recall_whole(spark: SparkSession, d: str) -> DataFrame:
+    """How near the most similar photos are, each vector with its own photo."""
+    p = photos(spark, d).where("Latitude is not null")
+    return _recall(spark, d, p.select(F.col("event_id").alias("vec_id"), F.col("Latitude").alias("lat"), F.col("Longitude").alias("lon"), "country", "Platform"))
+
+
+def _recall(spark: SparkSession, d: str, p: DataFrame) -> DataFrame:
     a, b = (p.select(*[F.col(c).alias(f"{x}_{c}") for c in p.columns]) for x in "ab")
     r = _knn(spark, d, 10).join(a, F.col("query_id") == F.col("a_vec_id")).join(b, F.col("id") == F.col("b_vec_id"))
     km = geo.haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
@@ -192,14 +208,14 @@ def kmeans_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 def medoid_summary(spark: SparkSession, d: str) -> DataFrame:
     """Four medoids of each label, different in place and address, described."""
-    p = photos(spark, d).where("event_id < 500").join(_embeddings(spark, d), "vec_id").withColumn("cluster_id", F.col("label").cast("long"))
+    p = _with_vectors(spark, d).withColumn("cluster_id", F.col("label").cast("long"))
     m = cluster.diverse_medoids(p, cluster.centroids(p), 4, id_col="event_id")
     rows = m.join(p.select("event_id", "Latitude", "Longitude", "country", "continent", "Koppen_Code"), F.col("id") == F.col("event_id"))
     return cluster.medoid_metadata(rows)
 
 
 def block_costs(spark: SparkSession, d: str) -> DataFrame:
-    p = photos(spark, d).where("event_id < 500 and cell is not null").join(_embeddings(spark, d), "vec_id")
+    p = _with_vectors(spark, d).where("cell is not null")
     return cluster.block_validation(p, grid.parent(F.col("cell"), 1), [2, 4, 8], id_col="event_id")
 
 
@@ -212,6 +228,7 @@ QUERIES = {
     "knn_cosine": (knn_cosine, KNN_COSINE),
     "knn_label_scores": (knn_label_scores, KNN_LABEL_SCORES),
     "geographic_recall": (geographic_recall, GEOGRAPHIC_RECALL),
+    "geographic_recall_whole": (geographic_recall_whole, None),
     "self_match": (self_match, None),
     "centroid_table": (centroid_table, CENTROID_TABLE),
     "assigned": (assigned, ASSIGNED),

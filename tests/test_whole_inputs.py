@@ -4,6 +4,7 @@ import re
 
 import __spark_entry__ as entry
 from geomill.functions.text import LAYOUT_PHRASES
+from geomill.plans import q_vectors
 
 
 def cleaned(text):
@@ -21,3 +22,15 @@ def test_descriptions_are_cleaned_to_their_end(spark, tmp_path):
     got = {r.doc_id: r.cleaned for r in entry.queries()["row_descriptions_whole"](spark, str(tmp_path)).collect()}
     assert got == {i: cleaned(leads[i % 3] + b) for i, b in enumerate(bodies)}
     assert got[0].endswith("in each view of the scene.") and len(got[1]) > 800
+
+
+def test_recall_medoids_costs_and_keys_see_rows_behind_500(spark, tmp_path):
+    n = 1_000
+    spark.range(n).selectExpr("id vec_id", "cast(id div 500 as int) label", "array(cast(1 as float), cast(id % 7 as float)) embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(3 * n).selectExpr("id event_id", "id % 9 user_id", "timestamp'2024-05-01 00:00:00' ts").write.parquet(f"{tmp_path}/events.parquet")
+    run = lambda name: entry.queries()[name](spark, str(tmp_path))
+    # every 50th vector asks; those with numbers of a multiple of 17 have no place
+    assert run("geographic_recall_whole").first().queries == sum(i % 17 != 0 for i in range(0, n, 50))
+    assert run("migrated_keys_whole").where("photo_key like 'unknown%'").count() == 0
+    assert {r.cluster_id for r in run("medoid_summary").collect()} == {0, 1}
+    assert q_vectors._with_vectors(spark, str(tmp_path)).selectExpr("count(*)", "count(distinct vec_id)").first() == (3 * n, n)
