@@ -22,18 +22,24 @@ def _unit(column: pd.Series) -> np.ndarray:
     return x / np.where(n == 0, 1.0, n)
 
 
+def _blocks(queries: DataFrame, gallery: DataFrame, id_col: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the numbers of the pairs of blocks (qb, gb) where each row is needed."""
+    q, g = queries.select(F.col(id_col).alias("qid"), F.col(vector).alias("v")), gallery.select(F.col(id_col).alias("gid"), F.col(vector).alias("v"))
+    nq, ng = max(1, -(-q.count() // BLOCK)), max(1, -(-g.count() // BLOCK))
+    deal = lambda df, c, n: df.withColumn("b", F.pmod(F.xxhash64(c), F.lit(n).cast("long")))
+    left = deal(q, "qid", nq).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(ng - 1)))).select(F.col("b").alias("qb"), F.col("o").cast("long").alias("gb"), "qid", "v")
+    right = deal(g, "gid", ng).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).select(F.col("o").cast("long").alias("qb"), F.col("b").alias("gb"), "gid", "v")
+    return left, right
+
+
 def cosine_top_k(queries: DataFrame, gallery: DataFrame, k: int, id_col: str = "id", vector: str = "v", exclude_self: bool = False) -> DataFrame:
     """query_id, rank, id, similarity (to 6 places): the k most similar gallery rows of each query; ties to the smaller id.
 
     Both sides are dealt into blocks and every query block meets every gallery block in
     a task of its own; a task keeps k rows of a query, so memory is that of two blocks.
     """
-    q, g = queries.select(F.col(id_col).alias("qid"), F.col(vector).alias("v")), gallery.select(F.col(id_col).alias("gid"), F.col(vector).alias("v"))
-    nq, ng = max(1, -(-q.count() // BLOCK)), max(1, -(-g.count() // BLOCK))
-    deal = lambda df, c, n: df.withColumn("b", F.pmod(F.xxhash64(c), F.lit(n).cast("long")))
-    left = deal(q, "qid", nq).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(ng - 1)))).select(F.col("b").alias("qb"), F.col("o").cast("long").alias("gb"), "qid", "v")
-    right = deal(g, "gid", ng).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).select(F.col("o").cast("long").alias("qb"), F.col("b").alias("gb"), "gid", "v")
-    id_type = dict(g.dtypes)["gid"]
+    left, right = _blocks(queries, gallery, id_col, vector)
+    qid_type, id_type = dict(left.dtypes)["qid"], dict(right.dtypes)["gid"]
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": a["qid"][:0], "id": b["gid"][:0], "similarity": np.empty(0)})
@@ -48,11 +54,37 @@ def cosine_top_k(queries: DataFrame, gallery: DataFrame, k: int, id_col: str = "
         out = pd.DataFrame({"query_id": np.repeat(a["qid"].to_numpy(), top.shape[1]), "id": b["gid"].to_numpy()[top.ravel()], "similarity": value})
         return out[np.isfinite(value)]
 
-    met = left.groupBy("qb", "gb").cogroup(right.groupBy("qb", "gb")).applyInPandas(meet, f"query_id {dict(q.dtypes)['qid']}, id {id_type}, similarity double")
+    met = left.groupBy("qb", "gb").cogroup(right.groupBy("qb", "gb")).applyInPandas(meet, f"query_id {qid_type}, id {id_type}, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def own_rank(queries: DataFrame, gallery: DataFrame, id_col: str = "id", vector: str = "v") -> DataFrame:
+    """query_id, id, rank: the exact rank of the gallery row with the query's id (null without one), by cosine to 6 places; ties to the smaller id.
+
+    Gallery rows before it are counted in blocks as in ``cosine_top_k``; of a pair of
+    blocks one number for each query is kept.
+    """
+    own = gallery.groupBy(id_col).agg(F.first(vector).alias("w"))
+    left, right = _blocks(queries.join(own, id_col, "left").select(id_col, F.struct(F.col(vector).alias("v"), "w").alias(vector)), gallery, id_col, vector)
+    left = left.select("qb", "gb", "qid", F.col("v.v").alias("v"), F.col("v.w").alias("w"))
+
+    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a = a[a["w"].notna()]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": a["qid"], "before": np.zeros(len(a), np.int64)})
+        v = _unit(a["v"])
+        mine = np.round((v * _unit(a["w"])).sum(axis=1), 6)[:, None]
+        s = np.round(v @ _unit(b["v"]).T, 6)
+        qid, gid = a["qid"].to_numpy()[:, None], b["gid"].to_numpy()[None, :]
+        before = ((s > mine) & (gid != qid)) | ((s == mine) & (gid < qid))
+        return pd.DataFrame({"query_id": a["qid"], "before": before.sum(axis=1)})
+
+    met = left.groupBy("qb", "gb").cogroup(right.groupBy("qb", "gb")).applyInPandas(count, f"query_id {dict(left.dtypes)['qid']}, before long")
+    ranks = met.groupBy("query_id").agg((F.sum("before") + 1).alias("rank"))
+    return queries.select(F.col(id_col).alias("query_id")).join(ranks, "query_id", "left").select("query_id", F.col("query_id").alias("id"), "rank")
+
+
 def nearest_of_few(rows: DataFrame, few: DataFrame, id_col: str, vector: str, few_id: str, few_vector: str, most: int = 100_000) -> DataFrame:
     """rows with ``few_id`` and ``similarity`` of the most similar of a few vectors (centroids, prompts), which are broadcast if they are at most ``most``."""
     size = few.count()

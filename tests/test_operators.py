@@ -304,3 +304,12 @@ def test_raster_and_polygons(spark, tmp_path):
 
 def test_batches(spark):
     assert [len(b) for b in tables.batches(spark.range(25), 10)] == [10, 10, 5]
+
+
+def test_own_rank_beyond_ten(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 7)
+    gallery = [(i, [math.cos(i / 50), math.sin(i / 50)]) for i in range(30)]
+    queries = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (99, [1.0, 0.0])]
+    r = neighbours.own_rank(photo_rows(spark, queries, ["id", "v"]), photo_rows(spark, gallery, ["id", "v"]))
+    assert {x.query_id: x.rank for x in r.collect()} == {0: 1, 20: 21, 99: None}
+    assert metrics.self_match(r).first().mrr == pytest.approx((1 + 1 / 21) / 3, abs=1e-6)
