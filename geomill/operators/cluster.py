@@ -148,30 +148,29 @@ def block_validation(rows: DataFrame, block: Column, ks: list[int], vector: str
 def diverse_medoids(rows: DataFrame, centres: DataFrame, n: int = 4, cluster: str = "cluster_id", vector: str = "embedding", id_col: str = "photo_key") -> DataFrame:
     """cluster, pick (from 1), id: rows near the centroid that differ in place (1e-4 degrees) and address; if these are too few, the nearest others.
 
-    The walk visits rows in order of similarity; a row that repeats both place and address
-    of a nearer one can never be picked in the first walk, so one row of each (place,
-    address) and the n nearest overall are all that reach the walk of a cluster.
+    The walk in order of similarity goes in n rounds: each takes of every cluster the
+    nearest row that is not in conflict with the picks so far, over all its rows.
     """
     sim = F.round(vectors.dot(vectors.normalised(F.col(vector)), vectors.normalised(F.col("centroid"))), 6)
     scored = rows.join(centres.select(cluster, "centroid"), cluster).select(cluster, F.col(id_col).alias("id"), sim.alias("similarity"), F.col("Latitude").alias("lat"), F.col("Longitude").alias("lon"), F.col("Image_URL").alias("url"))
-    top = Window.partitionBy(cluster).orderBy(F.desc("similarity"), "id")
-    same = Window.partitionBy(cluster, F.floor(F.col("lat") / 1e-4), F.floor(F.col("lon") / 1e-4)).orderBy(F.desc("similarity"), "id")
-    kept = scored.withColumns({"r": F.row_number().over(top), "s": F.row_number().over(same)}).where((F.col("r") <= n) | (F.col("s") <= n))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("r", ignore_index=True)
-        chosen: list[int] = []
-        for i, row in enumerate(pdf.itertuples()):
-            if len(chosen) >= n:
-                break
-            others = pdf.iloc[chosen]
-            near = ((others["lat"] - row.lat).abs() < 1e-4) & ((others["lon"] - row.lon).abs() < 1e-4)
-            if not (near | (others["url"] == row.url)).any():
-                chosen.append(i)
-        chosen += [i for i in range(len(pdf)) if i not in chosen][: n - len(chosen)]
-        return pd.DataFrame({cluster: pdf[cluster].iloc[chosen].to_numpy(), "pick": np.arange(1, len(chosen) + 1, dtype=np.int32), "id": pdf["id"].iloc[chosen].to_numpy()})
-
-    return kept.groupBy(cluster).applyInPandas(walk, f"{cluster} {dict(rows.dtypes)[cluster]}, pick int, id {dict(rows.dtypes)[id_col]}")
+    row = F.struct("id", "lat", "lon", "url")
+    order = F.struct(F.col("similarity").isNull().alias("x"), F.nanvl(-F.col("similarity"), F.lit(float("-inf"))).alias("s"), "id")
+
+    def conflicts(p: Column) -> Column:
+        near = (F.abs(p["lat"] - F.col("lat")) < 1e-4) & (F.abs(p["lon"] - F.col("lon")) < 1e-4)
+        return (p["id"] == F.col("id")) | F.coalesce(near, F.lit(False)) | F.coalesce(p["url"] == F.col("url"), F.lit(False))
+
+    picks = scored.groupBy(cluster).agg(F.array(F.min_by(row, order)).alias("picks"))
+    for _ in range(n - 1):
+        free = F.when(~F.exists("picks", conflicts), order)
+        met = scored.join(picks, cluster).groupBy(cluster).agg(F.first("picks").alias("before"), F.min_by(row, free).alias("next"))
+        picks = met.select(cluster, F.when(F.col("next").isNull(), F.col("before")).otherwise(F.concat("before", F.array("next"))).alias("picks"))
+    top = Window.partitionBy(cluster).orderBy(order)
+    nearest = scored.withColumn("r", F.row_number().over(top)).where(F.col("r") <= n).groupBy(cluster).agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("nearest"))
+    chosen = F.transform("picks", lambda p: p["id"])
+    others = F.filter("nearest", lambda i: ~F.array_contains(chosen, i))
+    all_ = picks.join(nearest, cluster).select(cluster, F.slice(F.concat(chosen, others), 1, n).alias("ids"))
+    return all_.select(cluster, F.posexplode("ids").alias("pick", "id")).select(cluster, (F.col("pick") + 1).alias("pick"), "id")
 
 
 def medoid_metadata(medoids: DataFrame, group: str = "cluster_id", order: str = "pick") -> DataFrame:

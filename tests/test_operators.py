@@ -313,3 +313,15 @@ def test_own_rank_beyond_ten(spark, monkeypatch):
     r = neighbours.own_rank(photo_rows(spark, queries, ["id", "v"]), photo_rows(spark, gallery, ["id", "v"]))
     assert {x.query_id: x.rank for x in r.collect()} == {0: 1, 20: 21, 99: None}
     assert metrics.self_match(r).first().mrr == pytest.approx((1 + 1 / 21) / 3, abs=1e-6)
+
+
+def test_medoids_behind_repeated_addresses(spark):
+    """Rows of one square that repeat an address already chosen don't hide the next one."""
+    far = [(i, 0, [1.0, 0.01 * i], 10.0 + i, 5.0, f"u{i}") for i in range(2)]
+    repeats = [(10 + i, 0, [1.0, 0.1 + 0.01 * i], 40.0, 7.0, f"u{i % 2}") for i in range(6)]
+    last = [(30, 0, [1.0, 0.5], 40.0, 7.0, "new"), (31, 0, [1.0, 0.6], None, None, "u0"), (32, 0, [1.0, 0.7], None, None, "other")]
+    p = photo_rows(spark, [*far, *repeats, *last], "photo_key long, cluster_id long, embedding array<double>, Latitude double, Longitude double, Image_URL string")
+    centre = photo_rows(spark, [(0, [1.0, 0.0])], "cluster_id long, centroid array<double>")
+    picks = lambda n: [r.id for r in cluster.diverse_medoids(p, centre, n).orderBy("pick").collect()]
+    assert picks(3) == [0, 1, 30]
+    assert picks(6) == [0, 1, 30, 32, 10, 11]
