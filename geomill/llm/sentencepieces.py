@@ -6,12 +6,20 @@ largest sum of scores are taken; characters that no piece covers cost
 sums the longer last piece wins. These are the pieces and scores of the model file,
 whatever algorithm it was trained for.
 
-The search keeps a window as long as the longest piece. For every live position it
-knows the first boundary of its best path; when these agree, no later text can change
-that piece, and its id is committed. A place that no piece spans (before a space that
-follows something else, around a character that only stands alone) is such a point
-from the start, so the text falls apart there, and the stretches between are
-remembered, at most ``CACHE`` of them per worker, the newer half first.
+The search is one pass over the characters. It keeps scores only for the positions that
+the longest piece still reaches (``longest + 1`` of them). Boundaries behind these stay
+as long as some surviving path goes through them: each counts the boundaries that lead
+back to it, and without any it is dropped. When the last committed boundary is out of
+reach and one path alone leads on from it, all survivors have converged, and that
+piece's id is committed. Each boundary comes and goes once, so the time is linear. (Two
+paths that never meet, as the odd and the even one through a run of one letter, both stay
+until the end: their boundaries are all that can outgrow the window.)
+
+A place that no piece spans (before a space that follows something else, around a
+character that only stands alone) is passed by every path: it is such a boundary before
+the search comes to it. So a text is searched from one to the next, and what a
+short stretch between two gave is remembered, at most ``CACHE`` of them per worker, the
+newer half first.
 
 Defined cases: a null text is an empty one and has no ids; an empty table gives an
 empty result; a U+2581 in a text comes back as a space; repeated rows are encoded
@@ -32,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE, MISSING, CACHE, CACHE_CHARS = "▁", 10.0, 700_000, 48
+LEAST = float("-inf")
 
 
 class Pieces:
@@ -76,73 +85,58 @@ class Pieces:
         self.old: dict[str, bytes] = {}
 
     def search(self, text: str) -> Iterator[tuple[str, int | None]]:
-        """(piece, id or None) of the best path, committed as soon as all live paths agree."""
-        scores, longest, n = self.scores, self.longest, len(text)
+        """(piece, id or None) of the best path, committed as soon as all surviving paths agree."""
+        get, ids, scores, missing, longest, n = self.parts.get, self.ids.get, self.scores, self.missing, self.longest, len(text)
+        closes = n > longest  # else all is in reach to the end
+        best = dict.fromkeys(range(longest), LEAST) if closes else [LEAST] * (n + 1)  # of the positions in reach
+        start: dict[int, int] | list[int] = {} if closes else [0] * (n + 1)  # where the best last piece to a position starts
+        behind = {0: 0}  # how many boundaries lead back to a position, and
+        ahead = {0: 0}  # the sum of these
+        best[0] = 0.0
         base = 0  # all before it is committed
-        best: dict[int, float] = {0: 0.0}
-        back: dict[int, int] = {}
-        root: dict[int, int] = {}  # the first boundary behind base on the best path to a position
-        for end in range(1, n + 1):
-            top, start = None, end - 1
-            for s in range(max(base, end - longest), end):
-                if s not in best:
-                    continue
-                score = scores.get(text[s:end], self.missing if s == end - 1 else None)
-                if score is not None and (top is None or best[s] + score > top):
-                    top, start = best[s] + score, s
-            best[end], back[end] = top, start
-            root[end] = end if start == base else root[start]
-            live = range(max(base, end - longest + 1), end + 1)
-            while base < live[0] or end == n:
-                if end == n:
-                    ahead = root[end] if end > base else None
-                else:
-                    firsts = {root[p] for p in live}
-                    ahead = firsts.pop() if len(firsts) == 1 else None
-                if ahead is None:
-                    break
-                piece = text[base:ahead]
-                yield piece, self.ids.get(piece)
-                for p in [p for p in best if p < ahead]:
-                    best.pop(p), back.pop(p, None), root.pop(p, None)
-                base = ahead
-                lift = best[base]
-                root.pop(base, None)
-                for p in sorted(best):
-                    best[p] -= lift
-                    if p > base and back[p] == base:
-                        root[p] = p
-                    elif p > base and back[p] in root:
-                        root[p] = root[back[p]]
-                    elif p > base:  # on no live path
-                        best.pop(p), back.pop(p), root.pop(p)
-                if base == n:
-                    break
-
-    def _short(self, text: str) -> list[tuple[str, int | None]]:
-        """The best path of a text that never outgrows the window: nothing is committed before its end."""
-        get, n = self.parts.get, len(text)
-        best, back = [0.0] + [float("-inf")] * n, [0] * (n + 1)
-        for s in range(n):
-            top = best[s]
-            if text[s] not in self.scores and top + self.missing > best[s + 1]:
-                best[s + 1], back[s + 1] = top + self.missing, s
-            for end in range(s + 1, n + 1):
-                score = get(text[s:end], False)
+        for at in range(n):
+            if closes:
+                best[at + longest] = LEAST
+            top = best[at]
+            if text[at] not in scores and top + missing > best[at + 1]:
+                best[at + 1], start[at + 1] = top + missing, at
+            for end in range(at + 1, n + 1):
+                score = get(text[at:end], False)
                 if score is False:  # no piece begins like this
                     break
                 if score is not None and top + score > best[end]:
-                    best[end], back[end] = top + score, s
-        out, end = [], n
-        while end:
-            piece = text[back[end] : end]
-            out.append((piece, self.ids.get(piece)))
-            end = back[end]
-        return out[::-1]
+                    best[end], start[end] = top + score, at
+            if not closes:
+                continue
+            # the next position's best path is settled
+            own = start[at + 1]
+            behind[own] += 1
+            ahead[own] += at + 1
+            behind[at + 1] = ahead[at + 1] = 0
+            del best[at]
+            gone = at + 1 - longest
+            while gone > base and not behind[gone]:  # no path goes through it
+                up = start.pop(gone)
+                behind[up] -= 1
+                ahead[up] -= gone
+                del behind[gone], ahead[gone]
+                gone = up
+            while base <= at + 1 - longest and behind[base] == 1:
+                to = ahead[base]
+                yield text[base:to], ids(text[base:to])
+                del behind[base], ahead[base], start[to]
+                base, lift = to, best[at + 1]
+                for p in best:  # sums stay small
+                    best[p] -= lift
+        rest, end = [], n
+        while end > base:
+            rest.append((text[start[end] : end], ids(text[start[end] : end])))
+            end = start[end]
+        yield from reversed(rest)
 
     def _stretch(self, text: str) -> bytes:
         ids: list[int] = []
-        for piece, i in self._short(text) if len(text) <= self.longest else self.search(text):
+        for piece, i in self.search(text):
             if i is None:
                 ids.extend(self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass"))
             else:
@@ -165,11 +159,12 @@ class Pieces:
         return b"".join(found)
 
     def decode(self, ids: bytes) -> str:
-        out: list[bytes] = []
-        table = self.decoded
-        for i in np.frombuffer(ids, "<u4").tolist():
-            out.append(table[i])
-        return b"".join(out)[1:].decode("utf-8", "replace") if out else ""
+        """The text of the ids, without the space that the first piece's U+2581 stands for."""
+        numbers, table = np.frombuffer(ids, "<u4").tolist(), self.decoded
+        out = b"".join([table[i] for i in numbers])
+        first = next((i for i in numbers if table[i]), None)
+        marked = first is not None and isinstance(self.text[first], str) and self.text[first][0] == SPACE
+        return (out[1:] if marked else out).decode("utf-8", "replace")
 
     @property
     def decoded(self) -> list[bytes]:

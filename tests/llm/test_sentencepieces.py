@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -56,12 +57,24 @@ def test_stretches_change_nothing(pieces):
         assert np.frombuffer(pieces.encode(t), "<u4").tolist() == whole, t
 
 
-def test_window_stays_short(pieces):
-    """A very long stretch is committed as it goes."""
-    seen = []
-    for piece, _ in pieces.search(SPACE + "the" * 20_000):
-        seen.append(len(piece))
-    assert sum(seen) == 60_001 and max(seen) <= pieces.longest
+@pytest.mark.parametrize(("text", "meets"), [("the" * 40_000, True), ("a" * 100_000, False), ("." * 100_000, True), ("日a" * 50_000, True)])
+def test_window_stays_short(pieces, text, meets):
+    """Scores are kept for what the longest piece reaches, boundaries for surviving paths alone; the time is linear."""
+    found, widest, pending, began = pieces.search(text), 0, 0, time.process_time()
+    length = 0
+    for piece, _ in found:
+        length += len(piece)
+        if found.gi_frame is not None and length < len(text) - pieces.longest:
+            widest, pending = max(widest, len(found.gi_frame.f_locals["best"])), max(pending, len(found.gi_frame.f_locals["start"]))
+    assert length == len(text) and widest <= pieces.longest + 1 and pending <= (16 * pieces.longest if meets else len(text))
+    assert time.process_time() - began < 8
+
+
+def test_decode_drops_the_first_mark_only(pieces):
+    packed = lambda *names: np.array([pieces.ids[n] if isinstance(n, str) else n for n in names], "<u4").tobytes()
+    assert pieces.decode(packed("the")) == "the" and pieces.decode(packed(SPACE + "the")) == "the"
+    assert pieces.decode(packed(1, SPACE + "the", SPACE + "the")) == "the the" and pieces.decode(packed(pieces.byte_ids[32], "the")) == " the"
+    assert pieces.decode(b"") == "" and pieces.decode(packed(SPACE)) == ""
 
 
 def test_round_trip(spark, documents, odd_rows, monkeypatch):
