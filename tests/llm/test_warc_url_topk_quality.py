@@ -135,6 +135,29 @@ def test_top_k_equals_brute_force(spark, monkeypatch, shard, annulus, block):
     assert got == brute_top(rows, 7)
 
 
+def test_top_k_of_odd_vectors(spark):
+    """Vectors of no or another length than most take no part; large components are multiplied exactly."""
+    rows = [(0, [1.0, 2.0]), (1, [2.0, 1.0]), (5, []), (6, [3.0]), (7, [9.0, 9.0, 9.0]), (8, [0.0, 1.0]), (10, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in top_k(df, F.col("vec_id") % 5 == 0, k=7).collect()}
+    assert got == {(0, 1): (1, 64 * 64 * 4), (0, 2): (8, 64 * 64 * 2)}
+    assert top_k(df.where("vec_id in (5, 10)"), F.col("vec_id") % 5 == 0).count() == 0
+    big = [(i, [float(2**23 + i), float(2**22 - 3 * i), float(i)]) for i in range(40)]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in top_k(df, F.col("vec_id") % 5 == 0, k=7).collect()}
+    assert got == brute_top([(i, v) for i, v in big], 7)
+
+
+def test_top_k_of_one_vector_in_very_many_rows(spark, monkeypatch):
+    """Equal rows fill several shards, and their queries go to several."""
+    monkeypatch.setattr(pivot_index, "SHARD", 16)
+    monkeypatch.setattr(pivot_index, "SLICE", 7)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 else [float(i % 7), 1.0, -1.0]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in top_k(df, F.col("vec_id") % 5 == 0, k=5).collect()}
+    assert got == brute_top(rows, 5)
+
+
 def test_top_k_of_few(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in top_k(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 64 * 128)]
