@@ -2,22 +2,28 @@
 
 Sets of shingle hashes fall into bands of sizes; a set signs for its own band and the
 next, so any two sets whose sizes allow the similarity sign for one band together.
-Two such sets differ in at most ``k`` elements. The hash domain is cut into
-``k + 1 + e`` partitions, so at least ``e + 1`` of them hold the same elements in both;
-each partition's content is one signature.
-
-Frequent contents (a partition that only a common line fills, or an empty one) would
-gather many unlike sets. A set with at most ``e`` such partitions can leave them out and
-lose nothing, for a similar set shares at least ``e + 1``; one with more than ``e``
-empty ones signs for the subsets of ``e + 1`` empty partitions as well.
+Two such sets differ in at most ``k`` elements. The hash domain is cut into first-level
+partitions, each of these into ``SECOND`` second-level ones; of each first-level
+partition every subset that leaves one second-level partition out is a signature. Where
+two sets differ in at most one element of a first-level partition they share one of its
+signatures, and where in none, all of them.
+
+So a first-level partition hides a similar pair only at the price of two differences, or
+of one if some of its signatures can't be used, or of none if all can't. Signatures of
+nothing (only empty partitions) are never used, and frequent ones (those that only a
+common line fills) need not be: a set can leave them out as long as the prices still sum up to
+more than ``k``. There are ``SPARE`` partitions in a hundred beyond what ``k`` needs for
+that. A set whose elements lie so close together that its empty partitions alone
+take too much signs with all others of that kind in its band.
 
 Two scans: the first finds which signatures may repeat (``repeated``), the second
 emits only those. In each signature's group every member is compared with its smallest
-document, not with each other: sketches (a byte for each partition) rule out pairs with
-too few equal partitions, whole texts decide on the rest. Where a leader's group then
-holds different classes, its members are compared in the group, in blocks: sketches first,
-then the shingle hashes of those with a partner left, unless they are connected by then.
-Only links that connect come out, and whole texts decide on them too.
+document, not with each other: sketches (a byte for each second-level partition) rule out
+pairs with too few equal partitions, whole texts decide on the rest. Groups that then
+still hold different classes are compared inside, each set of members once, however many
+signatures it shares, and larger ones in blocks: sketches first, then the shingle hashes
+of those with a partner left, unless they are connected by then. Only links that connect
+come out, and whole texts decide on them too.
 
 Defined cases: a null or blank text has an empty set and no links; fewer words than a
 shingle count as one shingle; equal sets are linked; a null id is returned with no
@@ -27,8 +33,6 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +46,8 @@ from geomill.llm.components import components
 from geomill.llm.memory import give_back
 from geomill.llm.wordhash import mix, shingle_set, word_hashes
 
+#: Second-level partitions of a first-level one, and first-level ones in a hundred that may be lost.
+SECOND, SPARE = 3, 20
 #: A signature of more sets than this counts as frequent.
 FREQUENT = 64
 #: No task compares more than twice as many sets with each other.
@@ -65,53 +71,59 @@ class Bands:
             self.last.append(max(low, low * 100 // self.percent))
         return int(np.searchsorted(self.last, size))
 
-    def parameters(self, band: int) -> tuple[int, int, int]:
-        """(k, e, partitions) of the sets that sign for band."""
+    def parameters(self, band: int) -> tuple[int, int]:
+        """(k, first-level partitions) of the sets that sign for band."""
         if band not in self.known:
             while len(self.last) <= band:
                 self.of(self.last[-1] + 1)
-            most, least = self.last[band], self.last[max(band - 2, 0)] + 1
-            k = 2 * most * (100 - self.percent) // (100 + self.percent)
-            e = max(2, k // 4)
-            for _ in range(20):  # room for the partitions that are empty by chance
-                empty = (k + 1 + e) * math.exp(-least / (k + 1 + e))
-                e = max(e, math.ceil(empty + 4 * math.sqrt(empty)) + 1)
-            self.known[band] = (k, e, k + 1 + e)
+            k = 2 * self.last[band] * (100 - self.percent) // (100 + self.percent)
+            self.known[band] = (k, (k + 1 + max(3, (k + 1) * SPARE // 100) + 1) // 2)
         return self.known[band]
 
-    def contents(self, elements: np.ndarray, k_band: int) -> tuple[np.ndarray, np.ndarray]:
-        """(partition numbers, content hashes) of a sorted set's partitions that aren't empty."""
-        part = ((elements >> np.uint64(32)) * np.uint64(self.parameters(k_band)[2])) >> np.uint64(32)
+    def contents(self, elements: np.ndarray, band: int) -> np.ndarray:
+        """Hashes of a sorted set's second-level partitions, 0 for empty ones."""
+        n = self.parameters(band)[1] * SECOND
+        out = np.zeros(n, np.uint64)
+        part = ((elements >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
         first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         sums = np.add.reduceat(mix(elements ^ np.uint64(0x5851F42D4C957F2D)), first)
-        return part[first], mix(sums + mix(part[first] + (np.uint64(k_band) << np.uint64(32))))
-
-    def vector(self, elements: np.ndarray, k_band: int) -> np.ndarray:
-        """All partitions' contents as 32-bit hashes, 0 for empty ones: similar sets agree in all but k."""
-        out = np.zeros(self.parameters(k_band)[2], np.uint32)
-        part, content = self.contents(elements, k_band)
-        out[part.astype(np.int64)] = (content >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        out[part[first].astype(np.int64)] = mix(sums + mix(part[first] + (np.uint64(band) << np.uint64(32)))) | np.uint64(1)
         return out
 
-    def signatures(self, elements: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-        """(band, frequent partitions that may still be left out, signatures) of a sorted set, for its own band and the next."""
+    def sketch(self, elements: np.ndarray, band: int) -> np.ndarray:
+        """The partitions' contents, a byte each: similar sets agree in all but k."""
+        found = self.contents(elements, band)
+        return (found >> np.uint64(56)).astype(np.uint8) | (found > 0)
+
+    def signatures(self, elements: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For a sorted set's own band and the next (band, what may still be lost, signatures, their first-level partitions, how many each of these has)."""
         out = []
         own = self.of(len(elements))
-        for k_band in (own, own + 1):
-            k, e, n = self.parameters(k_band)
+        for band in (own, own + 1):
+            k, n = self.parameters(band)
             if not k:  # only equal sets are similar; they are linked without signatures
                 continue
-            part, found = self.contents(elements, k_band)
-            empty = n - len(part)
-            if empty > e:
-                gone = np.setdiff1d(np.arange(n, dtype=np.uint64), part)
-                tag = np.uint64(k_band) << np.uint64(32)
-                subsets = [np.add.reduce(mix(np.array(s, np.uint64) + tag)) for s in itertools.combinations(gone.tolist(), e + 1)]
-                found = np.r_[found, mix(np.array(subsets, np.uint64) + np.uint64(77))]
-            out.append((k_band, e - empty, found))
+            found = self.contents(elements, band).reshape(n, SECOND)
+            full = found > 0
+            used = full.sum(axis=1, keepdims=True) > full  # something is left
+            tag = np.arange(n * SECOND, dtype=np.uint64).reshape(n, SECOND) + (np.uint64(band) << np.uint64(32))
+            signs = mix(found.sum(axis=1, keepdims=True) - found + mix(tag))
+            usable = used.sum(axis=1)
+            spare = int(_price(usable, 0).sum()) - (k + 1)
+            which = np.broadcast_to(np.arange(n)[:, None], used.shape)[used]
+            signs, many = signs[used], usable[which]
+            if spare < 0:
+                signs, which, many = np.r_[signs, mix(np.array([band], np.uint64) + np.uint64(77))], np.r_[which, -1], np.r_[many, SECOND]
+            out.append((band, spare, signs, which, many))
         return out
 
 
+def _price(usable: np.ndarray, frequent: np.ndarray | int) -> np.ndarray:
+    """Differences that hide a pair from a first-level partition of so many signatures, of which so many are left out."""
+    left = usable - frequent
+    return np.where(left == SECOND, 2, np.where(left > 0, 1, 0))
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
 
@@ -162,8 +174,7 @@ def _sketches(ids: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
                 band = bands.of(len(s))
                 ids.append(i), n.append(len(s))
                 for out, b in ((own, band), (after, band + 1)):
-                    v = bands.vector(s, b)
-                    out.append(((v >> np.uint32(8)).astype(np.uint8) | (v > 0)).tobytes())
+                    out.append(bands.sketch(s, b).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(own, pa.binary()), pa.array(after, pa.binary())], names=["id", "n", "own", "next"])
         give_back()
 
@@ -176,9 +187,9 @@ def _may_be_similar(bands: Bands, a: tuple[int, bytes, bytes], b: tuple[int, byt
     x, y = bands.of(a[0]), bands.of(b[0])
     if abs(x - y) > 1 or min(a[0], b[0]) * 100 < max(a[0], b[0]) * bands.percent:
         return False
-    k, _, n = bands.parameters(max(x, y))
+    k, n = bands.parameters(max(x, y))
     v, w = (np.frombuffer(s[1] if band == max(x, y) else s[2], np.uint8) for s, band in ((a, x), (b, y)))
-    return int((v == w).sum()) >= n - k
+    return int((v == w).sum()) >= SECOND * n - k
 
 
 def _maybe(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -222,7 +233,7 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bands = Bands(percent)
     texts = _texts(docs, id_col, text_col)
     size = texts.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    share = 3 * (100 - percent) / (100 + percent) * 2
+    share = 2 * SECOND * (1 + SPARE / 100) * (100 - percent) / (100 + percent)
     log2, ranges = repeated.table_size(int(size / 6 * share))
 
     def first_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +250,7 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 a, b = _identity(s) if len(s) else (0, 0)
                 ids.append(i), n.append(len(s)), h1.append(a), h2.append(b)
                 if len(s) and i is not None:
-                    for _, _, found in own.signatures(s):
+                    for _, _, found, *_ in own.signatures(s):
                         if collector.add(found):
                             yield rows([], [], [], [], list(collector.send()))
             yield rows(ids, n, h1, h2, [])
@@ -253,19 +264,19 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def second_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, bits = Bands(percent), np.frombuffer(held.value, np.uint8)
-        names = ["sig", "id", "band", "spare"]
+        names = ["sig", "id", "band", "spare", "part", "usable"]
         for batch in batches:
-            parts: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 4]
+            parts: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 6]
             for i, s in _sets(batch, shingle):
                 if not len(s) or i is None:
                     continue
-                for band, spare, found in own.signatures(s):
-                    hit = found[repeated.maybe_repeated(found, bits, log2)]
-                    parts.append((hit.view(np.int64), *(np.full(len(hit), x, np.int64) for x in (i, band, spare))))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts])) for k in range(4)], names=names)
+                for band, spare, found, part, usable in own.signatures(s):
+                    hit = np.flatnonzero(repeated.maybe_repeated(found, bits, log2))
+                    parts.append((found[hit].view(np.int64), *(np.full(len(hit), x, np.int64) for x in (i, band, spare)), part[hit], usable[hit]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts]).astype(np.int64 if k < 2 else np.int32)) for k in range(6)], names=names)
         give_back()
 
-    signed = scratch.materialize(texts.mapInArrow(second_scan, "sig long, id long, band long, spare long"), "signatures")
+    signed = scratch.materialize(texts.mapInArrow(second_scan, "sig long, id long, band int, spare int, part int, usable int"), "signatures")
     held.unpersist()
     return _classes(sets, signed, texts, shingle, percent)
 
@@ -284,9 +295,13 @@ def _classes(sets: DataFrame, signed: DataFrame, texts: DataFrame, shingle: int,
     groups = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").drop("last")
     groups = scratch.materialize(groups, "groups")
     members = scratch.materialize(signed.join(groups, "sig"), "members")
-    frequent = members.where(F.col("n") > FREQUENT).groupBy("id", "band").agg(F.count(F.lit(1)).alias("m"))
-    kept = members.where(F.col("n") > FREQUENT).join(frequent, ["id", "band"]).where(F.col("m") > F.col("spare")).select(*members.columns)
-    members = scratch.materialize(members.where(F.col("n") <= FREQUENT).unionByName(kept), "members")
+    hot = members.where(F.col("n") > FREQUENT)
+    gone = hot.groupBy("id", "band", "part", "usable", "spare").agg(F.count(F.lit(1)).alias("f"))
+    price = lambda left: F.when(left == SECOND, 2).when(left > 0, 1).otherwise(0)
+    lost = gone.groupBy("id", "band", "spare").agg(F.sum(price(F.col("usable")) - price(F.col("usable") - F.col("f"))).alias("lost"))
+    needed = scratch.materialize(lost.where((F.col("lost") > F.col("spare"))).select("id", "band"), "needed")
+    kept = hot.join(needed, ["id", "band"]).select(*members.columns)
+    members = scratch.materialize(members.where(F.col("n") <= FREQUENT).unionByName(kept).select("sig", "id", "leader"), "members")
 
     # each other member meets its leader: sketches tell which may be similar, texts which are
     pairs = scratch.materialize(members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
@@ -295,19 +310,30 @@ def _classes(sets: DataFrame, signed: DataFrame, texts: DataFrame, shingle: int,
     links = scratch.materialize(equal.unionByName(near), "links")
     roots = components(links)
 
-    # groups that still hold different classes; tables of one row a leader, so that joins with them can split a hot one
-    met = pairs.select(F.col("a").alias("id"), F.col("b").alias("leader"))
-    state = scratch.materialize(_rooted(met, roots, "id", "root"), "state")
-    split = state.groupBy("leader").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).where("r0 <> r1").select("leader", "n")
-    rest = scratch.materialize(state.join(scratch.materialize(split, "split"), "leader"), "open")
-    if not rest.isEmpty():
-        cells = _cells(rest)
+    apart = _rooted(_rooted(pairs, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select(F.col("a").alias("id"), F.col("b").alias("leader"))
+    apart = scratch.materialize(apart, "apart")
+    if not apart.isEmpty():
+        cells = _cells(_open_groups(members, apart, roots))
         hopeful = scratch.materialize(_hopeful(cells, sketches, percent), "hopeful")
-        found = scratch.materialize(_settle(cells.join(hopeful, ["leader", "i", "j", "id"]), texts, shingle, percent).distinct(), "found")
+        found = scratch.materialize(_settle(cells.join(hopeful, ["sig", "i", "j", "id"]), texts, shingle, percent).distinct(), "found")
         roots = components(links.unionByName(_similar(found, texts, shingle, percent)))
     return _rooted(sets.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")), roots, "doc_id", "component_id")
 
 
+def _open_groups(members: DataFrame, apart: DataFrame, roots: DataFrame) -> DataFrame:
+    """(sig, id, root, n) of the groups with members of different classes, of those with the same members one.
+
+    Tables of one row a signature, so that joins with them can split a hot one.
+    """
+    few = apart.count() <= BROADCAST_IDS
+    signs = scratch.materialize(members.join(F.broadcast(apart) if few else apart, ["id", "leader"]).select("sig").distinct(), "open")
+    few = signs.count() <= BROADCAST_IDS
+    rest = members.join(F.broadcast(signs) if few else signs, "sig").select("sig", "id")
+    names = rest.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    one = scratch.materialize(names.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "n"), "open")
+    return scratch.materialize(_rooted(rest.join(one, "sig"), roots, "id", "root"), "open-members")
+
+
 def _rooted(df: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
     """df with the root of a node, which is the node itself where it has no links."""
     r = roots.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
@@ -315,37 +341,70 @@ def _rooted(df: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
 
 
 def _cells(rest: DataFrame) -> DataFrame:
-    """rest(leader, id, root, n) dealt into tasks (leader, i, j): larger groups are cut into blocks of which each two meet."""
+    """rest(sig, id, root, n) dealt into tasks (sig, i, j): larger groups are cut into blocks of which each two meet."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
-    return dealt.select("leader", "id", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root", "block")
+    return dealt.select("sig", "id", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root", "block")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each group, of batches sorted by their first columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        own = [batch.column(k).to_numpy() for k in range(keys)]
+        cuts = (np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in own])) + 1).tolist()
+        if held and any(held[-1].column(k)[-1].as_py() != x[0] for k, x in enumerate(own)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for s, e in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+            held.append(batch.slice(s, e - s))
+            if e < len(batch):
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def hopeful(n: np.ndarray, roots: np.ndarray, block: np.ndarray, own: list[bytes], after: list[bytes], bands: Bands, two_blocks: bool) -> np.ndarray:
+    """Which of these sets have a partner of another class (of another block, if two meet) whose sketch allows the similarity."""
+    band, hit = np.array([bands.of(x) for x in n]), np.zeros(len(n), bool)
+    for meet in np.unique(np.r_[band, band + 1]):
+        k, first = bands.parameters(int(meet))
+        here = np.flatnonzero((band == meet) | (band + 1 == meet))
+        if not k or len(here) < 2:
+            continue
+        v = np.stack([np.frombuffer(own[x] if band[x] == meet else after[x], np.uint8) for x in here])
+        for x in range(len(here) - 1):
+            rest = here[x + 1 :]
+            ok = (np.maximum(band[rest], band[here[x]]) == meet) & (roots[rest] != roots[here[x]])
+            if two_blocks:
+                ok &= block[rest] != block[here[x]]
+            if not ok.any():
+                continue
+            ok[ok] = (v[x + 1 :][ok] == v[x]).sum(axis=1) >= SECOND * first - k
+            if ok.any():
+                hit[here[x]] = True
+                hit[rest[ok]] = True
+    return hit
 
 
 def _hopeful(cells: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """(leader, i, j, id) of the members with a partner in the task that is of another class and whose sketch allows the similarity."""
+    """(sig, i, j, id) of the members with a partner in the task that is of another class and whose sketch allows the similarity."""
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id", ignore_index=True)
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
-        band, roots, block = np.array([bands.of(n) for n in pdf["n"]]), pdf["root"].to_numpy(), pdf["block"].to_numpy()
-        two_blocks, hit = bool(pdf["i"].iloc[0] != pdf["j"].iloc[0]), np.zeros(len(pdf), bool)
-        for meet in np.unique(np.r_[band, band + 1]):
-            k, _, n = bands.parameters(int(meet))
-            here = np.flatnonzero((band == meet) | (band + 1 == meet))
-            if not k or len(here) < 2:
-                continue
-            v = np.stack([np.frombuffer(pdf["own"].iloc[x] if band[x] == meet else pdf["next"].iloc[x], np.uint8) for x in here])
-            for x in range(len(here) - 1):
-                rest = here[x + 1 :]
-                ok = ((v[x + 1 :] == v[x]).sum(axis=1) >= n - k) & (np.maximum(band[rest], band[here[x]]) == meet) & (roots[rest] != roots[here[x]])
-                if two_blocks:
-                    ok &= block[rest] != block[here[x]]
-                if ok.any():
-                    hit[here[x]] = True
-                    hit[rest[ok]] = True
-        return pdf.loc[hit, ["leader", "i", "j", "id"]]
+        for group in _groups(batches, 3):
+            i, j = group.column(1)[0].as_py(), group.column(2)[0].as_py()
+            n, roots, block = (group.column(c).to_numpy() for c in (4, 5, 6))
+            hit = hopeful(n, roots, block, group.column(7).to_pylist(), group.column(8).to_pylist(), bands, i != j)
+            if hit.any():
+                yield from group.select(["sig", "i", "j", "id"]).filter(pa.array(hit)).combine_chunks().to_batches()
+        give_back()
 
-    return cells.join(sketches, "id").groupBy("leader", "i", "j").applyInPandas(choose, "leader long, i int, j int, id long")
+    rows = cells.dropDuplicates(["sig", "i", "j", "id"]).join(sketches, "id").select("sig", "i", "j", "id", "n", "root", "block", "own", "next")
+    return rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "id").mapInArrow(choose, "sig long, i int, j int, id long")
 
 
 def _elements(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -372,16 +431,16 @@ def settled(ids: list[int], roots: list[int], block: list[int], sets: list[np.nd
     own = np.array([bands.of(len(s)) for s in sets])
     at_block, out = np.array(block), []
     for band in np.unique(np.r_[own, own + 1]):
-        k, _, n = bands.parameters(int(band))
+        k, n = bands.parameters(int(band))
         here = np.flatnonzero((own == band) | (own + 1 == band))
         if not k or len(here) < 2:
             continue
-        v = np.stack([bands.vector(sets[x], int(band)) for x in here])
+        v = np.stack([bands.sketch(sets[x], int(band)) for x in here])
         for x in range(len(here)):
             i = here[x]
             rest = here[x + 1 :]
             # the band in which two sets of neighbouring sizes meet is the larger one's own
-            ok = ((v[x + 1 :] == v[x]).sum(axis=1) >= n - k) & (np.maximum(own[rest], own[i]) == band)
+            ok = ((v[x + 1 :] == v[x]).sum(axis=1) >= SECOND * n - k) & (np.maximum(own[rest], own[i]) == band)
             if two_blocks:
                 ok &= at_block[rest] != at_block[i]
             for j in rest[ok]:
@@ -404,7 +463,7 @@ def _settle(cells: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
         found = settled(pdf["id"].tolist(), pdf["root"].tolist(), pdf["block"].tolist(), sets, percent, bool(pdf["i"].iloc[0] != pdf["j"].iloc[0]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return cells.join(_elements(cells.select("id"), texts, shingle), "id").groupBy("leader", "i", "j").applyInPandas(settle, "a long, b long")
+    return cells.join(_elements(cells.select("id"), texts, shingle), "id").groupBy("sig", "i", "j").applyInPandas(settle, "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

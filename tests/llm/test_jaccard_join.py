@@ -93,7 +93,36 @@ def test_similar_sets_agree_in_enough_partitions(percent):
         if len(a) == len(b) and (a == b).all():
             continue
         band = max(bands.of(len(a)), bands.of(len(b)))
-        k, e, n = bands.parameters(band)
-        assert k and (bands.vector(a, band) == bands.vector(b, band)).sum() >= n - k == e + 1
-        signs = [{s for x, _, found in bands.signatures(own) if x == band for s in found.tolist()} for own in (a, b)]
+        k, n = bands.parameters(band)
+        assert k and (bands.sketch(a, band) == bands.sketch(b, band)).sum() >= jaccard_join.SECOND * n - k
+        signs = [{s for x, _, found, *_ in bands.signatures(own) if x == band for s in found.tolist()} for own in (a, b)]
         assert signs[0] & signs[1]
+        # with any signatures left out, as many as one of the sets may lose, they still share one
+        mine = {x: (spare, found, part, many) for x, spare, found, part, many in bands.signatures(a)}[band]
+        spare, found, part, many = mine
+        gone, lost = set(), 0
+        for p in r.sample(sorted(set(part.tolist()) - {-1}), len(set(part.tolist()) - {-1})):
+            own = [s for s, q in zip(found.tolist(), part.tolist(), strict=True) if q == p]
+            out = r.sample(own, r.randint(1, len(own)))
+            price = int(jaccard_join._price(np.array(len(own)), 0) - jaccard_join._price(np.array(len(own)), len(out)))
+            if lost + price <= spare:
+                gone, lost = gone | set(out), lost + price
+        assert spare < 0 or (signs[0] & signs[1]) - gone
+
+
+def test_partitions_stay_few():
+    """However small the sets, there are at most a few times k partitions."""
+    for percent in (70, 80, 90):
+        bands = jaccard_join.Bands(percent)
+        for size in range(1, 3000):
+            k, n = bands.parameters(bands.of(size))
+            assert not k or n <= 2 * k + 2
+
+
+def test_sets_in_one_place_sign_together():
+    """Sets whose elements all lie in one partition are found too."""
+    bands = jaccard_join.Bands(80)
+    a = np.sort(np.arange(60, dtype=np.uint64) + np.uint64(7 << 40))
+    b = np.sort(np.r_[a[3:], a[-1] + np.uint64(9)])
+    signs = [{s for _, _, found, *_ in bands.signatures(own) for s in found.tolist()} for own in (a, b)]
+    assert signs[0] & signs[1]
