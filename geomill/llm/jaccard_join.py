@@ -19,13 +19,14 @@ take too much signs with all others of that kind in its band.
 Two scans: the first finds which signatures may repeat (``repeated``), the second
 emits only those. In each signature's group every member is compared with its smallest
 document, not with each other: sketches (a byte for each second-level partition) rule out
-pairs with too few equal partitions, whole texts decide on the rest. Groups that then
-still hold different classes are compared inside, each set of members once, however many
-signatures it shares, and larger ones in blocks: sketches first, then the shingle hashes
-of those with a partner left, unless they are connected by then. Only links that connect
-come out, and whole texts decide on them too.
-
-Defined cases: a null or blank text has an empty set and no links; fewer words than a
+pairs with too few equal partitions, whole texts decide on the rest. Where what met one
+document then still is of different classes, it is compared among itself: up to ``BLOCK``
+sets in one task; more are split on their signatures, and what even one signature
+gathers more of, in blocks of which each two meet. Sketches come first, then the shingle
+hashes of those with a partner left, unless they are connected by then. Only links that
+connect come out, and whole texts decide on them too.
+
+Defined cases: ids are integers, others an error; a null or blank text has an empty set and no links; fewer words than a
 shingle count as one shingle; equal sets are linked; a null id is returned with no
 component; rows repeated with one id are one node; an empty table gives an empty
 result; other columns are ignored.
@@ -54,6 +55,8 @@ FREQUENT = 64
 BLOCK = 1_024
 #: Ids whose texts are fetched by a broadcast of at most 16 MB; beyond, by a shuffled join.
 BROADCAST_IDS = 1_000_000
+#: Signatures that a task holds before it passes them on.
+HELD_SIGNATURES = 200_000
 #: Documents whose sets are made at once.
 BATCH_DOCS = 512
 
@@ -63,7 +66,8 @@ class Bands:
 
     def __init__(self, percent: int) -> None:
         self.percent, self.last = percent, [0]
-        self.known: dict[int, tuple[int, int, int]] = {}
+        self.known: dict[int, tuple[int, int]] = {}
+        self.named: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def of(self, size: int) -> int:
         while self.last[-1] < size:
@@ -80,14 +84,23 @@ class Bands:
             self.known[band] = (k, (k + 1 + max(3, (k + 1) * SPARE // 100) + 1) // 2)
         return self.known[band]
 
-    def contents(self, elements: np.ndarray, band: int) -> np.ndarray:
-        """Hashes of a sorted set's second-level partitions, 0 for empty ones."""
-        n = self.parameters(band)[1] * SECOND
-        out = np.zeros(n, np.uint64)
-        part = ((elements >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        sums = np.add.reduceat(mix(elements ^ np.uint64(0x5851F42D4C957F2D)), first)
-        out[part[first].astype(np.int64)] = mix(sums + mix(part[first] + (np.uint64(band) << np.uint64(32)))) | np.uint64(1)
+    def fixed(self, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the second-level partitions begin (but for the first), and numbers that name them and what is left when each is out."""
+        if band not in self.named:
+            n = self.parameters(band)[1] * SECOND
+            begin = (np.arange(1, n, dtype=np.uint64) * np.uint64(1 << 32) + np.uint64(n - 1)) // np.uint64(n) << np.uint64(32)
+            names = mix(np.arange(n, dtype=np.uint64) + (np.uint64(band) << np.uint64(32)))
+            self.named[band] = (begin, names, mix(names + np.uint64(1)).reshape(-1, SECOND))
+        return self.named[band]
+
+    def contents(self, elements: np.ndarray, band: int, sums: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of a sorted set's second-level partitions, 0 for empty ones. sums: of ``running``."""
+        begin, names, _ = self.fixed(band)
+        at = np.empty(len(begin) + 2, np.int64)
+        at[0], at[1:-1], at[-1] = 0, np.searchsorted(elements, begin), len(elements)
+        up_to = (running(elements) if sums is None else sums)[at]
+        out = mix(up_to[1:] - up_to[:-1] + names) | np.uint64(1)
+        out[at[1:] == at[:-1]] = 0
         return out
 
     def sketch(self, elements: np.ndarray, band: int) -> np.ndarray:
@@ -98,26 +111,34 @@ class Bands:
     def signatures(self, elements: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """For a sorted set's own band and the next (band, what may still be lost, signatures, their first-level partitions, how many each of these has)."""
         out = []
-        own = self.of(len(elements))
+        own, sums = self.of(len(elements)), running(elements)
         for band in (own, own + 1):
             k, n = self.parameters(band)
             if not k:  # only equal sets are similar; they are linked without signatures
                 continue
-            found = self.contents(elements, band).reshape(n, SECOND)
+            found = self.contents(elements, band, sums).reshape(n, SECOND)
+            signs = mix(found.sum(axis=1, keepdims=True) - found + self.fixed(band)[2]).ravel()
             full = found > 0
-            used = full.sum(axis=1, keepdims=True) > full  # something is left
-            tag = np.arange(n * SECOND, dtype=np.uint64).reshape(n, SECOND) + (np.uint64(band) << np.uint64(32))
-            signs = mix(found.sum(axis=1, keepdims=True) - found + mix(tag))
-            usable = used.sum(axis=1)
+            kinds = full.sum(axis=1, keepdims=True)
+            used = (kinds > full).ravel()  # something is left
+            usable = used.reshape(n, SECOND).sum(axis=1)
             spare = int(_price(usable, 0).sum()) - (k + 1)
-            which = np.broadcast_to(np.arange(n)[:, None], used.shape)[used]
-            signs, many = signs[used], usable[which]
+            which, many = np.repeat(np.arange(n), SECOND), np.repeat(usable, SECOND)
+            if not used.all():
+                signs, which, many = signs[used], which[used], many[used]
             if spare < 0:
                 signs, which, many = np.r_[signs, mix(np.array([band], np.uint64) + np.uint64(77))], np.r_[which, -1], np.r_[many, SECOND]
             out.append((band, spare, signs, which, many))
         return out
 
 
+def running(elements: np.ndarray) -> np.ndarray:
+    """Sums of the elements' hashes, from none to all."""
+    out = np.zeros(len(elements) + 1, np.uint64)
+    np.cumsum(mix(elements ^ np.uint64(0x5851F42D4C957F2D)), out=out[1:])
+    return out
+
+
 def _price(usable: np.ndarray, frequent: np.ndarray | int) -> np.ndarray:
     """Differences that hide a pair from a first-level partition of so many signatures, of which so many are left out."""
     left = usable - frequent
@@ -230,7 +251,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
 def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of each row: the smallest id that links of at least percent / 100 reach."""
-    bands = Bands(percent)
+    scratch.integer_ids(docs, id_col)
     texts = _texts(docs, id_col, text_col)
     size = texts.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     share = 2 * SECOND * (1 + SPARE / 100) * (100 - percent) / (100 + percent)
@@ -265,15 +286,25 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def second_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, bits = Bands(percent), np.frombuffer(held.value, np.uint8)
         names = ["sig", "id", "band", "spare", "part", "usable"]
+
+        def rows(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts]).astype(np.int64 if k < 2 else np.int32)) for k in range(6)], names=names)
+
+        none = (np.empty(0, np.int64),) * 6
         for batch in batches:
-            parts: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 6]
+            parts, ready = [none], 0
             for i, s in _sets(batch, shingle):
                 if not len(s) or i is None:
                     continue
                 for band, spare, found, part, usable in own.signatures(s):
                     hit = np.flatnonzero(repeated.maybe_repeated(found, bits, log2))
-                    parts.append((found[hit].view(np.int64), *(np.full(len(hit), x, np.int64) for x in (i, band, spare)), part[hit], usable[hit]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts]).astype(np.int64 if k < 2 else np.int32)) for k in range(6)], names=names)
+                    if len(hit):
+                        parts.append((found[hit].view(np.int64), *(np.full(len(hit), x, np.int64) for x in (i, band, spare)), part[hit], usable[hit]))
+                        ready += len(hit)
+                if ready >= HELD_SIGNATURES:
+                    yield rows(parts)
+                    parts, ready = [none], 0
+            yield rows(parts)
         give_back()
 
     signed = scratch.materialize(texts.mapInArrow(second_scan, "sig long, id long, band int, spare int, part int, usable int"), "signatures")
@@ -310,28 +341,32 @@ def _classes(sets: DataFrame, signed: DataFrame, texts: DataFrame, shingle: int,
     links = scratch.materialize(equal.unionByName(near), "links")
     roots = components(links)
 
-    apart = _rooted(_rooted(pairs, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select(F.col("a").alias("id"), F.col("b").alias("leader"))
-    apart = scratch.materialize(apart, "apart")
-    if not apart.isEmpty():
-        cells = _cells(_open_groups(members, apart, roots))
+    # a set that met a leader stands in its group; groups that hold different classes are open
+    state = scratch.materialize(_rooted(pairs.select(F.col("a").alias("id"), F.col("b").alias("leader")), roots, "id", "root"), "state")
+    split = scratch.materialize(state.groupBy("leader").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).where("r0 <> r1").select("leader", "n"), "split")
+    if not split.isEmpty():
+        cells = _cells(_open_groups(state, split, members))
         hopeful = scratch.materialize(_hopeful(cells, sketches, percent), "hopeful")
-        found = scratch.materialize(_settle(cells.join(hopeful, ["sig", "i", "j", "id"]), texts, shingle, percent).distinct(), "found")
+        found = scratch.materialize(_settle(cells.join(hopeful, [*GROUP, "id"]), texts, shingle, percent).distinct(), "found")
         roots = components(links.unionByName(_similar(found, texts, shingle, percent)))
     return _rooted(sets.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")), roots, "doc_id", "component_id")
 
 
-def _open_groups(members: DataFrame, apart: DataFrame, roots: DataFrame) -> DataFrame:
-    """(sig, id, root, n) of the groups with members of different classes, of those with the same members one.
+def _open_groups(state: DataFrame, split: DataFrame, members: DataFrame) -> DataFrame:
+    """(kind, sig, id, root, n) of the groups with members of different classes.
 
-    Tables of one row a signature, so that joins with them can split a hot one.
+    Up to ``BLOCK`` sets of one leader are one group (kind 0). More are split on their
+    signatures (kind 1): two of them need to meet only if they share one; of groups with
+    the same members one is taken. Tables of one row a group, so that joins with them can
+    split a hot one.
     """
-    few = apart.count() <= BROADCAST_IDS
-    signs = scratch.materialize(members.join(F.broadcast(apart) if few else apart, ["id", "leader"]).select("sig").distinct(), "open")
-    few = signs.count() <= BROADCAST_IDS
-    rest = members.join(F.broadcast(signs) if few else signs, "sig").select("sig", "id")
-    names = rest.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    small = state.join(split.where(F.col("n") <= BLOCK), "leader").select(F.lit(0).alias("kind"), F.col("leader").alias("sig"), "id", "root", "n")
+    large = state.join(scratch.materialize(split.where(F.col("n") > BLOCK).select("leader"), "large"), "leader")
+    rest = scratch.materialize(members.select("sig", "id", "leader").join(large, ["leader", "id"]).select("sig", "id", "root"), "open-members")
+    mark = lambda *more: F.bit_xor(F.xxhash64("id", *more))
+    names = rest.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), mark().alias("x"), mark(F.lit(1)).alias("y")).where("r0 <> r1")
     one = scratch.materialize(names.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "n"), "open")
-    return scratch.materialize(_rooted(rest.join(one, "sig"), roots, "id", "root"), "open-members")
+    return scratch.materialize(small.unionByName(rest.join(one, "sig").select(F.lit(1).alias("kind"), "sig", "id", "root", "n")), "open-groups")
 
 
 def _rooted(df: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
@@ -340,11 +375,15 @@ def _rooted(df: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
     return df.join(r, F.col(node) == F.col("__n"), "left").withColumn(name, F.coalesce("__r", node)).drop("__n", "__r")
 
 
+#: What names a task that compares the sets of a group, or of two blocks of it.
+GROUP = ["kind", "sig", "i", "j"]
+
+
 def _cells(rest: DataFrame) -> DataFrame:
-    """rest(sig, id, root, n) dealt into tasks (sig, i, j): larger groups are cut into blocks of which each two meet."""
+    """rest(kind, sig, id, root, n) dealt into tasks GROUP: larger groups are cut into blocks of which each two meet."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
-    return dealt.select("sig", "id", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root", "block")
+    return dealt.select("kind", "sig", "id", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("kind", "sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root", "block")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -391,20 +430,19 @@ def hopeful(n: np.ndarray, roots: np.ndarray, block: np.ndarray, own: list[bytes
 
 
 def _hopeful(cells: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """(sig, i, j, id) of the members with a partner in the task that is of another class and whose sketch allows the similarity."""
+    """(GROUP, id) of the members with a partner in the task that is of another class and whose sketch allows the similarity."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
-        for group in _groups(batches, 3):
-            i, j = group.column(1)[0].as_py(), group.column(2)[0].as_py()
-            n, roots, block = (group.column(c).to_numpy() for c in (4, 5, 6))
-            hit = hopeful(n, roots, block, group.column(7).to_pylist(), group.column(8).to_pylist(), bands, i != j)
+        for group in _groups(batches, len(GROUP)):
+            n, roots, block = (group.column(c).to_numpy() for c in ("n", "root", "block"))
+            hit = hopeful(n, roots, block, group.column("own").to_pylist(), group.column("next").to_pylist(), bands, group.column("i")[0] != group.column("j")[0])
             if hit.any():
-                yield from group.select(["sig", "i", "j", "id"]).filter(pa.array(hit)).combine_chunks().to_batches()
+                yield from group.select([*GROUP, "id"]).filter(pa.array(hit)).combine_chunks().to_batches()
         give_back()
 
-    rows = cells.dropDuplicates(["sig", "i", "j", "id"]).join(sketches, "id").select("sig", "i", "j", "id", "n", "root", "block", "own", "next")
-    return rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "id").mapInArrow(choose, "sig long, i int, j int, id long")
+    rows = cells.dropDuplicates([*GROUP, "id"]).join(sketches, "id").select(*GROUP, "id", "n", "root", "block", "own", "next")
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "id").mapInArrow(choose, "kind int, sig long, i int, j int, id long")
 
 
 def _elements(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -463,7 +501,7 @@ def _settle(cells: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
         found = settled(pdf["id"].tolist(), pdf["root"].tolist(), pdf["block"].tolist(), sets, percent, bool(pdf["i"].iloc[0] != pdf["j"].iloc[0]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return cells.join(_elements(cells.select("id"), texts, shingle), "id").groupBy("sig", "i", "j").applyInPandas(settle, "a long, b long")
+    return cells.join(_elements(cells.select("id"), texts, shingle), "id").groupBy(*GROUP).applyInPandas(settle, "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
