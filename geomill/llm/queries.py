@@ -13,7 +13,7 @@ from geomill.llm.jaccard_join import linked_classes
 from geomill.llm.packing import pack_documents
 from geomill.llm.pivot_index import top_k
 from geomill.llm.quality import classify
-from geomill.llm.scratch import new_path
+from geomill.llm.scratch import materialize, new_path
 from geomill.llm.sentencepieces import encode_documents
 from geomill.llm.substring_dedup import repeated_spans
 from geomill.llm.suffix_tree import score_documents
@@ -43,9 +43,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_warc(plan_captures(_table(spark, sf_dir, "pages")), path)
-    captures = assemble(read_warc(spark, path, keep_block=False))
+    captures = assemble(materialize(read_warc(spark, path, keep_block=False), "records"))
     page = lambda c: F.regexp_extract(c, r"^urn:capture:(-?\d+):", 1).try_cast("long")
-    size = F.regexp_extract(F.col("metadata")[0]["block"].cast("string"), r"payloadBytes: (\d+)", 1).cast("long")
+    # a revisit has no payload: the size of the one it stands for is in its metadata
+    told = F.regexp_extract(F.col("metadata")[0]["block"].cast("string"), r"payloadBytes: (\d+)", 1).cast("long")
+    size = F.when(F.col("main.type") == "revisit", told).otherwise(F.col("main.payload_bytes"))
     return captures.select(page(F.col("capture_id")).alias("page_id"), size.alias("payload_bytes"), F.col("main.payload_digest").alias("payload_digest"), F.col("main.type").alias("record_type"), page(F.col("main.refers_to")).alias("refers_to"))
 
 

@@ -3,8 +3,9 @@
 A job that reuses an expensive result writes it here as Parquet and reads it
 back: lineage ends at a committed table, so a lost executor costs one task, not
 the whole chain, and no second pass over the texts is needed. The folder is
-``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
-folder of the local temp directory takes its place.
+``spark.checkpoint.dir``; only where that is unset and all tasks run in this process
+(tests on one machine) a folder of the local temp directory takes its place. On a
+cluster without that setting this is an error.
 """
 
 from __future__ import annotations
@@ -20,7 +21,19 @@ _tables: list[str] = []
 
 def root(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return shared.rstrip("/") if shared else f"file://{tempfile.gettempdir()}/geomill-scratch"
+    if shared:
+        return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir is not set, and the executors of {master} have no other folder in common")
+    return f"file://{tempfile.gettempdir()}/geomill-scratch"
+
+
+def integer_ids(df: DataFrame, id_col: str) -> None:
+    """An error unless the ids are integers."""
+    kind = dict(df.dtypes)[id_col]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"ids in {id_col} have to be integers, not {kind}")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -11,7 +11,7 @@ Two scans: the first finds which digests may repeat (``repeated``), the second e
 only those chunks. Counting is pre-aggregated and the join back has one row a digest
 on one side, so a very common passage can be split.
 
-Defined cases: null and empty texts have no chunks; offsets and lengths are in UTF-8
+Defined cases: ids are integers, others an error; null and empty texts have no chunks; offsets and lengths are in UTF-8
 bytes; a null id sorts first; rows with one id and one text are one document, of
 which every row is treated alike; an empty table gives an empty result; other columns
 are carried by ``drop_repeats`` and ignored by ``repeated_spans``.
@@ -100,6 +100,7 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, list[int], list
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash, start, length, n_words, n_chunks, first_doc_id, first_start of each repeated span."""
+    scratch.integer_ids(docs, id_col)
     source = docs.select(F.col(text_col).cast("binary").alias("text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"))
     size = source.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     log2, ranges = repeated.table_size(size // 30)

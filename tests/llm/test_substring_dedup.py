@@ -58,6 +58,43 @@ def test_planted_passages_are_found_and_clean_texts_left(documents, planted):
         assert any(span.strip() in p for p in where) and len(span.split()) == r.n_words >= substring_dedup.MIN_WORDS
 
 
+def plain_spans(rows, min_words):
+    """Chunks of all texts in order of id, text and place: what was there before is a repeat, and neighbouring repeats are one span."""
+    first, out = {}, set()
+    for i, t in sorted(rows):
+        data = np.frombuffer(t.encode(), np.uint8)
+        ends = chunk_ends(data, candidates(data).tolist()) if len(data) else []
+        run = []
+        for s, e in [*zip([0, *ends], ends), (None, None)]:
+            chunk = None if s is None else t.encode()[s:e]
+            if chunk is not None and chunk in first:
+                run.append((s, e, first[chunk]))
+                continue
+            if run:
+                text = t.encode()[run[0][0] : run[-1][1]]
+                words = sum(len(t.encode()[a:b].split()) for a, b, _ in run)
+                if words >= min_words and len(run) > 1:
+                    out.add((i, run[0][0], len(text), words, len(run), *run[0][2]))
+            run = []
+            if chunk is not None:
+                first[chunk] = (i, s)
+    return out
+
+
+def test_spans_equal_a_plain_search(documents, words):
+    r = random.Random(11)
+    parts = [words(r.randint(5, 90), 70 + k) for k in range(25)]
+    rows = [(i, " ".join(r.choice(parts) if r.random() < 0.4 else words(r.randint(3, 60), 10_000 + 50 * i + k) for k in range(r.randint(1, 12)))) for i in range(80)] + [(100 + i, "") for i in range(3)]
+    got = {(x.doc_id, x.start, x.length, x.n_words, x.n_chunks, x.first_doc_id, x.first_start) for x in repeated_spans(documents(rows)).collect()}
+    want = plain_spans(rows, substring_dedup.MIN_WORDS)
+    assert got == want and len(want) > 50
+
+
+def test_ids_have_to_be_integers(spark):
+    with pytest.raises(TypeError, match="integers"):
+        repeated_spans(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 @pytest.mark.parametrize("few", [True, False])
 def test_cut_texts(documents, planted, monkeypatch, few):
     if not few:

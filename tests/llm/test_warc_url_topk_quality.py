@@ -2,13 +2,15 @@ import gzip
 import hashlib
 import math
 import random
+import time
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geomill.llm import pivot_index, url_filter, warc
+from geomill.llm import pivot_index, quality, url_filter, warc
 from geomill.llm.pivot_index import top_k
 from geomill.llm.quality import classify, keep_good
 from geomill.llm.queries import URL_RULES, op4_warc
@@ -34,7 +36,7 @@ def test_round_trip(spark, tmp_path):
     payloads = sorted(hashlib.sha1((h or "").encode()).hexdigest() for _, _, h in ROWS)
     assert sorted(c.main.payload_digest for c in captures) == payloads
     for c in captures:
-        assert c.request.type == "request" and len(c.metadata) == 1 and c.request.concurrent_to == c.main.record_id == c.capture_id
+        assert c.request.type == "request" and len(c.metadata) == 1 and c.request.concurrent_to == [c.main.record_id] == [c.capture_id]
         body = c.main.block.partition(b"\r\n\r\n")[2]
         assert hashlib.sha1(body).hexdigest() == c.main.payload_digest if c.main.type == "response" else not body
     revisits = [c.main for c in captures if c.main.type == "revisit"]
@@ -43,7 +45,8 @@ def test_round_trip(spark, tmp_path):
 
 def test_files_are_gzip_members(spark, tmp_path):
     write_warc(plan_captures(pages(spark, ROWS)), str(tmp_path / "w"))
-    for f in (tmp_path / "w").glob("*.txt"):
+    assert {f.name.partition(".")[2] for f in (tmp_path / "w").iterdir() if f.name.startswith("part-")} == {"warc.gz"}
+    for f in (tmp_path / "w").glob("*.warc.gz"):
         data = f.read_bytes()
         whole = gzip.decompress(data)
         assert len(list(parse_members(data))) == whole.count(b"WARC-Record-ID:")
@@ -59,11 +62,33 @@ def test_parser_takes_other_layouts():
 
 
 def test_missing_records_are_null(spark):
-    r = spark.createDataFrame([("m", "response", None), ("q", "request", "x")], "record_id string, type string, concurrent_to string")
+    r = spark.createDataFrame([("m", "response", None), ("q", "request", ["x"])], "record_id string, type string, concurrent_to array<string>")
     got = {c.capture_id: c for c in assemble(r).collect()}
     assert got["m"].request is None and got["m"].metadata == [] and got["x"].main is None
 
 
+@pytest.mark.parametrize("back", [[], ["q2"]])
+def test_chains_of_identifiers(spark, back):
+    """Metadata of a request of a response, records that name several, and such as name each other."""
+    rows = [("m1", "response", []), ("q1", "request", ["m1"]), ("d1", "metadata", ["q1"]), ("d0", "metadata", ["d1", "m1"]), ("m2", "revisit", back), ("q2", "request", ["m2"]), ("d2", "metadata", ["q2", "m2"]), ("m3", "response", None), ("d9", "metadata", ["gone"])]
+    r = spark.createDataFrame(rows, "record_id string, type string, concurrent_to array<string>").repartition(3)
+    got = {c.capture_id: (c.request and c.request.record_id, c.main and c.main.record_id, [d.record_id for d in c.metadata]) for c in assemble(r).collect()}
+    assert got.pop("m1") == ("q1", "m1", ["d0", "d1"]) and got.pop("m2") == ("q2", "m2", ["d2"]) and got.pop("m3") == (None, "m3", [])
+    assert list(got.values()) == [(None, None, ["d9"])]
+
+
+def test_repeated_fields_and_sizes_of_files(spark, tmp_path, monkeypatch):
+    record = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <d>\r\nWARC-Concurrent-To: <a>\r\nwarc-concurrent-to: <b>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    assert [r["warc-concurrent-to"] for r in parse_members(gzip.compress(record))] == [["<a>", "<b>"]]
+    monkeypatch.setattr(warc, "FILE_PARTS", 1)
+    r = random.Random(1)
+    rows = [(i, "http://a/", r.randbytes(30_000).hex()) for i in range(400)]
+    write_warc(plan_captures(pages(spark, rows)), str(tmp_path / "w"))
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("*.warc.gz")]
+    assert max(sizes) < warc.BATCH_BYTES + 100_000 and len(sizes) >= 4
+    assert read_warc(spark, str(tmp_path / "w"), keep_block=False).count() == 1200
+
+
 def test_empty_pages(spark, tmp_path):
     write_warc(plan_captures(pages(spark, [])), str(tmp_path / "w"))
     assert read_warc(spark, str(tmp_path / "w")).count() == 0
@@ -101,6 +126,24 @@ def test_urls_equal_plain_rules(spark):
     assert {x.verdict for x in filter_urls(df, [], default_allow=False).collect()} == {"block"}
 
 
+def test_rules_of_a_table(spark):
+    r = random.Random(7)
+    rules = {f"{h}{p}": r.random() < 0.5 for h in ("com", "a.com", "b.a.com", "net", "x.y.z.net", "é.org") for p in ("/", "/en/", "/en/x", "/fr")}
+    urls = [f"http://{r.choice(['', 'b.', 'q.b.', 'x.y.z.', 'y.z.'])}{r.choice(['a.com', 'net', 'com', 'é.org'])}{r.choice(['/', '/en/', '/en/xy', '/fr?', ''])}" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame([*rules.items(), (None, True), *[(k, True) for k in list(rules)[:5]]], "rule string, allow boolean").repartition(4)
+    want = sorted(map(tuple, filter_urls(df, rules.items()).collect()), key=repr)
+    assert sorted(map(tuple, filter_urls(df, table).collect()), key=repr) == want
+    assert {x.verdict for x in filter_urls(df, table.limit(0)).collect()} == {"allow"}
+
+
+def test_hosts_of_very_many_labels(tmp_path):
+    (tmp_path / "i").write_bytes(b"".join(DigestIndex.parts([("a.b/", False), ("c/x", True)])))
+    index, began = DigestIndex(str(tmp_path / "i")), time.process_time()
+    assert index.judge(["x." * 200_000 + "a.b", "." * 100_000, ".a.b", "a.b.", ""], ["/"] * 5) == [("a.b/", False), None, ("a.b/", False), None, None]
+    assert time.process_time() - began < 1
+
+
 def test_collisions_are_confirmed(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter, "key", lambda text: len(text) % 2)
     (tmp_path / "i").write_bytes(b"".join(DigestIndex.parts([("a.b/", False), ("c.d/x", True), ("a.b/", True)])))
@@ -176,6 +219,52 @@ def test_held_out_accuracy(spark):
     assert r.accuracy > 0.97 and r.kept > 0.98
 
 
+def plain_posteriors(rows, site_weight):
+    """(host_p, path_p, posterior) of each (id, host, path, evidence), sum by sum."""
+    n = len(rows)
+    mean = sum(r[3] for r in rows) / n
+
+    def groups(key):
+        out = defaultdict(list)
+        for r in rows:
+            out[key(r)].append(r[3])
+        return out
+
+    def prior(found):
+        spread = sum(len(x) * (sum(x) / len(x) - mean) ** 2 for x in found.values()) / n - mean * (1 - mean) * len(found) / n
+        return min(max(mean * (1 - mean) / max(spread, 1e-6) - 1, 2.0), 1000.0)
+
+    hosts, paths = groups(lambda r: r[1]), groups(lambda r: (r[1], r[2]))
+    hw, pw = prior(hosts), prior(paths)
+    logit = lambda p: math.log(p / (1 - p))
+    out = {}
+    for i, h, p, e in rows:
+        host = (sum(hosts[h]) + hw * mean) / (len(hosts[h]) + hw)
+        path = (sum(paths[h, p]) + pw * host) / (len(paths[h, p]) + pw)
+        shift = min(max(logit(min(max(path, 1e-4), 1 - 1e-4)) - logit(mean), -3.0), 3.0)
+        out[i] = (host, path, 1 / (1 + math.exp(-(logit(e) + site_weight * shift))))
+    return out
+
+
+def test_posteriors_equal_plain_sums(spark):
+    """Many sites of one to forty documents, of different quality, null ones among them."""
+    r = random.Random(3)
+    rows, labels = [], []
+    for i in range(900):
+        host = None if i % 50 == 0 else f"h{int(r.paretovariate(0.7)) % 120}"
+        path = None if i % 70 == 0 else f"p{i % 3}"
+        good = r.random() < (0.9 if host and int(host[1:]) % 2 else 0.3)
+        rows.append((i, ("many kinds of plain words stand in this sentence " if good else "BUY!! NOW!! $$$ ") * r.randint(1, 9) + str(i), path, host))
+        labels.append((i, int(good), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    got = classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    want = plain_posteriors([(x.doc_id, x.host, x.path, x.evidence) for x in got], quality.SITE_WEIGHT)
+    assert len(got) == 900 and len({(x.host, x.path) for x in got}) > 100
+    for x in got:
+        assert (x.host_p, x.path_p, x.posterior) == pytest.approx(want[x.doc_id], abs=1e-6)
+        assert x.keep == (x.posterior >= quality.THRESHOLD)
+
+
 def test_sparse_sites_stay_near_the_prior(spark):
     rows = [(i, "good text of many kinds of words here", "x", "big", 0) for i in range(200)] + [(1000 + i, "BAD!! BAD!! ###", "x", "bad", 0) for i in range(200)] + [(5000, "BAD!! BAD!! ###", "x", "tiny", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
