@@ -24,6 +24,29 @@ def mercator_m(lat: Column, lon: Column) -> tuple[Column, Column]:
     return F.lit(MERCATOR_M) * F.radians(lon), F.lit(MERCATOR_M) * F.log(F.tan(F.radians(lat) / 2 + 0.7853981633974483))
 
 
+def laea_europe(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """x and y in metres on the European equal-area grid (Lambert azimuthal, GRS80, centred at 52 N 10 E)."""
+    import math
+
+    a, flat = 6_378_137.0, 1 / 298.257222101
+    e2 = flat * (2 - flat)
+    e = math.sqrt(e2)
+
+    def q_of(s: float) -> float:
+        return (1 - e2) * (s / (1 - e2 * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
+
+    s0, q_pole = math.sin(math.radians(52.0)), q_of(1.0)
+    radius, beta0 = a * math.sqrt(q_pole / 2), math.asin(q_of(s0) / q_pole)
+    d = a * math.cos(math.radians(52.0)) / math.sqrt(1 - e2 * s0 * s0) / (radius * math.cos(beta0))
+    s = F.sin(F.radians(lat))
+    q = (1 - e2) * (s / (1 - e2 * s * s) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))
+    beta, east = F.asin(q / q_pole), F.radians(lon - 10.0)
+    b = radius * F.sqrt(2 / (1 + math.sin(beta0) * F.sin(beta) + math.cos(beta0) * F.cos(beta) * F.cos(east)))
+    x = 4_321_000.0 + b * d * F.cos(beta) * F.sin(east)
+    y = 3_210_000.0 + b / d * (math.cos(beta0) * F.sin(beta) - math.sin(beta0) * F.cos(beta) * F.cos(east))
+    return x, y
+
+
 def map_resolution(span: Column) -> Column:
     """The cell resolution for a map that shows so many degrees."""
     return F.when(span > 100, 4).when(span > 30, 5).when(span > 5, 6).when(span > 1, 7).otherwise(8)

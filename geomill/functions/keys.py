@@ -29,7 +29,7 @@ FLICKR_LICENSES = {
     "16": "CC BY-SA 4.0",
 }
 
-#: Column names that other sources use, lower-cased, for each of ours.
+# Column names that other sources use, lower-cased, for each of ours.
 ALIASES = {
     "Photo_ID": ("photo_id", "id", "photoid", "image_id", "orig_id"),
     "Platform": ("platform", "source"),
@@ -47,6 +47,13 @@ def clean_photo_id(c: Column) -> Column:
     return F.regexp_replace(F.trim(F.coalesce(c.cast("string"), F.lit(""))), r"\.0$", "")
 
 
+def photo_id_of_number(c: Column) -> Column:
+    """The id that a floating-point column holds: whole numbers without decimals; null and NaN become empty."""
+    d = c.cast("double")
+    text = F.when(d == F.floor(d), d.cast("decimal(38,0)").cast("string")).otherwise(d.cast("string"))
+    return F.when(d.isNull() | F.isnan(d), "").otherwise(text)
+
+
 def photo_key(platform: Column, photo_id: Column) -> Column:
     return F.concat_ws("_", F.lower(F.trim(F.coalesce(platform, F.lit("")))), clean_photo_id(photo_id))
 
@@ -82,6 +89,59 @@ def image_address(platform: Column, photo_id: Column, url: Column) -> Column:
     return F.when(p.isin("mapillary", "kartaview"), F.concat(p, F.lit("://"), photo_id)).otherwise(url)
 
 
+# Parts of the addresses that street-level platforms serve their pictures from.
+STREET_HOSTS = {"mapillary": ("mapillary", "fbcdn.net"), "kartaview": ("kartaview", "openstreetcam")}
+
+
+def sniffed_address(platform: Column, photo_id: Column, url: Column) -> Column:
+    """As ``image_address``, where the platform may also be told by the address; without an id the address stays."""
+    i = clean_photo_id(photo_id)
+    out = url
+    for name, hosts in reversed(STREET_HOSTS.items()):
+        known = reduce(lambda a, h: a | url.contains(h), hosts, F.lower(platform) == name)
+        out = F.when(F.coalesce(known, F.lit(False)) & (i != ""), F.concat(F.lit(f"{name}://"), i)).otherwise(out)
+    return out
+
+
+def local_address(location: Column, folder: Column) -> Column:
+    """A picture's place beside the table that lists it; absolute paths and addresses with a scheme stay."""
+    at = F.trim(location)
+    own = F.regexp_like(at, F.lit("^(https?|mapillary|kartaview)://|^/"))
+    joined = F.regexp_replace(F.concat(folder, F.lit("/"), at), r"(?<=/)(\./)+|(?<!:)(?<=/)/+", "")
+    return F.when(blank(at) | own, at).otherwise(joined)
+
+
+def has_prefix(c: Column, prefixes: Iterable[str]) -> Column:
+    """Whether a name begins with one of several, without case; blank ones don't count, and without any all do."""
+    given = list(prefixes)
+    own = [p.strip().lower() for p in given if p.strip()]
+    if not given:
+        return F.lit(True)
+    return reduce(lambda a, p: a | F.lower(c).startswith(p), own, F.lit(False))
+
+
+def natural_order(path: Column) -> list[Column]:
+    """Sort keys by the first number in a file's name, names without one last."""
+    name = F.element_at(F.split(path, "/"), -1)
+    number = F.regexp_extract(name, r"(\d+)", 1).try_cast("decimal(38,0)")
+    return [number.isNull(), number, name]
+
+
+def json_field(c: Column, path: str, default: str | None = None) -> Column:
+    """A nested field of a JSON text; the default where it or what holds it is missing. ``$date`` wrappers are taken off."""
+    own = F.get_json_object(c, path)
+    dated = F.get_json_object(own, "$['$date']")
+    found = F.coalesce(F.get_json_object(dated, "$['$numberLong']"), dated, own)
+    return found if default is None else F.coalesce(found, F.lit(default))
+
+
+def media_license(licenses: Column, default: str = "CC-BY-4.0") -> Column:
+    """Of licences (name, scope) the first for media that has a name, else the first with a name."""
+    named = F.filter(licenses, lambda x: ~blank(x["name"]))
+    media = F.filter(named, lambda x: x["scope"] == "media")
+    return F.coalesce(F.get(media, F.lit(0))["name"], F.get(named, F.lit(0))["name"], F.lit(default))
+
+
 def platform_of_path(path: Column) -> Column:
     """The platform that a file's name tells, else the name itself without its extension."""
     p = F.lower(path)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
@@ -17,6 +20,8 @@ from geomill.functions import vectors
 from geomill.operators.neighbours import nearest_of_few
 
 DRIFT_SIMILARITY, DRIFT_SHARE = 0.70, 0.03
+#: Rows nearest to a centroid among which its medoids are sought first.
+SHORTLIST = 64
 
 
 def centroids(rows: DataFrame, cluster: str = "cluster_id", vector: str = "embedding", unit: bool = True) -> DataFrame:
@@ -78,7 +83,7 @@ def fit_hierarchy(rows: DataFrame, k: int, parents: int | None = None, samples:
     near = closest(children, centroids(children, vector=vector), samples, vector=vector, id_col=id_col)
     above = fit(near.withColumnRenamed("cluster_id", "child"), parents, vector, id_col, seed + 1)
     votes = above.select(F.col("child").alias("cluster_id"), F.col("cluster_id").alias("parent"), F.xxhash64(id_col).alias("idx"))
-    return children.join(F.broadcast(vote(votes, k, parents)), "cluster_id", "left")
+    return children.join(vote(votes, k, parents), "cluster_id", "left")
 
 
 def assign(rows: DataFrame, old: DataFrame, k: int, parents: int, vector: str = "embedding", id_col: str = "photo_key") -> DataFrame:
@@ -86,7 +91,7 @@ def assign(rows: DataFrame, old: DataFrame, k: int, parents: int, vector: str =
     valid = old.where((F.col("cluster_id") >= 0) & (F.col("cluster_id") < k))
     placed = nearest_of_few(rows, centroids(valid, vector=vector), id_col, vector, "cluster_id", "centroid")
     label_columns = [c for c in old.columns if c.endswith(("_label", "_description")) or c == "parent_cluster_id"]
-    labels = valid.groupBy("cluster_id").agg(*[F.min(c).alias(c) for c in label_columns]) if label_columns else valid.select("cluster_id").distinct()
+    labels = valid.groupBy("cluster_id").agg(F.min(F.struct(*label_columns)).alias("__row")).select("cluster_id", "__row.*") if label_columns else valid.select("cluster_id").distinct()
     step = max(1, k // max(1, parents))
     fallback = F.least(F.lit(parents - 1), F.floor(F.col("cluster_id") / step)).cast("long")
     own = F.coalesce("parent_cluster_id", fallback) if "parent_cluster_id" in label_columns else fallback
@@ -110,6 +115,15 @@ def drift(new: DataFrame, old: DataFrame, vector: str = "embedding", id_col: str
     return counts.crossJoin(F.broadcast(have)).select(decision.alias("decision"), "new_rows", "outliers")
 
 
+def decide(new: DataFrame, old: DataFrame, vector: str = "embedding", id_col: str = "photo_key") -> str:
+    """``drift``'s decision, or ``fit`` where it can't be made: a table that can't be read or lacks columns is clustered anew."""
+    try:
+        return drift(new, old, vector, id_col).first()["decision"]
+    except (PySparkException, Py4JError) as e:
+        logging.getLogger(__name__).warning("no decision about drift, so clusters are fitted anew: %s", e)
+        return "fit"
+
+
 def elbow(costs: DataFrame) -> DataFrame:
     """The k of a (k, cost) table farthest from the chord of its first and last point; of fewer than three points the last."""
     ends = costs.agg(F.min_by(F.struct("k", "cost"), "k").alias("a"), F.max_by(F.struct("k", "cost"), "k").alias("b"), F.count(F.lit(1)).alias("n"))
@@ -132,9 +146,14 @@ def block_validation(rows: DataFrame, block: Column, ks: list[int], vector: str
 
             @F.pandas_udf("double")
             def cost(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+                c = centres.value  # noqa: B023
+                squares = (c * c).sum(axis=1)
                 for s in batches:
-                    m = np.stack(s.to_numpy()) if len(s) else np.empty((0, centres.value.shape[1]))  # noqa: B023
-                    yield pd.Series([float(((centres.value - v) ** 2).sum(axis=1).min()) for v in m], dtype=float)  # noqa: B023
+                    found = [np.empty(0)]
+                    for at in range(0, len(s), 1024):
+                        m = np.stack(s.iloc[at : at + 1024].to_numpy())
+                        found.append(np.maximum(((m * m).sum(axis=1)[:, None] - 2 * m @ c.T + squares).min(axis=1), 0.0))
+                    yield pd.Series(np.concatenate(found))
 
             from pyspark.ml.functions import vector_to_array
 
@@ -148,28 +167,43 @@ def block_validation(rows: DataFrame, block: Column, ks: list[int], vector: str
 def diverse_medoids(rows: DataFrame, centres: DataFrame, n: int = 4, cluster: str = "cluster_id", vector: str = "embedding", id_col: str = "photo_key") -> DataFrame:
     """cluster, pick (from 1), id: rows near the centroid that differ in place (1e-4 degrees) and address; if these are too few, the nearest others.
 
-    The walk in order of similarity goes in n rounds: each takes of every cluster the
-    nearest row that is not in conflict with the picks so far, over all its rows.
+    The walk goes over the ``SHORTLIST`` rows nearest to each centroid. Clusters where these
+    are all alike, and which have more rows, are walked through whole, in n rounds that
+    each take the nearest row not in conflict with the picks so far.
     """
     sim = F.round(vectors.dot(vectors.normalised(F.col(vector)), vectors.normalised(F.col("centroid"))), 6)
     scored = rows.join(centres.select(cluster, "centroid"), cluster).select(cluster, F.col(id_col).alias("id"), sim.alias("similarity"), F.col("Latitude").alias("lat"), F.col("Longitude").alias("lon"), F.col("Image_URL").alias("url"))
     row = F.struct("id", "lat", "lon", "url")
     order = F.struct(F.col("similarity").isNull().alias("x"), F.nanvl(-F.col("similarity"), F.lit(float("-inf"))).alias("s"), "id")
-
-    def conflicts(p: Column) -> Column:
-        near = (F.abs(p["lat"] - F.col("lat")) < 1e-4) & (F.abs(p["lon"] - F.col("lon")) < 1e-4)
-        return (p["id"] == F.col("id")) | F.coalesce(near, F.lit(False)) | F.coalesce(p["url"] == F.col("url"), F.lit(False))
-
-    picks = scored.groupBy(cluster).agg(F.array(F.min_by(row, order)).alias("picks"))
-    for _ in range(n - 1):
-        free = F.when(~F.exists("picks", conflicts), order)
-        met = scored.join(picks, cluster).groupBy(cluster).agg(F.first("picks").alias("before"), F.min_by(row, free).alias("next"))
-        picks = met.select(cluster, F.when(F.col("next").isNull(), F.col("before")).otherwise(F.concat("before", F.array("next"))).alias("picks"))
-    top = Window.partitionBy(cluster).orderBy(order)
-    nearest = scored.withColumn("r", F.row_number().over(top)).where(F.col("r") <= n).groupBy(cluster).agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("nearest"))
-    chosen = F.transform("picks", lambda p: p["id"])
-    others = F.filter("nearest", lambda i: ~F.array_contains(chosen, i))
-    all_ = picks.join(nearest, cluster).select(cluster, F.slice(F.concat(chosen, others), 1, n).alias("ids"))
+    most = max(SHORTLIST, n)
+    top = scored.withColumn("__r", F.row_number().over(Window.partitionBy(cluster).orderBy(order))).where(F.col("__r") <= most)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("__r", row.alias("row")))), lambda x: x["row"])
+    near = top.groupBy(cluster).agg(listed.alias("near"))
+
+    def conflict(p: Column, lat: Column, lon: Column, url: Column, i: Column) -> Column:
+        close = (F.abs(p["lat"] - lat) < 1e-4) & (F.abs(p["lon"] - lon) < 1e-4)
+        return (p["id"] == i) | F.coalesce(close, F.lit(False)) | F.coalesce(p["url"] == url, F.lit(False))
+
+    def take(picks: Column, x: Column) -> Column:
+        free = (F.size(picks) < n) & ~F.exists(picks, lambda p: conflict(p, x["lat"], x["lon"], x["url"], x["id"]))
+        return F.when(free, F.concat(picks, F.array(x))).otherwise(picks)
+
+    walked = near.withColumn("picks", F.aggregate(F.slice("near", 2, most), F.slice("near", 1, 1), take))
+    short = (F.size("picks") < n) & (F.size("near") == most)
+    hungry = walked.where(short).select(cluster)
+    chosen = walked.select(cluster, "near", "picks")
+    if not hungry.isEmpty():
+        rest = scored.join(hungry, cluster, "left_semi")
+        picks = rest.groupBy(cluster).agg(F.array(F.min_by(row, order)).alias("picks"))
+        for _ in range(n - 1):
+            free = F.when(~F.exists("picks", lambda p: conflict(p, F.col("lat"), F.col("lon"), F.col("url"), F.col("id"))), order)
+            met = rest.join(picks, cluster).groupBy(cluster).agg(F.first("picks").alias("before"), F.min_by(row, free).alias("next"))
+            picks = met.select(cluster, F.when(F.col("next").isNull(), F.col("before")).otherwise(F.concat("before", F.array("next"))).alias("picks"))
+        whole = picks.withColumnRenamed("picks", "__whole")
+        chosen = chosen.join(whole, cluster, "left").select(cluster, "near", F.coalesce("__whole", "picks").alias("picks"))
+    ids = lambda a: F.transform(a, lambda p: p["id"])
+    others = F.array_except(ids(F.slice("near", 1, n)), ids(F.col("picks")))
+    all_ = chosen.select(cluster, F.slice(F.concat(ids(F.col("picks")), others), 1, n).alias("ids"))
     return all_.select(cluster, F.posexplode("ids").alias("pick", "id")).select(cluster, (F.col("pick") + 1).alias("pick"), "id")
 
 

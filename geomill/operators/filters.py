@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geomill.functions import times
+from geomill.functions.keys import has_prefix
 
 # South, north, west, east of each continent.
 CONTINENT_BOXES = {
@@ -81,9 +82,16 @@ def countries(columns: list[str], names: str, geocoded: dict[str, tuple[float, f
     return reduce(lambda a, b: a | b, boxes) if boxes else None
 
 
-def place(columns: list[str], name: str, geocoded: dict[str, tuple[float, float, float, float]] | None = None) -> Column | None:
-    """A continent, else a country, by whatever the name is."""
-    return continent(columns, name) if name.strip().lower() in CONTINENT_BOXES else countries(columns, name, geocoded)
+def place(df: DataFrame, name: str, geocoded: dict[str, tuple[float, float, float, float]] | None = None) -> Column | None:
+    """A continent, else a country by alias or as the table has it, else the box that the caller has for the name. None: an unknown place."""
+    own = name.strip().lower()
+    if own in CONTINENT_BOXES:
+        return continent(df.columns, name)
+    if "country" in df.columns:
+        known = COUNTRY_ALIASES.get(own, own).lower()
+        if own in COUNTRY_ALIASES or not df.where(F.lower(F.col("country")) == known).isEmpty():
+            return F.lower(F.col("country")) == known
+    return in_box(*geocoded[own]) if geocoded and own in geocoded else None
 
 
 def date_range(start: str | None, end: str | None, column: str = "Captured_At") -> Column | None:
@@ -111,7 +119,7 @@ def select(df: DataFrame, *, bbox: str | None = None, place_name: str | None = N
     wanted = parse_platforms(platforms)
     parts = [
         in_box(*box) if box else None,
-        place(have, place_name, geocoded) if place_name else None,
+        place(df, place_name, geocoded) if place_name else None,
         continent(have, continent_name) if continent_name else None,
         countries(have, country_names, geocoded) if country_names else None,
         date_range(start, end) if "Captured_At" in have else None,
@@ -139,9 +147,14 @@ def zero_shot_keep(similarities: Column, platform: Column, macro: int = -1, sky:
     return ~F.coalesce(gone, F.lit(False))
 
 
-def shareable_project(p: DataFrame) -> DataFrame:
-    """Projects that are openly shared, citable and no demonstration."""
-    return p.where((F.lower("sharing_preference") == "open") & (F.coalesce("citation", F.lit("")) != "") & ~F.upper("project_name").contains("DEMO"))
+#: Fixed value: what a citable project's reference holds.
+PERSISTENT = "https://raid.org/"
+
+
+def shareable_project(p: DataFrame, prefixes: tuple[str, ...] = (), name: str = "project_name") -> DataFrame:
+    """Projects that are openly shared, cited by a persistent identifier and no demonstration; of these, with prefixes, those whose name begins so."""
+    cited = F.coalesce(F.col("citation").cast("string"), F.lit(""))
+    return p.where((F.lower("sharing_preference") == "open") & cited.contains(PERSISTENT) & ~cited.contains("DEMO") & has_prefix(F.col(name), prefixes))
 
 
 def camera_deployments(deployments: DataFrame, exclude_fuzzed: bool = True, only_functioning: bool = True) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,9 +25,32 @@ def rename_aliases(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(renames)
 
 
+# The columns that tell a street-view collection, and what its columns are to us.
+STREET_VIEW = ("uuid", "source", "orig_id")
+STREET_VIEW_NAMES = {"source": "Platform", "lat": "Latitude", "lon": "Longitude", "orig_id": "Photo_ID", "datetime_local": "Captured_At", "url": "Image_URL"}
+
+
+def by_shape(df: DataFrame, path: Column | None = None) -> DataFrame:
+    """A source under our names, by its shape.
+
+    A street-view collection (uuid, source, orig_id) has its own columns, whatever others of
+    our names it carries. Rows of a file, or a platform, called iwildcam are of that platform.
+    All else goes by aliases; a platform that is missing is that of the file's name.
+    """
+    if set(STREET_VIEW) <= set(df.columns):
+        renames = {k: v for k, v in STREET_VIEW_NAMES.items() if k in df.columns}
+        return df.drop(*renames.values()).withColumnsRenamed(renames)
+    df = rename_aliases(df)
+    own = F.col("Platform").cast("string") if "Platform" in df.columns else F.lit(None).cast("string")
+    camera = F.lower(F.trim(own)) == "iwildcam"
+    if path is not None:
+        camera = F.coalesce(camera, F.lit(False)) | F.lower(path).contains("iwildcam")
+    return df.withColumn("Platform", F.when(camera, "iwildcam").otherwise(own))
+
+
 def normalize(df: DataFrame, path: Column | None = None) -> DataFrame:
     """The canonical columns of a source: platform (its own, or what the file's name tells), address, licence, key, coordinates as numbers."""
-    df = rename_aliases(df)
+    df = by_shape(df, path)
     has = lambda c: c in df.columns
     text = lambda c: F.col(c).cast("string") if has(c) else F.lit(None).cast("string")
     named = keys.platform_of_path(path) if path is not None else F.lit(None).cast("string")
@@ -45,6 +70,53 @@ def normalize(df: DataFrame, path: Column | None = None) -> DataFrame:
     )
 
 
+def with_local_pictures(photos: DataFrame, files: DataFrame, folder: Column) -> DataFrame:
+    """photos of an offline copy with ``Image_URL`` by what lies on disk (files: path).
+
+    The listed location beside the table, or in its ``train`` folder, if that file is there;
+    else the address, beside the table unless it has a scheme; else the location, there or not.
+    """
+    at = keys.local_address(F.col("Image_Location"), folder)
+    name = F.element_at(F.split(F.col("Image_Location"), "/"), -1)
+    tried = F.array(at, F.concat_ws("/", folder, F.lit("train"), name))
+    asked = photos.select("photo_key", F.posexplode(tried).alias("__pos", "path")).where("path is not null")
+    found = asked.join(files.select("path").distinct(), "path").groupBy("photo_key").agg(F.min_by("path", "__pos").alias("__file"))
+    remote = keys.local_address(F.col("Image_URL"), folder) if "Image_URL" in photos.columns else F.lit(None).cast("string")
+    address = F.coalesce(F.col("__file"), F.nullif(remote, F.lit("")), at, F.lit(""))
+    return photos.join(found, "photo_key", "left").withColumn("Image_URL", address).drop("__file")
+
+
+def joined_by_uuid(a: DataFrame, b: DataFrame, columns: tuple[str, ...], uuid: str = "uuid") -> DataFrame:
+    """What two tables of one collection say of each picture that both have: only these columns are read."""
+    of = lambda df: df.select(uuid, *[c for c in columns if c in df.columns])
+    return of(a).join(of(b), uuid)
+
+
+def resume(todo: DataFrame, path: str, process: Callable[[DataFrame], DataFrame], key: str = "photo_key") -> DataFrame:
+    """All results of a long job that may have been stopped: rows whose key has none yet are processed and added to the table at path.
+
+    Each call is one committed append: a stopped one leaves nothing, and the next begins where
+    the last ended. ``finish`` removes the table when its results are kept elsewhere.
+    """
+    spark = todo.sparkSession
+    done = _saved(spark, path)
+    rest = todo if done is None else only_new(todo, done, key)
+    process(rest).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _saved(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at path, or None where nothing was committed yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.parquet(path) if there else None
+
+
+def finish(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def concat(*frames: DataFrame) -> DataFrame:
     """UNION ALL by name; columns that one lacks are null there."""
     out = frames[0]
@@ -71,9 +143,9 @@ def replace_cells(old: DataFrame, new: DataFrame, cells: DataFrame | None = None
     return concat(keyed(p(kept)), keyed(p(new)))
 
 
-def align_embeddings(photos: DataFrame, embeddings: DataFrame, size: int, key: str = "photo_key", vector: str = "embedding") -> DataFrame:
-    """Each photo with its vector: of a key's several the smallest by content, zeros where there is none."""
-    one = embeddings.groupBy(key).agg(F.min(vector).alias(vector))
+def align_embeddings(photos: DataFrame, embeddings: DataFrame, size: int, key: str = "photo_key", vector: str = "embedding", order: str | None = None) -> DataFrame:
+    """Each photo with its vector: of a key's several the first by ``order`` (without that column the smallest by content), zeros where there is none."""
+    one = embeddings.groupBy(key).agg((F.min_by(vector, F.struct(order, vector)) if order else F.min(vector)).alias(vector))
     return photos.drop(vector).join(one, key, "left").withColumn(vector, F.coalesce(vector, F.array_repeat(F.lit(0.0).cast("float"), size)))
 
 

@@ -49,6 +49,11 @@ def geographic(ranked: DataFrame, group: list[str] | None = None) -> DataFrame:
     return rows.groupBy(*(group or [])).agg(F.count(F.lit(1)).alias("queries"), *map(mean, ("r1_5", "r5_5", "r1_50", "r5_50", "r10_50", "country")), F.round(F.avg(F.when(F.col("can_cross") == 1, F.coalesce("crosses", F.lit(0)))), 6).alias("cross"))
 
 
+def geographic_scores(ranked: DataFrame, km: float = 50.0, k: int = 10) -> DataFrame:
+    """precision, ap and rr at k of each query, a result within km being a hit; average precision by the hits retrieved."""
+    return per_query(ranked.withColumn("match", F.col("km") <= km), k)
+
+
 def self_match(ranked: DataFrame) -> DataFrame:
     """top1, top5 (percent) and mrr where the right answer of a query is the gallery item with its id. ranked: query_id, rank, id, complete."""
     rank = ranked.groupBy("query_id").agg(F.min(F.when(F.col("id") == F.col("query_id"), F.col("rank"))).alias("r"))

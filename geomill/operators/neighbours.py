@@ -22,10 +22,10 @@ def _unit(column: pd.Series) -> np.ndarray:
     return x / np.where(n == 0, 1.0, n)
 
 
-def _blocks(queries: DataFrame, gallery: DataFrame, id_col: str, vector: str) -> tuple[DataFrame, DataFrame]:
+def _blocks(queries: DataFrame, gallery: DataFrame, id_col: str, vector: str, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Both sides with the numbers of the pairs of blocks (qb, gb) where each row is needed."""
     q, g = queries.select(F.col(id_col).alias("qid"), F.col(vector).alias("v")), gallery.select(F.col(id_col).alias("gid"), F.col(vector).alias("v"))
-    nq, ng = max(1, -(-q.count() // BLOCK)), max(1, -(-g.count() // BLOCK))
+    nq, ng = max(1, -(-q.count() // size)), max(1, -(-g.count() // size))
     deal = lambda df, c, n: df.withColumn("b", F.pmod(F.xxhash64(c), F.lit(n).cast("long")))
     left = deal(q, "qid", nq).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(ng - 1)))).select(F.col("b").alias("qb"), F.col("o").cast("long").alias("gb"), "qid", "v")
     right = deal(g, "gid", ng).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).select(F.col("o").cast("long").alias("qb"), F.col("b").alias("gb"), "gid", "v")
@@ -85,10 +85,10 @@ def own_rank(queries: DataFrame, gallery: DataFrame, id_col: str = "id", vector:
     return queries.select(F.col(id_col).alias("query_id")).join(ranks, "query_id", "left").select("query_id", F.col("query_id").alias("id"), "rank")
 
 
-def nearest_of_few(rows: DataFrame, few: DataFrame, id_col: str, vector: str, few_id: str, few_vector: str, most: int = 100_000) -> DataFrame:
-    """rows with ``few_id`` and ``similarity`` of the most similar of a few vectors (centroids, prompts), which are broadcast if they are at most ``most``."""
-    size = few.count()
-    if size > most:
+def nearest_of_few(rows: DataFrame, few: DataFrame, id_col: str, vector: str, few_id: str, few_vector: str, most_bytes: int = 128 << 20) -> DataFrame:
+    """rows with ``few_id`` and ``similarity`` of the most similar of a few vectors (centroids, prompts), which are broadcast if they take at most ``most_bytes`` as doubles."""
+    size = few.agg(F.sum(F.size(few_vector).cast("long") * 8)).first()[0] or 0
+    if size > most_bytes:
         top = cosine_top_k(rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v")), few.select(F.col(few_id).alias("id"), F.col(few_vector).alias("v")), 1)
         return rows.join(top.select(F.col("query_id").alias(id_col), F.col("id").alias(few_id), "similarity"), id_col, "left")
     table = few.select(few_id, few_vector).orderBy(few_id).toPandas()
@@ -111,11 +111,17 @@ def nearest_of_few(rows: DataFrame, few: DataFrame, id_col: str, vector: str, fe
     return rows.withColumn("__n", nearest(F.col(vector))).withColumns({few_id: F.col("__n.id"), "similarity": F.col("__n.similarity")}).drop("__n")
 
 
-def similarity_matrix(a: DataFrame, b: DataFrame, ids: tuple[str, str] = ("a", "b"), most: int = 10_000) -> DataFrame:
-    """All cosines of two small tables (texts and images of an evaluation), whose sizes are checked."""
-    if a.count() > most or b.count() > most:
-        raise ValueError("a full similarity matrix is for small tables; use cosine_top_k")
-    return a.join(F.broadcast(b), how="cross").select(*ids, F.round(vectors.cosine(F.col("va"), F.col("vb")), 6).alias("similarity"))
+def similarity_matrix(a: DataFrame, b: DataFrame, ids: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """The cosine of every row of one table (a, va: texts of an evaluation) with every row of another (b, vb: its images): a row a pair, block by block."""
+    left, right = _blocks(a.select(F.col(ids[0]).alias("id"), F.col("va").alias("v")), b.select(F.col(ids[1]).alias("id"), F.col("vb").alias("v")), "id", "v", BLOCK // 4)
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({ids[0]: x["qid"][:0], ids[1]: y["gid"][:0], "similarity": np.empty(0)})
+        s = np.round(_unit(x["v"]) @ _unit(y["v"]).T, 6)
+        return pd.DataFrame({ids[0]: np.repeat(x["qid"].to_numpy(), len(y)), ids[1]: np.tile(y["gid"].to_numpy(), len(x)), "similarity": s.ravel()})
+
+    return left.groupBy("qb", "gb").cogroup(right.groupBy("qb", "gb")).applyInPandas(meet, f"{ids[0]} {dict(left.dtypes)['qid']}, {ids[1]} {dict(right.dtypes)['gid']}, similarity double")
 
 
 def zero_shot_labels(rows: DataFrame, prompts: DataFrame, id_col: str, vector: str, k: int = 3) -> DataFrame:

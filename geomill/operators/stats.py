@@ -71,6 +71,13 @@ def scatter_bins(points: DataFrame, label: str, x: str, y: str, size: float) ->
     return points.groupBy(label, F.floor(F.col(x) / size).alias("bx"), F.floor(F.col(y) / size).alias("by")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def gallery(clusters: DataFrame, bins: list[str], cluster: str, count: str, address: str, n: int = 4) -> DataFrame:
+    """Of each bin the pictures of its largest clusters, n at most, largest first; clusters without an address give none."""
+    w = Window.partitionBy(*bins).orderBy(F.desc(count), cluster)
+    shown = clusters.where(F.coalesce(F.col(address), F.lit("")) != "")
+    return shown.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(*bins, "rank", cluster, address)
+
+
 def representatives(scored: DataFrame, cluster: str, key: str, similarity: str, n: int) -> DataFrame:
     """Of each cluster the n most similar rows and, if it has more, the two least similar among the others, as outliers."""
     w = Window.partitionBy(cluster)
@@ -78,7 +85,7 @@ def representatives(scored: DataFrame, cluster: str, key: str, similarity: str,
     return ranked.where((F.col("r") <= n) | (F.col("s") <= 2)).withColumn("outlier", F.col("r") > n).drop("s").withColumnRenamed("r", "rank")
 
 
-def map_resolution(photos: DataFrame) -> DataFrame:
-    """The cell resolution for a map of all located photos."""
+def map_resolution(photos: DataFrame, *groups: Column) -> DataFrame:
+    """The cell resolution for a map of all located photos, or of each group's."""
     span = F.greatest(F.max("Latitude") - F.min("Latitude"), F.max("Longitude") - F.min("Longitude"))
-    return photos.agg(geo.map_resolution(span).alias("resolution"))
+    return photos.groupBy(*groups).agg(geo.map_resolution(span).alias("resolution"))

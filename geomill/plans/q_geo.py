@@ -94,6 +94,19 @@ def region_mapping(spark: SparkSession, d: str) -> DataFrame:
     return regions.map_regions(photos(spark, d), polygons, resolution=6).groupBy("country", "continent").agg(F.count(F.lit(1)).alias("n"))
 
 
+_EDGES = [("Inland", "Europe", 0, 40, 10, 40), ("Inland", "Europe", 10, 40, 10, 50), ("Inland", "Europe", 10, 50, 0, 50), ("Inland", "Europe", 0, 50, 0, 40), ("Cape", "Africa", 20, -35, 30, -35), ("Cape", "Africa", 30, -35, 25, -25), ("Cape", "Africa", 25, -25, 20, -35)]
+_MERCATOR_X, _MERCATOR_Y = "6378137.0e0 * radians({0})", "6378137.0e0 * ln(tan(radians({0}) / 2 + pi() / 4))"
+REGION_MAPPING = PHOTOS_SQL + f"""
+    , rc AS (SELECT {cell_sql(6)} AS rc, any_value(cell_row // {3 ** (grid.FINEST - 6)}) AS r, any_value(cell_col // {3 ** (grid.FINEST - 6)}) AS c, count(*) AS n FROM photos WHERE Latitude IS NOT NULL GROUP BY 1),
+    p AS (SELECT rc, n, (r + 0.5e0) * {grid.cell_size(6)!r}::DOUBLE - 90 AS la, (c + 0.5e0) * {grid.cell_size(6)!r}::DOUBLE - 180 AS lo FROM rc),
+    e(name, continent, x1, y1, x2, y2) AS (VALUES {", ".join(f"('{n}', '{k}', {a}.0e0, {b}.0e0, {c}.0e0, {d}.0e0)" for n, k, a, b, c, d in _EDGES)}),
+    m AS (SELECT rc, n, la, lo, e.*, {_MERCATOR_X.format("lo")} AS px, {_MERCATOR_Y.format("la")} AS py, {_MERCATOR_X.format("x1")} AS ax, {_MERCATOR_Y.format("y1")} AS ay, {_MERCATOR_X.format("x2")} AS bx, {_MERCATOR_Y.format("y2")} AS "by" FROM p, e),
+    t AS (SELECT *, greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * ("by" - ay)) / ((bx - ax) ** 2 + ("by" - ay) ** 2))) AS t, (y1 > la) <> (y2 > la) AND lo < (x2 - x1) * (la - y1) / (y2 - y1) + x1 AS crosses FROM m),
+    g AS (SELECT rc, name, continent, CASE WHEN count(*) FILTER (crosses) % 2 = 1 THEN 0 ELSE min(sqrt((ax + t * (bx - ax) - px) ** 2 + (ay + t * ("by" - ay) - py) ** 2)) END AS d FROM t GROUP BY ALL),
+    b AS (SELECT rc, name, continent FROM g WHERE d <= 88800 QUALIFY row_number() OVER (PARTITION BY rc ORDER BY round(d, 3), name) = 1)
+    SELECT coalesce(name, 'Ocean / Unknown') AS country, coalesce(continent, 'Ocean / Unknown') AS continent, count(*) AS n FROM (SELECT CASE WHEN Latitude IS NOT NULL THEN {cell_sql(6)} END AS rc FROM photos) LEFT JOIN b USING (rc) GROUP BY 1, 2"""
+
+
 QUERIES = {
     "koppen_lookup": (koppen_lookup, KOPPEN_LOOKUP),
     "overlay_levels": (overlay_levels, OVERLAY_LEVELS),
@@ -101,5 +114,5 @@ QUERIES = {
     "box_groups": (box_groups, BOX_GROUPS),
     "grid_boxes": (grid_boxes, GRID_BOXES),
     "cell_disks": (cell_disks, CELL_DISKS),
-    "region_mapping": (region_mapping, None),
+    "region_mapping": (region_mapping, REGION_MAPPING),
 }

@@ -149,20 +149,12 @@ BACKFILLED = KEYED + " SELECT photo_key, CASE WHEN event_id % 3 = 0 THEN 'b' WHE
 
 
 def migrated_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Keys of the vectors under 400, as the SQL has it; the others' are unknown."""
-    return _migrated(spark, d, keyed(spark, d).where(F.col("event_id") < 400))
-
-
-def migrated_keys_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _migrated(spark, d, keyed(spark, d))
-
-
-def _migrated(spark: SparkSession, d: str, keys: DataFrame) -> DataFrame:
-    p = keys.select("photo_key", F.col("event_id").alias("embedding_idx"))
+    """Keys of the vectors by their photos' numbers; of numbers that no photo of the first three platforms has, names for the unknown."""
+    p = keyed(spark, d).where("Platform <> 'kartaview'").select("photo_key", F.col("event_id").alias("embedding_idx"))
     return maintain.migrate_keys(table(spark, d, "embeddings").select(F.col("vec_id").alias("embedding_idx"), F.lit(None).cast("string").alias("photo_key")), p)
 
 
-MIGRATED_KEYS = KEYED + " SELECT vec_id AS embedding_idx, coalesce(photo_key, 'unknown_idx_' || vec_id) AS photo_key FROM embeddings LEFT JOIN (SELECT photo_key, event_id FROM keyed WHERE event_id < 400) k ON k.event_id = vec_id"
+MIGRATED_KEYS = KEYED + " SELECT vec_id AS embedding_idx, coalesce(photo_key, 'unknown_idx_' || vec_id) AS photo_key FROM embeddings LEFT JOIN (SELECT photo_key, event_id FROM keyed WHERE Platform <> 'kartaview') k ON k.event_id = vec_id"
 
 
 def updated_times(spark: SparkSession, d: str) -> DataFrame:
@@ -229,7 +221,6 @@ QUERIES = {
     "latest_verdicts": (latest_verdicts, LATEST_VERDICTS),
     "backfilled": (backfilled, BACKFILLED),
     "migrated_keys": (migrated_keys, MIGRATED_KEYS),
-    "migrated_keys_whole": (migrated_keys_whole, None),
     "updated_times": (updated_times, UPDATED_TIMES),
     "first_rows": (first_rows, FIRST_ROWS),
     "files_audit": (files_audit, FILES_AUDIT),

@@ -185,20 +185,22 @@ REPORT_ROWS = """
 
 
 def text_image_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """All cosines of twenty vectors with twenty others."""
+    """The cosines of every hundredth vector with all."""
     e = table(spark, d, "embeddings")
-    return neighbours.similarity_matrix(e.where("vec_id < 20").select(F.col("vec_id").alias("a"), F.col("embedding").alias("va")), e.where("vec_id between 20 and 39").select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb")))
+    return neighbours.similarity_matrix(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("va")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb")))
 
 
-TEXT_IMAGE_MATRIX = f"WITH {_UNIT} SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_product(x.v, y.v), 6) AS similarity FROM u x JOIN u y ON x.vec_id < 20 AND y.vec_id BETWEEN 20 AND 39"
+TEXT_IMAGE_MATRIX = f"WITH {_UNIT} SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_product(x.v, y.v), 6) AS similarity FROM u x JOIN u y ON x.vec_id % 100 = 0"
 
 
 def map_zoom(spark: SparkSession, d: str) -> DataFrame:
-    return stats.map_resolution(photos(spark, d).where("country = 'Kenya' and Latitude between 10 and 18 and Longitude between 0 and 9"))
+    """The resolution for a map of each cell of the four coarsest grids, by what its photos span."""
+    level = grid.parent(F.col("cell"), F.col("event_id") % 4)
+    return stats.map_resolution(photos(spark, d).where("cell is not null"), level.alias("area"))
 
 
-MAP_ZOOM = PHOTOS_SQL + """ SELECT CASE WHEN s > 100 THEN 4 WHEN s > 30 THEN 5 WHEN s > 5 THEN 6 WHEN s > 1 THEN 7 ELSE 8 END AS resolution
-    FROM (SELECT greatest(max(Latitude) - min(Latitude), max(Longitude) - min(Longitude)) AS s FROM photos WHERE country = 'Kenya' AND Latitude BETWEEN 10 AND 18 AND Longitude BETWEEN 0 AND 9)"""
+MAP_ZOOM = PHOTOS_SQL + f""" SELECT area, CASE WHEN s > 100 THEN 4 WHEN s > 30 THEN 5 WHEN s > 5 THEN 6 WHEN s > 1 THEN 7 ELSE 8 END AS resolution
+    FROM (SELECT CASE event_id % 4 WHEN 0 THEN {cell_sql(0)} WHEN 1 THEN {cell_sql(1)} WHEN 2 THEN {cell_sql(2)} ELSE {cell_sql(3)} END AS area, greatest(max(Latitude) - min(Latitude), max(Longitude) - min(Longitude)) AS s FROM photos WHERE Latitude IS NOT NULL GROUP BY 1)"""
 
 
 def model_answers(spark: SparkSession, d: str) -> DataFrame:
@@ -261,11 +263,11 @@ POINT_LABELS = "SELECT lpad(CAST(o_orderkey % 50 AS VARCHAR), 8, '0') AS point_i
 
 
 def shared_projects(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("project_id"), F.when(F.col("n_nationkey") % 2 == 0, "Open").otherwise("closed").alias("sharing_preference"), F.when(F.col("n_nationkey") % 3 != 0, "cite").alias("citation"), F.when(F.col("n_nationkey") % 7 == 0, "Demo x").otherwise(F.col("n_name")).alias("project_name"))
-    return filters.shareable_project(n).select("project_id", "project_name")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("project_id"), F.when(F.col("n_nationkey") % 2 == 0, "Open").otherwise("closed").alias("sharing_preference"), F.when(F.col("n_nationkey") % 3 != 0, F.concat(F.when(F.col("n_nationkey") % 7 == 0, "DEMO ").otherwise("By "), F.lit("https://raid.org/1"))).otherwise("none").alias("citation"), F.col("n_name").alias("project_name"))
+    return filters.shareable_project(n, ("nation_1", " NATION_2", "")).select("project_id", "project_name")
 
 
-SHARED_PROJECTS = "SELECT n_nationkey AS project_id, n_name AS project_name FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 <> 0 AND n_nationkey % 7 <> 0 AND upper(n_name) NOT LIKE '%DEMO%'"
+SHARED_PROJECTS = "SELECT n_nationkey AS project_id, n_name AS project_name FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 <> 0 AND n_nationkey % 7 <> 0 AND (n_name LIKE 'NATION\\_1%' ESCAPE '\\' OR n_name LIKE 'NATION\\_2%' ESCAPE '\\')"
 
 
 def media_observed(spark: SparkSession, d: str) -> DataFrame:

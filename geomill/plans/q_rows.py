@@ -121,20 +121,29 @@ def _lead() -> Column:
 
 
 def row_descriptions(spark: SparkSession, d: str) -> DataFrame:
-    """Clean-up of layout phrases put before the first 80 characters of document texts, as the SQL has it."""
-    return table(spark, d, "documents").select("doc_id", text.clean_description(F.concat(_lead(), F.substring(F.regexp_replace("text", r"\s+", " "), 1, 80))).alias("cleaned"))
+    """Clean-up of layout phrases put before, and standing in, document texts, which are cleaned from end to end."""
+    return table(spark, d, "documents").select("doc_id", text.clean_description(F.concat(_lead(), "text")).alias("cleaned"))
 
 
-ROW_DESCRIPTIONS = r"""
-    WITH t AS (SELECT doc_id, substring(regexp_replace(text, '\s+', ' ', 'g'), 1, 80) AS s FROM documents),
-         u AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN s WHEN 1 THEN 'the scene shows, in each view, ' || s ELSE 'Seen across the scene, ' || s END AS s FROM t),
-         v AS (SELECT doc_id, regexp_replace(regexp_replace(trim(regexp_replace(s, '\s{2,}', ' ', 'g')), '\s+([.,;:!?])', '\1', 'g'), '^[.,;:\s]+', '') AS s FROM u)
-    SELECT doc_id, upper(s[1]) || s[2:] AS cleaned FROM v"""
+def _cleaned_sql(value: str) -> str:
+    for pattern, into in text.LAYOUT_PHRASES:
+        value = f"regexp_replace({value}, '{_unicode(pattern)}', '{into}', 'gi')"
+    value = f"regexp_replace(regexp_replace({value}, '{_SPACE}{{2,}}', ' ', 'g'), '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+    return f"regexp_replace(regexp_replace({value}, '{_SPACE}+([.,;:!?])', '\\1', 'g'), '^(?:[.,;:]|{_SPACE})+', '')"
 
 
-def row_descriptions_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Clean-up of layout phrases put before and into document texts, which are cleaned from end to end."""
-    return table(spark, d, "documents").select("doc_id", text.clean_description(F.concat(_lead(), "text")).alias("cleaned"))
+_SPACE = r"[\s\x0b\x85\p{Z}]"
+
+
+def _unicode(pattern: str) -> str:
+    """The pattern with white space and word characters of all scripts."""
+    return pattern.replace(r"\s", _SPACE).replace(r"\w", r"[\p{L}\p{M}\p{N}\p{Pc}]")
+
+
+ROW_DESCRIPTIONS = rf"""
+    WITH t AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN 'The input image is a vertical stack of four real-world photographs. ' WHEN 1 THEN 'the composite image shows, in each frame , ' ELSE 'Seen across all frames, ' END || text AS s FROM documents),
+         u AS (SELECT doc_id, {_cleaned_sql("s")} AS s FROM t)
+    SELECT doc_id, upper(s[1]) || s[2:] AS cleaned FROM u"""
 
 
 def row_addresses(spark: SparkSession, d: str) -> DataFrame:
@@ -195,7 +204,6 @@ QUERIES = {
     "row_h3_bits": (row_h3_bits, ROW_H3_BITS),
     "row_distances": (row_distances, ROW_DISTANCES),
     "row_descriptions": (row_descriptions, ROW_DESCRIPTIONS),
-    "row_descriptions_whole": (row_descriptions_whole, None),
     "row_addresses": (row_addresses, ROW_ADDRESSES),
     "row_normalized": (row_normalized, ROW_NORMALIZED),
     "filter_slice": (filter_slice, FILTER_SLICE),

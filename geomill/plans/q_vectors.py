@@ -43,30 +43,15 @@ KNN_LABEL_SCORES = f"""
     SELECT query_id, round(sum(h) / 10.0e0, 6) AS precision, round(coalesce(sum(part) / nullif(sum(h), 0), 0), 6) AS ap, round(coalesce(1 / min(CASE WHEN h = 1 THEN rank END), 0), 6) AS rr FROM t GROUP BY 1"""
 
 
-def _places(spark: SparkSession, d: str) -> DataFrame:
-    p = photos(spark, d).where("event_id < 500 and Latitude is not null")
-    return p.select("vec_id", F.col("Latitude").alias("lat"), F.col("Longitude").alias("lon"), "country", "Platform")
-
-
 def _with_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """All photos, each with one of all vectors by its number: vector v has photo v, and every n-th photo from there."""
-    e = _embeddings(spark, d)
-    n = (e.agg(F.max("vec_id")).first()[0] or 0) + 1
-    return photos(spark, d).withColumn("vec_id", F.pmod("event_id", F.lit(n))).join(e, "vec_id")
+    """All photos, each with one of all vectors."""
+    return photos(spark, d).join(_embeddings(spark, d), "vec_id")
 
 
 def geographic_recall(spark: SparkSession, d: str) -> DataFrame:
-    """How near the most similar photos are, of those with event_id < 500, as the SQL has it."""
-    return _recall(spark, d, _places(spark, d))
-
-
-def geographic_recall_whole(spark: SparkSession, d: str) -> DataFrame:
-    """How near the most similar photos are, each vector with its own photo."""
-    p = photos(spark, d).where("Latitude is not null")
-    return _recall(spark, d, p.select(F.col("event_id").alias("vec_id"), F.col("Latitude").alias("lat"), F.col("Longitude").alias("lon"), "country", "Platform"))
-
-
-def _recall(spark: SparkSession, d: str, p: DataFrame) -> DataFrame:
+    """How near the most similar photos are, each vector with the photo of its number."""
+    located = photos(spark, d).where("Latitude is not null")
+    p = located.select(F.col("event_id").alias("vec_id"), F.col("Latitude").alias("lat"), F.col("Longitude").alias("lon"), "country", "Platform")
     a, b = (p.select(*[F.col(c).alias(f"{x}_{c}") for c in p.columns]) for x in "ab")
     r = _knn(spark, d, 10).join(a, F.col("query_id") == F.col("a_vec_id")).join(b, F.col("id") == F.col("b_vec_id"))
     km = geo.haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
@@ -75,7 +60,7 @@ def _recall(spark: SparkSession, d: str, p: DataFrame) -> DataFrame:
 
 
 _KM = "12742.0e0 * atan2(sqrt(x), sqrt(1 - x))"
-GEOGRAPHIC_RECALL = PHOTOS_SQL + f""", {_KNN}, pl AS (SELECT vec_id, Latitude AS lat, Longitude AS lon, country, Platform FROM photos WHERE event_id < 500 AND Latitude IS NOT NULL),
+GEOGRAPHIC_RECALL = PHOTOS_SQL + f""", {_KNN}, pl AS (SELECT event_id AS vec_id, Latitude AS lat, Longitude AS lon, country, Platform FROM photos WHERE Latitude IS NOT NULL),
     r AS (SELECT query_id, rank, {_KM} / 100 AS km, c1 = c2 AS sc, p1 <> p2 AS op FROM (SELECT query_id, rank, a.country AS c1, b.country AS c2, a.Platform AS p1, b.Platform AS p2,
           pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2) AS x FROM knn JOIN pl a ON a.vec_id = query_id JOIN pl b ON b.vec_id = id WHERE rank <= 10)),
     q AS (SELECT query_id, max(CAST(rank <= 1 AND km <= 5 AS INTEGER)) AS r1_5, max(CAST(rank <= 5 AND km <= 5 AS INTEGER)) AS r5_5, max(CAST(rank <= 1 AND km <= 50 AS INTEGER)) AS r1_50, max(CAST(rank <= 5 AND km <= 50 AS INTEGER)) AS r5_50,
@@ -91,6 +76,14 @@ def self_match(spark: SparkSession, d: str) -> DataFrame:
     return metrics.self_match(neighbours.own_rank(a, b))
 
 
+SELF_MATCH = """
+    WITH h AS (SELECT vec_id, list_transform(embedding[1:32], lambda x: CAST(x AS DOUBLE)) AS a, list_transform(embedding[1:32], lambda x: CAST(CAST(round(CAST(x AS DOUBLE), 1) AS FLOAT) AS DOUBLE)) AS b FROM embeddings),
+    n AS (SELECT vec_id, list_transform(a, lambda x: x / sqrt(list_dot_product(a, a))) AS a, list_transform(b, lambda x: x / sqrt(list_dot_product(b, b))) AS b FROM h),
+    s AS (SELECT q.vec_id AS q, g.vec_id AS g, round(list_dot_product(q.a, g.b), 6) AS s FROM n q JOIN n g ON true), m AS (SELECT q, s AS own FROM s WHERE q = g),
+    r AS (SELECT q, 1 + count(*) FILTER ((s > own AND g <> q) OR (s = own AND g < q)) AS r FROM s JOIN m USING (q) GROUP BY 1)
+    SELECT round(avg(CAST(r <= 1 AS INTEGER)) * 100, 6) AS top1, round(avg(CAST(r <= 5 AS INTEGER)) * 100, 6) AS top5, round(avg(1.0e0 / r), 6) AS mrr FROM r"""
+
+
 def centroid_table(spark: SparkSession, d: str) -> DataFrame:
     """The first components of each label's mean unit vector."""
     c = cluster.centroids(_embeddings(spark, d), "label")
@@ -228,8 +221,7 @@ QUERIES = {
     "knn_cosine": (knn_cosine, KNN_COSINE),
     "knn_label_scores": (knn_label_scores, KNN_LABEL_SCORES),
     "geographic_recall": (geographic_recall, GEOGRAPHIC_RECALL),
-    "geographic_recall_whole": (geographic_recall_whole, None),
-    "self_match": (self_match, None),
+    "self_match": (self_match, SELF_MATCH),
     "centroid_table": (centroid_table, CENTROID_TABLE),
     "assigned": (assigned, ASSIGNED),
     "drift_decision": (drift_decision, DRIFT_DECISION),

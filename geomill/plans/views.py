@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One photo per event. Latitudes, times and climates are missing here and there."""
+    """One photo per event, with a vector's number: the vectors take turns. Latitudes, times and climates are missing here and there."""
     e = F.col("event_id")
     pick = lambda names, by: F.element_at(F.array(*map(F.lit, names)), (by + 1).cast("int"))
     lat = F.when(e % 17 != 0, ((e * 7919) % 18001 - 9000) / F.lit(100.0))
@@ -37,7 +37,7 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id",
         "ts",
         "event_id",
-        (e % 500).alias("vec_id"),
+        (e % table(spark, sf_dir, "embeddings").select(F.max("vec_id") + 1).scalar()).alias("vec_id"),
         grid.encode(lat, lon).alias("cell"),
     )
 
@@ -61,7 +61,7 @@ PHOTOS_SQL = f"""
                       CASE WHEN {_E} % 3 = 0 THEN CAST({_E} % 20 AS VARCHAR) END AS License,
                       {_pick(COUNTRIES, _E + ' % 5')} AS country, {_pick(CONTINENTS, _E + ' % 5')} AS continent,
                       CASE WHEN {_E} % 11 <> 0 THEN {_pick(KOPPEN, _E + ' % 6')} END AS Koppen_Code,
-                      user_id, ts, {_E}, {_E} % 500 AS vec_id, cell_row, cell_col FROM fine)"""
+                      user_id, ts, {_E}, {_E} % (SELECT max(vec_id) + 1 FROM embeddings) AS vec_id, cell_row, cell_col FROM fine)"""
 
 
 def cell_sql(resolution: int, row: str = "cell_row", col: str = "cell_col") -> str:

@@ -51,9 +51,10 @@ def from_occurrences(occurrences: DataFrame) -> DataFrame:
     return rows.where("Latitude is not null and Longitude is not null and Image_URL is not null")
 
 
-def from_archive(occurrences: DataFrame, multimedia: DataFrame) -> DataFrame:
-    """Photo rows of occurrences joined with the first still image of each."""
+def from_archive(occurrences: DataFrame, multimedia: DataFrame, position: str | None = None) -> DataFrame:
+    """Photo rows of occurrences joined with the first still image of each that has a usable address: by the column ``position``, or else as the scan numbers the rows."""
     url = media_address(F.col("identifier"))
-    stills = multimedia.where(F.col("type") == "StillImage").select("gbifID", url.alias("associatedMedia"), "identifier").where("associatedMedia is not null")
-    first = stills.groupBy("gbifID").agg(F.min("associatedMedia").alias("associatedMedia"))
+    numbered = multimedia.withColumn("__at", F.monotonically_increasing_id() if position is None else F.col(position))
+    stills = numbered.where(F.col("type") == "StillImage").select("gbifID", url.alias("associatedMedia"), "__at").where("associatedMedia is not null")
+    first = stills.groupBy("gbifID").agg(F.min_by("associatedMedia", F.struct("__at", "associatedMedia")).alias("associatedMedia"))
     return from_occurrences(occurrences.drop("associatedMedia").join(first, "gbifID"))

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import sqlite3
+from collections.abc import Iterator
+from contextlib import closing
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Files beside a table that aren't rows of it.
 NOT_ROWS = r"(\.keys|_checkpoint)\.parquet$"
@@ -30,8 +37,8 @@ def load_all(spark: SparkSession, paths: list[str], output: str | None = None) -
     return df.where(~F.regexp_like("source_path", F.lit(NOT_ROWS)))
 
 
-def save(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: tuple[str, ...] = ()) -> None:
-    """By the name's ending; Parquet with zstd. Embeddings go to a table of their own, ``<path>.embeddings``."""
+def save(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: tuple[str, ...] = (), level: int = 3, dictionary: bool = True) -> None:
+    """By the name's ending; Parquet with zstd at a level, its columns by dictionary or not. Embeddings go to a table of their own, ``<path>.embeddings``."""
     kind = path.rpartition(".")[2].lower()
     if kind == "csv":
         flat = [F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes]
@@ -42,11 +49,12 @@ def save(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: tu
         from geomill.operators.maintain import decouple
 
         base = df
+        options = {"compression": "zstd", "parquet.compression.codec.zstd.level": level, "parquet.enable.dictionary": str(dictionary).lower()}
         if "embedding" in df.columns:
             _, vectors, _ = decouple(df)
             base = df.drop("embedding")
-            vectors.write.mode(mode).option("compression", "zstd").parquet(path + ".embeddings")
-        base.write.mode(mode).option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+            vectors.write.mode(mode).options(**options).option("parquet.enable.dictionary", "false").parquet(path + ".embeddings")
+        base.write.mode(mode).options(**options).partitionBy(*partition_by).parquet(path)
     else:
         raise ValueError(f"no table format is known for .{kind} files: {path}")
 
@@ -78,19 +86,20 @@ def raster_header(spark: SparkSession, path: str) -> dict[str, float]:
 
 
 def polygons(spark: SparkSession, path: str, name: str = "NAME", continent: str = "CONTINENT") -> DataFrame:
-    """name, continent, ring of a GeoJSON feature collection: the outer rings of polygons and multipolygons, one row each. Property names are compared without case."""
+    """name, continent, ring (the outer one) and rings (with the holes) of a GeoJSON feature collection: polygons, and each part of multipolygons. Property names are compared without case."""
     shape = "features array<struct<properties map<string, string>, geometry struct<type string, coordinates string>>>"
     ring = "array<array<array<double>>>"
     f = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", shape)["features"]).alias("f"))
     prop = lambda n: F.element_at(F.map_filter(F.transform_keys("f.properties", lambda k, _: F.upper(k)), lambda k, _: k == n.upper()), n.upper())
     shapes = F.when(F.col("f.geometry.type") == "Polygon", F.array(F.from_json("f.geometry.coordinates", ring))).otherwise(F.from_json("f.geometry.coordinates", f"array<{ring}>"))
-    return f.select(prop(name).alias("name"), prop(continent).alias("continent"), F.explode(shapes).alias("p")).select("name", "continent", F.col("p")[0].alias("ring"))
+    return f.select(prop(name).alias("name"), prop(continent).alias("continent"), F.explode(shapes).alias("p")).select("name", "continent", F.col("p")[0].alias("ring"), F.col("p").alias("rings"))
 
 
 def polygon_boxes(shapes: DataFrame) -> DataFrame:
-    """name, south, north, west, east and WKT of each ring."""
+    """name, south, north, west, east and WKT of each polygon, holes included."""
     lat, lon = F.transform("ring", lambda p: p[1]), F.transform("ring", lambda p: p[0])
-    wkt = F.concat(F.lit("POLYGON(("), F.array_join(F.transform("ring", lambda p: F.concat_ws(" ", p[0].cast("string"), p[1].cast("string"))), ", "), F.lit("))"))
+    text = lambda ring: F.concat(F.lit("("), F.array_join(F.transform(ring, lambda p: F.concat_ws(" ", p[0].cast("string"), p[1].cast("string"))), ", "), F.lit(")"))
+    wkt = F.concat(F.lit("POLYGON("), F.array_join(F.transform(F.col("rings") if "rings" in shapes.columns else F.array("ring"), text), ", "), F.lit(")"))
     return shapes.select("name", F.array_min(lat).alias("south"), F.array_max(lat).alias("north"), F.array_min(lon).alias("west"), F.array_max(lon).alias("east"), wkt.alias("wkt"))
 
 
@@ -103,10 +112,29 @@ def with_clusters(photos: DataFrame, sidecar: DataFrame, lead: str = "photos") -
     if lead == "sidecar":
         extra = [c for c in p.columns if c == "photo_key" or c not in s.columns]
         return s.join(p.select(extra), "photo_key", "left")
-    one = s.select(more).groupBy("photo_key").agg(*[F.min(c).alias(c) for c in more if c != "photo_key"])
+    rest = [c for c in more if c != "photo_key"]
+    # of several rows of a key one whole row
+    one = s.select(more).groupBy("photo_key").agg(F.min(F.struct(*rest)).alias("__row")).select("photo_key", "__row.*") if rest else s.select("photo_key").distinct()
     return p.join(one, "photo_key", "left")
 
 
+def sqlite(spark: SparkSession, path: str, query: str, schema: str) -> DataFrame:
+    """The rows of a query over SQLite files, each of which is read in its task: caches of verdicts and the like."""
+    names = [f.name for f in StructType.fromDDL(schema)]
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def rows(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in files:
+            for content in batch.column(0):
+                with closing(sqlite3.connect(":memory:")) as base:
+                    base.deserialize(content.as_py())
+                    found = base.execute(query)
+                    while part := found.fetchmany(10_000):
+                        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in part], kind)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, schema)
+
+
 def logged_boxes(spark: SparkSession, path: str) -> DataFrame:
     """west, south, east, north of ``lon,lat,lon,lat`` lines; NUL bytes go, other lines fall out."""
     parts = F.split(F.translate("value", "\x00", ""), ",")

@@ -19,7 +19,7 @@ def test_descriptions_are_cleaned_to_their_end(spark, tmp_path):
     bodies = [filler + "seen in each frame of the vertical stack .", filler + "\n\nbetween the frames , " + filler + "the stacked photographs", "short", ""]
     spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     leads = ["The input image is a vertical stack of four real-world photographs. ", "the composite image shows, in each frame , ", "Seen across all frames, "]
-    got = {r.doc_id: r.cleaned for r in entry.queries()["row_descriptions_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.cleaned for r in entry.queries()["row_descriptions"](spark, str(tmp_path)).collect()}
     assert got == {i: cleaned(leads[i % 3] + b) for i, b in enumerate(bodies)}
     assert got[0].endswith("in each view of the scene.") and len(got[1]) > 800
 
@@ -30,7 +30,8 @@ def test_recall_medoids_costs_and_keys_see_rows_behind_500(spark, tmp_path):
     spark.range(3 * n).selectExpr("id event_id", "id % 9 user_id", "timestamp'2024-05-01 00:00:00' ts").write.parquet(f"{tmp_path}/events.parquet")
     run = lambda name: entry.queries()[name](spark, str(tmp_path))
     # every 50th vector asks; those with numbers of a multiple of 17 have no place
-    assert run("geographic_recall_whole").first().queries == sum(i % 17 != 0 for i in range(0, n, 50))
-    assert run("migrated_keys_whole").where("photo_key like 'unknown%'").count() == 0
+    assert run("geographic_recall").first().queries == sum(i % 17 != 0 for i in range(0, n, 50))
+    assert run("migrated_keys").where("photo_key like 'unknown%'").count() == n // 4
+    assert run("text_image_matrix").count() == n * n // 100
     assert {r.cluster_id for r in run("medoid_summary").collect()} == {0, 1}
     assert q_vectors._with_vectors(spark, str(tmp_path)).selectExpr("count(*)", "count(distinct vec_id)").first() == (3 * n, n)
