@@ -80,10 +80,12 @@ def climate_outliers(photos: DataFrame, target_platforms: tuple[str, ...], cell:
     order = Window.partitionBy("major").orderBy(F.when(trusted, 0).otherwise(1), F.xxhash64("photo_key"), "photo_key")
     salted = Window.partitionBy("major", F.pmod(F.xxhash64("photo_key"), F.lit(64))).orderBy(F.when(trusted, 0).otherwise(1), F.xxhash64("photo_key"), "photo_key")
     bank = pool.withColumn("r0", F.row_number().over(salted)).where(F.col("r0") <= per_group).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_group)
-    ref = bank.select("major", "koppen", "c3", "Latitude", "Longitude", "v").toPandas()
+    # Arrow batches of 32-bit vectors: at most 5 * per_group of them
+    held = bank.select("major", "koppen", "c3", "Latitude", "Longitude", F.col("v").cast("array<float>").alias("v")).toArrow()
+    ref = held.drop(["v"]).to_pandas()
     if ref["major"].nunique() < 2:
         return photos.select("photo_key").limit(0)
-    x = np.stack(ref["v"].to_numpy()).astype(np.float32)
+    x = held["v"].combine_chunks().flatten().to_numpy().reshape(len(ref), -1)
     keep = np.zeros(len(ref), bool)
     for _, at in ref.groupby("major").indices.items():
         mean = x[at].mean(axis=0)

@@ -14,6 +14,8 @@ from geomill.functions import vectors
 
 #: Rows of a block: with 1,000 components 16 MB.
 BLOCK = 4_096
+#: Queries that are broadcast at most, as doubles, and rows of a gallery that meet them at once.
+QUERY_BYTES, GALLERY_ROWS = 16 << 20, 32_768
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -35,11 +37,14 @@ def _blocks(queries: DataFrame, gallery: DataFrame, id_col: str, vector: str, si
 def cosine_top_k(queries: DataFrame, gallery: DataFrame, k: int, id_col: str = "id", vector: str = "v", exclude_self: bool = False) -> DataFrame:
     """query_id, rank, id, similarity (to 6 places): the k most similar gallery rows of each query; ties to the smaller id.
 
-    Both sides are dealt into blocks and every query block meets every gallery block in
-    a task of its own; a task keeps k rows of a query, so memory is that of two blocks.
+    Queries of up to ``QUERY_BYTES`` are broadcast, and the gallery, which doesn't move, meets
+    them ``GALLERY_ROWS`` at a time. Beyond, both sides are dealt into blocks and every query
+    block meets every gallery block in a task of its own. Either way a meeting keeps k rows
+    of a query, so memory is that of two blocks.
     """
-    left, right = _blocks(queries, gallery, id_col, vector)
-    qid_type, id_type = dict(left.dtypes)["qid"], dict(right.dtypes)["gid"]
+    qid_type, id_type = dict(queries.dtypes)[id_col], dict(gallery.dtypes)[id_col]
+    result = f"query_id {qid_type}, id {id_type}, similarity double"
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": a["qid"][:0], "id": b["gid"][:0], "similarity": np.empty(0)})
@@ -54,8 +59,29 @@ def cosine_top_k(queries: DataFrame, gallery: DataFrame, k: int, id_col: str = "
         out = pd.DataFrame({"query_id": np.repeat(a["qid"].to_numpy(), top.shape[1]), "id": b["gid"].to_numpy()[top.ravel()], "similarity": value})
         return out[np.isfinite(value)]
 
-    met = left.groupBy("qb", "gb").cogroup(right.groupBy("qb", "gb")).applyInPandas(meet, f"query_id {qid_type}, id {id_type}, similarity double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    if (queries.agg(F.sum(F.size(vector).cast("long") * 8)).first()[0] or 0) <= QUERY_BYTES:
+        asked = queries.select(F.col(id_col).alias("qid"), F.col(vector).alias("v")).toPandas()
+        shared = queries.sparkSession.sparkContext.broadcast(asked)
+
+        def pass_by(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held, n = [], 0
+            for batch in batches:
+                held.append(batch)
+                n += len(batch)
+                if n >= GALLERY_ROWS:
+                    yield from against(pd.concat(held, ignore_index=True))
+                    held, n = [], 0
+            if n:
+                yield from against(pd.concat(held, ignore_index=True))
+
+        def against(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            for at in range(0, len(shared.value), 1024):
+                yield meet(shared.value.iloc[at : at + 1024], b)
+
+        met = gallery.select(F.col(id_col).alias("gid"), F.col(vector).alias("v")).mapInPandas(pass_by, result)
+    else:
+        left, right = _blocks(queries, gallery, id_col, vector)
+        met = left.groupBy("qb", "gb").cogroup(right.groupBy("qb", "gb")).applyInPandas(meet, result)
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -165,8 +165,10 @@ def test_metrics(spark):
     assert got == {1: (0.4, 0.833333, 1.0), 2: (0.2, 0.333333, 0.333333), 3: (0.0, 0.0, 0.0)}
 
 
-def test_neighbours_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("few", [16 << 20, -1])
+def test_neighbours_in_blocks(spark, monkeypatch, few):
     monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "QUERY_BYTES", few)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 5))
     p = photo_rows(spark, [(i, v.tolist()) for i, v in enumerate(x)], ["id", "v"])
