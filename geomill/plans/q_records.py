@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geomill.functions import geo, grid, keys, text, vectors
+from geomill.functions import climate, geo, grid, keys, text, vectors
 from geomill.operators import cluster, ingest, metrics, near_dup, neighbours, regions, sampling, stats
 from geomill.plans.q_aggregates import LABELLED, labelled
 from geomill.plans.q_vectors import _KM, _KNN, _UNIT, _knn
@@ -167,6 +167,22 @@ PROJECTED_LOOKUP = PHOTOS_SQL + f"""
     SELECT event_id, CASE WHEN CAST(rw * 60 + cl AS BIGINT) % 11 < 9 THEN 'class ' || CAST(rw * 60 + cl AS BIGINT) % 11 ELSE 'Unknown' END AS label FROM w WHERE rw BETWEEN 0 AND 59 AND cl BETWEEN 0 AND 59"""
 
 
+def habitat_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of raster values that come as text, as numbers with decimals, or not at all."""
+    e = F.col("event_id")
+    code = F.when(e % 4 == 0, (e % 23).cast("string")).when(e % 4 == 1, F.concat((e % 23).cast("string"), F.lit(".0"))).when(e % 4 == 2, F.concat(F.lit(" "), F.char(F.lit(65) + e % 12)))
+    return table(spark, d, "events").select("event_id", climate.named(code, climate.ECOSYSTEMS).alias("ecosystem"), climate.named(code, climate.ENVIRONMENTAL_ZONES).alias("zone"))
+
+
+def _named_sql(names: dict[str, str]) -> str:
+    return f"CASE code {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items())} ELSE 'Unknown' END"
+
+
+HABITAT_NAMES = f"""
+    WITH c AS (SELECT event_id, CASE WHEN event_id % 4 < 2 THEN CAST(event_id % 23 AS VARCHAR) WHEN event_id % 4 = 2 THEN chr(CAST(65 + event_id % 12 AS INTEGER)) END AS code FROM events)
+    SELECT event_id, {_named_sql(climate.ECOSYSTEMS)} AS ecosystem, {_named_sql(climate.ENVIRONMENTAL_ZONES)} AS zone FROM c"""
+
+
 def bin_gallery(spark: SparkSession, d: str) -> DataFrame:
     """The pictures of the largest clusters of each square of a scatter plot."""
     e = table(spark, d, "embeddings")
@@ -275,6 +291,7 @@ QUERIES = {
     "empty_boxes": (empty_boxes, EMPTY_BOXES),
     "crossing_boxes": (crossing_boxes, CROSSING_BOXES),
     "projected_lookup": (projected_lookup, PROJECTED_LOOKUP),
+    "habitat_names": (habitat_names, HABITAT_NAMES),
     "bin_gallery": (bin_gallery, BIN_GALLERY),
     "geographic_scores": (geographic_scores, GEOGRAPHIC_SCORES),
     "dedup_holds": (dedup_holds, DEDUP_HOLDS),
