@@ -89,7 +89,18 @@ ORACLES = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
         FROM u""",
-    "op7_jaccard_join": None,
+    # a component's smallest id spreads along links, past larger ids only
+    "op7_jaccard_join": r"""
+        WITH RECURSIVE
+             t AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+             s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS g FROM t),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+             p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+             l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+             e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+             r(id, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id AND r.root < e.b),
+             c AS (SELECT id, min(root) AS root FROM r GROUP BY 1)
+        SELECT t.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, t.doc_id) AS component_id FROM t LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = t.doc_id""",
     "op9_url_filters": r"""
         WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                           regexp_extract(coalesce(url, ''), '(?s)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
@@ -104,4 +115,3 @@ ORACLES = {
              k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20""",
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}
