@@ -118,10 +118,31 @@ def camera_samples(images: DataFrame, per_bin: int = 2, per_camera: int = 4) ->
 
 
 def sparse_landmarks(photos: DataFrame, counts: DataFrame, cell: str, landmark: str, key: str, threshold: int, per_cell: int = 10, per_landmark: int = 3) -> DataFrame:
-    """Photos of cells with fewer than threshold so far: at most so many of a landmark, then of a cell, by key."""
+    """Photos of cells with fewer than threshold so far: in order of key each is taken unless its cell or its landmark has enough of those taken before.
+
+    The order-dependent rule in rounds: a photo is sure to be taken if it would be even if all
+    open ones before it were, and sure not to be if enough taken ones stand before it. Each
+    round settles the first open photo of every cell and landmark at least, mostly nearly all.
+    """
     few = counts.where(F.col("n") >= threshold).select(cell)
     rows = photos.join(few, cell, "left_anti")
-    return per_group(per_group(rows, [landmark], per_landmark, [F.col(key)]), [cell], per_cell, [F.col(key)])
+    state = _cut(rows.select(F.col(key).alias("__k"), F.col(cell).alias("__c"), F.col(landmark).alias("__l"), F.lit(None).cast("boolean").alias("__taken")))
+    while not state.where("__taken is null").isEmpty():
+        taken, open_ = F.coalesce(F.col("__taken"), F.lit(False)).cast("int"), F.col("__taken").isNull().cast("int")
+        enough, might = F.lit(False), F.lit(False)
+        for group, most in (("__c", per_cell), ("__l", per_landmark)):
+            before = Window.partitionBy(group).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+            own = F.coalesce(F.sum(taken).over(before), F.lit(0))
+            enough = enough | (own >= most)
+            might = might | (own + F.coalesce(F.sum(open_).over(before), F.lit(0)) >= most)
+        settled = F.when(F.col("__taken").isNotNull(), F.col("__taken")).when(enough, False).when(~might, True)
+        state = _cut(state.withColumn("__next", settled).select("__k", "__c", "__l", F.col("__next").alias("__taken")))
+    return rows.join(state.where("__taken").select(F.col("__k").alias(key)), key, "left_semi").select(photos.columns)
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """df as a written table, or kept where the session has no folder for checkpoints (tests on one machine)."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
 
 
 def query_blocks(items: DataFrame, block: str, label: str, share: float = 0.2, seed: int = 42) -> DataFrame:

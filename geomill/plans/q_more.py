@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from geomill.functions import geo, grid, keys, text
 from geomill.operators import cameras, cluster, filters, ingest, maintain, metrics, neighbours, sampling, stats, trajectory
@@ -148,15 +149,27 @@ OUTCOME_COUNTS = PHOTOS_SQL + """, c AS (SELECT country, event_id % 7 = 0 AS suc
     SELECT country, success, CAST(CASE WHEN n >= 10 AND other >= 10 THEN 10 WHEN n < 10 THEN n ELSE least(n, 20 - other) END AS BIGINT) AS n FROM t"""
 
 
-def landmark_samples(spark: SparkSession, d: str) -> DataFrame:
-    """At most 2 of a landmark, then 3 of a sparse cell."""
-    p = photos(spark, d).where("cell is not null").withColumns({"c": grid.parent(F.col("cell"), 2), "landmark": F.col("event_id") % 97})
+def _landmarks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Photos of cells with fewer than 12, and those taken in order: 2 of a landmark and 3 of a cell at most."""
+    p = photos(spark, d).where("cell is not null").select("event_id", grid.parent(F.col("cell"), 2).alias("c"), (F.col("event_id") % 97).alias("landmark"))
     n = p.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    return sampling.sparse_landmarks(p, n, "c", "landmark", "event_id", 12, 3, 2).select("event_id", "c", "landmark")
+    return p.join(n.where("n < 12"), "c").drop("n"), sampling.sparse_landmarks(p, n, "c", "landmark", "event_id", 12, 3, 2)
+
+
+def landmark_samples(spark: SparkSession, d: str) -> DataFrame:
+    return _landmarks(spark, d)[1]
+
+
+def landmarks_hold(spark: SparkSession, d: str) -> DataFrame:
+    """Photos that may be taken, and how many are though their cell or landmark had enough before, or aren't though neither had."""
+    rows, taken = _landmarks(spark, d)
+    marked = rows.join(taken.select("event_id", F.lit(1).alias("t")), "event_id", "left").fillna(0, ["t"])
+    before = lambda c: F.coalesce(F.sum("t").over(Window.partitionBy(c).orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    free = (before("c") < 3) & (before("landmark") < 2)
+    return marked.withColumn("free", free).agg(F.count(F.lit(1)).alias("photos"), F.sum((F.col("free") != (F.col("t") == 1)).cast("long")).alias("wrong"))
 
 
-LANDMARK_SAMPLES = PHOTOS_SQL + f""", p AS (SELECT event_id, {cell_sql(2)} AS c, event_id % 97 AS landmark FROM photos WHERE Latitude IS NOT NULL), s AS (SELECT * FROM p WHERE c NOT IN (SELECT c FROM p GROUP BY 1 HAVING count(*) >= 12)),
-    l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY landmark ORDER BY event_id) <= 2) SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY c ORDER BY event_id) <= 3"""
+LANDMARKS_HOLD = PHOTOS_SQL + f", p AS (SELECT event_id, {cell_sql(2)} AS c FROM photos WHERE Latitude IS NOT NULL) SELECT count(*) AS photos, CAST(0 AS BIGINT) AS wrong FROM p WHERE c NOT IN (SELECT c FROM p GROUP BY 1 HAVING count(*) >= 12)"
 
 
 def exact_answers(spark: SparkSession, d: str) -> DataFrame:
@@ -307,7 +320,8 @@ QUERIES = {
     "interleaved": (interleaved, INTERLEAVED),
     "balanced_counts": (balanced_counts, BALANCED_COUNTS),
     "outcome_counts": (outcome_counts, OUTCOME_COUNTS),
-    "landmark_samples": (landmark_samples, LANDMARK_SAMPLES),
+    "landmark_samples": (landmark_samples, None),
+    "landmarks_hold": (landmarks_hold, LANDMARKS_HOLD),
     "exact_answers": (exact_answers, EXACT_ANSWERS),
     "report_rows": (report_rows, REPORT_ROWS),
     "text_image_matrix": (text_image_matrix, TEXT_IMAGE_MATRIX),

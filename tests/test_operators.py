@@ -327,3 +327,19 @@ def test_medoids_behind_repeated_addresses(spark):
     picks = lambda n: [r.id for r in cluster.diverse_medoids(p, centre, n).orderBy("pick").collect()]
     assert picks(3) == [0, 1, 30]
     assert picks(6) == [0, 1, 30, 32, 10, 11]
+
+
+def test_landmarks_in_order(spark):
+    """The rounds give what one walk over all photos gives."""
+    import random
+
+    r = random.Random(6)
+    rows = [(i, f"c{r.randrange(12)}", f"l{int(r.paretovariate(1)) % 9}") for i in range(300)]
+    counts = [(f"c{k}", 50 if k == 3 else 1) for k in range(12)]
+    cells, landmarks, want = {}, {}, []
+    for i, c, m in rows:
+        if c != "c3" and cells.get(c, 0) < 4 and landmarks.get(m, 0) < 3:
+            cells[c], landmarks[m] = cells.get(c, 0) + 1, landmarks.get(m, 0) + 1
+            want.append(i)
+    got = sampling.sparse_landmarks(photo_rows(spark, rows, ["id", "c", "m"]).repartition(3), photo_rows(spark, counts, ["c", "n"]), "c", "m", "id", 10, 4, 3)
+    assert ids(got, "id") == want
