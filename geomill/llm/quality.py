@@ -38,7 +38,8 @@ THRESHOLD = 0.5
 #: How much a path's posterior may move a document's log-odds.
 SITE_WEIGHT = 0.5
 BROADCAST_SITES = 200_000
-#: A document's own log-odds, and a site's over the global ones, are kept within these.
+#: A document's own log-odds, and a site's over the global ones, are kept within these: one
+#: document never counts as more than certain, and no site, however bad, outweighs good text.
 MOST_LOGIT, MOST_SITE = 12.0, 3.0
 
 
@@ -91,10 +92,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarra
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> list[float]:
     """The model's weights: labels has the id and quality (1 good, 0 bad)."""
-    known = labels.where("quality is not null").select(F.col(id_col).alias("__l"), F.col("quality").cast("int").alias("__q")).dropDuplicates(["__l"])
+    known = labels.where("quality is not null").select(F.col(id_col).alias("__l"), F.col("quality").cast("int").alias("__q")).groupBy("__l").agg(F.min("__q").alias("__q"))
     chosen = scratch.materialize(known.orderBy(F.xxhash64("__l")).limit(sample), "labelled")
-    few = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("__l"))
-    rows = with_features(few, text_col).select(F.col("__x").alias("x"), "__q").limit(sample).toPandas()
+    # of rows with one id the smallest text: at most as many rows as there are labels
+    few = docs.select(F.col(id_col).alias("__l"), F.col(text_col).alias("__t")).join(F.broadcast(chosen), "__l").groupBy("__l", "__q").agg(F.min("__t").alias("__t"))
+    rows = with_features(few, "__t").select(F.col("__x").alias("x"), "__q").orderBy("__l").toPandas()
     y = rows["__q"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean(), 0.001, 0.999)) if len(y) else 0.5
