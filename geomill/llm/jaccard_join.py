@@ -20,11 +20,10 @@ Two scans: the first finds which signatures may repeat (``repeated``), the secon
 emits only those. In each signature's group every member is compared with its smallest
 document, not with each other: sketches (a byte for each second-level partition) rule out
 pairs with too few equal partitions, whole texts decide on the rest. Where what met one
-document then still is of different classes, it is compared among itself: up to ``BLOCK``
-sets in one task; more are split on their signatures, and what even one signature
-gathers more of, in blocks of which each two meet. Sketches come first, then the shingle
-hashes of those with a partner left, unless they are connected by then. Only links that
-connect come out, and whole texts decide on them too.
+document then still is of different classes, it is compared among itself, in blocks of
+which each two meet in a task: sketches first, then the shingle hashes of those with a
+partner left, unless they are connected by then. Only links that connect come out, and
+whole texts decide on them too.
 
 Defined cases: ids are integers, others an error; a null or blank text has an empty set and no links; fewer words than a
 shingle count as one shingle; equal sets are linked; a null id is returned with no
@@ -280,11 +279,17 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     scanned = scratch.materialize(texts.mapInArrow(first_scan, "id long, n long, h1 long, h2 long, range int, cells binary"), "sets")
     sets = scanned.where("range is null").select("id", "n", "h1", "h2")
-    table = repeated.repeated_table(scanned.where("range is not null").select("range", "cells"), log2, ranges)
-    held = docs.sparkSession.sparkContext.broadcast(table.tobytes())
+    open_table = repeated.repeated_table(scanned.where("range is not null").select("range", "cells"), log2, ranges)
+    # one document stands for those with an equal set
+    real = sets.where("n > 0 and id is not null")
+    same = real.groupBy("h1", "h2").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b <> last").select("h1", "h2", "b")
+    same = scratch.materialize(same, "same")
+    equal = scratch.materialize(real.join(same, ["h1", "h2"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "equal")
+    copies = equal.select(F.col("a").alias("id"))
+    few = equal.count() <= BROADCAST_IDS
 
     def second_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, bits = Bands(percent), np.frombuffer(held.value, np.uint8)
+        own, bits = Bands(percent), open_table()
         names = ["sig", "id", "band", "spare", "part", "usable"]
 
         def rows(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -307,21 +312,14 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield rows(parts)
         give_back()
 
-    signed = scratch.materialize(texts.mapInArrow(second_scan, "sig long, id long, band int, spare int, part int, usable int"), "signatures")
-    held.unpersist()
-    return _classes(sets, signed, texts, shingle, percent)
+    asked = texts.join(F.broadcast(copies), "id", "left_anti").select(texts.columns) if few else texts
+    signed = scratch.materialize(asked.mapInArrow(second_scan, "sig long, id long, band int, spare int, part int, usable int"), "signatures")
+    if not few:
+        signed = signed.join(copies, "id", "left_anti")
+    return _classes(sets, equal, signed, texts, shingle, percent)
 
 
-def _classes(sets: DataFrame, signed: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    # one document stands for those with an equal set
-    real = sets.where("n > 0 and id is not null")
-    same = real.groupBy("h1", "h2").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b <> last").select("h1", "h2", "b")
-    same = scratch.materialize(same, "same")
-    equal = scratch.materialize(real.join(same, ["h1", "h2"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "equal")
-    few = equal.count() <= BROADCAST_IDS
-    copies = equal.select(F.col("a").alias("id"))
-    signed = signed.join(F.broadcast(copies) if few else copies, "id", "left_anti")
-
+def _classes(sets: DataFrame, equal: DataFrame, signed: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     # groups of at least two, and which of them are frequent
     groups = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").drop("last")
     groups = scratch.materialize(groups, "groups")
@@ -332,7 +330,7 @@ def _classes(sets: DataFrame, signed: DataFrame, texts: DataFrame, shingle: int,
     lost = gone.groupBy("id", "band", "spare").agg(F.sum(price(F.col("usable")) - price(F.col("usable") - F.col("f"))).alias("lost"))
     needed = scratch.materialize(lost.where((F.col("lost") > F.col("spare"))).select("id", "band"), "needed")
     kept = hot.join(needed, ["id", "band"]).select(*members.columns)
-    members = scratch.materialize(members.where(F.col("n") <= FREQUENT).unionByName(kept).select("sig", "id", "leader"), "members")
+    members = members.where(F.col("n") <= FREQUENT).unionByName(kept)
 
     # each other member meets its leader: sketches tell which may be similar, texts which are
     pairs = scratch.materialize(members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
@@ -345,30 +343,13 @@ def _classes(sets: DataFrame, signed: DataFrame, texts: DataFrame, shingle: int,
     state = scratch.materialize(_rooted(pairs.select(F.col("a").alias("id"), F.col("b").alias("leader")), roots, "id", "root"), "state")
     split = scratch.materialize(state.groupBy("leader").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).where("r0 <> r1").select("leader", "n"), "split")
     if not split.isEmpty():
-        cells = _cells(_open_groups(state, split, members))
+        cells = _cells(scratch.materialize(state.join(split, "leader"), "open"))
         hopeful = scratch.materialize(_hopeful(cells, sketches, percent), "hopeful")
         found = scratch.materialize(_settle(cells.join(hopeful, [*GROUP, "id"]), texts, shingle, percent).distinct(), "found")
         roots = components(links.unionByName(_similar(found, texts, shingle, percent)))
     return _rooted(sets.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")), roots, "doc_id", "component_id")
 
 
-def _open_groups(state: DataFrame, split: DataFrame, members: DataFrame) -> DataFrame:
-    """(kind, sig, id, root, n) of the groups with members of different classes.
-
-    Up to ``BLOCK`` sets of one leader are one group (kind 0). More are split on their
-    signatures (kind 1): two of them need to meet only if they share one; of groups with
-    the same members one is taken. Tables of one row a group, so that joins with them can
-    split a hot one.
-    """
-    small = state.join(split.where(F.col("n") <= BLOCK), "leader").select(F.lit(0).alias("kind"), F.col("leader").alias("sig"), "id", "root", "n")
-    large = state.join(scratch.materialize(split.where(F.col("n") > BLOCK).select("leader"), "large"), "leader")
-    rest = scratch.materialize(members.select("sig", "id", "leader").join(large, ["leader", "id"]).select("sig", "id", "root"), "open-members")
-    mark = lambda *more: F.bit_xor(F.xxhash64("id", *more))
-    names = rest.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), mark().alias("x"), mark(F.lit(1)).alias("y")).where("r0 <> r1")
-    one = scratch.materialize(names.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "n"), "open")
-    return scratch.materialize(small.unionByName(rest.join(one, "sig").select(F.lit(1).alias("kind"), "sig", "id", "root", "n")), "open-groups")
-
-
 def _rooted(df: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
     """df with the root of a node, which is the node itself where it has no links."""
     r = roots.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
@@ -376,14 +357,14 @@ def _rooted(df: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
 
 
 #: What names a task that compares the sets of a group, or of two blocks of it.
-GROUP = ["kind", "sig", "i", "j"]
+GROUP = ["leader", "i", "j"]
 
 
 def _cells(rest: DataFrame) -> DataFrame:
-    """rest(kind, sig, id, root, n) dealt into tasks GROUP: larger groups are cut into blocks of which each two meet."""
+    """rest(leader, id, root, n) dealt into tasks GROUP: larger groups are cut into blocks of which each two meet."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
-    return dealt.select("kind", "sig", "id", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("kind", "sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root", "block")
+    return dealt.select("leader", "id", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root", "block")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -442,7 +423,7 @@ def _hopeful(cells: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         give_back()
 
     rows = cells.dropDuplicates([*GROUP, "id"]).join(sketches, "id").select(*GROUP, "id", "n", "root", "block", "own", "next")
-    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "id").mapInArrow(choose, "kind int, sig long, i int, j int, id long")
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "id").mapInArrow(choose, "leader long, i int, j int, id long")
 
 
 def _elements(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:

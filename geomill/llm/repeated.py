@@ -1,29 +1,32 @@
-"""Which 64-bit keys may occur twice: a bit table of fixed size, made in one light shuffle.
+"""Which 64-bit keys may occur twice: a mapped bit table, made in one light shuffle.
 
 Each task hashes its keys to cells and sends, for each range of cells, one sorted
 array of 32-bit cell numbers: four bytes a key, and at most two for a cell. A range's
-arrays meet in one task, which marks the cells met twice. The table has ``2 ** log2``
-bits, 64 MB at most whatever the input; a key in an unmarked cell occurs once, so a
+arrays meet in one task, which marks the cells met twice. The table has 16 to 32 cells
+for each key expected, ``2 ** MOST_LOG2`` at most; it is a file in the shared folder, written
+range by range, that workers map read-only. A key in an unmarked cell occurs once, so a
 second scan need shuffle only the others. On inputs that fill the table more keys
 shuffle, and nothing else changes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-MOST_LOG2 = 29
+from geomill.llm import scratch
+
+MOST_LOG2 = 32
 #: Keys that a task holds before it sends them.
 HELD = 2_000_000
 
 
 def table_size(keys: int) -> tuple[int, int]:
     """(log2 of the cells, number of ranges) for about so many keys."""
-    log2 = min(MOST_LOG2, max(12, (8 * max(keys, 1)).bit_length()))
+    log2 = min(MOST_LOG2, max(12, (16 * max(keys, 1)).bit_length()))
     ranges = 1 << min(log2 - 8, max(4, (keys // 500_000).bit_length()))
     return log2, ranges
 
@@ -55,8 +58,8 @@ class Collector:
         self.parts, self.n = [], 0
 
 
-def repeated_table(sent: DataFrame, log2: int, ranges: int) -> np.ndarray:
-    """The packed bit table of the sent (range, cells) rows: 2 ** log2 bits."""
+def repeated_table(sent: DataFrame, log2: int, ranges: int) -> Callable[[], np.ndarray]:
+    """A function that maps the packed bit table of the sent (range, cells) rows: 2 ** log2 bits."""
     width = (1 << log2) // ranges
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -66,10 +69,20 @@ def repeated_table(sent: DataFrame, log2: int, ranges: int) -> np.ndarray:
         bits[c[1:][c[1:] == c[:-1]].astype(np.int64) - k * width] = True
         return pd.DataFrame({"range": [k], "bits": [np.packbits(bits).tobytes()]})
 
-    table = np.zeros((1 << log2) // 8, np.uint8)
-    for row in sent.groupBy("range").applyInPandas(mark, "range int, bits binary").toLocalIterator():
-        table[row["range"] * width // 8 : (row["range"] + 1) * width // 8] = np.frombuffer(row["bits"], np.uint8)
-    return table
+    marked = scratch.materialize(sent.groupBy("range").applyInPandas(mark, "range int, bits binary"), "marked")
+
+    def parts() -> Iterator[bytes]:
+        at = 0
+        for row in marked.orderBy("range").toLocalIterator():
+            for _ in range(at, row["range"]):
+                yield bytes(width // 8)
+            yield bytes(row["bits"])
+            at = row["range"] + 1
+        for _ in range(at, ranges):
+            yield bytes(width // 8)
+
+    path = scratch.local_file(sent.sparkSession, scratch.write_file(sent.sparkSession, "repeated", parts()))
+    return lambda: np.memmap(path(), np.uint8, "r")
 
 
 def maybe_repeated(keys: np.ndarray, table: np.ndarray, log2: int) -> np.ndarray:

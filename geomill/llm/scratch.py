@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 _tables: list[str] = []
@@ -66,6 +67,16 @@ def write_file(spark: SparkSession, name: str, parts: Iterable[bytes]) -> str:
     return path
 
 
+def local_file(spark: SparkSession, path: str) -> Callable[[], str]:
+    """A function that gives a worker a local path of a file: its own if the shared folder is mounted, or else a copy by Spark."""
+    if path.startswith("file:"):
+        local = "/" + path.removeprefix("file:").lstrip("/")
+        return lambda: local
+    spark.sparkContext.addFile(path)
+    name = path.rpartition("/")[2]
+    return lambda: SparkFiles.get(name)
+
+
 def tables() -> list[str]:
     """The paths given out so far and not released."""
     return list(_tables)

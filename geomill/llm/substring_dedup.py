@@ -120,11 +120,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         yield send()
         give_back()
 
-    table = repeated.repeated_table(source.select("text").mapInArrow(first_scan, "range int, cells binary"), log2, ranges)
-    held = docs.sparkSession.sparkContext.broadcast(table.tobytes())
+    open_table = repeated.repeated_table(source.select("text").mapInArrow(first_scan, "range int, cells binary"), log2, ranges)
 
     def second_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(held.value, np.uint8)
+        bits = open_table()
         for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, len(whole), SLICE)):
             owner, rows, words = [], [], []
             for i, _, ends, chunks, digests in _chunks(batch):
@@ -142,7 +141,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         give_back()
 
     hits = scratch.materialize(source.mapInArrow(second_scan, "id long, th long, d1 long, d2 long, k long, start long, length long, words long"), "chunks")
-    held.unpersist()
     place = F.struct("id", "th", "start")
     first = hits.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("d1", "d2", "first")
     # a table of one row a digest: in a join with it a very common chunk can be split
