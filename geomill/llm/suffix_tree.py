@@ -18,8 +18,9 @@ most frequent short words are broadcast, and the others of each text meet the co
 a join.
 
 Defined cases: a null text is empty, its score that of the end mark; a null id counts
-as an empty text in the split; without training rows every byte is equally likely;
-rows repeated with one id are scored each; other columns are ignored.
+as an empty text in the split; a NUL byte is scored, but no context that holds one is
+kept; without training rows every byte is equally likely; rows repeated with one id are
+scored each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geomill.llm import scratch
@@ -46,6 +46,8 @@ END = 10
 HELD_WORDS, HELD_BYTES = 600_000, 4 << 20
 #: Contexts of up to so many bytes are learned by the driver; counts that a task gathers before it adds them up; bytes of texts scored at once.
 LOW, HELD_CODES, SCORED_BYTES = 2, 4 << 20, 1 << 20
+#: Codes in a row, and packed codes of neighbouring keys that are learned together.
+PACKED, LEARNED_BYTES = 256, 24 << 20
 PARTS = ("contexts", "weights", "pairs", "logp")
 #: A text steps through the automaton in rows of so many bytes, so many rows at once.
 ROW, ROWS = 256, 8_192
@@ -77,6 +79,29 @@ def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return u, np.bincount(back, np.concatenate(counts), len(u)).astype(np.int64)
 
 
+#: A task's counts: of a word, of a byte behind LOW bytes (code), or packed ones of codes that end alike (key).
+COUNTED = {"word": pa.binary(), "code": pa.int64(), "key": pa.int32(), "codes": pa.binary(), "counts": pa.binary(), "c": pa.int64()}
+COUNTED_DDL = "word binary, code long, key int, codes binary, counts binary, c long"
+
+
+def _row(n: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(n, kind)) for name, kind in COUNTED.items()], names=list(COUNTED))
+
+
+def _packed(u: np.ndarray, c: np.ndarray, depth: int) -> Iterator[pa.RecordBatch]:
+    """Sorted codes and their counts, a row for each key and at most ``PACKED`` codes."""
+    keys = (u >> np.uint64(8 * (depth - LOW))).astype(np.int32)
+    new = np.r_[True, keys[1:] != keys[:-1]] if len(u) else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    inside = np.arange(len(u)) - np.repeat(first, np.diff(np.r_[first, len(u)]))
+    cuts = np.r_[np.flatnonzero(inside % PACKED == 0), len(u)]
+    for at in range(0, len(cuts) - 1, 10_000):
+        part = cuts[at : at + 10_001]
+        s, e, n = int(part[0]), int(part[-1]), len(part) - 1
+        own = lambda x, width: pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(((part - s) * width).astype(np.int32).tobytes()), pa.py_buffer(x[s:e].tobytes())])  # noqa: B023, E731
+        yield _row(n, key=pa.array(keys[part[:-1]]), codes=own(u, 8), counts=own(c.astype(np.int64), 8))
+
+
 def _counts(depth: int):  # noqa: ANN202
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
@@ -93,16 +118,17 @@ def _counts(depth: int):  # noqa: ANN202
 
         def send() -> Iterator[pa.RecordBatch]:
             fold()
-            kind, n = list(words), 0
+            kind = list(words)
             for at in range(0, len(kind), 100_000):
                 part = kind[at : at + 100_000]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.nulls(n, pa.int64()), pa.array([words[w] for w in part], pa.int64())], names=["word", "code", "c"])
+                yield _row(len(part), word=pa.array(part, pa.binary()), c=pa.array([words[w] for w in part], pa.int64()))
             words.clear()
             if codes:
                 u, c = _summed(*map(list, zip(*codes, strict=True)))
                 codes.clear()
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.binary()), pa.array(u.view(np.int64)), pa.array(c)], names=["word", "code", "c"])
+                low, back = np.unique(u >> np.uint64(8 * (depth - LOW + 1)) << np.uint64(8) | u & np.uint64(255), return_inverse=True)
+                yield _row(len(low), code=pa.array(low.view(np.int64)), c=pa.array(np.bincount(back, c, len(low)).astype(np.int64)))
+                yield from _packed(u, c, depth)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -118,8 +144,8 @@ def _counts(depth: int):  # noqa: ANN202
                 if len(words) >= HELD_WORDS or len(codes) >= 16:
                     yield from send()
         yield from send()
-        # the end mark: a word of its own, with neither word nor code here
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([texts], pa.int64())], names=["word", "code", "c"])
+        # the end mark: a word of its own, with neither word nor code nor key here
+        yield _row(1, c=pa.array([texts], pa.int64()))
         give_back()
 
     return count
@@ -278,30 +304,27 @@ class SuffixTree:
         return total
 
 
-def _map(spark: SparkSession, path: str):  # noqa: ANN202
-    """A function that gives a worker the file's local path: itself if the shared folder is mounted, or else a copy by Spark."""
-    if path.startswith("file:"):
-        local = "/" + path.removeprefix("file:").lstrip("/")
-        return lambda: local
-    spark.sparkContext.addFile(path)
-    name = path.rpartition("/")[2]
-    return lambda: SparkFiles.get(name)
-
-
 def _learn(counted: DataFrame, depth: int):  # noqa: ANN202
     """A function that opens the tree in a worker."""
-    spark, codes = counted.sparkSession, counted.where("code is not null").select("code", "c")
-    whole = F.shiftrightunsigned("code", 8 * (depth - LOW))
-    low = codes.groupBy(F.shiftleft(F.shiftright(whole, 8), 8).bitwiseOR(F.col("code").bitwiseAND(255)).alias("code")).agg(F.sum("c").alias("c")).toPandas().sort_values("code")
+    spark = counted.sparkSession
+    low = counted.where("code is not null").groupBy("code").agg(F.sum("c").alias("c")).toPandas().sort_values("code")
     pairs, c = low["code"].to_numpy().astype(np.uint64), low["c"].to_numpy()
     small, below, p = grow(pairs, c, LOW, 0)
     times = np.bincount((pairs & np.uint64(255)).astype(np.int64), c, 256)
     root = np.log10((times + 0.5) / (times.sum() + 0.5 * 256))
     shared = spark.sparkContext.broadcast((below, p))
 
+    blobs = counted.where("key is not null")
+    # neighbouring keys up to LEARNED_BYTES are one bucket; a row for each key, 2^24 at most
+    sizes = blobs.groupBy("key").agg(F.sum(F.octet_length("codes").cast("long")).alias("b")).toPandas().sort_values("key")
+    up_to = sizes["b"].to_numpy(np.int64).cumsum()
+    buckets = spark.createDataFrame(sizes[["key"]].assign(bucket=(up_to - sizes["b"].to_numpy(np.int64)) // LEARNED_BYTES), "key int, bucket int")
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: tuple[list, list] = ([], [])
         held = distinct = 0
+        at = None
+        below, p = shared.value
 
         def add_up() -> None:
             nonlocal held, distinct
@@ -309,24 +332,37 @@ def _learn(counted: DataFrame, depth: int):  # noqa: ANN202
             gathered[0][:], gathered[1][:] = [u], [c]
             held, distinct = 0, len(u)
 
-        for batch in batches:
-            gathered[0].append(batch.column(0).to_numpy().view(np.uint64))
-            gathered[1].append(batch.column(1).to_numpy())
-            held += len(batch)
-            if held >= max(HELD_CODES, distinct):
-                add_up()
-        if gathered[0]:
+        def finish() -> Iterator[pa.RecordBatch]:
+            nonlocal held, distinct
             add_up()
-            below, p = shared.value
-            at = int(gathered[0][0][0]) >> 8 * (depth - LOW) if distinct else 0
             for k, arrays in grow(gathered[0][0], gathered[1][0], depth, LOW, p, below)[0].items():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at], pa.int64()), pa.array([len(arrays[0])], pa.int64()), pa.array([len(arrays[2])], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in arrays]], names=["k", "at", "n", "m", *PARTS])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at], pa.int32()), pa.array([len(arrays[0])], pa.int64()), pa.array([len(arrays[2])], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in arrays]], names=["k", "at", "n", "m", *PARTS])
+            gathered[0].clear(), gathered[1].clear()
+            held = distinct = 0
+
+        for batch in batches:
+            bucket = batch.column(0).to_numpy()
+            cuts = (np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist()
+            for s, e in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+                if s == e:
+                    continue
+                if at is not None and bucket[s] != at:
+                    yield from finish()
+                at = int(bucket[s])
+                own, times = (np.frombuffer(b"".join(batch.column(k).slice(s, e - s).to_pylist()), np.uint64 if k == 1 else np.int64) for k in (1, 2))
+                gathered[0].append(own)
+                gathered[1].append(times)
+                held += len(own)
+                if held >= max(HELD_CODES, distinct):
+                    add_up()
+        if at is not None:
+            yield from finish()
         give_back()
 
-    ends_alike = F.shiftrightunsigned("code", 8 * (depth - LOW))
-    grown = scratch.materialize(codes.repartitionByRange(ends_alike).mapInArrow(learn, "k int, at long, n long, m long, " + ", ".join(f"{x} binary" for x in PARTS)), "tree")
+    dealt = blobs.join(F.broadcast(buckets), "key").select("bucket", "codes", "counts").repartition("bucket").sortWithinPartitions("bucket")
+    grown = scratch.materialize(dealt.mapInArrow(learn, "k int, at int, n long, m long, " + ", ".join(f"{x} binary" for x in PARTS)), "tree")
     sizes = {r["k"]: (r["n"], r["m"]) for r in grown.groupBy("k").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect()}
-    files = [_map(spark, scratch.write_file(spark, x, (bytes(r[x]) for r in grown.select("k", "at", x).orderBy("k", "at").toLocalIterator()))) for x in PARTS]
+    files = [scratch.local_file(spark, scratch.write_file(spark, x, (bytes(r[x]) for r in grown.select("k", "at", x).orderBy("k", "at").toLocalIterator()))) for x in PARTS]
 
     def tree() -> SortedTree:
         levels, at = dict(small), [0, 0]
@@ -344,9 +380,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     spark, id_type = docs.sparkSession, dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.monotonically_increasing_id().alias("row"))
-    counted = scratch.materialize(rows.select("doc_id", "text").mapInArrow(_counts(depth), "word binary, code long, c long"), "counted")
+    counted = scratch.materialize(rows.select("doc_id", "text").mapInArrow(_counts(depth), COUNTED_DDL), "counted")
     words = scratch.materialize(counted.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
-    ends = counted.where("word is null and code is null").agg(F.sum("c").alias("c")).first()["c"] or 0
+    ends = counted.where("word is null and code is null and key is null").agg(F.sum("c").alias("c")).first()["c"] or 0
     # eight bins an octave of counts
     short = F.octet_length("word") <= COMMON_BYTES
     bins = words.groupBy(F.floor(F.log2("c") * 8).alias("bin")).agg(F.count(F.when(short, 1)).alias("n"), F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds")).collect()
