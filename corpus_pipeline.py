@@ -20,8 +20,10 @@ from geomill.llm.quality import keep_good
 from geomill.llm.substring_dedup import drop_repeats
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Scratch tables of the stage before, by session.
-_used: dict[int, list[str]] = {}
+#: Documents that a Python worker gets at once.
+BATCH_ROWS = 2_000
+#: Scratch tables of the stage before, by application.
+_used: dict[str, list[str]] = {}
 
 
 def _stage(stage: Stage) -> Stage:
@@ -29,10 +31,12 @@ def _stage(stage: Stage) -> Stage:
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        scratch.release(spark, _used.pop(id(spark), []), docs)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        application = spark.sparkContext.applicationId
+        scratch.release(spark, _used.pop(application, []), docs)
         before = set(scratch.tables())
         out = stage(spark, docs, sf_dir)
-        _used[id(spark)] = [p for p in scratch.tables() if p not in before]
+        _used[application] = [p for p in scratch.tables() if p not in before]
         return out
 
     return run
