@@ -22,6 +22,8 @@ from geomill.llm import scratch
 MOST_LOG2 = 32
 #: Keys that a task holds before it sends them.
 HELD = 2_000_000
+#: Ranges that the driver passes on at once, of 256 KB to 1 MB each.
+FETCHED = 4
 
 
 def table_size(keys: int) -> tuple[int, int]:
@@ -73,7 +75,9 @@ def repeated_table(sent: DataFrame, log2: int, ranges: int) -> Callable[[], np.n
 
     def parts() -> Iterator[bytes]:
         at = 0
-        for row in marked.orderBy("range").toLocalIterator():
+        # a few ranges of the table are here at once
+        ordered = marked.repartitionByRange(max(1, ranges // FETCHED), "range").sortWithinPartitions("range")
+        for row in ordered.toLocalIterator():
             for _ in range(at, row["range"]):
                 yield bytes(width // 8)
             yield bytes(row["bits"])
