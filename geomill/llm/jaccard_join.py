@@ -23,7 +23,8 @@ pairs with too few equal partitions, whole texts decide on the rest. Where what
 document then still is of different classes, it is compared among itself, in blocks of
 which each two meet in a task: sketches first, then the shingle hashes of those with a
 partner left, unless they are connected by then. Only links that connect come out, and
-whole texts decide on them too.
+whole texts decide on them too. Sets count as equal where their words are the same
+(a 192-bit digest of them), or where whole texts of equal set hashes say so.
 
 Defined cases: ids are integers, others an error; a null or blank text has an empty set and no links; fewer words than a
 shingle count as one shingle; equal sets are linked; a null id is returned with no
@@ -34,6 +35,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -148,25 +150,24 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
 
 
-def _sets(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int | None, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int | None, np.ndarray, bytes]]:
+    """id, shingle hashes and text of each row."""
     for at in range(0, len(batch), BATCH_DOCS):
         part = batch.slice(at, BATCH_DOCS)
-        words = word_hashes([t or b"" for t in part.column(1).to_pylist()])
-        for own, w in zip(part.column(0).to_pylist(), words, strict=True):
-            yield own, shingle_set(w, shingle)
+        texts = [t or b"" for t in part.column(1).to_pylist()]
+        for own, w, t in zip(part.column(0).to_pylist(), word_hashes(texts), texts, strict=True):
+            yield own, shingle_set(w, shingle), t
 
 
 def _identity(elements: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a set."""
+    """Equal for equal sets of hashes."""
     a, b = np.add.reduce(mix(elements)), np.add.reduce(mix(elements + np.uint64(0x1234567)))
     return int(np.uint64(a).view(np.int64)), int(np.uint64(b).view(np.int64))
 
 
-def jaccard_texts(a: bytes, b: bytes, shingle: int) -> tuple[int, int]:
-    """(intersection, union) of two texts' shingle sets, on the strings themselves."""
-    x, y = string_set(a, shingle), string_set(b, shingle)
-    both = len(x & y)
-    return both, len(x) + len(y) - both
+def _words_digest(text: bytes) -> bytes:
+    """Names the sequence of a text's words."""
+    return blake2b(b" ".join(text.lower().split()), digest_size=24).digest()
 
 
 def string_set(text: bytes, shingle: int) -> set[bytes]:
@@ -190,7 +191,7 @@ def _sketches(ids: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
         bands = Bands(percent)
         for batch in batches:
             ids, n, own, after = [], [], [], []
-            for i, s in _sets(batch, shingle):
+            for i, s, _ in _sets(batch, shingle):
                 band = bands.of(len(s))
                 ids.append(i), n.append(len(s))
                 for out, b in ((own, band), (after, band + 1)):
@@ -248,6 +249,24 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return scratch.materialize(joined.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long"), "similar")
 
 
+def _equal(sets: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) from a set (id, h1, h2, words) to the smallest id with an equal one.
+
+    The same words make equal sets; of different words whose sets' hashes are equal, whole
+    texts decide.
+    """
+    groups = sets.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min("words").alias("w0"), F.max("words").alias("w1"))
+    members = sets.select("h1", "h2", "words", "id").join(scratch.materialize(groups.where("first <> last"), "same"), ["h1", "h2"])
+    same = members.where("w0 = w1 and id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    mixed = scratch.materialize(members.where("w0 <> w1").select("h1", "h2", "words", "id", "first"), "same-hashes")
+    if mixed.isEmpty():
+        return same.distinct()
+    of_words = scratch.materialize(mixed.groupBy("h1", "h2", "words", "first").agg(F.min("id").alias("b")), "same-words")
+    copies = mixed.join(of_words.select("h1", "h2", "words", "b"), ["h1", "h2", "words"]).where("id <> b").select(F.col("id").alias("a"), "b")
+    other = of_words.where("b <> first").select(F.col("b").alias("a"), F.col("first").alias("b")).distinct()
+    return same.unionByName(copies).unionByName(_similar(other, texts, shingle, percent)).distinct()
+
+
 def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of each row: the smallest id that links of at least percent / 100 reach."""
     scratch.integer_ids(docs, id_col)
@@ -259,32 +278,29 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def first_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, collector = Bands(percent), repeated.Collector(log2, ranges)
 
-        def rows(ids: list, n: list, h1: list, h2: list, sent: list) -> pa.RecordBatch:
+        def rows(ids: list, n: list, h1: list, h2: list, words: list, sent: list) -> pa.RecordBatch:
             k, nulls = len(sent), len(ids)
-            columns = [pa.array(ids + [None] * k, pa.int64()), pa.array(n + [None] * k, pa.int64()), pa.array(h1 + [None] * k, pa.int64()), pa.array(h2 + [None] * k, pa.int64()), pa.array([None] * nulls + [r for r, _ in sent], pa.int32()), pa.array([None] * nulls + [c for _, c in sent], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["id", "n", "h1", "h2", "range", "cells"])
+            columns = [*[pa.array(c + [None] * k, pa.int64()) for c in (ids, n, h1, h2)], pa.array(words + [None] * k, pa.binary()), pa.array([None] * nulls + [r for r, _ in sent], pa.int32()), pa.array([None] * nulls + [c for _, c in sent], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["id", "n", "h1", "h2", "words", "range", "cells"])
 
         for batch in batches:
-            ids, n, h1, h2 = [], [], [], []
-            for i, s in _sets(batch, shingle):
+            ids, n, h1, h2, words = [], [], [], [], []
+            for i, s, text in _sets(batch, shingle):
                 a, b = _identity(s) if len(s) else (0, 0)
-                ids.append(i), n.append(len(s)), h1.append(a), h2.append(b)
+                ids.append(i), n.append(len(s)), h1.append(a), h2.append(b), words.append(_words_digest(text))
                 if len(s) and i is not None:
                     for _, _, found, *_ in own.signatures(s):
                         if collector.add(found):
-                            yield rows([], [], [], [], list(collector.send()))
-            yield rows(ids, n, h1, h2, [])
-        yield rows([], [], [], [], list(collector.send()))
+                            yield rows([], [], [], [], [], list(collector.send()))
+            yield rows(ids, n, h1, h2, words, [])
+        yield rows([], [], [], [], [], list(collector.send()))
         give_back()
 
-    scanned = scratch.materialize(texts.mapInArrow(first_scan, "id long, n long, h1 long, h2 long, range int, cells binary"), "sets")
-    sets = scanned.where("range is null").select("id", "n", "h1", "h2")
+    scanned = scratch.materialize(texts.mapInArrow(first_scan, "id long, n long, h1 long, h2 long, words binary, range int, cells binary"), "sets")
+    sets = scanned.where("range is null").select("id", "n", "h1", "h2", "words")
     open_table = repeated.repeated_table(scanned.where("range is not null").select("range", "cells"), log2, ranges)
     # one document stands for those with an equal set
-    real = sets.where("n > 0 and id is not null")
-    same = real.groupBy("h1", "h2").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b <> last").select("h1", "h2", "b")
-    same = scratch.materialize(same, "same")
-    equal = scratch.materialize(real.join(same, ["h1", "h2"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "equal")
+    equal = scratch.materialize(_equal(sets.where("n > 0 and id is not null"), texts, shingle, percent), "equal")
     copies = equal.select(F.col("a").alias("id"))
     few = equal.count() <= BROADCAST_IDS
 
@@ -298,7 +314,7 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         none = (np.empty(0, np.int64),) * 6
         for batch in batches:
             parts, ready = [none], 0
-            for i, s in _sets(batch, shingle):
+            for i, s, _ in _sets(batch, shingle):
                 if not len(s) or i is None:
                     continue
                 for band, spare, found, part, usable in own.signatures(s):
@@ -431,7 +447,7 @@ def _elements(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, elements = zip(*[(i, s.tobytes()) for i, s in _sets(batch, shingle)], strict=True) if len(batch) else ((), ())
+            ids, elements = zip(*[(i, s.tobytes()) for i, s, _ in _sets(batch, shingle)], strict=True) if len(batch) else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(elements, pa.binary())], names=["id", "e"])
 
     return scratch.materialize(_of(texts, ids).select("id", "text").mapInArrow(make, "id long, e binary").dropDuplicates(["id"]), "elements")

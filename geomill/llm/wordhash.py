@@ -14,6 +14,8 @@ _VALUE[65:91] = _VALUE[97:123]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes hashed at once: each takes some 40 bytes of arrays.
 BLOCK = 2 << 20
+#: Places of a word whose bytes' terms are in a table.
+NEAR = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,14 +25,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = np.ones(1, np.uint64)
+def _terms(byte: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """What a byte at a place of its word adds to the hash: not linear in the byte, so bytes that change places don't cancel out."""
+    return mix(_VALUE[byte] ^ mix(place.astype(np.uint64) * _BASE + np.uint64(1)))
 
 
-def _power(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, _BASE)], dtype=np.uint64)
-    return _powers
+_TABLE = _terms(np.tile(np.arange(256), NEAR), np.repeat(np.arange(NEAR), 256))
 
 
 def _hash_block(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +43,13 @@ def _hash_block(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = end - start
     first = np.cumsum(size) - size
     place = np.arange(int(first[-1] + size[-1])) - np.repeat(first, size)
-    terms = _VALUE[data[solid]] * _power(int(size.max()))[place]
+    byte = data[solid].astype(np.int64)
+    if int(size.max()) <= NEAR:
+        terms = _TABLE[place * 256 + byte]
+    else:
+        terms = _TABLE[np.minimum(place, NEAR - 1) * 256 + byte]
+        far = np.flatnonzero(place >= NEAR)
+        terms[far] = _terms(byte[far], place[far])
     return mix(np.add.reduceat(terms, first) + size.astype(np.uint64)), start
 
 

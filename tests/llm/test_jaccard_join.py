@@ -6,6 +6,7 @@ import pytest
 
 from geomill.llm import jaccard_join
 from geomill.llm.jaccard_join import drop_near_duplicates, linked_classes, string_set
+from geomill.llm.wordhash import word_hashes
 
 
 def brute(rows, shingle, percent):
@@ -126,3 +127,26 @@ def test_sets_in_one_place_sign_together():
     b = np.sort(np.r_[a[3:], a[-1] + np.uint64(9)])
     signs = [{s for _, _, found, *_ in bands.signatures(own) for s in found.tolist()} for own in (a, b)]
     assert signs[0] & signs[1]
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("size", [16, 256, 2048, 4096])
+def test_long_words_of_the_same_letters_differ(spark, documents, size):
+    word = thue_morse(size)
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert len({*np.concatenate(word_hashes([word.encode(), other.encode(), (word[::-1] + "c").encode()])).tolist()}) == 3
+    rows = [(1, word), (2, other), (3, word.upper() + " ")]
+    assert {r.doc_id: r.component_id for r in linked_classes(documents(rows)).collect()} == {1: 1, 2: 2, 3: 1}
+    assert {r.doc_id for r in drop_near_duplicates(documents(rows)).collect()} == {1, 2}
+
+
+def test_equal_hashes_are_confirmed_on_texts(spark):
+    """Sets whose hashes are equal though their texts aren't; and equal sets of different words."""
+    texts = {1: "a b c d", 2: "e f g h", 3: "A  b c d", 4: "e f g h", 5: "x x x x", 6: "x x x x x", 7: "x x x x"}
+    digest = jaccard_join._words_digest
+    sets = spark.createDataFrame([(i, 1 if i < 5 else 2, 9, digest(t.encode())) for i, t in texts.items()], "id long, h1 long, h2 long, words binary")
+    rows = spark.createDataFrame([(i, t.encode()) for i, t in texts.items()], "id long, text binary")
+    assert {(r.a, r.b) for r in jaccard_join._equal(sets, rows, 3, 90).collect()} == {(3, 1), (4, 2), (7, 5), (6, 5)}
