@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geomill.functions import keys, times
+from geomill.sources import shared, versions
 
 CANONICAL = ("Photo_ID", "Platform", "Latitude", "Longitude", "Image_URL", "Captured_At", "License", "photo_key")
 
@@ -105,6 +106,24 @@ def resume(todo: DataFrame, path: str, process: Callable[[DataFrame], DataFrame]
     return spark.read.parquet(path)
 
 
+def resume_in_lockstep(todo: DataFrame, root: str, process: Callable[[DataFrame], DataFrame], key: str = "photo_key", vector: str = "embedding") -> int:
+    """Like ``resume``, with the results in three tables that are never out of step: metadata, embeddings (key, vector) and keys; the version that has them.
+
+    What a call processes is computed once and then split, so the tables have the same keys
+    even if ``process`` wouldn't give the same rows again. They appear together in one commit
+    (``versions``): a call that is killed, even between two of the tables, leaves the version
+    before. A call with nothing left to do commits nothing.
+    """
+    spark = todo.sparkSession
+    base = versions.latest(spark, root)
+    rest = todo if base == 0 else only_new(todo, versions.read(spark, root, "keys", base), key)
+    made = shared.written(process(rest), "processed")
+    if base and made.isEmpty():
+        return base
+    tables = {"metadata": made.drop(vector), "embeddings": made.select(key, vector), "keys": made.select(key)}
+    return versions.commit(spark, root, tables, append=True, base=base)
+
+
 def _saved(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at path, or None where nothing was committed yet."""
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
@@ -143,6 +162,48 @@ def replace_cells(old: DataFrame, new: DataFrame, cells: DataFrame | None = None
     return concat(keyed(p(kept)), keyed(p(new)))
 
 
+#: The column, and so the folders, of coarse cells.
+PART = "part"
+
+
+def _named(part: Column) -> Column:
+    """A folder's name: never to be taken for a number."""
+    return F.concat(F.lit("c"), part.cast("string"))
+
+
+def save_by_cells(rows: DataFrame, path: str, part: Column, mode: str = "errorifexists") -> None:
+    """A table with a folder for each coarse cell, large ones in several files; rows without a cell have one of their own."""
+    rows.withColumn(PART, _named(part)).hint("rebalance", PART).write.mode(mode).option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
+
+
+def load_by_cells(spark: SparkSession, path: str) -> DataFrame:
+    """The table of ``save_by_cells``: columns that only later rows have are null in others."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
+def upsert_by_cells(spark: SparkSession, path: str, new: DataFrame, part: Callable[[Column], Column], cells: DataFrame | None = None, cell: str = "H3_Cell") -> list[str]:
+    """``replace_cells`` on a table in coarse cells, of which only those that hold active cells are read and written; their folders' names.
+
+    part gives a cell's coarse cell (a parent of it). Spark's dynamic partition overwrite
+    replaces these folders when the job commits and leaves the others' files alone; a
+    coarse cell that has no row left loses its folder right after. An upsert that was
+    stopped can simply be repeated. The names of folders touched go through the driver,
+    as the table's listing does.
+    """
+    active = shared.written((new if cells is None else cells).select(cell).where(F.col(cell).isNotNull()).distinct(), "active")
+    no_cell = not new.where(F.col(cell).isNull()).isEmpty()
+    touched = [r[0] for r in active.select(_named(part(F.col(cell)))).distinct().collect()]
+    inside = F.col(PART).isin(touched)
+    old = load_by_cells(spark, path).where(inside | F.col(PART).isNull() if no_cell else inside)
+    out = shared.written(replace_cells(old.drop(PART), new, active, cell), "upsert")
+    save_by_cells(out, path, part(F.col(cell)), mode="overwrite")
+    left = {r[0] for r in out.select(_named(part(F.col(cell)))).distinct().collect()}
+    for name in touched:
+        if name not in left:
+            shared.delete(spark, f"{path}/{PART}={name}")
+    return sorted(touched) + ["__HIVE_DEFAULT_PARTITION__"] * no_cell
+
+
 def align_embeddings(photos: DataFrame, embeddings: DataFrame, size: int, key: str = "photo_key", vector: str = "embedding", order: str | None = None) -> DataFrame:
     """Each photo with its vector: of a key's several the first by ``order`` (without that column the smallest by content), zeros where there is none."""
     one = embeddings.groupBy(key).agg((F.min_by(vector, F.struct(order, vector)) if order else F.min(vector)).alias(vector))

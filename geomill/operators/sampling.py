@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from geomill.sources import shared
+
 
 def chance(key: str, seed: int = 42) -> Column:
     """A fixed pseudo-random number of a row."""
@@ -141,8 +143,8 @@ def sparse_landmarks(photos: DataFrame, counts: DataFrame, cell: str, landmark:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df as a written table, or kept where the session has no folder for checkpoints (tests on one machine)."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+    """df as a table written to the shared folder."""
+    return shared.written(df, "round")
 
 
 def query_blocks(items: DataFrame, block: str, label: str, share: float = 0.2, seed: int = 42) -> DataFrame:

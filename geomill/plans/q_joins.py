@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geomill.functions import grid, keys
 from geomill.operators import cameras, ingest, maintain
 from geomill.plans.views import PHOTOS_SQL, cell_sql, photos, table
-from geomill.sources import tables
+from geomill.sources import shared, tables, versions
 
 
 def keyed(spark: SparkSession, d: str) -> DataFrame:
@@ -58,6 +58,44 @@ UPSERT_CELLS = _P2 + """
     UNION ALL SELECT Photo_ID, Platform, H3_Cell, event_id, Platform || '_' || Photo_ID, 'CC0' FROM n"""
 
 
+def _by_coarse_cell(c: Column) -> Column:
+    return grid.parent(c, 0)
+
+
+def upsert_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """The photos as a table in coarse cells, into which the photos of some finer cells come anew; what it holds then."""
+    p = photos(spark, d).select("Photo_ID", "Platform", grid.encode(F.col("Latitude"), F.col("Longitude"), 2).alias("H3_Cell"), "event_id")
+    path = shared.new_path(spark, "photos") + "/table"
+    ingest.save_by_cells(p.withColumn("photo_key", keys.photo_key(F.col("Platform"), F.col("Photo_ID"))), path, _by_coarse_cell(F.col("H3_Cell")))
+    new = p.where(grid.parent(F.col("H3_Cell"), 0) % 4 == 1).where(F.col("event_id") % 10 < 3).withColumn("Photo_ID", F.concat(F.lit("n"), "Photo_ID")).withColumn("License", F.lit("CC0"))
+    ingest.upsert_by_cells(spark, path, new, _by_coarse_cell)
+    return ingest.load_by_cells(spark, path).drop(ingest.PART)
+
+
+UPSERT_PARTITIONS = PHOTOS_SQL + f"""
+    , p AS (SELECT Photo_ID, Platform, CASE WHEN Latitude IS NOT NULL THEN {cell_sql(2)} END AS H3_Cell, {cell_sql(0)} AS c0, event_id FROM photos),
+    n AS (SELECT 'n' || Photo_ID AS Photo_ID, Platform, H3_Cell, event_id FROM p WHERE H3_Cell IS NOT NULL AND c0 % 4 = 1 AND event_id % 10 < 3)
+    SELECT Photo_ID, Platform, H3_Cell, event_id, Platform || '_' || Photo_ID AS photo_key, NULL AS License FROM p WHERE H3_Cell IS NULL OR H3_Cell NOT IN (SELECT H3_Cell FROM n)
+    UNION ALL SELECT Photo_ID, Platform, H3_Cell, event_id, Platform || '_' || Photo_ID, 'CC0' FROM n"""
+
+
+def lockstep_tables(spark: SparkSession, d: str) -> DataFrame:
+    """A download in two calls, each of which adds to metadata, embeddings and keys in one commit: what each table has for each photo, and in which version its key first is."""
+    root = shared.new_path(spark, "download")
+    todo = photos(spark, d).select(keys.photo_key(F.col("Platform"), F.col("Photo_ID")).alias("photo_key"), "event_id", "vec_id")
+    fetched = lambda rows: rows.join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id")
+    first = ingest.resume_in_lockstep(todo.where("event_id % 3 = 0"), root, fetched)
+    last = ingest.resume_in_lockstep(todo, root, fetched)
+    early = versions.read(spark, root, "keys", first).withColumn("early", F.lit(first))
+    at = lambda name: versions.read(spark, root, name, last)
+    total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    joined = at("keys").join(at("metadata"), "photo_key").join(at("embeddings"), "photo_key").join(early, "photo_key", "left")
+    return joined.select("photo_key", "event_id", F.round(total, 4).alias("total"), F.coalesce("early", F.lit(last)).cast("long").alias("version"))
+
+
+LOCKSTEP_TABLES = PHOTOS_SQL + " SELECT Platform || '_' || Photo_ID AS photo_key, event_id, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total, CAST(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS version FROM photos JOIN embeddings USING (vec_id)"
+
+
 def only_new_keys(spark: SparkSession, d: str) -> DataFrame:
     p = keyed(spark, d).select("photo_key", "event_id")
     return ingest.only_new(p, p.where(F.col("event_id") % 3 == 0))
@@ -211,6 +249,8 @@ QUERIES = {
     "join_clusters": (join_clusters, JOIN_CLUSTERS),
     "join_embeddings": (join_embeddings, JOIN_EMBEDDINGS),
     "upsert_cells": (upsert_cells, UPSERT_CELLS),
+    "upsert_partitions": (upsert_partitions, UPSERT_PARTITIONS),
+    "lockstep_tables": (lockstep_tables, LOCKSTEP_TABLES),
     "only_new_keys": (only_new_keys, ONLY_NEW_KEYS),
     "sync_counts": (sync_counts, SYNC_COUNTS),
     "sync_rows": (sync_rows, SYNC_ROWS),

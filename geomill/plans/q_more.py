@@ -238,6 +238,17 @@ def answer_values(spark: SparkSession, d: str) -> DataFrame:
 ANSWER_VALUES = "SELECT event_id, event_id AS n FROM events"
 
 
+def answer_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts out of model answers whose JSON is among other words, has a comma too many, or stands in a code fence."""
+    whole = F.to_json(F.struct(F.col("text").alias("t")))
+    i = F.pmod("doc_id", F.lit(3))
+    raw = F.when(i == 0, F.concat(F.lit("Sure: "), whole, F.lit(" done"))).when(i == 1, F.concat(F.regexp_replace(whole, r"\}$", ""), F.lit(", }"))).otherwise(F.concat(F.lit("```json\n"), whole, F.lit("\n```")))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2(F.try_variant_get(text.answer_json(raw), "$.t", "string").cast("binary"), 256).alias("sha256"))
+
+
+ANSWER_TEXTS = "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL"
+
+
 def wkt_points(spark: SparkSession, d: str) -> DataFrame:
     w = F.concat(F.lit("Point("), F.col("Longitude").cast("string"), F.lit(" "), F.col("Latitude").cast("string"), F.lit(")"))
     return photos(spark, d).where("Latitude is not null").select("event_id", geo.wkt_point(w).alias("p")).select("event_id", "p.lat", "p.lon")
@@ -328,6 +339,7 @@ QUERIES = {
     "map_zoom": (map_zoom, MAP_ZOOM),
     "model_answers": (model_answers, MODEL_ANSWERS),
     "answer_values": (answer_values, ANSWER_VALUES),
+    "answer_texts": (answer_texts, ANSWER_TEXTS),
     "wkt_points": (wkt_points, WKT_POINTS),
     "image_bytes": (image_bytes, IMAGE_BYTES),
     "archive_photos": (archive_photos, ARCHIVE_PHOTOS),

@@ -120,6 +120,15 @@ def test_addresses(spark):
     assert not one(spark, text.aerial_address(F.lit("https://a/b.JPG?x=1.gif")))
 
 
+@pytest.mark.parametrize("inside", ["x" * 1_000_000, '\\\\n\\"' * 250_000, "'{}[],```" * 120_000, "\\\\u00e9 " * 150_000])
+@pytest.mark.parametrize("form", ['{"a": "%s"}', 'so: {"a": "%s", }', "{'a': [1, 2,], \"b\": \"%s\",} there", '```json\n{"a": "%s"}\n```', '{"%s"}', '{"a": "%s"', '"%s"'])
+def test_long_answers(spark, inside, form):
+    """A million characters in every tier; where nothing can be read the answer is null, and the JVM lives."""
+    raw = spark.createDataFrame([(form.replace("%s", inside),)], "a string")
+    got = raw.select(F.length(F.to_json(text.answer_json(F.col("a")))).alias("n")).first()["n"]
+    assert (got is None) == (not form.rstrip("`\n there").endswith("}"))
+
+
 def test_answers(spark):
     label, description = text.model_label(F.lit('LABEL: **"Forest"** DESCRIPTION: Trees across the frames.'))
     assert one(spark, label) == "Forest"
