@@ -1,7 +1,16 @@
-"""Greedy removal of near-duplicates inside cells."""
+"""Greedy removal of near-duplicates inside cells.
 
-from __future__ import annotations
+In a given order a row stays unless it is more similar than a threshold to one of its
+cell that stays: the first independent set in that order. A cell of at most ``BLOCK`` rows is one
+task's work. Larger ones are settled in rounds, all at once. A round takes the next
+``BLOCK`` open rows of each, settles these among themselves, which nothing earlier can
+change any more, and lets all other open rows of the cell, ``CHUNK`` in a task, meet those
+that stay; rows too similar to one go. So a dense cell lies over many tasks, no task holds
+more than a block and a chunk, and similar pairs are never listed. Rounds are as many as the
+largest cell keeps blocks.
+"""
 
+from __future__ import annotations
 
 import numpy as np
 import pandas as pd
@@ -9,51 +18,98 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-THRESHOLD, BLOCK = 0.95, 2_048
+from geomill.operators import ranks
+from geomill.sources import shared
+
+THRESHOLD = 0.95
+#: Rows settled at once in one task (with 1,000 components 32 MB), and rows that meet what stays of them in another.
+BLOCK, CHUNK = 4_096, 32_768
+#: Parts of a cell of which each finds its own first ``BLOCK`` open rows.
+SALTS = 64
 
 
-def greedy(rows: np.ndarray, seeds: np.ndarray | None = None, threshold: float = THRESHOLD) -> np.ndarray:
-    """Which rows are kept: in order, a row stays unless it is more similar than the threshold to one kept before. Matrix products by blocks."""
-    unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1.0, n)
-    x = unit(np.asarray(rows, np.float32))
-    kept = np.empty((max(len(x), 1) + (0 if seeds is None else len(seeds)), x.shape[1]), np.float32)
-    m = 0
-    if seeds is not None and len(seeds):
-        m = len(seeds)
-        kept[:m] = unit(np.asarray(seeds, np.float32))
+def unit(rows: np.ndarray) -> np.ndarray:
+    x = np.asarray(rows, np.float64)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n == 0, 1.0, n)
+
+
+def alike(x: np.ndarray, kept: np.ndarray, threshold: float, step: int = 2_048) -> np.ndarray:
+    """Which unit rows are more similar than the threshold (to 6 places) to one of kept."""
     out = np.zeros(len(x), bool)
-    for at in range(0, len(x), BLOCK):
-        block = x[at : at + BLOCK]
-        free = np.ones(len(block), bool)
-        for c in range(0, m, BLOCK):  # against what was kept before, in pieces
-            free &= (block @ kept[c : min(c + BLOCK, m)].T).max(axis=1) <= threshold
-        inner = block @ block.T
+    for at in range(0, len(x), step):
+        for c in range(0, len(kept), step):
+            out[at : at + step] |= (np.round(x[at : at + step] @ kept[c : c + step].T, 6) > threshold).any(axis=1)
+    return out
+
+
+def greedy(rows: np.ndarray, seeds: np.ndarray | None = None, threshold: float = THRESHOLD, step: int = 2_048) -> np.ndarray:
+    """Which rows are kept: in order, a row stays unless it is more similar than the threshold (to 6 places) to a seed or one kept before. Matrix products by blocks."""
+    x, out = unit(rows), np.zeros(len(rows), bool)
+    base = np.empty((0, x.shape[1] if x.ndim == 2 else 0)) if seeds is None or not len(seeds) else unit(seeds)
+    for at in range(0, len(x), step):
+        block = x[at : at + step]
+        free = ~alike(block, base, threshold) & ~alike(block, x[:at][out[:at]], threshold)
+        inner = np.round(block @ block.T, 6) > threshold
         for i in np.flatnonzero(free):
             if free[i]:
                 out[at + i] = True
-                kept[m] = block[i]
-                m += 1
-                free[i + 1 :] &= inner[i, i + 1 :] <= threshold
+                free[i + 1 :] &= ~inner[i, i + 1 :]
     return out
 
 
-def dedup_cells(photos: DataFrame, cell: str, order: list[str], vector: str = "embedding", threshold: float = THRESHOLD, existing: DataFrame | None = None, id_col: str = "photo_key") -> DataFrame:
-    """photos without near-duplicates inside each cell, in the given order; existing photos of a cell are kept and seed it. Rows without cell or vector fall out.
+def dedup_cells(photos: DataFrame, cell: str, order: list[str], vector: str = "embedding", threshold: float = THRESHOLD, existing: DataFrame | None = None, id_col: str = "photo_key", block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+    """photos without near-duplicates inside each cell, in the given order (ties by id); existing photos of a cell are kept and come first. Rows without cell or vector fall out.
 
-    The rule is sequential within a cell, so a cell is one task's work; choose a fine
-    resolution. Only ids and vectors are shuffled.
+    Only ids and vectors are shuffled.
     """
-    use = lambda df, old: df.where(F.col(cell).isNotNull() & F.col(vector).isNotNull()).select(F.col(cell).alias("c"), F.col(id_col).alias("i"), F.struct(*[F.col(o) for o in order]).alias("o"), F.col(vector).alias("v"), F.lit(old).alias("old"))
+    use = lambda df, old: df.where(F.col(cell).isNotNull() & F.col(vector).isNotNull()).select(F.col(cell).alias("c"), F.lit(not old).alias("new"), F.struct(*[F.col(o) for o in order]).alias("o"), F.col(id_col).alias("i"), F.col(vector).alias("v"))
     rows = use(photos, False)
     if existing is not None:
         rows = rows.unionByName(use(existing, True))
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("c").orderBy("o", "i"))).drop("o")
+    # without the vectors, each row's place in its cell
+    rows = shared.written(rows.withColumn("r", F.monotonically_increasing_id()), "cells")
+    placed = ranks.numbered(rows.select("c", "new", "o", "i", "r"), "c", ["new", "o", "i", "r"], "k").select("r", "c", "k", "n")
+    state = shared.written(rows.select("r", "new", "i", "v").join(placed, "r"), "placed")
+    small, large = state.where(F.col("n") <= block), state.where(F.col("n") > block)
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k", ignore_index=True)
-        old = pdf["old"].to_numpy(bool)
-        x = np.stack(pdf["v"].to_numpy())
-        return pd.DataFrame({"i": pdf["i"][~old][greedy(x[~old], x[old], threshold)]})
+        x, new = np.stack(pdf["v"].to_numpy()), pdf["new"].to_numpy(bool)
+        stays = ~new
+        stays[new] = greedy(x[new], x[~new], threshold)
+        return pdf.loc[stays, ["c", "k", "new", "i", "v"]]
+
+    columns = ["c", "k", "new", "i", "v"]
+    shape = ", ".join(f"{c} {t}" for c, t in state.select(*columns).dtypes)
+    settled = lambda df: df.select(*columns).groupBy("c").applyInPandas(settle, shape)
+    kept = [settled(small).where("new").select("i")]
+    while not large.isEmpty():
+        # the first rows of each cell: first those of each salted part, then of all parts
+        parts = Window.partitionBy("c", F.pmod("k", F.lit(SALTS))).orderBy("k")
+        first = large.select("c", "k").withColumn("p", F.row_number().over(parts)).where(F.col("p") <= block)
+        first = first.withColumn("p", F.row_number().over(Window.partitionBy("c").orderBy("k"))).where(F.col("p") <= block).select("c", "k")
+        first = shared.written(first, "first")
+        stay = shared.written(settled(large.join(first, ["c", "k"], "left_semi")), "stay")
+        kept.append(stay.where("new").select("i"))
+        large = shared.written(_far(large.join(first, ["c", "k"], "left_anti"), stay, threshold, chunk), "open")
+    ids = kept[0]
+    for k in kept[1:]:
+        ids = ids.unionByName(k)
+    return photos.join(ids.withColumnRenamed("i", "__i"), F.col(id_col) == F.col("__i"), "left_semi")
+
+
+def _far(rest: DataFrame, stay: DataFrame, threshold: float, chunk: int) -> DataFrame:
+    """rest without new rows too similar to one of their cell that stays."""
+    chunks = shared.written(rest.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")), "chunks")
+    here = rest.join(chunks, "c").withColumn("chunk", F.pmod(F.xxhash64("k"), F.col("chunks").cast("long")).cast("int")).drop("chunks")
+    there = stay.select("c", "v").join(chunks, "c").select("c", "v", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+
+    def meet(pdf: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) and len(kept):
+            near = alike(unit(np.stack(pdf["v"].to_numpy())), unit(np.stack(kept["v"].to_numpy())), threshold)
+            pdf = pdf[~(near & pdf["new"].to_numpy(bool))]
+        return pdf.drop(columns="chunk")
 
-    kept = ranked.groupBy("c").applyInPandas(keep, f"i {dict(photos.dtypes)[id_col]}")
-    return photos.join(kept.withColumnRenamed("i", "__i"), F.col(id_col) == F.col("__i"), "left_semi")
+    shape = ", ".join(f"{c} {t}" for c, t in rest.dtypes)
+    return here.select(*rest.columns, "chunk").groupBy("c", "chunk").cogroup(there.groupBy("c", "chunk")).applyInPandas(meet, shape)

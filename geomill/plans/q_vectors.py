@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geomill.functions import geo, grid, vectors
 from geomill.operators import anomaly, cluster, ingest, metrics, near_dup, neighbours, stats
-from geomill.plans.views import PHOTOS_SQL, photos, table
+from geomill.plans.views import PHOTOS_SQL, cell_sql, photos, table
 
 
 def _embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -15,12 +15,12 @@ def _embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 
 _UNIT = "u AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings)"
-_KNN = f"{_UNIT}, s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_dot_product(q.v, c.v), 6) AS similarity FROM u q JOIN u c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id), knn AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INTEGER) AS rank FROM s)"
+_KNN = f"{_UNIT}, s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_dot_product(q.v, c.v), 6) AS similarity FROM u q JOIN u c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id), knn AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INTEGER) AS rank FROM s)"
 
 
 def _knn(spark: SparkSession, d: str, k: int) -> DataFrame:
     e = _embeddings(spark, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return neighbours.cosine_top_k(e.where("id % 50 = 0"), e, k, exclude_self=True)
+    return neighbours.cosine_top_k(e.where("id % 100 = 0"), e, k, exclude_self=True)
 
 
 def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
@@ -194,6 +194,15 @@ def dedup_in_cells(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.dedup_cells(p, "c", ["event_id"], threshold=0.6, id_col="event_id").select("event_id", "c")
 
 
+#: Cell by cell, row by row: the vectors kept so far go along.
+DEDUP_IN_CELLS = PHOTOS_SQL.replace("WITH base", "WITH RECURSIVE base") + f""", {_UNIT},
+    r AS (SELECT {cell_sql(1)} AS c, event_id, v, row_number() OVER (PARTITION BY {cell_sql(1)} ORDER BY event_id) AS k FROM photos JOIN u USING (vec_id) WHERE Latitude IS NOT NULL),
+    g(c, k, event_id, stays, kept) AS (SELECT c, k, event_id, true, [v] FROM r WHERE k = 1
+          UNION ALL SELECT c, k, event_id, stays, CASE WHEN stays THEN list_append(kept, v) ELSE kept END
+                    FROM (SELECT r.c, r.k, r.event_id, r.v, g.kept, len(list_filter(g.kept, lambda x: round(list_dot_product(x, r.v), 6) > 0.6)) = 0 AS stays FROM g JOIN r ON r.c = g.c AND r.k = g.k + 1))
+    SELECT event_id, c FROM g WHERE stays"""
+
+
 def kmeans_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     e = _embeddings(spark, d).select("vec_id", "embedding")
     return cluster.fit_hierarchy(e, 12, 3, id_col="vec_id").select("vec_id", "cluster_id", "parent_cluster_id")
@@ -231,7 +240,7 @@ QUERIES = {
     "hybrid_distances": (hybrid_distances, HYBRID_DISTANCES),
     "derived_halves": (derived_halves, DERIVED_HALVES),
     "half_precision": (half_precision, HALF_PRECISION),
-    "dedup_in_cells": (dedup_in_cells, None),
+    "dedup_in_cells": (dedup_in_cells, DEDUP_IN_CELLS),
     "kmeans_hierarchy": (kmeans_hierarchy, None),
     "medoid_summary": (medoid_summary, None),
     "block_costs": (block_costs, None),

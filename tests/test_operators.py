@@ -113,8 +113,31 @@ def test_greedy_blocks_agree_with_the_plain_rule(monkeypatch):
     kept = []
     for v in x / np.linalg.norm(x, axis=1, keepdims=True):
         kept.append(all(float(np.dot(v, w)) <= 0.9 for w, k in zip(x / np.linalg.norm(x, axis=1, keepdims=True), kept, strict=False) if k))
-    monkeypatch.setattr(near_dup, "BLOCK", 37)
-    assert near_dup.greedy(x, threshold=0.9).tolist() == kept
+    assert near_dup.greedy(x, threshold=0.9, step=37).tolist() == kept
+
+
+@pytest.mark.parametrize(("block", "chunk", "seeds"), [(4_096, 9_999, 60), (16, 40, 0), (16, 7, 60), (5, 1_000, 9)])
+def test_dedup_in_rounds_equals_the_walk(spark, block, chunk, seeds):
+    """A dense cell with many near and exact copies, zero vectors and seeds, settled in rounds; small and empty cells beside it."""
+    r = np.random.default_rng(8)
+    base = r.normal(size=(90, 6))
+    x = base[r.integers(0, 90, 500)] + r.normal(scale=0.25, size=(500, 6)) * (r.random(500) < 0.7)[:, None]
+    x[::50] = 0
+    cells = np.where(np.arange(500) % 5 < 3, 7, np.arange(500) % 23 + 100)
+    rows = [(i, int(c) if i % 41 else None, int(i * 7919 % 1000), v.astype(np.float32).tolist() if i % 43 else None) for i, (c, v) in enumerate(zip(cells, x, strict=True))]
+    schema = "i long, c long, o long, v array<float>"
+    old = [(10_000 + i, 7, i, v.astype(np.float32).tolist()) for i, v in enumerate(base[:seeds] + 0.2)]
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    got = near_dup.dedup_cells(df, "c", ["o"], "v", 0.9, spark.createDataFrame(old, schema) if seeds else None, "i", block, chunk)
+    unit = lambda v: np.asarray(v, float) / (np.linalg.norm(v) or 1.0)
+    kept = {7: [unit(v) for _, _, _, v in old]}
+    want = set()
+    for i, c, _, v in sorted((t for t in rows if t[1] is not None and t[3] is not None), key=lambda t: (t[2], t[0])):
+        u = unit(v)
+        if all(round(float(u @ k), 6) <= 0.9 for k in kept.setdefault(c, [])):
+            kept[c].append(u)
+            want.add(i)
+    assert {t.i for t in got.collect()} == want and 0 < len(want) < 450
 
 
 def test_dedup_keeps_existing(spark):
