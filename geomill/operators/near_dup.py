@@ -34,12 +34,17 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return x / np.where(n == 0, 1.0, n)
 
 
+def _limit(threshold: float) -> float:
+    """Similarities above this are, to 6 places, above the threshold."""
+    return (np.floor(np.round(threshold * 1e6, 3)) + 0.5) / 1e6
+
+
 def alike(x: np.ndarray, kept: np.ndarray, threshold: float, step: int = 2_048) -> np.ndarray:
     """Which unit rows are more similar than the threshold (to 6 places) to one of kept."""
     out = np.zeros(len(x), bool)
     for at in range(0, len(x), step):
         for c in range(0, len(kept), step):
-            out[at : at + step] |= (np.round(x[at : at + step] @ kept[c : c + step].T, 6) > threshold).any(axis=1)
+            out[at : at + step] |= (x[at : at + step] @ kept[c : c + step].T > _limit(threshold)).any(axis=1)
     return out
 
 
@@ -50,7 +55,7 @@ def greedy(rows: np.ndarray, seeds: np.ndarray | None = None, threshold: float =
     for at in range(0, len(x), step):
         block = x[at : at + step]
         free = ~alike(block, base, threshold) & ~alike(block, x[:at][out[:at]], threshold)
-        inner = np.round(block @ block.T, 6) > threshold
+        inner = block @ block.T > _limit(threshold)
         for i in np.flatnonzero(free):
             if free[i]:
                 out[at + i] = True
@@ -67,11 +72,10 @@ def dedup_cells(photos: DataFrame, cell: str, order: list[str], vector: str = "e
     rows = use(photos, False)
     if existing is not None:
         rows = rows.unionByName(use(existing, True))
-    # without the vectors, each row's place in its cell
-    rows = shared.written(rows.withColumn("r", F.monotonically_increasing_id()), "cells")
-    placed = ranks.numbered(rows.select("c", "new", "o", "i", "r"), "c", ["new", "o", "i", "r"], "k").select("r", "c", "k", "n")
-    state = shared.written(rows.select("r", "new", "i", "v").join(placed, "r"), "placed")
-    small, large = state.where(F.col("n") <= block), state.where(F.col("n") > block)
+    dense = shared.written(rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("c"), "dense")
+    none = dense.isEmpty()
+    small = rows if none else rows.join(dense, "c", "left_anti")
+    small = small.withColumn("k", F.row_number().over(Window.partitionBy("c").orderBy("new", "o", "i")).cast("long"))
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k", ignore_index=True)
@@ -81,10 +85,11 @@ def dedup_cells(photos: DataFrame, cell: str, order: list[str], vector: str = "e
         return pdf.loc[stays, ["c", "k", "new", "i", "v"]]
 
     columns = ["c", "k", "new", "i", "v"]
-    shape = ", ".join(f"{c} {t}" for c, t in state.select(*columns).dtypes)
+    shape = ", ".join(f"{c} {t}" for c, t in small.select(*columns).dtypes)
     settled = lambda df: df.select(*columns).groupBy("c").applyInPandas(settle, shape)
     kept = [settled(small).where("new").select("i")]
-    while not large.isEmpty():
+    large = None if none else _in_order(rows.join(dense, "c", "left_semi")).select(*columns)
+    while large is not None and not large.isEmpty():
         # the first rows of each cell: first those of each salted part, then of all parts
         parts = Window.partitionBy("c", F.pmod("k", F.lit(SALTS))).orderBy("k")
         first = large.select("c", "k").withColumn("p", F.row_number().over(parts)).where(F.col("p") <= block)
@@ -99,6 +104,13 @@ def dedup_cells(photos: DataFrame, cell: str, order: list[str], vector: str = "e
     return photos.join(ids.withColumnRenamed("i", "__i"), F.col(id_col) == F.col("__i"), "left_semi")
 
 
+def _in_order(rows: DataFrame) -> DataFrame:
+    """rows with their place k in their cell; the vectors stay apart while the others are sorted."""
+    rows = shared.written(rows.withColumn("r", F.monotonically_increasing_id()), "cells")
+    placed = ranks.numbered(rows.select("c", "new", "o", "i", "r"), "c", ["new", "o", "i", "r"], "k").select("r", "k")
+    return shared.written(rows.join(placed, "r"), "placed")
+
+
 def _far(rest: DataFrame, stay: DataFrame, threshold: float, chunk: int) -> DataFrame:
     """rest without new rows too similar to one of their cell that stays."""
     chunks = shared.written(rest.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")), "chunks")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geomill.functions import vectors
+from geomill.operators import angular
 
 #: Rows of a block: with 1,000 components 16 MB.
 BLOCK = 4_096
@@ -34,13 +35,12 @@ def _blocks(queries: DataFrame, gallery: DataFrame, id_col: str, vector: str, si
     return left, right
 
 
-def cosine_top_k(queries: DataFrame, gallery: DataFrame, k: int, id_col: str = "id", vector: str = "v", exclude_self: bool = False) -> DataFrame:
+def cosine_top_k(queries: DataFrame, gallery: DataFrame, k: int, id_col: str = "id", vector: str = "v", exclude_self: bool = False, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, id, similarity (to 6 places): the k most similar gallery rows of each query; ties to the smaller id.
 
-    Queries of up to ``QUERY_BYTES`` are broadcast, and the gallery, which doesn't move, meets
-    them ``GALLERY_ROWS`` at a time. Beyond, both sides are dealt into blocks and every query
-    block meets every gallery block in a task of its own. Either way a meeting keeps k rows
-    of a query, so memory is that of two blocks.
+    Queries of up to ``query_bytes`` are broadcast, and the gallery, which doesn't move, meets
+    them ``GALLERY_ROWS`` at a time. Beyond, queries go to those shards of the gallery that may
+    hold better rows (``angular``). Either way a meeting keeps k rows of a query.
     """
     qid_type, id_type = dict(queries.dtypes)[id_col], dict(gallery.dtypes)[id_col]
     result = f"query_id {qid_type}, id {id_type}, similarity double"
@@ -59,7 +59,7 @@ def cosine_top_k(queries: DataFrame, gallery: DataFrame, k: int, id_col: str = "
         out = pd.DataFrame({"query_id": np.repeat(a["qid"].to_numpy(), top.shape[1]), "id": b["gid"].to_numpy()[top.ravel()], "similarity": value})
         return out[np.isfinite(value)]
 
-    if (queries.agg(F.sum(F.size(vector).cast("long") * 8)).first()[0] or 0) <= QUERY_BYTES:
+    if (queries.agg(F.sum(F.size(vector).cast("long") * 8)).first()[0] or 0) <= query_bytes:
         asked = queries.select(F.col(id_col).alias("qid"), F.col(vector).alias("v")).toPandas()
         shared = queries.sparkSession.sparkContext.broadcast(asked)
 
@@ -80,15 +80,15 @@ def cosine_top_k(queries: DataFrame, gallery: DataFrame, k: int, id_col: str = "
 
         met = gallery.select(F.col(id_col).alias("gid"), F.col(vector).alias("v")).mapInPandas(pass_by, result)
     else:
-        left, right = _blocks(queries, gallery, id_col, vector)
-        met = left.groupBy("qb", "gb").cogroup(right.groupBy("qb", "gb")).applyInPandas(meet, result)
+        of = lambda df, name: df.select(F.col(id_col).alias(name), F.col(vector).alias("v"))
+        met = angular.candidates(of(queries, "qid"), of(gallery, "gid"), k, exclude_self)
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def own_rank(queries: DataFrame, gallery: DataFrame, id_col: str = "id", vector: str = "v") -> DataFrame:
     """query_id, id, rank: the exact rank of the gallery row with the query's id (null without one), by cosine to 6 places; ties to the smaller id.
 
-    Gallery rows before it are counted in blocks as in ``cosine_top_k``; of a pair of
+    Both sides are dealt into blocks, of which each two meet in a task; of a pair of
     blocks one number for each query is kept.
     """
     own = gallery.groupBy(id_col).agg(F.first(vector).alias("w"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geomill.functions import grid
-from geomill.operators import anomaly, cluster, filters, index, ingest, maintain, metrics, near_dup, neighbours, regions, sampling, trajectory
+from geomill.operators import angular, anomaly, cluster, filters, index, ingest, maintain, metrics, near_dup, neighbours, regions, sampling, trajectory
 from geomill.sources import config, occurrences, tables
 
 
@@ -366,3 +366,44 @@ def test_landmarks_in_order(spark):
             want.append(i)
     got = sampling.sparse_landmarks(photo_rows(spark, rows, ["id", "c", "m"]).repartition(3), photo_rows(spark, counts, ["c", "n"]), "c", "m", "id", 10, 4, 3)
     assert ids(got, "id") == want
+
+
+@pytest.mark.parametrize(("shard_rows", "visits", "k"), [(4_096, 65_536, 5), (40, 30, 3), (7, 11, 12)])
+def test_search_by_angle_bounds_is_exact(spark, monkeypatch, shard_rows, visits, k):
+    """Clustered vectors, copies, ties, vectors of length 0 and null ones, on either side."""
+    monkeypatch.setattr(angular, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(angular, "VISITS", visits)
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(12, 8))
+    x = centres[r.integers(0, 12, 700)] + r.normal(scale=0.1, size=(700, 8))
+    x[::9] = x[0]
+    x[5::100] = 0
+    rows = [(i, None if i % 71 == 0 else v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, v array<float>").repartition(4)
+    got = {}
+    for t in neighbours.cosine_top_k(df.where("id % 5 = 0"), df, k, exclude_self=True, query_bytes=0).collect():
+        got.setdefault(t.query_id, []).append((t["rank"], t.id, t.similarity))
+    u = {i: np.asarray(v, float) / (np.linalg.norm(v) or 1.0) for i, v in rows if v}
+    for q in (i for i in u if i % 5 == 0):
+        want = sorted((-round(float(u[q] @ v), 6), i) for i, v in u.items() if i != q)[:k]
+        assert [(s, i) for _, i, s in sorted(got[q])] == [(-s, i) for s, i in want]
+    assert set(got) == {i for i in u if i % 5 == 0}
+
+
+def test_bounds_leave_shards_out(spark, monkeypatch):
+    """On clustered vectors queries visit a small part of all shards, and the gallery isn't copied."""
+    monkeypatch.setattr(angular, "SHARD_ROWS", 20)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(30, 16))[r.integers(0, 30, 1500)] + r.normal(scale=0.03, size=(1500, 16))
+    gallery = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "gid long, v array<double>")
+    where, by_shard = angular.mapped(gallery)
+    shards = len(where.shard)
+    visits = [len(where.near(a, float(np.sort(x[i] @ x.T / np.linalg.norm(x[i]) / np.linalg.norm(x, axis=1))[-6]))) for i, a in zip(range(0, 1500, 10), where.angles(x[::10] / np.linalg.norm(x[::10], axis=1, keepdims=True)), strict=True)]
+    assert by_shard.count() == 1500 and shards >= 75
+    assert np.mean(visits) < shards / 8
+
+
+def test_search_in_empty_tables(spark):
+    some, none = spark.createDataFrame([(1, [1.0, 0.0])], "id long, v array<double>"), spark.createDataFrame([], "id long, v array<double>")
+    for q, g in ((some, none), (none, some), (none, none)):
+        assert neighbours.cosine_top_k(q, g, 2, query_bytes=0).collect() == []
