@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,9 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geomill.functions import geo, grid, vectors
+from geomill.operators import cluster
+from geomill.sources import shared
 
 LOCKED_COUNT, LOCKED_SPAN = 10, 1.0
 NEIGHBOURS, LEAST_NEIGHBOURS, INCOMPATIBLE, PER_GROUP = 25, 5, 0.84, 15_000
+#: Vectors of a part of either side, as doubles, that meet in a task.
+PART_BYTES = 32 << 20
 # Climates that don't look like a polar, and like a desert, place.
 NOT_POLAR = ("Cfa", "Cfb", "Csa", "Csb", "Cwa", "Cwb", "Dfa", "Dfb")
 NOT_DESERT = ("Af", "Am", "Cfa", "Cfb", "Cfc", "Dfa", "Dfb", "Dfc", "Dfd", "EF", "ET")
@@ -52,75 +54,113 @@ def clean_coordinates(photos: DataFrame, scope: Column | None = None, sequences:
     return marked.where(~F.col("__bad")).select(photos.columns)
 
 
+def climate_bank(pool: DataFrame, trusted: Column, per_group: int) -> DataFrame:
+    """Of rows (photo_key, major, v, ...) at most per_group of each climate group, trusted ones first and else by hash, without the tenth of a group that is least like its mean."""
+    order = [F.when(trusted, 0).otherwise(1), F.xxhash64("photo_key"), F.col("photo_key")]
+    # without the vectors; a first cut by hash keeps the sort of a large group apart
+    names = pool.select("major", "photo_key", *[o.alias(f"o{i}") for i, o in enumerate(order[:2])])
+    salted = Window.partitionBy("major", F.pmod("o1", F.lit(64))).orderBy("o0", "o1", "photo_key")
+    names = names.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= per_group)
+    names = names.withColumn("r", F.row_number().over(Window.partitionBy("major").orderBy("o0", "o1", "photo_key"))).where(F.col("r") <= per_group)
+    bank = shared.written(pool.join(names.select("photo_key"), "photo_key", "left_semi").withColumn("group", F.ascii("major")), "bank")
+    means = cluster.centroids(bank, "group", "v").select("group", vectors.normalised(F.col("centroid")).alias("mean"), "n")
+    alike = bank.join(F.broadcast(means), "group").withColumn("s", F.round(vectors.dot(F.col("v"), F.col("mean")), 6))  # five rows
+    # an aggregate of its own for each group: an exact percentile of at most per_group values
+    least = alike.groupBy("group").agg(F.round(F.percentile("s", F.lit(0.1)), 9).alias("least"), F.count(F.lit(1)).alias("of"))
+    kept = alike.join(F.broadcast(least), "group").where((F.col("of") < 10) | (F.col("s") >= F.col("least")))
+    return shared.written(kept.select("photo_key", "major", "koppen", "c3", "Latitude", "Longitude", "v"), "trimmed-bank")
+
+
+LEVELS = ("ok", "other", "any")
+
+
+def neighbours_shares(asked: DataFrame, bank: DataFrame, near: int) -> DataFrame:
+    """photo_key and the share of misfits among the ``near`` rows of the bank most similar to it.
+
+    Neighbours are from another cell and over three degrees away; where the bank hasn't
+    enough such rows, from another cell; else any. asked has a column polar, which chooses
+    what is a misfit. Both sides are dealt into parts of ``PART_BYTES`` at most as doubles,
+    each two of which meet in a task; a meeting gives, for each level that may still
+    be needed, its ``near`` best. Similarities count to 6 places, ties go to the smaller key.
+    """
+    size = lambda df: df.agg(F.sum(F.size("v").cast("long") * 8)).first()[0] or 0
+    parts = [max(1, -(-size(df) // PART_BYTES)) for df in (asked, bank)]
+    deal = lambda n: F.pmod(F.xxhash64("photo_key"), F.lit(n).cast("long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = asked.select(deal(parts[0]).alias("a"), every(parts[1]).alias("b"), "photo_key", "Latitude", "Longitude", "c3", "v", "polar")
+    bad = {"polar": F.col("major").isin("A", "B") | F.col("koppen").isin(*NOT_POLAR), "desert": F.col("koppen").isin(*NOT_DESERT)}
+    right = bank.select(every(parts[0]).alias("a"), deal(parts[1]).alias("b"), "photo_key", "Latitude", "Longitude", "c3", "v", *[c.alias(n) for n, c in bad.items()])
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {c: [] for c in ("photo_key", "n_ok", "n_other", *LEVELS)}
+        if not len(x) or not len(y):
+            return pd.DataFrame(out)
+        y = y.sort_values("photo_key", ignore_index=True)
+        unit, name, n = np.stack(y["v"].to_numpy()).T, y["photo_key"].to_numpy(), len(y)
+        cell, lat, lon = y["c3"].to_numpy(), y["Latitude"].to_numpy(float), y["Longitude"].to_numpy(float)
+        for at in range(0, len(x), 256):
+            part = x.iloc[at : at + 256]
+            s = np.rint(np.stack(part["v"].to_numpy()) @ unit * 1e6).astype(np.int64)
+            score = s * n + (n - 1 - np.arange(n))  # no two alike
+            p_lat, p_lon = part["Latitude"].to_numpy(float)[:, None], part["Longitude"].to_numpy(float)[:, None]
+            other = cell != part["c3"].to_numpy()[:, None]
+            ok = other & ((np.abs(lat - p_lat) > 3) | (np.abs(lon - p_lon) > 3))
+            enough = np.zeros(len(part), bool)
+            misfit = np.where(part["polar"].to_numpy(bool)[:, None], y["polar"].to_numpy(bool), y["desert"].to_numpy(bool))
+            out["photo_key"] += part["photo_key"].tolist()
+            out["n_ok"] += ok.sum(axis=1).tolist()
+            out["n_other"] += other.sum(axis=1).tolist()
+            for level, mask in zip(LEVELS, (ok, other, np.ones_like(ok)), strict=True):
+                ranked = np.where(mask, score, np.iinfo(np.int64).min)
+                top = np.argpartition(ranked, max(0, n - near), axis=1)[:, -near:]
+                for r in range(len(part)):
+                    t = () if enough[r] else top[r][mask[r, top[r]]]
+                    out[level].append([{"far": -int(s[r, i]), "key": name[i], "bad": bool(misfit[r, i])} for i in t])
+                enough |= mask.sum(axis=1) >= near
+        return pd.DataFrame(out)
+
+    best = "array<struct<far: long, key: string, bad: boolean>>"
+    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(meet, f"photo_key string, n_ok long, n_other long, {', '.join(f'{c} {best}' for c in LEVELS)}")
+    lists = {c: F.flatten(F.collect_list(c)) for c in LEVELS}  # near from each part of the bank, which has bounded many
+    of = met.groupBy("photo_key").agg(F.sum("n_ok").alias("n_ok"), F.sum("n_other").alias("n_other"), *[v.alias(c) for c, v in lists.items()])
+    chosen = F.when(F.col("n_ok") >= near, F.col("ok")).when(F.col("n_other") >= near, F.col("other")).otherwise(F.col("any"))
+    top = F.slice(F.array_sort(chosen), 1, near)
+    return of.select("photo_key", (F.size(F.filter(top, lambda t: t["bad"])) / near).alias("share"))
+
+
 def climate_outliers(photos: DataFrame, target_platforms: tuple[str, ...], cell: str = "cell", per_group: int = PER_GROUP, k: int = NEIGHBOURS, threshold: float = INCOMPATIBLE) -> DataFrame:
     """Keys of polar and remote desert photos most of whose nearest pictures, from elsewhere, show another climate.
 
     photos: photo_key, Platform, Latitude, Longitude, Koppen_Code, embedding, a cell and perhaps a continent.
     The bank of reference pictures has at most per_group rows for each of five climate
-    groups, so it can be broadcast whatever the input.
+    groups and stays a table: neither it nor any vector goes to the driver.
     """
     p = photos.where("embedding is not null").withColumns(
         {
             "plat": F.lower("Platform"),
             "koppen": F.coalesce("Koppen_Code", F.lit("")),
             "major": F.substring(F.coalesce("Koppen_Code", F.lit("")), 1, 1),
-            "c3": grid.parent(F.col(cell), 3),
+            "c3": F.coalesce(grid.parent(F.col(cell), 3), F.lit(-1)),
             "c4": grid.parent(F.col(cell), 4),
             "v": vectors.normalised(F.col("embedding")),
         }
     )
     trusted = ~F.col("plat").isin(*target_platforms) if target_platforms else F.lit(False)
-    cells = p.where("c3 is not null").groupBy("c3").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("plat").alias("kinds"), F.max(trusted).alias("own"))
+    cells = p.where("c3 >= 0").groupBy("c3").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("plat").alias("kinds"), F.max(trusted).alias("own"))
     cells = cells.select(F.col("c3"), (F.col("own") | ((F.col("kinds") >= 2) & (F.col("n") >= 20))).alias("good"), (F.col("n") >= 5).alias("some"))
     pool = p.where(F.col("major").isin(*"ABCDE")).join(cells, "c3", "left").withColumn("fit", F.coalesce(F.when(F.col("major") == "E", F.col("good") | F.col("some")).otherwise(F.col("good")), F.lit(False)))
     # groups without a fitting cell fall back to all their rows
     groups = pool.groupBy("major").agg(F.max("fit").alias("any_fit"))
     pool = pool.join(F.broadcast(groups), "major").where(F.col("fit") | ~F.col("any_fit"))
-    # hash order instead of a random generator; a first cut by hash keeps the sort of a large group apart
-    order = Window.partitionBy("major").orderBy(F.when(trusted, 0).otherwise(1), F.xxhash64("photo_key"), "photo_key")
-    salted = Window.partitionBy("major", F.pmod(F.xxhash64("photo_key"), F.lit(64))).orderBy(F.when(trusted, 0).otherwise(1), F.xxhash64("photo_key"), "photo_key")
-    bank = pool.withColumn("r0", F.row_number().over(salted)).where(F.col("r0") <= per_group).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_group)
-    # Arrow batches of 32-bit vectors: at most 5 * per_group of them
-    held = bank.select("major", "koppen", "c3", "Latitude", "Longitude", F.col("v").cast("array<float>").alias("v")).toArrow()
-    ref = held.drop(["v"]).to_pandas()
-    if ref["major"].nunique() < 2:
+    bank = climate_bank(pool, trusted, per_group)
+    held, kinds = bank.agg(F.count(F.lit(1)), F.countDistinct("major")).first()
+    near = min(k, held)
+    if kinds < 2 or near < LEAST_NEIGHBOURS:
         return photos.select("photo_key").limit(0)
-    x = held["v"].combine_chunks().flatten().to_numpy().reshape(len(ref), -1)
-    keep = np.zeros(len(ref), bool)
-    for _, at in ref.groupby("major").indices.items():
-        mean = x[at].mean(axis=0)
-        sims = x[at] @ (mean / max(float(np.linalg.norm(mean)), 1e-8))
-        keep[at] = sims >= (np.percentile(sims, 10) if len(at) >= 10 else -1.0)
-    ref, x = ref[keep].reset_index(drop=True), x[keep]
-    near = min(k, len(ref))
-    if near < LEAST_NEIGHBOURS:
-        return photos.select("photo_key").limit(0)
-    r_cell, r_lat, r_lon = ref["c3"].fillna(-1).to_numpy(), ref["Latitude"].to_numpy(float), ref["Longitude"].to_numpy(float)
-    polar_bad = (ref["major"].isin(list("AB")) | ref["koppen"].isin(NOT_POLAR)).to_numpy()
-    desert_bad = ref["koppen"].isin(NOT_DESERT).to_numpy()
-    shared = photos.sparkSession.sparkContext.broadcast((x, r_cell, r_lat, r_lon, polar_bad, desert_bad))
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, r_cell, r_lat, r_lon, polar_bad, desert_bad = shared.value
-        for pdf in batches:
-            out = []
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                sims = np.stack(part["v"].to_numpy()).astype(np.float32) @ x.T
-                lat, lon, own = part["Latitude"].to_numpy(float)[:, None], part["Longitude"].to_numpy(float)[:, None], part["c3"].fillna(-2).to_numpy()[:, None]
-                other = r_cell[None, :] != own
-                ok = other & ((np.abs(r_lat - lat) > 3) | (np.abs(r_lon - lon) > 3))
-                few = ok.sum(axis=1) < near
-                ok[few] = other[few]
-                ok[ok.sum(axis=1) < near] = True
-                top = np.argpartition(np.where(ok, sims, -2.0), -near, axis=1)[:, -near:]
-                bad = np.where(part["polar"].to_numpy()[:, None], polar_bad[top], desert_bad[top])
-                out += part["photo_key"][bad.mean(axis=1) >= threshold].tolist()
-            yield pd.DataFrame({"photo_key": out}, dtype="object")
-
     antarctic = F.lower("continent") == "antarctica" if "continent" in photos.columns else F.lit(False)
     target = F.col("plat").isin(*target_platforms) if target_platforms else F.lit(True)
     dense = p.where("c4 is not null").groupBy("c4").agg(F.count(F.lit(1)).alias("n4"), F.countDistinct("plat").alias("k4")).where("n4 >= 500 and k4 >= 3").select("c4", F.lit(True).alias("dense"))
     asked = p.where(target).withColumn("polar", F.coalesce(antarctic, F.lit(False)) | F.col("koppen").isin("EF", "ET")).join(dense, "c4", "left")
     asked = asked.where(F.col("polar") | (F.col("koppen").isin("BWh", "BWk") & F.col("dense").isNull()))
-    return asked.select("photo_key", "Latitude", "Longitude", "c3", "v", "polar").mapInPandas(judge, "photo_key string")
+    asked = shared.written(asked.select("photo_key", "Latitude", "Longitude", "c3", "v", "polar"), "asked")
+    return neighbours_shares(asked, bank, near).where(F.col("share") >= threshold).select("photo_key")

@@ -232,6 +232,24 @@ def climate_outliers(spark: SparkSession, d: str) -> DataFrame:
     return anomaly.climate_outliers(p.where("cell is not null"), ("flickr", "mapillary"), threshold=0.5)
 
 
+_MISFIT = f"CASE WHEN a.polar THEN b.major IN ('A', 'B') OR b.koppen IN {anomaly.NOT_POLAR} ELSE b.koppen IN {anomaly.NOT_DESERT} END"
+CLIMATE_OUTLIERS = PHOTOS_SQL + f""", {_UNIT},
+    p AS (SELECT Platform || '_' || Photo_ID AS photo_key, lower(Platform) AS plat, coalesce(Koppen_Code, '') AS koppen, coalesce(substr(Koppen_Code, 1, 1), '') AS major, {cell_sql(3)} AS c3, {cell_sql(4)} AS c4, Latitude, Longitude, continent, v
+          FROM photos JOIN u USING (vec_id) WHERE Latitude IS NOT NULL),
+    cells AS (SELECT c3, bool_or(plat NOT IN ('flickr', 'mapillary')) OR (count(DISTINCT plat) >= 2 AND count(*) >= 20) AS good, count(*) >= 5 AS several FROM p GROUP BY 1),
+    pool AS (SELECT *, CASE WHEN major = 'E' THEN good OR several ELSE good END AS fit FROM p JOIN cells USING (c3) WHERE major <> ''),
+    bank AS (SELECT * FROM (SELECT *, bool_or(fit) OVER (PARTITION BY major) AS any_fit FROM pool) WHERE fit OR NOT any_fit),
+    mx AS (SELECT major, i, avg(v[i]) AS x FROM bank, range(1, 65) r(i) GROUP BY ALL), ml AS (SELECT major, list(x ORDER BY i) AS m FROM mx GROUP BY 1),
+    sims AS (SELECT bank.*, round(list_dot_product(v, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m)))), 6) AS s FROM bank JOIN ml USING (major)),
+    kept AS (SELECT * FROM (SELECT *, round(quantile_cont(s, 0.1) OVER (PARTITION BY major), 9) AS least, count(*) OVER (PARTITION BY major) AS of_group FROM sims) WHERE of_group < 10 OR s >= least),
+    dense AS (SELECT c4 FROM p GROUP BY 1 HAVING count(*) >= 500 AND count(DISTINCT plat) >= 3),
+    asked AS (SELECT * FROM (SELECT *, coalesce(lower(continent) = 'antarctica', false) OR koppen IN ('EF', 'ET') AS polar FROM p WHERE plat IN ('flickr', 'mapillary')) WHERE polar OR (koppen IN ('BWh', 'BWk') AND c4 NOT IN (SELECT c4 FROM dense))),
+    pairs AS (SELECT a.photo_key AS a, b.photo_key AS b, CAST(round(list_dot_product(a.v, b.v) * 1e6, 0) AS BIGINT) AS s, a.c3 <> b.c3 AS other, a.c3 <> b.c3 AND (abs(a.Latitude - b.Latitude) > 3 OR abs(a.Longitude - b.Longitude) > 3) AS ok, {_MISFIT} AS bad FROM asked a, kept b),
+    counts AS (SELECT a, count(*) FILTER (ok) AS n_ok, count(*) FILTER (other) AS n_other FROM pairs GROUP BY 1),
+    ranked AS (SELECT a, bad, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM pairs JOIN counts USING (a) WHERE CASE WHEN n_ok >= 25 THEN ok WHEN n_other >= 25 THEN other ELSE true END)
+    SELECT a AS photo_key FROM ranked WHERE r <= 25 GROUP BY 1 HAVING avg(CAST(bad AS INTEGER)) >= 0.5"""
+
+
 QUERIES = {
     "knn_cosine": (knn_cosine, KNN_COSINE),
     "knn_bounded": (knn_bounded, KNN_COSINE),
@@ -251,5 +269,5 @@ QUERIES = {
     "kmeans_hierarchy": (kmeans_hierarchy, None),
     "medoid_summary": (medoid_summary, None),
     "block_costs": (block_costs, None),
-    "climate_outliers": (climate_outliers, None),
+    "climate_outliers": (climate_outliers, CLIMATE_OUTLIERS),
 }
