@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from geomill.operators import ranks
 from geomill.sources import shared
 
 
@@ -95,28 +95,30 @@ def camera_samples(images: DataFrame, per_bin: int = 2, per_camera: int = 4) ->
     one; a full bin lets an animal replace a blank of another date. Then one image of each
     bin is picked, animals first, then a second.
 
-    The rule is sequential within a camera: one camera is one task's work.
+    The rule is sequential within a camera: a fold over its sorted images, which keeps at
+    most per_bin images a bin, in the order in which they came in. Nulls are equal to each
+    other; a null is_animal is a blank.
     """
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        bins: dict[tuple, list] = {}
-        for r in pdf.sort_values("image_id").itertuples():
-            own = bins.setdefault((r.season, r.time_of_day), [])
-            if own and any(r.sequence_id == x.sequence_id for b in bins.values() for x in b):
-                continue
-            if len(own) < per_bin:
-                if not own or all(r.date != x.date for x in own):
-                    own.append(r)
-            elif r.is_animal:
-                at = next((i for i, x in enumerate(own) if not x.is_animal and x.date != r.date), None)
-                if at is not None:
-                    own[at] = r
-        ranked = [sorted(b, key=lambda x: not x.is_animal) for b in bins.values()]
-        chosen = ([b[0] for b in ranked if b] + [b[1] for b in ranked if len(b) > 1])[:per_camera]
-        return pd.DataFrame({"deployment_id": [x.deployment_id for x in chosen], "image_id": [x.image_id for x in chosen], "pick": pd.Series(range(1, len(chosen) + 1), dtype="int32")})
-
-    t = dict(images.dtypes)
-    return images.select("deployment_id", "image_id", "sequence_id", "date", "season", "time_of_day", "is_animal").groupBy("deployment_id").applyInPandas(choose, f"deployment_id {t['deployment_id']}, image_id {t['image_id']}, pick int")
+    bin_ = F.struct("season", "time_of_day")
+    image = F.struct(F.col("image_id"), bin_.alias("bin"), F.col("sequence_id"), F.col("date"), F.coalesce("is_animal", F.lit(False)).alias("animal"))
+    rows = images.groupBy("deployment_id").agg(F.array_sort(F.collect_list(image)).alias("images"))
+    none = F.slice("images", 1, 0)
+
+    def take(taken: Column, new: Column) -> Column:
+        own = F.filter(taken, lambda x: x["bin"] == new["bin"])
+        known = (F.size(own) > 0) & F.exists(taken, lambda x: x["sequence_id"].eqNullSafe(new["sequence_id"]))
+        fresh = ~F.exists(own, lambda x: x["date"].eqNullSafe(new["date"]))
+        places = F.transform(taken, lambda x, i: F.when((x["bin"] == new["bin"]) & ~x["animal"] & ~x["date"].eqNullSafe(new["date"]), i))
+        place = F.array_min(places)
+        replaced = F.transform(taken, lambda x, i: F.when(i == place, new).otherwise(x))
+        full = F.when(new["animal"] & place.isNotNull(), replaced).otherwise(taken)
+        return F.when(known, taken).when(F.size(own) < per_bin, F.when(fresh, F.concat(taken, F.array(new))).otherwise(taken)).otherwise(full)
+
+    taken = rows.select("deployment_id", F.posexplode(F.aggregate("images", none, take)).alias("at", "x"))
+    own = Window.partitionBy("deployment_id", "x.bin")
+    ranked = taken.select("*", F.min("at").over(own).alias("bin_at"), F.row_number().over(own.orderBy(~F.col("x.animal"), "at")).alias("turn")).where("turn <= 2")
+    pick = F.row_number().over(Window.partitionBy("deployment_id").orderBy("turn", "bin_at"))
+    return ranked.select("deployment_id", F.col("x.image_id").alias("image_id"), pick.alias("pick")).where(F.col("pick") <= per_camera)
 
 
 def sparse_landmarks(photos: DataFrame, counts: DataFrame, cell: str, landmark: str, key: str, threshold: int, per_cell: int = 10, per_landmark: int = 3) -> DataFrame:
@@ -150,35 +152,32 @@ def _cut(df: DataFrame) -> DataFrame:
 def query_blocks(items: DataFrame, block: str, label: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """block, is_query: spatial blocks split so that rare classes have query and database blocks.
 
-    Classes are visited by their number of blocks, rare first; each takes query blocks up
-    to a fifth of its own (one at least if it has two), then a database block; the others
-    fall by chance. The distinct (label, block) pairs meet in one task: they are a
-    summary, of blocks times classes rows at most.
+    Classes are visited by their number of blocks, rare first (ties by name); each takes
+    query blocks, in hash order, up to a share of its own (one at least if it has two), then a
+    database block; the others fall by chance. Blocks without a class take no part.
+
+    A block is the concern of the first class visited that has it. So classes need not wait
+    for each other but where they share blocks: in each round all classes are settled
+    whose other blocks are (or whose needs are met by then), each by the places of its own
+    blocks, which never change. Rounds are as many as the longest chain of classes that wait.
     """
-    pairs = items.where(F.col(block).isNotNull()).select(F.col(label).alias("label"), F.col(block).alias("block"), F.xxhash64(F.col(block).cast("string"), F.lit(seed)).alias("h")).distinct()
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        of = {c: g.sort_values(["h", "block"]) for c, g in pdf.groupby("label", sort=True)}
-        query: set = set()
-        base: set = set()
-        chance_ = {b: (h % 1_000) / 1_000 < share for b, h in zip(pdf["block"], pdf["h"], strict=True)}
-        for c in sorted(of, key=lambda c: (len(of[c]), str(c))):
-            blocks = of[c]["block"].tolist()
-            many = len(blocks) > 1
-            need_q = (max(1, int(len(blocks) * share)) if many else 0) - sum(b in query for b in blocks)
-            need_b = (1 if many else 0) - sum(b in base for b in blocks)
-            for b in blocks:
-                if b in query or b in base:
-                    continue
-                if need_q > 0:
-                    query.add(b)
-                    need_q -= 1
-                elif need_b > 0:
-                    base.add(b)
-                    need_b -= 1
-                else:
-                    (query if chance_[b] else base).add(b)
-        names = sorted(query | base)
-        return pd.DataFrame({"block": names, "is_query": [b in query for b in names]})
-
-    return pairs.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(split, f"block {dict(pairs.dtypes)['block']}, is_query boolean")
+    named = items.where(F.col(block).isNotNull() & F.col(label).isNotNull())
+    pairs = named.select(F.col(label).cast("string").alias("label"), F.col(block).alias("block")).distinct()
+    many = pairs.groupBy("label").agg(F.count(F.lit(1)).alias("many"))
+    pairs = shared.written(pairs.join(many, "label").withColumn("h", F.xxhash64(F.col("block").cast("string"), F.lit(seed))), "pairs")
+    first = F.min(F.struct("many", "label"))
+    owned = shared.written(pairs.groupBy("block", "h").agg(first.alias("o")).select("block", "h", F.col("o.label").alias("owner"), F.col("o.many").alias("many")), "owned")
+    falls = F.pmod("h", F.lit(1_000).cast("long")) / 1_000 < share
+    blocks = ranks.numbered(owned, "owner", ["h", "block"]).select("block", "owner", "place", falls.alias("falls"), F.lit(None).cast("boolean").alias("is_query"))
+    blocks = _cut(blocks)
+    others = F.col("owner") != F.col("label")
+    count = lambda what: F.sum((others & F.coalesce(what, F.lit(False))).cast("int"))
+    while not blocks.where("is_query is null").isEmpty():
+        known = pairs.join(blocks.select("block", "owner", "is_query"), "block").groupBy("label", "many").agg(count(F.col("is_query")).alias("q"), count(~F.col("is_query")).alias("b"), count(F.col("is_query").isNull()).alias("open"))
+        two = F.col("many") > 1
+        wanted = F.when(two, F.greatest(F.lit(1), F.floor(F.col("many") * share))).otherwise(0)
+        need_q, need_b = F.greatest(F.lit(0), wanted - F.col("q")), F.greatest(F.lit(0), two.cast("int") - F.col("b"))
+        ready = known.select(F.col("label").alias("owner"), "open", need_q.alias("need_q"), need_b.alias("need_b")).where("open = 0 or (need_q = 0 and need_b = 0)")
+        side = F.when(F.col("place") < F.col("need_q"), True).when(F.col("place") < F.col("need_q") + F.col("need_b"), False).when(F.col("need_q").isNotNull(), F.col("falls"))
+        blocks = _cut(blocks.join(ready.drop("open"), "owner", "left").select("block", "owner", "place", "falls", F.coalesce("is_query", side).alias("is_query")))
+    return blocks.select("block", "is_query")

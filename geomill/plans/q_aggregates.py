@@ -284,6 +284,21 @@ def sample_cameras(spark: SparkSession, d: str) -> DataFrame:
     return sampling.camera_samples(images)
 
 
+#: Image by image: those taken so far go along.
+SAMPLE_CAMERAS = PHOTOS_SQL.replace("WITH base", "WITH RECURSIVE base") + """
+    , i AS (SELECT user_id AS dep, {'id': event_id, 'bin': list_extract(['winter', 'spring', 'summer', 'fall'], (CAST(substr(Captured_At, 6, 2) AS INTEGER) % 12) // 3 + 1) || CASE WHEN CAST(substr(Captured_At, 12, 2) AS INTEGER) BETWEEN 7 AND 18 THEN ' day' ELSE ' night' END,
+                   'seq': event_id // 3, 'd': substr(Captured_At, 1, 10), 'animal': event_id % 3 = 0} AS r, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM photos WHERE user_id IS NOT NULL AND Captured_At IS NOT NULL),
+    g(dep, k, t) AS (SELECT dep, k, [r] FROM i WHERE k = 1
+          UNION ALL SELECT dep, k, CASE WHEN len(own) > 0 AND len(list_filter(t, lambda x: x.seq = r.seq)) > 0 THEN t
+                                        WHEN len(own) < 2 THEN CASE WHEN len(list_filter(own, lambda x: x.d = r.d)) = 0 THEN list_append(t, r) ELSE t END
+                                        WHEN r.animal AND len(places) > 0 THEN list_concat(list_append(t[1:places[1] - 1], r), t[places[1] + 1:]) ELSE t END
+                    FROM (SELECT i.dep, i.k, i.r, g.t, list_filter(g.t, lambda x: x.bin = i.r.bin) AS own, list_filter(range(1, len(g.t) + 1), lambda p: g.t[p].bin = i.r.bin AND NOT g.t[p].animal AND g.t[p].d <> i.r.d) AS places
+                          FROM g JOIN i ON i.dep = g.dep AND i.k = g.k + 1)),
+    z AS (SELECT dep, arg_max(t, k) AS t FROM g GROUP BY 1), x AS (SELECT dep, unnest(t) AS x, unnest(range(1, len(t) + 1)) AS pos FROM z),
+    o AS (SELECT dep, x, min(pos) OVER (PARTITION BY dep, x.bin) AS bin_at, row_number() OVER (PARTITION BY dep, x.bin ORDER BY NOT x.animal, pos) AS turn FROM x)
+    SELECT dep AS deployment_id, x.id AS image_id, CAST(row_number() OVER (PARTITION BY dep ORDER BY turn, bin_at) AS INTEGER) AS pick FROM o WHERE turn <= 2 QUALIFY pick <= 4"""
+
+
 def split_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Spatial blocks split into query and database blocks with every class on both sides."""
     p = labelled(spark, d).withColumn("c", grid.parent(F.col("cell"), 1))
@@ -364,7 +379,7 @@ QUERIES = {
     "sample_round_robin": (sample_round_robin, SAMPLE_ROUND_ROBIN),
     "sample_stratified": (sample_stratified, SAMPLE_STRATIFIED),
     "sample_priority": (sample_priority, SAMPLE_PRIORITY),
-    "sample_cameras": (sample_cameras, None),
+    "sample_cameras": (sample_cameras, SAMPLE_CAMERAS),
     "split_blocks": (split_blocks, None),
     "vote_parents": (vote_parents, VOTE_PARENTS),
     "elbow_point": (elbow_point, ELBOW_POINT),

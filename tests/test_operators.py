@@ -47,7 +47,9 @@ def test_sequences_of_locked_photos_go(spark):
     assert ids(anomaly.clean_coordinates(p, sequences=seq)) == [30, 31, 32, 33]
 
 
-def test_climate_outliers(spark):
+@pytest.mark.parametrize("part_bytes", [32 << 20, 1_500])
+def test_climate_outliers(spark, monkeypatch, part_bytes):
+    monkeypatch.setattr(anomaly, "PART_BYTES", part_bytes)
     rng = np.random.default_rng(123)
     rows = []
     base = {"A": np.eye(16)[0], "E": np.eye(16)[1]}
@@ -264,6 +266,74 @@ def test_camera_samples(spark):
     assert [(r.image_id, r.pick) for r in got] == [(6, 1), (8, 2)]
 
 
+def plain_cameras(rows, per_bin=2, per_camera=4):
+    """Image by image. rows: deployment, image, sequence, date, season, time of day, animal."""
+    out = set()
+    for d in {r[0] for r in rows}:
+        bins = {}
+        for r in sorted((r for r in rows if r[0] == d), key=lambda r: r[1]):
+            own = bins.setdefault((r[4], r[5]), [])
+            if own and any(r[2] == x[2] for b in bins.values() for x in b):
+                continue
+            if len(own) < per_bin:
+                if all(r[3] != x[3] for x in own):
+                    own.append(r)
+            elif r[6]:
+                for k, x in enumerate(own):
+                    if not x[6] and x[3] != r[3]:
+                        own[k] = r
+                        break
+        ranked = [sorted(b, key=lambda x: not x[6]) for b in bins.values()]
+        chosen = ([b[0] for b in ranked if b] + [b[1] for b in ranked if len(b) > 1])[:per_camera]
+        out |= {(d, x[1], k) for k, x in enumerate(chosen, 1)}
+    return out
+
+
+@pytest.mark.parametrize("per_bin", [1, 2, 3])
+def test_camera_samples_equal_the_walk(spark, per_bin):
+    r = np.random.default_rng(per_bin)
+    pick = lambda *of: of[r.integers(len(of))]
+    rows = [(f"d{i % 9}", i, pick(*[f"s{k}" for k in range(60)], None), pick("1", "2", "3", "4", None), pick("w", "s", None), pick("day", "night"), bool(r.random() < 0.3)) for i in range(900)]
+    df = spark.createDataFrame(rows, "deployment_id string, image_id long, sequence_id string, date string, season string, time_of_day string, is_animal boolean").repartition(4)
+    assert {tuple(t) for t in sampling.camera_samples(df, per_bin, 5).collect()} == plain_cameras(rows, per_bin, 5)
+    assert sampling.camera_samples(df.limit(0)).collect() == []
+
+
+def plain_split(pairs, share):
+    """Class by class."""
+    of = {}
+    for c, b, h in sorted(pairs, key=lambda t: (t[2], t[1])):
+        of.setdefault(c, []).append((b, h))
+    query, base = set(), set()
+    for c in sorted(of, key=lambda c: (len(of[c]), c)):
+        n = len(of[c])
+        need_q = (max(1, int(n * share)) if n > 1 else 0) - sum(b in query for b, _ in of[c])
+        need_b = (n > 1) - sum(b in base for b, _ in of[c])
+        for b, h in of[c]:
+            if b in query or b in base:
+                continue
+            if need_q > 0:
+                query.add(b)
+                need_q -= 1
+            elif need_b > 0:
+                base.add(b)
+                need_b -= 1
+            else:
+                (query if h % 1_000 / 1_000 < share else base).add(b)
+    return {**dict.fromkeys(query, True), **dict.fromkeys(base, False)}
+
+
+@pytest.mark.parametrize("classes", [3, 40])
+def test_block_split_equals_the_walk(spark, classes):
+    r = np.random.default_rng(classes)
+    rows = [(int(c), int(r.integers(0, 12 + 9 * c)) if i % 31 else None) for i, c in enumerate(r.integers(0, classes, 900))]
+    df = spark.createDataFrame([(f"c{c}" if i % 37 else None, b) for i, (c, b) in enumerate(rows)], "label string, b long").repartition(3)
+    pairs = {tuple(t) for t in df.where("b is not null and label is not null").select("label", "b", F.xxhash64(F.col("b").cast("string"), F.lit(42))).collect()}
+    split = sampling.query_blocks(df, "b", "label", 0.3)
+    assert {t.block: t.is_query for t in split.collect()} == plain_split(pairs, 0.3)
+    assert sampling.query_blocks(df.limit(0), "b", "label").collect() == []
+
+
 def test_blocks_cover_every_class(spark):
     p = spark.range(400).select((F.col("id") % 20).alias("b"), F.when(F.col("id") % 20 < 2, "rare").otherwise("common").alias("label"))
     split = {r.block: r.is_query for r in sampling.query_blocks(p, "b", "label").collect()}
