@@ -50,7 +50,8 @@ def clean_photo_id(c: Column) -> Column:
 def photo_id_of_number(c: Column) -> Column:
     """The id that a floating-point column holds: whole numbers without decimals; null and NaN become empty."""
     d = c.cast("double")
-    text = F.when(d == F.floor(d), d.cast("decimal(38,0)").cast("string")).otherwise(d.cast("string"))
+    whole = (d % 1 == 0) & (F.abs(d) < 1e38)
+    text = F.when(whole, F.when(whole, d).cast("decimal(38,0)").cast("string")).otherwise(d.cast("string"))
     return F.when(d.isNull() | F.isnan(d), "").otherwise(text)
 
 
@@ -58,6 +59,15 @@ def photo_key(platform: Column, photo_id: Column) -> Column:
     return F.concat_ws("_", F.lower(F.trim(F.coalesce(platform, F.lit("")))), clean_photo_id(photo_id))
 
 
+# What a missing value is called once it is text.
+NULL_WORDS = ("nan", "None", "<NA>")
+
+
+def without_null_words(c: Column) -> Column:
+    """c, null where it is the name of a missing value."""
+    return F.when(~c.isin(*NULL_WORDS), c)
+
+
 def blank(c: Column) -> Column:
     return c.isNull() | (c == "")
 

@@ -11,14 +11,15 @@ ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
 def parse_timestamp(raw: Column) -> Column:
-    """Epoch seconds or milliseconds, ISO, EXIF and some other forms as a timestamp; null if unreadable. Session time zone: UTC."""
+    """Epoch seconds or milliseconds, ISO, EXIF and some other forms as a timestamp; null if unreadable or out of the years 1 to 9999. Session time zone: UTC."""
     text = F.trim(raw.cast("string"))
     number = text.try_cast("double")
     whole = F.when((number > -1e17) & (number < 1e17), number).cast("long")
     epoch = F.when(number > 5e10, F.timestamp_millis(whole)).when(number > 1e8, F.timestamp_seconds(number))
     exif = F.regexp_replace(text, r"^(\d{4}):(\d{2}):(\d{2})", "$1-$2-$3")
     dated = F.when(exif.rlike(r"^\d{4}-\d{1,2}"), exif.try_cast("timestamp"))
-    return F.coalesce(epoch, F.when(number.isNull() | (number <= 1e8), F.coalesce(dated, *[F.try_to_timestamp(text, F.lit(f)) for f in FORMATS])))
+    found = F.coalesce(epoch, F.when(number.isNull() | (number <= 1e8), F.coalesce(dated, *[F.try_to_timestamp(text, F.lit(f)) for f in FORMATS])))
+    return F.when(F.year(found).between(1, 9999), found)
 
 
 def standard_timestamp(raw: Column) -> Column:

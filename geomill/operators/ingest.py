@@ -64,7 +64,7 @@ def normalize(df: DataFrame, path: Column | None = None) -> DataFrame:
             "Longitude": F.col("Longitude").try_cast("double"),
             "Image_URL": keys.image_address(p, keys.clean_photo_id(i), F.col("Image_URL")),
             "Captured_At": times.standard_timestamp(F.col("Captured_At")),
-            "License": keys.decode_flickr_license(p, keys.default_license(p, F.col("License"))),
+            "License": keys.without_null_words(keys.decode_flickr_license(p, keys.default_license(p, F.col("License")))),
             "Photo_ID": keys.clean_photo_id(i),
             "photo_key": keys.photo_key(p, i),
         }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geomill.functions import keys
+from geomill.sources import shared
 
 # The columns that a cluster sidecar keeps.
 SIDECAR = ("photo_key", "Platform", "Photo_ID", "embedding_idx", "cluster_id", "parent_cluster_id", "cluster_label", "cluster_description", "parent_cluster_label", "parent_cluster_description", "model_name", "representation_type", "precision")
@@ -31,6 +32,19 @@ def drop_keys(df: DataFrame, gone: DataFrame) -> DataFrame:
     return with_key(df).join(with_key(gone).select("photo_key").distinct(), "photo_key", "left_anti").select(df.columns)
 
 
+def prune_companion(vectors: DataFrame, index: DataFrame, active: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(vectors, index, removed) with active keys alone, of vectors numbered by embedding_idx and their key index.
+
+    Where vectors and keys differ in number it can't be known which belongs to which: both
+    stay as they are, and nothing is removed.
+    """
+    rows, names = vectors.count(), index.count()
+    if rows != names:
+        return vectors, index, 0
+    kept = keep_keys(index, active)
+    return vectors.join(kept.select("embedding_idx"), "embedding_idx", "left_semi").select(vectors.columns), kept, names - kept.count()
+
+
 def sync(online: DataFrame, offline: DataFrame, companions: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(offline, companions) with the keys that are both offline and online."""
     kept = keep_keys(offline, online)
@@ -107,6 +121,34 @@ def restore_addresses(offline: DataFrame, online: DataFrame, platforms: tuple[st
     return joined.withColumn("Image_URL", F.coalesce("__url", "Image_URL")).select(offline.columns)
 
 
+def restored_table(offline: DataFrame, online: DataFrame, path: str, **choice: tuple[str, ...]) -> DataFrame:
+    """``restore_addresses`` as a table at path, and what it did: platform, updated, kept.
+
+    The table is written aside and takes its place only if it has as many rows as before;
+    else it is removed, and that is an error.
+    """
+    spark = offline.sparkSession
+    aside = f"{path}.restoring"
+    restore_addresses(offline, online, **choice).write.mode("overwrite").parquet(aside)
+    made = spark.read.parquet(aside)
+    before, after = offline.count(), made.count()
+    if before != after:
+        shared.delete(spark, aside)
+        raise ValueError(f"{before} rows went in and {after} came out: {path} stays as it was")
+    own = with_key(offline).select("photo_key", "Platform", F.col("Image_URL").alias("__was"))
+    counts = own.groupBy("photo_key", "Platform").agg(F.min("__was").alias("__was")).join(with_key(made).groupBy("photo_key", "Platform").agg(F.min("Image_URL").alias("__is")), ["photo_key", "Platform"])
+    updated = (~F.col("__was").eqNullSafe(F.col("__is"))).cast("long")
+    done = shared.written(counts.groupBy(F.lower("Platform").alias("platform")).agg(F.sum(updated).alias("updated"), F.sum(1 - updated).alias("kept")), "restored")
+    fs, at = shared.place(spark, path)
+    old = shared.place(spark, f"{path}.old")[1]
+    fs.delete(old, True)
+    if fs.exists(at):
+        fs.rename(at, old)
+    fs.rename(shared.place(spark, aside)[1], at)
+    fs.delete(old, True)
+    return done
+
+
 def restore_licenses(df: DataFrame, licensed: DataFrame) -> DataFrame:
     one = licensed.groupBy("Platform", "Photo_ID").agg(F.min("License").alias("License"))
     return df.drop("License").join(one, ["Platform", "Photo_ID"], "left")

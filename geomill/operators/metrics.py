@@ -60,10 +60,11 @@ def self_match(ranked: DataFrame) -> DataFrame:
     return rank.agg(F.round(F.avg((F.coalesce("r", F.lit(1 << 30)) <= 1).cast("int")) * 100, 6).alias("top1"), F.round(F.avg((F.coalesce("r", F.lit(1 << 30)) <= 5).cast("int")) * 100, 6).alias("top5"), F.round(F.avg(F.coalesce(1 / F.col("r"), F.lit(0.0))), 6).alias("mrr"))
 
 
-def exact_match(answers: DataFrame, columns: list[str], truth: str = "_true") -> DataFrame:
-    """Percent of exact answers, per column, compared without case and blanks."""
+def exact_match(answers: DataFrame, columns: list[str], truth: str = "_true", by: str | None = None) -> DataFrame:
+    """Percent of exact answers, per column, compared without case and blanks; with ``by``, of each of its values, with the number of answers n."""
     same = lambda c: (F.lower(F.trim(c)) == F.lower(F.trim(c + truth))).cast("int")
-    return answers.agg(*[F.round(F.avg(F.coalesce(same(c), F.lit(0))) * 100, 6).alias(c) for c in columns])
+    shares = [F.round(F.avg(F.coalesce(same(c), F.lit(0))) * 100, 6).alias(c) for c in columns]
+    return answers.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *shares) if by else answers.agg(*shares)
 
 
 def report_name(line: Column) -> Column:

@@ -89,3 +89,8 @@ def map_resolution(photos: DataFrame, *groups: Column) -> DataFrame:
     """The cell resolution for a map of all located photos, or of each group's."""
     span = F.greatest(F.max("Latitude") - F.min("Latitude"), F.max("Longitude") - F.min("Longitude"))
     return photos.groupBy(*groups).agg(geo.map_resolution(span).alias("resolution"))
+
+
+def variety(df: DataFrame, cell: str, by: str) -> DataFrame:
+    """cell, n, kinds: of each cell its rows and how many different values of ``by`` they have."""
+    return df.where(F.col(cell).isNotNull()).groupBy(cell).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(by).alias("kinds"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geomill.functions import climate, grid
-from geomill.operators import regions
+from geomill.operators import dissolve, regions
 from geomill.plans.views import PHOTOS_SQL, cell_sql, photos
 
 #: A raster of ten-degree pixels whose value is arithmetic.
@@ -65,16 +65,55 @@ def box_groups(spark: SparkSession, d: str) -> DataFrame:
 BOX_GROUPS = PHOTOS_SQL + f", {_BOXES} SELECT box_id, count(*) AS hits, string_agg(DISTINCT Platform, ',' ORDER BY Platform) AS groups FROM photos JOIN boxes ON Latitude BETWEEN south AND north AND Longitude BETWEEN west AND east GROUP BY 1"
 
 
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of about 500 km over all places of photos."""
+    e = photos(spark, d).agg(F.min("Latitude"), F.max("Latitude"), F.min("Longitude"), F.max("Longitude")).first()
+    return regions.grid_boxes(spark, *e, 500.0)
+
+
 def grid_boxes(spark: SparkSession, d: str) -> DataFrame:
-    c = regions.grid_boxes(spark, 40.0, 41.0, 9.0, 10.5, 20.0)
-    return c.select("box_id", *[F.round(x, 6).alias(x) for x in ("south", "north", "west", "east")])
+    """The photos in each box of a grid over all of them."""
+    boxes = _boxes(spark, d)
+    held = regions.box_hits(photos(spark, d).select("Latitude", "Longitude", "event_id"), boxes, 2).groupBy("box_id").agg(F.count(F.lit(1)).alias("photos"))
+    return boxes.join(held, "box_id", "left").select("box_id", *[F.round(x, 6).alias(x) for x in ("south", "north", "west", "east")], F.coalesce("photos", F.lit(0)).cast("long").alias("photos"))
+
+
+BOXES = PHOTOS_SQL + """
+    , e AS (SELECT min(Latitude) AS s0, max(Latitude) AS n0, min(Longitude) AS w0, max(Longitude) AS e0, 500 / 111.32e0 AS step FROM photos),
+    b0 AS (SELECT *, unnest(range(greatest(1, CAST(ceil(round((n0 - s0) / step, 9)) AS BIGINT)))) AS r FROM e),
+    b1 AS (SELECT *, s0 + r * step AS s, least(s0 + r * step + step, n0) AS n FROM b0), b2 AS (SELECT *, step / cos(radians(greatest(least((s + n) / 2, 89.9), -89.9))) AS w FROM b1),
+    b3 AS (SELECT *, unnest(range(greatest(CAST(ceil((e0 - w0) / w) AS BIGINT), 1))) AS c FROM b2),
+    boxes AS (SELECT r || '_' || c AS box_id, s AS south, n AS north, w0 + c * w AS west, least(w0 + c * w + w, e0) AS east FROM b3)"""
+GRID_BOXES = BOXES + """
+    SELECT box_id, round(south, 6) AS south, round(north, 6) AS north, round(west, 6) AS west, round(east, 6) AS east, count(event_id) AS photos
+    FROM boxes LEFT JOIN photos ON Latitude BETWEEN south AND north AND Longitude BETWEEN west AND east GROUP BY ALL"""
+
+
+def _uncovered(spark: SparkSession, d: str) -> DataFrame:
+    """All cells at resolution 3 without a photo."""
+    n = grid.rows(3)
+    every = spark.range(n * 2 * n).select(grid.cell(F.floor(F.col("id") / (2 * n)), F.col("id") % (2 * n), 3).alias("c"))
+    return every.join(photos(spark, d).select(grid.parent(F.col("cell"), 3).alias("c")).where("c is not null"), "c", "left_anti")
+
+
+def uncovered_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """What no photo covers, as polygons."""
+    return dissolve.rings(_uncovered(spark, d), "c", 3).select("ring", "is_hole", F.round("area", 6).alias("area"), F.size("points").alias("points"))
+
+
+def uncovered_holds(spark: SparkSession, d: str) -> DataFrame:
+    """Of these polygons: the area that rings, less holes, enclose; the outer rings less the holes; and their corners."""
+    r = dissolve.rings(_uncovered(spark, d), "c", 3)
+    return r.agg(F.round(F.sum("area"), 4).alias("area"), F.sum(F.when(F.col("is_hole"), -1).otherwise(1)).cast("long").alias("outer_less_holes"), F.sum(F.size("points") - 1).cast("long").alias("corners"))
 
 
-GRID_BOXES = """
-    WITH r AS (SELECT i AS r, 40 + i * (20 / 111.32e0) AS s, least(40 + (i + 1) * (20 / 111.32e0), 41) AS n FROM range(6) t(i)),
-    w AS (SELECT *, (20 / 111.32e0) / cos(radians((s + n) / 2)) AS w FROM r),
-    c AS (SELECT *, unnest(range(greatest(CAST(ceil(1.5e0 / w) AS BIGINT), 1))) AS c FROM w)
-    SELECT r || '_' || c AS box_id, round(s, 6) AS south, round(n, 6) AS north, round(9 + c * w, 6) AS west, round(least(9 + (c + 1) * w, 10.5), 6) AS east FROM c"""
+#: Each vertex sees four cells: one or three of the set there make a corner, two across two. Corners tell outer rings less holes (Euler's number).
+UNCOVERED_HOLDS = PHOTOS_SQL + f"""
+    , u AS (SELECT i, j FROM range({grid.rows(3)}) a(i), range({2 * grid.rows(3)}) b(j) EXCEPT SELECT cell_row // {3 ** (grid.FINEST - 3)}, cell_col // {3 ** (grid.FINEST - 3)} FROM photos WHERE Latitude IS NOT NULL),
+    v AS (SELECT i + di AS vi, j + dj AS vj, count(*) AS n, sum(CASE WHEN di = dj THEN 1 ELSE -1 END) AS across FROM u, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(di, dj) GROUP BY 1, 2)
+    SELECT round((SELECT count(*) FROM u) * {grid.cell_size(3)}e0 * {grid.cell_size(3)}e0, 4) AS area,
+           CAST((count(*) FILTER (n = 1) - count(*) FILTER (n = 3) + 2 * count(*) FILTER (n = 2 AND abs(across) = 2)) // 4 AS BIGINT) AS outer_less_holes,
+           CAST(count(*) FILTER (n = 1 OR n = 3) + 2 * count(*) FILTER (n = 2 AND abs(across) = 2) AS BIGINT) AS corners FROM v"""
 
 
 def cell_disks(spark: SparkSession, d: str) -> DataFrame:
@@ -113,6 +152,8 @@ QUERIES = {
     "box_hits": (box_hits, BOX_HITS),
     "box_groups": (box_groups, BOX_GROUPS),
     "grid_boxes": (grid_boxes, GRID_BOXES),
+    "uncovered_polygons": (uncovered_polygons, None),
+    "uncovered_holds": (uncovered_holds, UNCOVERED_HOLDS),
     "cell_disks": (cell_disks, CELL_DISKS),
     "region_mapping": (region_mapping, REGION_MAPPING),
 }

@@ -145,6 +145,38 @@ PURGE_RULES = PHOTOS_SQL + f""", p AS (SELECT *, CASE WHEN Latitude IS NOT NULL
     WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.c = p.c AND (every OR Platform = 'mapillary')) AND (user_id IS NULL OR user_id NOT IN (SELECT user_id FROM s WHERE user_id IS NOT NULL))"""
 
 
+def companions_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """Two tables of vectors with their key index: one in step, whose inactive keys go, and one whose vectors and keys differ in number, which stays."""
+    numbered = table(spark, d, "embeddings").select(F.col("vec_id").alias("embedding_idx"), "embedding")
+    index = numbered.select("embedding_idx", F.concat(F.lit("flickr_"), F.col("embedding_idx").cast("string")).alias("photo_key"))
+    active = index.where("embedding_idx % 3 <> 0").select("photo_key")
+    made = []
+    for name, keys_of in (("in_step", index), ("out_of_step", index.where("embedding_idx > 0"))):
+        v, i, removed = maintain.prune_companion(numbered, keys_of, active)
+        made.append(v.agg(F.lit(name).alias("companion"), F.count(F.lit(1)).alias("vectors"), F.sum("embedding_idx").alias("total")).withColumns({"keys": F.lit(i.count()), "removed": F.lit(removed)}))
+    return made[0].unionByName(made[1]).select("companion", "vectors", "total", F.col("keys").cast("long").alias("keys"), F.col("removed").cast("long").alias("removed"))
+
+
+COMPANIONS_PRUNED = """
+    SELECT 'in_step' AS companion, count(*) FILTER (vec_id % 3 <> 0) AS vectors, CAST(sum(vec_id) FILTER (vec_id % 3 <> 0) AS BIGINT) AS total, count(*) FILTER (vec_id % 3 <> 0) AS keys, count(*) FILTER (vec_id % 3 = 0) AS removed FROM embeddings
+    UNION ALL SELECT 'out_of_step', count(*), CAST(sum(vec_id) AS BIGINT), count(*) FILTER (vec_id > 0), CAST(0 AS BIGINT) FROM embeddings"""
+
+
+def restored_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A table whose addresses are restored in place, if no row is lost: what was updated and kept of each platform."""
+    p = keyed(spark, d).select("photo_key", "Platform", "Image_URL", "event_id")
+    path = shared.new_path(spark, "offline") + "/table"
+    p.withColumn("Image_URL", F.when(F.col("event_id") % 2 == 0, "local.jpg").otherwise(F.col("Image_URL"))).write.parquet(path)
+    done = maintain.restored_table(spark.read.parquet(path), p.where(F.col("event_id") % 3 != 0), path, platforms=("flickr", "inaturalist"))
+    now = spark.read.parquet(path).groupBy(F.lower("Platform").alias("platform")).agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("Image_URL") == "local.jpg").cast("long")).alias("local"))
+    return done.join(now, "platform")
+
+
+RESTORED_COUNTS = KEYED + """
+    , r AS (SELECT lower(Platform) AS platform, event_id % 2 = 0 AS was_local, event_id % 3 <> 0 AND Platform IN ('flickr', 'inaturalist') AS hit FROM keyed)
+    SELECT platform, count(*) FILTER (was_local AND hit) AS updated, count(*) FILTER (NOT (was_local AND hit)) AS kept, count(*) AS "rows", count(*) FILTER (was_local AND NOT hit) AS local FROM r GROUP BY 1"""
+
+
 def restore_urls(spark: SparkSession, d: str) -> DataFrame:
     p = keyed(spark, d).select("photo_key", "Platform", "Image_URL", "event_id")
     offline = p.withColumn("Image_URL", F.lit("local.jpg"))
@@ -249,6 +281,8 @@ QUERIES = {
     "join_clusters": (join_clusters, JOIN_CLUSTERS),
     "join_embeddings": (join_embeddings, JOIN_EMBEDDINGS),
     "upsert_cells": (upsert_cells, UPSERT_CELLS),
+    "companions_pruned": (companions_pruned, COMPANIONS_PRUNED),
+    "restored_counts": (restored_counts, RESTORED_COUNTS),
     "upsert_partitions": (upsert_partitions, UPSERT_PARTITIONS),
     "lockstep_tables": (lockstep_tables, LOCKSTEP_TABLES),
     "only_new_keys": (only_new_keys, ONLY_NEW_KEYS),

@@ -181,6 +181,39 @@ def exact_answers(spark: SparkSession, d: str) -> DataFrame:
 EXACT_ANSWERS = PHOTOS_SQL + " SELECT round(avg(CAST(event_id % 3 <> 0 OR country = 'Kenya' AS INTEGER)) * 100, 6) AS country FROM photos"
 
 
+def direction_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Percent of right answers by the direction in which pictures were taken, which is the letter behind the digits of their name."""
+    e = F.col("event_id")
+    name = F.concat(F.lpad(e.cast("string"), 8, "0"), F.element_at(F.array(*map(F.lit, ["N", "e", "S", "w", ""])), (e % 5 + 1).cast("int")), F.lit(".jpg"))
+    direction = F.coalesce(F.nullif(F.upper(F.regexp_extract(name, r"(?i)\d{8}([nesw])", 1)), F.lit("")), F.lit("Unknown"))
+    p = photos(spark, d).select(direction.alias("direction"), F.upper("country").alias("country"), F.when(e % 3 == 0, "Kenya").otherwise(F.col("country")).alias("country_true"), F.col("continent"), F.when(e % 7 != 0, F.lower("continent")).alias("continent_true"))
+    return metrics.exact_match(p, ["country", "continent"], by="direction")
+
+
+DIRECTION_ANSWERS = PHOTOS_SQL + """
+    SELECT list_extract(['N', 'E', 'S', 'W', 'Unknown'], event_id % 5 + 1) AS direction, count(*) AS n, round(avg(CAST(event_id % 3 <> 0 OR country = 'Kenya' AS INTEGER)) * 100, 6) AS country,
+           round(avg(CAST(event_id % 7 <> 0 AS INTEGER)) * 100, 6) AS continent FROM photos GROUP BY 1"""
+
+
+def cell_variety(spark: SparkSession, d: str) -> DataFrame:
+    """Photos and different platforms of each cell at resolution 3."""
+    return stats.variety(photos(spark, d).withColumn("c", grid.parent(F.col("cell"), 3)), "c", "Platform")
+
+
+CELL_VARIETY = PHOTOS_SQL + f" SELECT {cell_sql(3)} AS c, count(*) AS n, count(DISTINCT Platform) AS kinds FROM photos WHERE Latitude IS NOT NULL GROUP BY 1"
+
+
+def null_words(spark: SparkSession, d: str) -> DataFrame:
+    """Licences of rows that say nan, None or <NA> instead of nothing."""
+    e = F.col("event_id")
+    words = F.element_at(F.array(*map(F.lit, ["nan", "None", "<NA>", "NaN", "CC0"])), (e % 5 + 1).cast("int"))
+    made = ingest.normalize(photos(spark, d).withColumn("License", words).select("Photo_ID", F.lit("other").alias("Platform"), "Latitude", "Longitude", "Image_URL", "License"))
+    return made.select("Photo_ID", "License")
+
+
+NULL_WORDS = "SELECT CAST(event_id AS VARCHAR) AS Photo_ID, CASE event_id % 5 WHEN 3 THEN 'NaN' WHEN 4 THEN 'CC0' END AS License FROM events"
+
+
 def report_rows(spark: SparkSession, d: str) -> DataFrame:
     """Figures of a Markdown report, without models whose rows repeat the reference row."""
     n = table(spark, d, "nation")
@@ -340,6 +373,9 @@ QUERIES = {
     "model_answers": (model_answers, MODEL_ANSWERS),
     "answer_values": (answer_values, ANSWER_VALUES),
     "answer_texts": (answer_texts, ANSWER_TEXTS),
+    "direction_answers": (direction_answers, DIRECTION_ANSWERS),
+    "cell_variety": (cell_variety, CELL_VARIETY),
+    "null_words": (null_words, NULL_WORDS),
     "wkt_points": (wkt_points, WKT_POINTS),
     "image_bytes": (image_bytes, IMAGE_BYTES),
     "archive_photos": (archive_photos, ARCHIVE_PHOTOS),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geomill.functions import climate, geo, grid, keys, text, vectors
 from geomill.operators import cluster, ingest, metrics, near_dup, neighbours, regions, sampling, stats
 from geomill.plans.q_aggregates import LABELLED, labelled
+from geomill.plans.q_geo import BOXES, _boxes
 from geomill.plans.q_vectors import _KM, _KNN, _UNIT, _knn
 from geomill.plans.views import PHOTOS_SQL, cell_sql, photos, table
 
@@ -108,16 +109,16 @@ JSON_FIELDS = """
 
 
 def sharded_boxes(spark: SparkSession, d: str) -> DataFrame:
-    """A grid of boxes dealt among three jobs: each box has one, whatever the order."""
-    boxes = regions.grid_boxes(spark, -10.0, 10.0, 0.0, 30.0, 200.0)
-    parts = [regions.shard(boxes, "box_id", 3, i).withColumn("job", F.lit(i)) for i in range(3)]
-    each = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("box_id").agg(F.count(F.lit(1)).alias("n"))
-    return boxes.join(each, "box_id", "left").agg(F.count(F.lit(1)).alias("boxes"), F.sum((F.col("n") == 1).cast("long")).alias("dealt_once"))
+    """A grid of boxes over all photos, dealt among three jobs that look for photos: each box has one job, whatever the order, and no photo is missed."""
+    boxes, p = _boxes(spark, d), photos(spark, d).select("Latitude", "Longitude", "event_id")
+    jobs = [regions.shard(boxes, "box_id", 3, i).withColumn("job", F.lit(i)) for i in range(3)]
+    dealt = jobs[0].unionByName(jobs[1]).unionByName(jobs[2])
+    each = dealt.groupBy("box_id").agg(F.count(F.lit(1)).alias("n"))
+    found = regions.box_hits(p, dealt, 2).agg(F.count(F.lit(1)).alias("found"))
+    return boxes.join(each, "box_id", "left").agg(F.count(F.lit(1)).alias("boxes"), F.sum((F.col("n") == 1).cast("long")).alias("dealt_once")).crossJoin(found)
 
 
-SHARDED_BOXES = """
-    WITH r AS (SELECT i, least(-10.0e0 + i * 200.0e0 / 111.32e0 + 200.0e0 / 111.32e0, 10.0e0) AS n, -10.0e0 + i * 200.0e0 / 111.32e0 AS s FROM range(CAST(ceil(round(20.0e0 / (200.0e0 / 111.32e0), 9)) AS BIGINT)) t(i)),
-    c AS (SELECT ceil(30.0e0 / ((200.0e0 / 111.32e0) / cos(radians((s + n) / 2)))) AS k FROM r) SELECT CAST(sum(k) AS BIGINT) AS boxes, CAST(sum(k) AS BIGINT) AS dealt_once FROM c"""
+SHARDED_BOXES = BOXES + " SELECT (SELECT count(*) FROM boxes) AS boxes, (SELECT count(*) FROM boxes) AS dealt_once, (SELECT count(*) FROM photos JOIN boxes ON Latitude BETWEEN south AND north AND Longitude BETWEEN west AND east) AS found"
 
 _BOXES = [(f"b{i}", -60.0 + 7 * i, -60.0 + 7 * i + (0.02 if i % 2 else 5.0), -170.0 + 19 * i, -170.0 + 19 * i + (0.02 if i % 2 else 12.0)) for i in range(17)]
 
@@ -255,7 +256,7 @@ TARGET_COUNTS = PHOTOS_SQL + f"""
 
 
 def hierarchy_holds(spark: SparkSession, d: str) -> DataFrame:
-    """Of the two-level clustering: rows, numbers out of range, clusters under two parents, and rows whose cluster's mean is not among the near ones."""
+    """Of the two-level clustering: rows, numbers out of range, and clusters under two parents. It says nothing of how good the clusters are."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     fitted = cluster.fit_hierarchy(e, 12, 3, id_col="vec_id")
     bad = ~(F.col("cluster_id").between(0, 11) & F.col("parent_cluster_id").between(0, 2))
