@@ -159,3 +159,18 @@ def test_vectors(spark):
 
 def test_slug():
     assert text.slug("Café & Bar 2") == "caf_bar_2"
+
+
+@pytest.mark.parametrize(("number", "want"), [(1e30, "1" + "0" * 30), (2.0**63, "9223372036854776000"), (-5.0, "-5"), (1.5, "1.5"), (1e300, "1.0E300"), (float("nan"), "")])
+def test_ids_of_large_numbers(spark, number, want):
+    assert one(spark, keys.photo_id_of_number(F.lit(number))) == want
+
+
+@pytest.mark.parametrize(("raw", "want"), [("99999999999999", "5138-11-16T09:46:39Z"), ("999999999999999", "999999999999999"), ("0000-01-01", "0000-01-01"), ("9999-12-31", "9999-12-31T00:00:00Z")])
+def test_years_out_of_range_stay_text(spark, raw, want):
+    assert one(spark, times.standard_timestamp(F.lit(raw))) == want
+
+
+@pytest.mark.parametrize(("word", "want"), [("nan", None), ("None", None), ("<NA>", None), ("", ""), ("NAN", "NAN"), (None, None)])
+def test_words_for_nothing(spark, word, want):
+    assert one(spark, keys.without_null_words(F.lit(word).cast("string"))) == want

@@ -6,7 +6,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from geomill.operators import ingest, ranks
+from geomill.operators import ingest, maintain, ranks
 from geomill.sources import shared, versions
 
 
@@ -118,3 +118,29 @@ def test_no_shared_folder_on_a_cluster():
     with pytest.raises(RuntimeError):
         shared.folder(session("spark://host:7077"))
     assert shared.folder(session("local[4]")).startswith("file:///")
+
+
+def test_restored_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    rows = [(str(i), p, "local", f"{p}_{i}") for i, p in enumerate(["flickr", "mapillary", "wikimedia", "flickr"])]
+    names = ["Photo_ID", "Platform", "Image_URL", "photo_key"]
+    spark.createDataFrame(rows, names).write.parquet(path)
+    online = spark.createDataFrame([("0", "flickr", "http://0", "flickr_0"), ("2", "wikimedia", "http://2", "wikimedia_2")], names)
+    done = {r.platform: (r.updated, r.kept) for r in maintain.restored_table(spark.read.parquet(path), online, path).collect()}
+    assert done == {"flickr": (1, 1), "mapillary": (0, 1), "wikimedia": (0, 1)}
+    assert {r.Image_URL for r in spark.read.parquet(path).collect()} == {"http://0", "local"}
+    before = files(path)
+    monkeypatch.setattr(maintain, "restore_addresses", lambda offline, online: offline.where("Photo_ID <> '1'"))
+    with pytest.raises(ValueError, match="4 rows went in and 3 came out"):
+        maintain.restored_table(spark.read.parquet(path), online, path)
+    assert files(path) == before and sorted(os.listdir(tmp_path)) == ["t"]
+
+
+def test_companion_out_of_step(spark):
+    vectors = spark.createDataFrame([(i, [float(i)]) for i in range(6)], "embedding_idx long, embedding array<double>")
+    index = spark.createDataFrame([(i, f"k{i}") for i in range(6)], "embedding_idx long, photo_key string")
+    active = index.where("embedding_idx < 2")
+    v, i, removed = maintain.prune_companion(vectors, index, active)
+    assert (v.count(), i.count(), removed) == (2, 2, 4)
+    v, i, removed = maintain.prune_companion(vectors, index.where("embedding_idx > 0"), active)
+    assert (v.count(), i.count(), removed) == (6, 5, 0)
