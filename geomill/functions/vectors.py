@@ -25,8 +25,9 @@ def norm(v: Column) -> Column:
 
 def normalised(v: Column) -> Column:
     """v at length 1; a zero vector stays."""
-    n = norm(v)
-    return F.transform(doubles(v), lambda x: x / F.when(n == 0, 1.0).otherwise(n))
+    # the norm as a variable: inside the inner function it would be computed for each component
+    length = F.array(F.coalesce(F.nullif(norm(v), F.lit(0.0)), F.lit(1.0)))
+    return F.when(v.isNotNull(), F.transform(length, lambda n: F.transform(doubles(v), lambda x: x / n))[0])
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -14,8 +14,8 @@ from geomill.sources import shared
 
 LOCKED_COUNT, LOCKED_SPAN = 10, 1.0
 NEIGHBOURS, LEAST_NEIGHBOURS, INCOMPATIBLE, PER_GROUP = 25, 5, 0.84, 15_000
-#: Vectors of a part of either side, as doubles, that meet in a task.
-PART_BYTES = 32 << 20
+#: Vectors of a part of either side, as doubles, that meet in a task, and pairs that are compared at once.
+PART_BYTES, PAIRS = 8 << 20, 1 << 20
 # Climates that don't look like a polar, and like a desert, place.
 NOT_POLAR = ("Cfa", "Cfb", "Csa", "Csb", "Cwa", "Cwb", "Dfa", "Dfb")
 NOT_DESERT = ("Af", "Am", "Cfa", "Cfb", "Cfc", "Dfa", "Dfb", "Dfc", "Dfd", "EF", "ET")
@@ -92,14 +92,15 @@ def neighbours_shares(asked: DataFrame, bank: DataFrame, near: int) -> DataFrame
     right = bank.select(every(parts[0]).alias("a"), deal(parts[1]).alias("b"), "photo_key", "Latitude", "Longitude", "c3", "v", *[c.alias(n) for n, c in bad.items()])
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {c: [] for c in ("photo_key", "n_ok", "n_other", *LEVELS)}
+        out: dict[str, list] = {c: [] for c in ("photo_key", "n_ok", "n_other", *[f"{c}_{x}" for c in LEVELS for x in ("far", "key", "bad")])}
         if not len(x) or not len(y):
             return pd.DataFrame(out)
         y = y.sort_values("photo_key", ignore_index=True)
         unit, name, n = np.stack(y["v"].to_numpy()).T, y["photo_key"].to_numpy(), len(y)
         cell, lat, lon = y["c3"].to_numpy(), y["Latitude"].to_numpy(float), y["Longitude"].to_numpy(float)
-        for at in range(0, len(x), 256):
-            part = x.iloc[at : at + 256]
+        rows = max(1, PAIRS // n)
+        for at in range(0, len(x), rows):
+            part = x.iloc[at : at + rows]
             s = np.rint(np.stack(part["v"].to_numpy()) @ unit * 1e6).astype(np.int64)
             score = s * n + (n - 1 - np.arange(n))  # no two alike
             p_lat, p_lon = part["Latitude"].to_numpy(float)[:, None], part["Longitude"].to_numpy(float)[:, None]
@@ -115,13 +116,17 @@ def neighbours_shares(asked: DataFrame, bank: DataFrame, near: int) -> DataFrame
                 top = np.argpartition(ranked, max(0, n - near), axis=1)[:, -near:]
                 for r in range(len(part)):
                     t = () if enough[r] else top[r][mask[r, top[r]]]
-                    out[level].append([{"far": -int(s[r, i]), "key": name[i], "bad": bool(misfit[r, i])} for i in t])
+                    t = np.asarray(t, np.int64)
+                    out[f"{level}_far"].append(-s[r, t])
+                    out[f"{level}_key"].append(name[t])
+                    out[f"{level}_bad"].append(misfit[r, t])
                 enough |= mask.sum(axis=1) >= near
         return pd.DataFrame(out)
 
-    best = "array<struct<far: long, key: string, bad: boolean>>"
-    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(meet, f"photo_key string, n_ok long, n_other long, {', '.join(f'{c} {best}' for c in LEVELS)}")
-    lists = {c: F.flatten(F.collect_list(c)) for c in LEVELS}  # near from each part of the bank, which has bounded many
+    lists = ", ".join(f"{c}_far array<long>, {c}_key array<string>, {c}_bad array<boolean>" for c in LEVELS)
+    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(meet, f"photo_key string, n_ok long, n_other long, {lists}")
+    # near from each part of the bank, which has bounded many
+    lists = {c: F.flatten(F.collect_list(F.arrays_zip(*[F.col(f"{c}_{x}").alias(x) for x in ("far", "key", "bad")]))) for c in LEVELS}
     of = met.groupBy("photo_key").agg(F.sum("n_ok").alias("n_ok"), F.sum("n_other").alias("n_other"), *[v.alias(c) for c, v in lists.items()])
     chosen = F.when(F.col("n_ok") >= near, F.col("ok")).when(F.col("n_other") >= near, F.col("other")).otherwise(F.col("any"))
     top = F.slice(F.array_sort(chosen), 1, near)
