@@ -65,7 +65,7 @@ def box_groups(spark: SparkSession, d: str) -> DataFrame:
 BOX_GROUPS = PHOTOS_SQL + f", {_BOXES} SELECT box_id, count(*) AS hits, string_agg(DISTINCT Platform, ',' ORDER BY Platform) AS groups FROM photos JOIN boxes ON Latitude BETWEEN south AND north AND Longitude BETWEEN west AND east GROUP BY 1"
 
 
-def _boxes(spark: SparkSession, d: str) -> DataFrame:
+def photo_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Boxes of about 500 km over all places of photos."""
     e = photos(spark, d).agg(F.min("Latitude"), F.max("Latitude"), F.min("Longitude"), F.max("Longitude")).first()
     return regions.grid_boxes(spark, *e, 500.0)
@@ -73,18 +73,18 @@ def _boxes(spark: SparkSession, d: str) -> DataFrame:
 
 def grid_boxes(spark: SparkSession, d: str) -> DataFrame:
     """The photos in each box of a grid over all of them."""
-    boxes = _boxes(spark, d)
+    boxes = photo_boxes(spark, d)
     held = regions.box_hits(photos(spark, d).select("Latitude", "Longitude", "event_id"), boxes, 2).groupBy("box_id").agg(F.count(F.lit(1)).alias("photos"))
     return boxes.join(held, "box_id", "left").select("box_id", *[F.round(x, 6).alias(x) for x in ("south", "north", "west", "east")], F.coalesce("photos", F.lit(0)).cast("long").alias("photos"))
 
 
-BOXES = PHOTOS_SQL + """
+PHOTO_BOXES = PHOTOS_SQL + """
     , e AS (SELECT min(Latitude) AS s0, max(Latitude) AS n0, min(Longitude) AS w0, max(Longitude) AS e0, 500 / 111.32e0 AS step FROM photos),
     b0 AS (SELECT *, unnest(range(greatest(1, CAST(ceil(round((n0 - s0) / step, 9)) AS BIGINT)))) AS r FROM e),
     b1 AS (SELECT *, s0 + r * step AS s, least(s0 + r * step + step, n0) AS n FROM b0), b2 AS (SELECT *, step / cos(radians(greatest(least((s + n) / 2, 89.9), -89.9))) AS w FROM b1),
     b3 AS (SELECT *, unnest(range(greatest(CAST(ceil((e0 - w0) / w) AS BIGINT), 1))) AS c FROM b2),
     boxes AS (SELECT r || '_' || c AS box_id, s AS south, n AS north, w0 + c * w AS west, least(w0 + c * w + w, e0) AS east FROM b3)"""
-GRID_BOXES = BOXES + """
+GRID_BOXES = PHOTO_BOXES + """
     SELECT box_id, round(south, 6) AS south, round(north, 6) AS north, round(west, 6) AS west, round(east, 6) AS east, count(event_id) AS photos
     FROM boxes LEFT JOIN photos ON Latitude BETWEEN south AND north AND Longitude BETWEEN west AND east GROUP BY ALL"""
 

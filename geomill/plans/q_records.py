@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geomill.functions import climate, geo, grid, keys, text, vectors
 from geomill.operators import cluster, ingest, metrics, near_dup, neighbours, regions, sampling, stats
 from geomill.plans.q_aggregates import LABELLED, labelled
-from geomill.plans.q_geo import BOXES, _boxes
+from geomill.plans.q_geo import PHOTO_BOXES, photo_boxes
 from geomill.plans.q_vectors import _KM, _KNN, _UNIT, _knn
 from geomill.plans.views import PHOTOS_SQL, cell_sql, photos, table
 
@@ -110,7 +110,7 @@ JSON_FIELDS = """
 
 def sharded_boxes(spark: SparkSession, d: str) -> DataFrame:
     """A grid of boxes over all photos, dealt among three jobs that look for photos: each box has one job, whatever the order, and no photo is missed."""
-    boxes, p = _boxes(spark, d), photos(spark, d).select("Latitude", "Longitude", "event_id")
+    boxes, p = photo_boxes(spark, d), photos(spark, d).select("Latitude", "Longitude", "event_id")
     jobs = [regions.shard(boxes, "box_id", 3, i).withColumn("job", F.lit(i)) for i in range(3)]
     dealt = jobs[0].unionByName(jobs[1]).unionByName(jobs[2])
     each = dealt.groupBy("box_id").agg(F.count(F.lit(1)).alias("n"))
@@ -118,7 +118,7 @@ def sharded_boxes(spark: SparkSession, d: str) -> DataFrame:
     return boxes.join(each, "box_id", "left").agg(F.count(F.lit(1)).alias("boxes"), F.sum((F.col("n") == 1).cast("long")).alias("dealt_once")).crossJoin(found)
 
 
-SHARDED_BOXES = BOXES + " SELECT (SELECT count(*) FROM boxes) AS boxes, (SELECT count(*) FROM boxes) AS dealt_once, (SELECT count(*) FROM photos JOIN boxes ON Latitude BETWEEN south AND north AND Longitude BETWEEN west AND east) AS found"
+SHARDED_BOXES = PHOTO_BOXES + " SELECT (SELECT count(*) FROM boxes) AS boxes, (SELECT count(*) FROM boxes) AS dealt_once, (SELECT count(*) FROM photos JOIN boxes ON Latitude BETWEEN south AND north AND Longitude BETWEEN west AND east) AS found"
 
 _BOXES = [(f"b{i}", -60.0 + 7 * i, -60.0 + 7 * i + (0.02 if i % 2 else 5.0), -170.0 + 19 * i, -170.0 + 19 * i + (0.02 if i % 2 else 12.0)) for i in range(17)]
 
