@@ -185,7 +185,7 @@ def _let(value: Column, use) -> Column:  # noqa: ANN001
 
 
 def _table(values: list) -> Column:
-    return F.from_json(F.lit(str([int(v) for v in values])), "array<int>")
+    return F.expr(f"array({', '.join(str(int(v)) for v in values)})")
 
 
 def _sums(p: Column, q: Column, factors: tuple[int, int]) -> Column:

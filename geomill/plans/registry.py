@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geomill.plans import q_aggregates, q_geo, q_joins, q_more, q_records, q_rows, q_vectors
+from geomill.plans import q_aggregates, q_geo, q_hexes, q_joins, q_more, q_records, q_rows, q_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for _module in (q_rows, q_joins, q_aggregates, q_geo, q_vectors, q_more, q_records):
+for _module in (q_rows, q_joins, q_aggregates, q_geo, q_hexes, q_vectors, q_more, q_records):
     for _name, (_query, _sql) in _module.QUERIES.items():
         QUERIES[_name] = _query
         if _sql:
