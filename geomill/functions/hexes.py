@@ -9,8 +9,8 @@ edge or vertex, and how often a cell's digits turn between the plane they were f
 that of the cell's own face. Around the twelve pentagons a sixth of the plane is missing, so
 digits skip one of six directions.
 
-``encode`` is column arithmetic. ``centre``, ``corners`` and ``disk`` are Arrow-batched, meant for
-distinct cells. A cell is its identifier in hexadecimal, as ``grid.h3_parent`` takes it. Missing
+All functions work on Arrow batches with array arithmetic. (As column expressions the walk over
+the digits takes nested lambdas, which Spark interprets: some 100 microseconds a row.) A cell is its identifier in hexadecimal, as ``grid.h3_parent`` takes it. Missing
 or non-finite coordinates and latitudes past the poles have no cell; text that is no
 identifier has no centre, corners or neighbours.
 """
@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 FINEST = 15
 _PLACE = StructType([StructField("lat", DoubleType()), StructField("lon", DoubleType())])
@@ -179,102 +179,62 @@ def _placed() -> list[tuple[int, int, int]]:
     return out
 
 
-def _let(value: Column, use) -> Column:  # noqa: ANN001
-    """A value that is computed once and used at several places."""
-    return F.transform(F.array(value), use)[0]
-
-
-def _table(values: list) -> Column:
-    return F.expr(f"array({', '.join(str(int(v)) for v in values)})")
-
-
-def _sums(p: Column, q: Column, factors: tuple[int, int]) -> Column:
-    return p * factors[0] + q * factors[1]
+def _encoded(lat: np.ndarray, lon: np.ndarray, resolution: int) -> np.ndarray:
+    """Identifiers as numbers, 0 where there is none."""
+    frames, placed = _frames(), np.array(_placed())
+    la, lo = np.radians(lat), np.radians(lon)
+    v = np.stack([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)], 1)
+    near = v @ frames[:, 0].T
+    face = near.argmax(axis=1)
+    on = lambda axis: np.einsum("ni,ni->n", v, frames[face, axis]) / near[np.arange(len(v)), face] / UNIT
+    z = (on(1) + 1j * on(2)) * math.sqrt(7) ** resolution * (cmath.exp(-1j * TURN) if resolution % 2 else 1)
+    # the nearest lattice point: of three coordinates with sum 0 the one that rounding moves most follows from the others
+    real = np.stack([z.real + z.imag / W.imag / 2, z.imag / W.imag])
+    real = np.concatenate([real, real[1:] - real[:1]])
+    p, q, s = np.rint(real)
+    moved = np.abs(real - np.stack([p, q, s])).argmax(axis=0)
+    p, q = np.where(moved == 0, q - s, p).astype(np.int64), np.where(moved == 1, p + s, q).astype(np.int64)
+    digits = np.zeros((resolution + 1, len(v)), np.int64)
+    lead = np.zeros(len(v), np.int64)
+    steps = np.array(DIGITS)
+    for level in range(resolution, 0, -1):
+        w, first, second = (2, (3, -1), (1, 2)) if level % 2 else (4, (2, 1), (-1, 3))
+        of_rest = np.argsort((steps[:, 0] + w * steps[:, 1]) % 7)
+        d = of_rest[(p + w * q) % 7]
+        p, q = p - steps[d, 0], q - steps[d, 1]
+        p, q = (first[0] * p + first[1] * q) // 7, (second[0] * p + second[1] * q) // 7
+        digits[level], lead = d, np.where(d != 0, d, lead)
+    cell, turns, right = placed[face * 25 + (p + 2) * 5 + q + 2].T
+    # sixths to turn all digits by; around a pentagon the leading one steps over the missing digit 1
+    place = np.array([0, *[CIRCLE.index(d) for d in range(1, 7)]])[lead]
+    missing = lead == 1
+    kept = np.where(missing, np.where(right == 1, 4, 0), place)
+    around = np.where(missing, np.where(right == 1, 5, 1), 0) + turns + (kept + turns >= 5)
+    turns = np.where(np.isin(cell, sorted(_fans())), np.where(lead == 0, 0, around), turns) % 6
+    turned = np.array([[0 if not d else CIRCLE[(CIRCLE.index(d) + t) % 6] for d in range(7)] for t in range(6)])
+    out = (1 << 59) | (resolution << 52) | ((1 << (45 - 3 * resolution)) - 1) | cell << 45
+    for level in range(1, resolution + 1):
+        out |= turned[turns, digits[level]] << (45 - 3 * level)
+    return np.where(cell >= 0, out, 0)
+
+
+def _named(lat: np.ndarray, lon: np.ndarray, resolution: int) -> np.ndarray:
+    out = np.full(len(lat), None, object)
+    ok = np.isfinite(lat) & np.isfinite(lon) & (np.abs(np.nan_to_num(lat)) <= 90)
+    out[ok] = [f"{n:x}" if n else None for n in _encoded(lat[ok], lon[ok], resolution)]
+    return out
 
 
 def encode(lat: Column, lon: Column, resolution: int = 11) -> Column:
     """The identifier of the cell of a coordinate in degrees."""
     if not 0 <= resolution <= FINEST:
         raise ValueError(f"resolutions go from 0 to {FINEST}, not {resolution}")
-    frames, placed = _frames(), _placed()
-    x, y, z = F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))
-    at = F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
-    along = lambda v, a: v["x"] * float(a[0]) + v["y"] * float(a[1]) + v["z"] * float(a[2])
-    axes = F.from_json(F.lit(str(frames.reshape(20, 9).tolist())), "array<array<double>>")
-
-    def nearest(v: Column) -> Column:
-        return F.array_max(F.array(*[F.struct(along(v, frames[f, 0]).alias("c"), F.lit(f).alias("f")) for f in range(20)]))
-
-    def projected(v: Column, near: Column) -> Column:
-        a = F.element_at(axes, near["f"] + 1)
-        on = lambda o: (v["x"] * a[o] + v["y"] * a[o + 1] + v["z"] * a[o + 2]) / near["c"] / UNIT
-        size, turn = math.sqrt(7) ** resolution, TURN if resolution % 2 else 0.0
-        real = (on(3) * math.cos(turn) + on(6) * math.sin(turn)) * size
-        imaginary = (on(6) * math.cos(turn) - on(3) * math.sin(turn)) * size
-        q = imaginary / math.sin(2 * math.pi / 3)
-        return F.struct((real + q / 2).alias("p"), q.alias("q"), near["f"].alias("f"))
-
-    def rounded(r: Column) -> Column:
-        """The nearest lattice point: of three coordinates with sum 0 the one that rounding moves most follows from the others."""
-        p, q, s = F.rint(r["p"]), F.rint(r["q"]), F.rint(r["q"] - r["p"])
-        dp, dq, ds = F.abs(p - r["p"]), F.abs(q - r["q"]), F.abs(s - (r["q"] - r["p"]))
-        own_p, own_q = F.when((dp > dq) & (dp > ds), q - s).otherwise(p), F.when((dq >= dp) & (dq > ds), p + s).otherwise(q)
-        return F.struct(own_p.cast("long").alias("p"), own_q.cast("long").alias("q"), F.lit(0).cast("long").alias("d"), F.lit(0).alias("lead"))
-
-    def up(state: Column, level: Column, odd: bool) -> Column:
-        w = 2 if odd else 4
-        by_rest = sorted(range(7), key=lambda d: (DIGITS[d][0] + w * DIGITS[d][1]) % 7)
-        first, second = ((3, -1), (1, 2)) if odd else ((2, 1), (-1, 3))
-        return _let(
-            F.element_at(_table(by_rest), (F.pmod(state["p"] + state["q"] * w, F.lit(7)) + 1).cast("int")),
-            lambda d: _let(
-                F.struct(
-                    (state["p"] - F.element_at(_table([v[0] for v in DIGITS]), d + 1)).alias("p"),
-                    (state["q"] - F.element_at(_table([v[1] for v in DIGITS]), d + 1)).alias("q"),
-                ),
-                lambda n: F.struct(
-                    F.rint(_sums(n["p"], n["q"], first) / 7).cast("long").alias("p"),
-                    F.rint(_sums(n["p"], n["q"], second) / 7).cast("long").alias("q"),
-                    state["d"].bitwiseOR(F.call_function("shiftleft", d.cast("long"), (45 - 3 * level).cast("int"))).alias("d"),
-                    F.when(d != 0, d).otherwise(state["lead"]).cast("int").alias("lead"),
-                ),
-            ),
-        )
-
-    def climbed(start: Column) -> Column:
-        if not resolution:
-            return start
-        return F.aggregate(F.sequence(F.lit(resolution), F.lit(1)), start, lambda s, level: F.when(level % 2 == 1, up(s, level, True)).otherwise(up(s, level, False)))
-
-    def named(f: Column, end: Column) -> Column:
-        index = (f * 25 + (end["p"] + 2) * 5 + end["q"] + 3).cast("int")
-        found = F.struct(*[F.element_at(_table([row[i] for row in placed]), index).alias(n) for i, n in enumerate(("cell", "turns", "right"))])
-        return _let(found, lambda at: _let(F.struct(at["cell"].alias("cell"), turns(at, end["lead"]).alias("t")), lambda g: identifier(g, end["d"])))
-
-    def turns(at: Column, lead: Column) -> Column:
-        """Sixths to turn all digits by; around a pentagon the leading one steps over the missing digit 1."""
-        five = at["cell"].isin(sorted(_fans()))
-        place = F.element_at(_table([0, *[CIRCLE.index(d) for d in range(1, 7)]]), lead + 1)
-        kept = F.when(lead != 1, place).when(at["right"] == 1, 4).otherwise(0)
-        fix = F.when(lead != 1, 0).when(at["right"] == 1, 5).otherwise(1)
-        around = F.when(lead == 0, 0).otherwise(fix + at["turns"] + F.when(kept + at["turns"] >= 5, 1).otherwise(0))
-        return F.pmod(F.when(five, around).otherwise(at["turns"]), F.lit(6)).cast("int")
-
-    def identifier(g: Column, digits: Column) -> Column:
-        turned = _table([0 if not d else CIRCLE[(CIRCLE.index(d) + t) % 6] for t in range(6) for d in range(7)])
-        bits = F.lit((1 << 59) | (resolution << 52) | ((1 << (45 - 3 * resolution)) - 1)).bitwiseOR(F.shiftleft(g["cell"].cast("long"), 45))
-        if resolution:
-            digit = lambda level: F.call_function("shiftright", digits, (45 - 3 * level).cast("int")).bitwiseAND(7).cast("int")
-            bits = F.aggregate(
-                F.sequence(F.lit(1), F.lit(resolution)),
-                bits,
-                lambda b, level: b.bitwiseOR(F.call_function("shiftleft", F.element_at(turned, g["t"] * 7 + digit(level) + 1).cast("long"), (45 - 3 * level).cast("int"))),
-            )
-        return F.when(g["cell"] >= 0, F.lower(F.hex(bits)))
-
-    inside = lat.between(-90, 90) & (F.abs(lon) < float("inf")) & ~F.isnan(lon)
-    cell = _let(at, lambda v: _let(nearest(v), lambda near: _let(projected(v, near), lambda r: _let(rounded(r), lambda s: _let(climbed(s), lambda end: named(r["f"], end))))))
-    return F.when(inside, cell)
+
+    @F.pandas_udf(StringType())
+    def cell(lat: pd.Series, lon: pd.Series) -> pd.Series:
+        return pd.Series(_named(lat.to_numpy(float), lon.to_numpy(float), resolution), dtype=object)
+
+    return cell(lat.cast("double"), lon.cast("double"))
 
 
 def _unfolded(face: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -331,43 +291,47 @@ def centre(cells: pd.Series) -> pd.DataFrame:
     return frame.mask(frame.isna())
 
 
-def _around(cell: str, face: int, z: complex, along: complex, radius: float, turn: float) -> np.ndarray:
-    """Points around a cell's middle: six, or five around a pentagon, one in the plane of each of its faces."""
-    base = int(cell, 16) >> 45 & 127
-    if base in _fans() and min(abs(z - a) for a in _AXES) < 1e-9:
-        away = along / abs(along)
-        faces, places = [], []
-        for g, axis in _fans()[base]:
-            inward = -_AXES[axis] / 2
-            # the ray that the turned star has within this face's sixth of the plane
-            angle = (cmath.phase(away * cmath.exp(1j * turn) / inward) + math.pi / 6) % (math.pi / 3) - math.pi / 6
-            faces.append(g)
-            places.append(_AXES[axis] + radius * abs(along) * inward * cmath.exp(1j * angle))
-        return _unfolded(np.array(faces), np.array(places))
-    return _unfolded(np.full(6, face), z + radius * along * np.exp(1j * (np.arange(6) * math.pi / 3 + turn)))
+def _fan_around(base: int, along: complex, radius: float, turn: float) -> np.ndarray:
+    """Five points around a pentagon, one in the plane of each of its faces: the ray of the turned star in the face's sixth."""
+    faces, places = [], []
+    for g, axis in _fans()[base]:
+        inward = -_AXES[axis] / 2
+        angle = (cmath.phase(along * cmath.exp(1j * turn) / inward) + math.pi / 6) % (math.pi / 3) - math.pi / 6
+        faces.append(g)
+        places.append(_AXES[axis] + radius * abs(along) * inward * cmath.exp(1j * angle))
+    return _unfolded(np.array(faces), np.array(places))
 
 
-@F.pandas_udf(ArrayType(_PLACE))
-def corners(cells: pd.Series) -> pd.Series:
-    """The corners in a turn to the left, six or five; points where a side bends at an edge of the icosahedron are left out. ``grid.unwrapped`` takes them over the antimeridian."""
+def _rings(cells: pd.Series, radius: float, turn: float) -> list[np.ndarray | None]:
+    """Latitudes and longitudes of the six or five points around each cell's middle."""
     ok, face, z, along = _located(cells)
-    out = pd.Series([None] * len(cells), dtype=object)
-    for i, f, c, a in zip(np.flatnonzero(ok), face, z, along, strict=True):
-        ring = _pairs(_around(cells.iloc[i], f, c, a, 1 / math.sqrt(3), math.pi / 6))
-        out.iloc[i] = [{"lat": lat, "lon": lon} for lat, lon in ring]
+    star = np.exp(1j * (np.arange(6) * math.pi / 3 + turn))
+    six = _pairs(_unfolded(np.repeat(face[:, None], 6, axis=1), z[:, None] + radius * along[:, None] * star))
+    out: list[np.ndarray | None] = [None] * len(cells)
+    for i, ring, c, a in zip(np.flatnonzero(ok), six, z, along, strict=True):
+        base = int(cells.iloc[i], 16) >> 45 & 127
+        on_vertex = base in _fans() and min(abs(c - v) for v in _AXES) < 1e-9
+        out[i] = _pairs(_fan_around(base, a, radius, turn)) if on_vertex else ring
     return out
 
 
 @F.pandas_udf(ArrayType(_PLACE))
-def _neighbour_middles(cells: pd.Series) -> pd.Series:
-    ok, face, z, along = _located(cells)
-    out = pd.Series([None] * len(cells), dtype=object)
-    for i, f, c, a in zip(np.flatnonzero(ok), face, z, along, strict=True):
-        out.iloc[i] = [{"lat": lat, "lon": lon} for lat, lon in _pairs(_around(cells.iloc[i], f, c, a, 1.0, 0.0))]
-    return out
+def corners(cells: pd.Series) -> pd.Series:
+    """The corners in a turn to the left, six or five; points where a side bends at an edge of the icosahedron are left out. ``grid.unwrapped`` takes them over the antimeridian."""
+    rings = _rings(cells, 1 / math.sqrt(3), math.pi / 6)
+    return pd.Series([None if r is None else [{"lat": lat, "lon": lon} for lat, lon in r] for r in rings], dtype=object)
 
 
-def disk(cell: Column, resolution: int) -> Column:
-    """The cell, of this resolution, and its neighbours, as an array."""
-    around = F.transform(_neighbour_middles(cell), lambda p: encode(p["lat"], p["lon"], resolution))
-    return F.array_distinct(F.concat(F.array(F.lower(cell)), around))
+@F.pandas_udf(ArrayType(StringType()))
+def disk(cells: pd.Series) -> pd.Series:
+    """The cell and its neighbours (six, or five of a pentagon), as an array."""
+    rings = _rings(cells, 1.0, 0.0)
+    out = pd.Series([None] * len(cells), dtype=object)
+    level = np.array([-1 if r is None else int(c, 16) >> 52 & 15 for c, r in zip(cells, rings, strict=True)], int)
+    for res in sorted(set(level) - {-1}):
+        mine = np.flatnonzero(level == res)
+        sizes = [len(rings[i]) for i in mine]
+        places = np.concatenate([rings[i] for i in mine])
+        for i, names in zip(mine, np.split(_named(places[:, 0], places[:, 1], int(res)), np.cumsum(sizes)[:-1]), strict=True):
+            out.iloc[i] = list(dict.fromkeys([cells.iloc[i].lower(), *names]))
+    return out

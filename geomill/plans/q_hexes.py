@@ -27,8 +27,8 @@ def hex_totals(spark: SparkSession, d: str) -> DataFrame:
 def hex_holds(spark: SparkSession, d: str) -> DataFrame:
     """Cells of resolution 3 with photos; those whose middle lies in another cell, that aren't among their neighbours' neighbours, or whose corners aren't at even distance."""
     cells = shared.written(_cells(spark, d, 3).where("cell is not null").select("cell").distinct().select("cell", hexes.centre("cell").alias("m"), hexes.corners("cell").alias("ring")), "hexes")
-    around = shared.written(cells.select("cell", "m", "ring", F.explode(hexes.disk(F.col("cell"), 3)).alias("near")).where("near <> cell"), "hexes")
-    back = shared.written(around.select("near").distinct().select("near", hexes.disk(F.col("near"), 3).alias("back")), "hexes")
+    around = shared.written(cells.select("cell", "m", "ring", F.explode(hexes.disk("cell")).alias("near")).where("near <> cell"), "hexes")
+    back = shared.written(around.select("near").distinct().select("near", hexes.disk("near").alias("back")), "hexes")
     found = around.join(back, "near").groupBy("cell").agg(
         F.count(F.lit(1)).alias("sides"),
         F.count_if(~F.array_contains("back", F.col("cell"))).alias("one_sided"),
@@ -36,9 +36,9 @@ def hex_holds(spark: SparkSession, d: str) -> DataFrame:
         F.first("ring").alias("ring"),
     )
     own = hexes.encode(F.col("m.lat"), F.col("m.lon"), 3)
-    return found.agg(
+    return found.withColumn("own", own).agg(
         F.count(F.lit(1)).alias("cells"),
-        F.count_if(own != F.col("cell")).alias("astray"),
+        F.count_if(F.col("own") != F.col("cell")).alias("astray"),
         F.sum("one_sided").alias("one_sided"),
         F.count_if(F.size("ring") != F.col("sides")).alias("other_corners"),
     )

@@ -32,7 +32,7 @@ def test_whole_globe(spark, tmp_path):
         path = str(tmp_path / str(res))
         df.select(hexes.encode(F.col("lat"), F.col("lon"), res).alias("c")).distinct().select("c", hexes.centre("c").alias("m"), hexes.corners("c").alias("ring")).write.parquet(path)
         cells = spark.read.parquet(path)
-        rows = cells.select("c", "ring", hexes.encode(F.col("m.lat"), F.col("m.lon"), res).alias("own"), hexes.disk(F.col("c"), res).alias("d")).collect()
+        rows = cells.select("c", "ring", hexes.encode(F.col("m.lat"), F.col("m.lon"), res).alias("own"), hexes.disk("c").alias("d")).collect()
         assert all(r.c == r.own and len(r.ring) == len(r.d) - 1 for r in rows)
         known = {r.c: set(r.d) for r in rows}
         assert all(c in known[n] for c, d in known.items() for n in d if n in known)
@@ -49,7 +49,7 @@ def test_no_cells(spark):
     a, b, c, d, e = (r.c for r in poles.select(hexes.encode(F.col("lat"), F.col("lon"), 5).alias("c")).collect())
     assert a == b and c == d == e
     bad = spark.createDataFrame([(None,), ("",), ("zz",), ("85283473ffffff",), ("85f83473fffffff",), ("8009fffffffffff",)], "c string")
-    got = bad.select(hexes.centre("c").alias("m"), hexes.corners("c").alias("r"), hexes.disk(F.col("c"), 5).alias("d")).collect()
+    got = bad.select(hexes.centre("c").alias("m"), hexes.corners("c").alias("r"), hexes.disk("c").alias("d")).collect()
     assert all((r.m is None or r.m.lat is None) and r.r is None and r.d is None for r in got[:5]) and len(got[5].r) == 5
     empty = spark.createDataFrame([], "lat double, lon double").select(hexes.encode(F.col("lat"), F.col("lon"), 3).alias("c"))
     assert empty.select("c", hexes.centre("c")).count() == 0
