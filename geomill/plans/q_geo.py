@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geomill.functions import climate, grid
 from geomill.operators import dissolve, regions
 from geomill.plans.views import PHOTOS_SQL, cell_sql, photos
+from geomill.sources import shapefiles, shared
 
 #: A raster of ten-degree pixels whose value is arithmetic.
 STEP = 10.0
@@ -146,7 +147,38 @@ REGION_MAPPING = PHOTOS_SQL + f"""
     SELECT coalesce(name, 'Ocean / Unknown') AS country, coalesce(continent, 'Ocean / Unknown') AS continent, count(*) AS n FROM (SELECT CASE WHEN Latitude IS NOT NULL THEN {cell_sql(6)} END AS rc FROM photos) LEFT JOIN b USING (rc) GROUP BY 1, 2"""
 
 
+def shapes_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's extent, with a hole of half its width and height, written as a shapefile and read again."""
+    ends = [f(c).alias(n) for n, f, c in (("west", F.min, "Longitude"), ("east", F.max, "Longitude"), ("south", F.min, "Latitude"), ("north", F.max, "Latitude"))]
+    box = photos(spark, d).where("Latitude is not null").groupBy(F.col("user_id").cast("string").alias("NAME")).agg(*ends).where("west < east and south < north")
+
+    def ring(inset: float):  # noqa: ANN202
+        x, y = (F.col("east") - F.col("west")) * inset, (F.col("north") - F.col("south")) * inset
+        w, e, s, n = F.col("west") + x, F.col("east") - x, F.col("south") + y, F.col("north") - y
+        return F.array(*[F.array(*p) for p in ((w, s), (w, n), (e, n), (e, s), (w, s))])
+
+    path = shared.new_path(spark, "shapes")
+    shapefiles.write(box.select("NAME", F.lit("X").alias("CONTINENT"), F.array(ring(0.0), ring(0.25)).alias("rings")), path)
+    span = lambda r, i: F.array_max(F.transform(r, lambda p: p[i])) - F.array_min(F.transform(r, lambda p: p[i]))
+    area = lambda r: span(r, 0) * span(r, 1)
+    lon, lat = F.transform("ring", lambda p: p[0]), F.transform("ring", lambda p: p[1])
+    return shapefiles.polygons(spark, path).select(
+        "name",
+        F.size("rings").alias("n_rings"),
+        F.array_min(lon).alias("west"),
+        F.array_max(lon).alias("east"),
+        F.array_min(lat).alias("south"),
+        F.array_max(lat).alias("north"),
+        F.round(area(F.col("ring")) - area(F.col("rings")[1]), 6).alias("area"),
+    )
+
+
+SHAPES_STORED = PHOTOS_SQL + """, b AS (SELECT CAST(user_id AS VARCHAR) AS name, min(Longitude) AS west, max(Longitude) AS east, min(Latitude) AS south, max(Latitude) AS north
+    FROM photos WHERE Latitude IS NOT NULL GROUP BY user_id)
+    SELECT name, CAST(2 AS INT) AS n_rings, west, east, south, north, round((east - west) * (north - south) * 0.75e0, 6) AS area FROM b WHERE west < east AND south < north"""
+
 QUERIES = {
+    "shapes_stored": (shapes_stored, SHAPES_STORED),
     "koppen_lookup": (koppen_lookup, KOPPEN_LOOKUP),
     "overlay_levels": (overlay_levels, OVERLAY_LEVELS),
     "box_hits": (box_hits, BOX_HITS),
