@@ -105,7 +105,8 @@ def uncovered_polygons(spark: SparkSession, d: str) -> DataFrame:
 def uncovered_holds(spark: SparkSession, d: str) -> DataFrame:
     """Of these polygons: the area that rings, less holes, enclose; the outer rings less the holes; and their corners."""
     r = dissolve.rings(_uncovered(spark, d), "c", 3)
-    return r.agg(F.round(F.sum("area"), 4).alias("area"), F.sum(F.when(F.col("is_hole"), -1).otherwise(1)).cast("long").alias("outer_less_holes"), F.sum(F.size("points") - 1).cast("long").alias("corners"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return r.agg(F.round(total("area"), 4).alias("area"), total(F.when(F.col("is_hole"), -1).otherwise(1)).cast("long").alias("outer_less_holes"), total(F.size("points") - 1).cast("long").alias("corners"))
 
 
 #: Each vertex sees four cells: one or three of the set there make a corner, two across two. Corners tell outer rings less holes (Euler's number).

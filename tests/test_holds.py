@@ -4,6 +4,7 @@ import math
 
 from geomill.functions import geo
 from geomill.operators import regions
+from geomill.plans import q_geo
 
 
 def test_poles_lie_off_the_projected_raster(spark):
@@ -13,3 +14,8 @@ def test_poles_lie_off_the_projected_raster(spark):
     raster = spark.range(3600).selectExpr("cast(id div 60 as int) row", "cast(id % 60 as int) col", "cast(id as double) value")
     found = regions.projected_lookup(points, raster, 1_000_000.0, 6_000_000.0, 100_000.0)
     assert {r.id: r.value for r in found.collect()} == {1: None, 2: None, 3: 27 * 60 + 33.0, 4: None, 5: None}
+
+
+def test_nothing_uncovered_has_no_area(spark, sf, monkeypatch):
+    monkeypatch.setattr(q_geo, "_uncovered", lambda s, d: s.range(0).selectExpr("id c"))
+    assert q_geo.uncovered_holds(spark, sf).first().asDict() == {"area": 0.0, "outer_less_holes": 0, "corners": 0}
