@@ -166,7 +166,7 @@ def landmarks_hold(spark: SparkSession, d: str) -> DataFrame:
     marked = rows.join(taken.select("event_id", F.lit(1).alias("t")), "event_id", "left").fillna(0, ["t"])
     before = lambda c: F.coalesce(F.sum("t").over(Window.partitionBy(c).orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     free = (before("c") < 3) & (before("landmark") < 2)
-    return marked.withColumn("free", free).agg(F.count(F.lit(1)).alias("photos"), F.sum((F.col("free") != (F.col("t") == 1)).cast("long")).alias("wrong"))
+    return marked.withColumn("free", free).agg(F.count(F.lit(1)).alias("photos"), F.coalesce(F.sum((F.col("free") != (F.col("t") == 1)).cast("long")), F.lit(0)).alias("wrong"))
 
 
 LANDMARKS_HOLD = PHOTOS_SQL + f", p AS (SELECT event_id, {cell_sql(2)} AS c FROM photos WHERE Latitude IS NOT NULL) SELECT count(*) AS photos, CAST(0 AS BIGINT) AS wrong FROM p WHERE c NOT IN (SELECT c FROM p GROUP BY 1 HAVING count(*) >= 12)"

@@ -2,6 +2,7 @@
 
 import math
 
+import __spark_entry__ as entry
 from geomill.functions import geo
 from geomill.operators import regions
 from geomill.plans import q_geo
@@ -19,3 +20,10 @@ def test_poles_lie_off_the_projected_raster(spark):
 def test_nothing_uncovered_has_no_area(spark, sf, monkeypatch):
     monkeypatch.setattr(q_geo, "_uncovered", lambda s, d: s.range(0).selectExpr("id c"))
     assert q_geo.uncovered_holds(spark, sf).first().asDict() == {"area": 0.0, "outer_less_holes": 0, "corners": 0}
+
+
+def test_landmarks_without_a_sparse_cell(spark, tmp_path):
+    # all in one place
+    spark.range(17).selectExpr(f"1 + id * {18_001 * 36_001} event_id", "1 user_id", "timestamp'2024-05-01 00:00:00' ts").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(2).selectExpr("id vec_id").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert entry.queries()["landmarks_hold"](spark, str(tmp_path)).first().asDict() == {"photos": 0, "wrong": 0}
