@@ -203,6 +203,46 @@ def test_neighbours_in_blocks(spark, monkeypatch, few):
     assert got == {(q, r + 1): int(np.argsort(-s[q])[r]) for q in range(20) for r in range(3)}
 
 
+def test_meetings_hold_few_similarities_at_once(spark, monkeypatch):
+    # as many rows and queries as they come, yet no product of more than PAIRS
+    n = 12_000
+    monkeypatch.setattr(neighbours, "PAIRS", 1 << 16)
+    held = spark.range(n).selectExpr("id", "array(cos(id / 2000), sin(id / 2000)) v").coalesce(1)
+
+    def most(df):
+        def watched(batches):
+            import tracemalloc
+
+            import pandas as pd
+
+            tracemalloc.start()
+            list(f(batches))
+            yield pd.DataFrame({"mb": [tracemalloc.get_traced_memory()[1] / 1e6]})
+
+        f = df
+        return watched
+
+    seen = []
+    real = type(held).mapInPandas
+
+    def spied(self, f, schema):
+        if schema.startswith("query_id"):
+            seen.append(real(self, most(f), "mb double").first().mb)
+        return real(self, f, schema)
+
+    monkeypatch.setattr(type(held), "mapInPandas", spied)
+    got = {r.query_id: r.id for r in neighbours.cosine_top_k(held.where("id % 4 = 1"), held, 1, exclude_self=True).collect()}
+    assert len(got) == n // 4
+    assert len(seen) == 1 and seen[0] < 20
+
+
+def test_search_passes_over_vectors_that_are_not_finite(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PAIRS", 3)
+    p = photo_rows(spark, [(0, [1.0, 0.0]), (1, [math.nan, 1.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, [1.0, 0.1])], ["id", "v"])
+    got = sorted((r.query_id, r["rank"], r.id) for r in neighbours.cosine_top_k(p, p, 2, exclude_self=True).collect())
+    assert got == [(0, 1, 2), (0, 2, 4), (2, 1, 4), (2, 2, 0), (3, 1, 2), (3, 2, 4), (4, 1, 2), (4, 2, 0)]
+
+
 def test_sync_is_idempotent(spark):
     online = photo_rows(spark, [(f"mapillary_{i}",) for i in (1, 2, 3)], ["photo_key"])
     offline = photo_rows(spark, [(f"mapillary_{i}", i) for i in range(1, 6)], ["photo_key", "n"])
@@ -401,6 +441,20 @@ def test_batches(spark):
     assert [len(b) for b in tables.batches(spark.range(25), 10)] == [10, 10, 5]
 
 
+@pytest.mark.parametrize("pairs", [5, 1 << 20])
+def test_own_rank_equals_the_whole_matrix(spark, monkeypatch, pairs):
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "PAIRS", pairs)
+    rng = np.random.default_rng(3)
+    # small whole numbers: many ties
+    x, y = (rng.integers(1, 4, size=(40, 3)).astype(float) for _ in range(2))
+    rows = lambda m: photo_rows(spark, [(i, v.tolist()) for i, v in enumerate(m)], ["id", "v"])
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = np.round(unit(x) @ unit(y).T, 6)
+    want = {i: 1 + sum((s[i, j], -j) > (s[i, i], -i) for j in range(40)) for i in range(40)}
+    assert {r.query_id: r["rank"] for r in neighbours.own_rank(rows(x), rows(y)).collect()} == want
+
+
 def test_own_rank_beyond_ten(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 7)
     gallery = [(i, [math.cos(i / 50), math.sin(i / 50)]) for i in range(30)]
