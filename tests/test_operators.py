@@ -118,6 +118,36 @@ def test_greedy_blocks_agree_with_the_plain_rule(monkeypatch):
     assert near_dup.greedy(x, threshold=0.9, step=37).tolist() == kept
 
 
+def test_similarities_at_the_threshold_count_in_doubles():
+    # 0.6 and up to two millionths more; a float tells none of them apart
+    at = np.arccos(0.6 + np.arange(0, 21) * 1e-7)
+    x = np.stack([np.cos(at), np.sin(at), *np.zeros((300, 21))], axis=1)
+    want = [round(float(c), 6) > 0.6 for c in 0.6 + np.arange(0, 21) * 1e-7]
+    first = np.eye(1, 302)
+    assert near_dup.above(x, first, 0.6)[:, 0].tolist() == near_dup.alike(x, first, 0.6).tolist() == want and 0 < sum(want) < 21
+    assert near_dup.alike(x, np.vstack([first * np.nan, first]), 0.6).tolist() == want
+
+
+@pytest.mark.parametrize("chunk", [7, None])
+def test_all_pairs_of_a_cell_are_checked(spark, chunk):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(80, 3)).astype(np.float32)
+    kept = r.random(80) < 0.3
+    kept[2::3] = False  # one cell keeps none
+    df = spark.createDataFrame([(i, i % 3, v.tolist(), bool(k)) for i, (v, k) in enumerate(zip(x, kept, strict=True))], "id long, c long, v array<float>, kept boolean")
+    u = near_dup.unit(x)
+    want = {i: (bool(kept[i]), any(kept[j] and j % 3 == i % 3 and round(float(u[i] @ u[j]), 6) > 0.8 for j in range(i))) for i in range(80)}
+    assert {t.id: (t.kept, t.like) for t in near_dup.pairs_checked(df, "c", "id", "v", "kept", 0.8, chunk).collect()} == want
+
+
+def test_vectors_move_once_where_cells_are_small(spark, monkeypatch):
+    """A cell of more than 4,096 rows, all of which stay, is no matter for rounds."""
+    df = spark.range(6_000).selectExpr("id i", "1L c", "array(cast(cos(id / 900) as float), cast(sin(id / 900) as float)) v")
+    written = []
+    monkeypatch.setattr(near_dup.shared, "written", lambda t, name, own=near_dup.shared.written: written.append(name) or own(t, name))
+    assert near_dup.dedup_cells(df, "c", ["i"], "v", 0.9999999, id_col="i").count() > 1 and written == ["dense"]
+
+
 @pytest.mark.parametrize(("block", "chunk", "seeds"), [(4_096, 9_999, 60), (16, 40, 0), (16, 7, 60), (5, 1_000, 9)])
 def test_dedup_in_rounds_equals_the_walk(spark, block, chunk, seeds):
     """A dense cell with many near and exact copies, zero vectors and seeds, settled in rounds; small and empty cells beside it."""
