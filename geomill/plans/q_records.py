@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geomill.functions import climate, geo, grid, keys, text, vectors
+from geomill.functions import climate, geo, grid, keys, text
 from geomill.operators import cluster, ingest, metrics, near_dup, neighbours, regions, sampling, stats
 from geomill.plans.q_aggregates import LABELLED, labelled
 from geomill.plans.q_geo import PHOTO_BOXES, photo_boxes
 from geomill.plans.q_vectors import _KM, _KNN, _UNIT, _knn
-from geomill.plans.views import PHOTOS_SQL, cell_sql, photos, table
+from geomill.plans.views import PHOTOS_SQL, cell_sql, in_cells, photos, table
+from geomill.sources import shared
 
 
 def source_shapes(spark: SparkSession, d: str) -> DataFrame:
@@ -217,14 +218,13 @@ GEOGRAPHIC_SCORES = PHOTOS_SQL + f""", {_KNN}, pl AS (SELECT event_id AS i, Lati
 
 def dedup_holds(spark: SparkSession, d: str) -> DataFrame:
     """Of the greedy result in cells, counted pair by pair: kept photos too like an earlier kept one, and dropped ones without one."""
-    p = photos(spark, d).join(table(spark, d, "embeddings"), "vec_id").select("event_id", grid.parent(F.col("cell"), 2).alias("c"), "embedding").where("c is not null")
-    kept = near_dup.dedup_cells(p, "c", ["event_id"], threshold=0.6, id_col="event_id").select("event_id", F.lit(True).alias("kept"))
-    rows = p.join(kept, "event_id", "left")
-    a = rows.select("c", F.col("event_id").alias("a"), F.col("embedding").alias("va"), F.coalesce("kept", F.lit(False)).alias("ka"))
-    b = rows.where("kept").select("c", F.col("event_id").alias("b"), F.col("embedding").alias("vb"))
-    alike = (F.col("b") < F.col("a")) & (vectors.cosine(F.col("va"), F.col("vb")) > 0.6)
-    met = a.join(b, "c").groupBy("a", "ka").agg(F.max(alike.cast("int")).alias("like"))
-    return met.agg(F.sum((F.col("ka") & (F.col("like") == 1)).cast("long")).alias("kept_too_alike"), F.sum((~F.col("ka") & (F.col("like") == 0)).cast("long")).alias("dropped_alone"))
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    p = in_cells(photos(spark, d).select("event_id", "vec_id", "cell"), 2).select("event_id", "vec_id", "c").where("c is not null")
+    kept = near_dup.dedup_cells(p.join(e, "vec_id"), "c", ["event_id"], threshold=0.6, id_col="event_id").select("event_id", F.lit(True).alias("kept"))
+    marked = shared.written(p.join(kept, "event_id", "left").fillna(False, ["kept"]), "marked")
+    met = near_dup.pairs_checked(marked.join(e, "vec_id"), "c", "event_id", "embedding", "kept", 0.6)
+    number = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return met.agg(number(F.col("kept") & F.col("like")).alias("kept_too_alike"), number(~F.col("kept") & ~F.col("like")).alias("dropped_alone"))
 
 
 DEDUP_HOLDS = "SELECT CAST(0 AS BIGINT) AS kept_too_alike, CAST(0 AS BIGINT) AS dropped_alone"
