@@ -15,7 +15,7 @@ from geomill.sources import shared
 LOCKED_COUNT, LOCKED_SPAN = 10, 1.0
 NEIGHBOURS, LEAST_NEIGHBOURS, INCOMPATIBLE, PER_GROUP = 25, 5, 0.84, 15_000
 #: Vectors of a part of either side, as doubles, that meet in a task, and pairs that are compared at once.
-PART_BYTES, PAIRS = 8 << 20, 1 << 20
+PART_BYTES, PAIRS = 32 << 20, 1 << 20
 # Climates that don't look like a polar, and like a desert, place.
 NOT_POLAR = ("Cfa", "Cfb", "Csa", "Csb", "Cwa", "Cwb", "Dfa", "Dfb")
 NOT_DESERT = ("Af", "Am", "Cfa", "Cfb", "Cfc", "Dfa", "Dfb", "Dfc", "Dfd", "EF", "ET")
@@ -62,7 +62,8 @@ def climate_bank(pool: DataFrame, trusted: Column, per_group: int) -> DataFrame:
     salted = Window.partitionBy("major", F.pmod("o1", F.lit(64))).orderBy("o0", "o1", "photo_key")
     names = names.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= per_group)
     names = names.withColumn("r", F.row_number().over(Window.partitionBy("major").orderBy("o0", "o1", "photo_key"))).where(F.col("r") <= per_group)
-    bank = shared.written(pool.join(names.select("photo_key"), "photo_key", "left_semi").withColumn("group", F.ascii("major")), "bank")
+    # five groups of per_group keys at most are sent, so that no vector of the pool moves
+    bank = shared.written(pool.join(F.broadcast(names.select("photo_key")), "photo_key", "left_semi").withColumn("group", F.ascii("major")), "bank")
     means = cluster.centroids(bank, "group", "v").select("group", vectors.normalised(F.col("centroid")).alias("mean"), "n")
     alike = bank.join(F.broadcast(means), "group").withColumn("s", F.round(vectors.dot(F.col("v"), F.col("mean")), 6))  # five rows
     # an aggregate of its own for each group: an exact percentile of at most per_group values
@@ -74,17 +75,23 @@ def climate_bank(pool: DataFrame, trusted: Column, per_group: int) -> DataFrame:
 LEVELS = ("ok", "other", "any")
 
 
+def _parts(asked: int, bank: int, cores: int) -> tuple[int, int]:
+    """Into how many parts both sides are dealt. Every asked row goes to all parts of the bank and is answered by each, so these are few."""
+    many = lambda n, most: -(-n // most)
+    return max(1, many(asked, PART_BYTES), min(cores, many(asked, PART_BYTES // 16))), max(1, many(bank, 2 * PART_BYTES))
+
+
 def neighbours_shares(asked: DataFrame, bank: DataFrame, near: int) -> DataFrame:
     """photo_key and the share of misfits among the ``near`` rows of the bank most similar to it.
 
     Neighbours are from another cell and over three degrees away; where the bank hasn't
     enough such rows, from another cell; else any. asked has a column polar, which chooses
-    what is a misfit. Both sides are dealt into parts of ``PART_BYTES`` at most as doubles,
+    what is a misfit. The asked are dealt into parts of ``PART_BYTES`` at most as doubles, the bank into twice as large ones,
     each two of which meet in a task; a meeting gives, for each level that may still
     be needed, its ``near`` best. Similarities count to 6 places, ties go to the smaller key.
     """
     size = lambda df: df.agg(F.sum(F.size("v").cast("long") * 8)).first()[0] or 0
-    parts = [max(1, -(-size(df) // PART_BYTES)) for df in (asked, bank)]
+    parts = _parts(size(asked), size(bank), asked.sparkSession.sparkContext.defaultParallelism)
     deal = lambda n: F.pmod(F.xxhash64("photo_key"), F.lit(n).cast("long"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = asked.select(deal(parts[0]).alias("a"), every(parts[1]).alias("b"), "photo_key", "Latitude", "Longitude", "c3", "v", "polar")
@@ -94,7 +101,7 @@ def neighbours_shares(asked: DataFrame, bank: DataFrame, near: int) -> DataFrame
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {c: [] for c in ("photo_key", "n_ok", "n_other", *[f"{c}_{x}" for c in LEVELS for x in ("far", "key", "bad")])}
         if not len(x) or not len(y):
-            return pd.DataFrame(out)
+            return pd.DataFrame(out, dtype=object)
         y = y.sort_values("photo_key", ignore_index=True)
         unit, name, n = np.stack(y["v"].to_numpy()).T, y["photo_key"].to_numpy(), len(y)
         cell, lat, lon = y["c3"].to_numpy(), y["Latitude"].to_numpy(float), y["Longitude"].to_numpy(float)
@@ -121,7 +128,8 @@ def neighbours_shares(asked: DataFrame, bank: DataFrame, near: int) -> DataFrame
                     out[f"{level}_key"].append(name[t])
                     out[f"{level}_bad"].append(misfit[r, t])
                 enough |= mask.sum(axis=1) >= near
-        return pd.DataFrame(out)
+        # a part may have a single row, whose list would not stay one
+        return pd.DataFrame({c: pd.Series(v, dtype=object) if c.endswith(("_far", "_key", "_bad")) else v for c, v in out.items()})
 
     lists = ", ".join(f"{c}_far array<long>, {c}_key array<string>, {c}_bad array<boolean>" for c in LEVELS)
     met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(meet, f"photo_key string, n_ok long, n_other long, {lists}")

@@ -64,6 +64,12 @@ def test_climate_outliers(spark, monkeypatch, part_bytes):
     assert ids(anomaly.climate_outliers(p, ("flickr",)), "photo_key") == ["bad"]
 
 
+def test_asked_photos_go_to_few_parts_of_the_bank():
+    # 75,000 reference pictures of 64 components are one part, however many ask
+    assert [anomaly._parts(n << 20, 38 << 20, 12) for n in (0, 5, 3_000)] == [(1, 1), (3, 1), (94, 1)]
+    assert anomaly._parts(64 << 20, 600 << 20, 1) == (2, 10)
+
+
 def points(spark, lat, lon, step_ms=1000):
     rows = [("s", f"{i:04d}", i * step_ms, float(a), float(b)) for i, (a, b) in enumerate(zip(lat, lon, strict=True))]
     return photo_rows(spark, rows, ["sequence_id", "photo_id", "captured_at", "lat", "lon"])
