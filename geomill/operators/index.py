@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,15 +20,19 @@ def build(photos: DataFrame, cell: str = "cell", resolutions: tuple[int, int] =
     """One row per resolution, cell, descriptors and cluster, with image_count.
 
     Counts are additive: rows are grouped once at the finest cell, and only that result
-    is spread over the coarser resolutions. Rows without cell or cluster fall out; null
-    descriptors are groups. Parent columns come out only if they came in.
+    is spread over the coarser resolutions. Each resolution is grouped by itself, from the
+    same shuffled rows: a task holds the groups of one resolution at a time, not of all,
+    and a filter on the resolution leaves the others out. Rows without cell or cluster
+    fall out; null descriptors are groups. Parent columns come out only if they came in.
     """
     have = photos.columns
     group = ["Season", *[c for c in OPTIONAL if c in have], *[c for c in CLUSTER if c in have], *[c for c in PARENT if c in have]]
     fine = photos.where(F.col(cell).isNotNull() & F.col("cluster_id").isNotNull()).groupBy(cell, *group).agg(F.count(F.lit(1)).alias("n"))
-    spread = fine.withColumn("resolution", F.explode(F.sequence(F.lit(resolutions[0]), F.lit(resolutions[1]))))
-    coarse = spread.withColumn("query_cell", grid.parent(F.col(cell), F.col("resolution")))
-    return coarse.groupBy("resolution", "query_cell", *group).agg(F.sum("n").alias("image_count"))
+
+    def at(r: int) -> DataFrame:
+        return fine.groupBy(grid.parent(F.col(cell), r).alias("query_cell"), *group).agg(F.sum("n").alias("image_count")).select(F.lit(r).alias("resolution"), "query_cell", *group, "image_count")
+
+    return reduce(DataFrame.unionAll, [at(r) for r in range(resolutions[0], resolutions[1] + 1)])
 
 
 def with_parents(photos: DataFrame, parents: DataFrame | None = None) -> DataFrame:
