@@ -18,16 +18,18 @@ from pyspark.sql.window import Window
 
 from geomill.functions import vectors
 from geomill.operators.neighbours import nearest_of_few
+from geomill.sources.shared import written
 
 DRIFT_SIMILARITY, DRIFT_SHARE = 0.70, 0.03
 #: Rows nearest to a centroid among which its medoids are sought first.
 SHORTLIST = 64
 
 
-def centroids(rows: DataFrame, cluster: str = "cluster_id", vector: str = "embedding", unit: bool = True) -> DataFrame:
-    """cluster and centroid: the mean vector, by a vector aggregate that combines on the map side."""
+def centroids(rows: DataFrame, cluster: str = "cluster_id", vector: str = "embedding", unit: bool = True, weight: str | None = None) -> DataFrame:
+    """cluster and centroid: the mean vector, by a vector aggregate that combines on the map side. weight: how many rows a row stands for."""
     v = vectors.normalised(F.col(vector)) if unit else vectors.doubles(F.col(vector))
-    mean = rows.where(f"{cluster} >= 0").groupBy(cluster).agg(Summarizer.mean(array_to_vector(v)).alias("m"), F.count(F.lit(1)).alias("n"))
+    mean, n = (Summarizer.mean(array_to_vector(v), F.col(weight).cast("double")), F.sum(weight)) if weight else (Summarizer.mean(array_to_vector(v)), F.count(F.lit(1)))
+    mean = rows.where(f"{cluster} >= 0").groupBy(cluster).agg(mean.alias("m"), n.alias("n"))
     from pyspark.ml.functions import vector_to_array
 
     return mean.select(cluster, vector_to_array("m").alias("centroid"), "n")
@@ -164,21 +166,27 @@ def block_validation(rows: DataFrame, block: Column, ks: list[int], vector: str
         x.unpersist()
 
 
-def diverse_medoids(rows: DataFrame, centres: DataFrame, n: int = 4, cluster: str = "cluster_id", vector: str = "embedding", id_col: str = "photo_key") -> DataFrame:
+def diverse_medoids(rows: DataFrame, centres: DataFrame, n: int = 4, cluster: str = "cluster_id", vector: str = "embedding", id_col: str = "photo_key", bank: DataFrame | None = None, by: str = "vec_id") -> DataFrame:
     """cluster, pick (from 1), id: rows near the centroid that differ in place (1e-4 degrees) and address; if these are too few, the nearest others.
 
     The walk goes over the ``SHORTLIST`` rows nearest to each centroid. Clusters where these
     are all alike, and which have more rows, are walked through whole, in n rounds that
     each take the nearest row not in conflict with the picks so far.
+
+    Where rows share vectors, bank has each once, with its cluster, by the column ``by`` of
+    both: similarities are then found once for each vector, and none moves with the rows.
     """
-    sim = F.round(vectors.dot(vectors.normalised(F.col(vector)), vectors.normalised(F.col("centroid"))), 6)
-    scored = rows.join(centres.select(cluster, "centroid"), cluster).select(cluster, F.col(id_col).alias("id"), sim.alias("similarity"), F.col("Latitude").alias("lat"), F.col("Longitude").alias("lon"), F.col("Image_URL").alias("url"))
+    sim = F.round(vectors.dot(vectors.normalised(F.col(vector)), vectors.normalised(F.col("centroid"))), 6).alias("similarity")
+    near_to = (rows if bank is None else bank).join(centres.select(cluster, "centroid"), cluster)
+    judged = near_to.withColumn("similarity", sim) if bank is None else rows.join(near_to.select(by, cluster, sim), by)
+    scored = judged.select(cluster, F.col(id_col).alias("id"), "similarity", F.col("Latitude").alias("lat"), F.col("Longitude").alias("lon"), F.col("Image_URL").alias("url"))
     row = F.struct("id", "lat", "lon", "url")
     order = F.struct(F.col("similarity").isNull().alias("x"), F.nanvl(-F.col("similarity"), F.lit(float("-inf"))).alias("s"), "id")
     most = max(SHORTLIST, n)
     top = scored.withColumn("__r", F.row_number().over(Window.partitionBy(cluster).orderBy(order))).where(F.col("__r") <= most)
     listed = F.transform(F.sort_array(F.collect_list(F.struct("__r", row.alias("row")))), lambda x: x["row"])
-    near = top.groupBy(cluster).agg(listed.alias("near"))
+    # at most `most` rows a cluster; written, for what follows reads them twice
+    near = written(top.groupBy(cluster).agg(listed.alias("near")), "medoids")
 
     def conflict(p: Column, lat: Column, lon: Column, url: Column, i: Column) -> Column:
         close = (F.abs(p["lat"] - lat) < 1e-4) & (F.abs(p["lon"] - lon) < 1e-4)

@@ -9,7 +9,7 @@ from geomill.functions import climate, geo, grid, keys, text
 from geomill.operators import cluster, ingest, metrics, near_dup, neighbours, regions, sampling, stats
 from geomill.plans.q_aggregates import LABELLED, labelled
 from geomill.plans.q_geo import PHOTO_BOXES, photo_boxes
-from geomill.plans.q_vectors import _KM, _KNN, _UNIT, _knn
+from geomill.plans.q_vectors import _KM, _KNN, _UNIT, _knn, labelled_bank
 from geomill.plans.views import PHOTOS_SQL, cell_sql, in_cells, photos, table
 from geomill.sources import shared
 
@@ -269,8 +269,8 @@ HIERARCHY_HOLDS = 'SELECT count(*) AS "rows", count(DISTINCT vec_id) AS ids, CAS
 
 def medoid_firsts(spark: SparkSession, d: str) -> DataFrame:
     """The first medoid of each label: the nearest to its centroid."""
-    p = photos(spark, d).join(table(spark, d, "embeddings"), "vec_id").withColumn("cluster_id", F.col("label").cast("long"))
-    return cluster.diverse_medoids(p, cluster.centroids(p), 2, id_col="event_id").where("pick = 1").select("cluster_id", "id")
+    bank = labelled_bank(spark, d)
+    return cluster.diverse_medoids(photos(spark, d), cluster.centroids(bank, weight="photos"), 2, id_col="event_id", bank=bank).where("pick = 1").select("cluster_id", "id")
 
 
 MEDOID_FIRSTS = PHOTOS_SQL + f""", {_UNIT}, m AS (SELECT event_id, label, v FROM photos JOIN u USING (vec_id)),

@@ -2,8 +2,46 @@
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from geomill.functions import grid
-from geomill.operators import index
+from geomill.operators import cluster, index
+
+
+def tables(spark, path, vectors=60, photos=3_000):
+    """Vectors in two well separated heaps, by their number; photos share them in turns."""
+    spark.range(vectors).selectExpr("id vec_id", "cast(id % 2 as int) label", "array(cast(10 * (id % 2) + id / 100 as float), cast(1 - id % 2 as float)) embedding").write.parquet(f"{path}/embeddings.parquet")
+    spark.range(photos).selectExpr("id event_id", "id % 9 user_id", "timestamp'2024-05-01 00:00:00' ts").write.parquet(f"{path}/events.parquet")
+    return spark.read.parquet(f"{path}/embeddings.parquet")
+
+
+def shared_rows(spark, photos=600):
+    """Rows of place, block and a vector's number, and the vectors."""
+    rows = spark.range(photos).selectExpr("id photo_key", "id % 20 vec_id", "id % 37 block", "cast(id % 50 as double) Latitude", "cast(id % 70 as double) Longitude", "concat('u', id) Image_URL")
+    bank = spark.range(20).selectExpr("id vec_id", "id % 2 cluster_id", "array(id % 2 * 10 + id / 10, 1.0 - id % 2) embedding")
+    return rows, bank
+
+
+def test_medoids_of_shared_vectors(spark, monkeypatch):
+    rows, bank = shared_rows(spark)
+    whole = rows.join(bank, "vec_id")
+    weighted = rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).join(bank, "vec_id")
+    plain, once = cluster.centroids(whole), cluster.centroids(weighted, weight="n")
+    near = lambda c: {r.cluster_id: ([round(x, 9) for x in r.centroid], r.n) for r in c.collect()}
+    assert near(once) == near(plain)
+    for shortlist in (64, 2):
+        monkeypatch.setattr(cluster, "SHORTLIST", shortlist)
+        picks = lambda m: sorted(map(tuple, m.collect()))
+        assert picks(cluster.diverse_medoids(rows, once, 4, bank=bank)) == picks(cluster.diverse_medoids(whole, plain, 4))
+
+
+def test_queries_score_each_vector_once(spark, tmp_path, monkeypatch):
+    vectors = tables(spark, tmp_path)
+    seen = []
+    plain = cluster.centroids
+    monkeypatch.setattr(cluster, "centroids", lambda rows, *a, **b: seen.append(rows.count()) or plain(rows, *a, **b))
+    for name in ("medoid_summary", "medoid_firsts"):
+        assert entry.queries()[name](spark, str(tmp_path)).count() == 2
+    assert seen == [vectors.count()] * 2
 
 
 def test_a_task_groups_one_resolution(spark):
