@@ -23,6 +23,8 @@ from geomill.sources.shared import written
 DRIFT_SIMILARITY, DRIFT_SHARE = 0.70, 0.03
 #: Rows nearest to a centroid among which its medoids are sought first.
 SHORTLIST = 64
+#: Rows of one task of a k-means fit: its jobs are many, and each task of each sends a few KB to the driver.
+FIT_ROWS = 50_000
 
 
 def centroids(rows: DataFrame, cluster: str = "cluster_id", vector: str = "embedding", unit: bool = True, weight: str | None = None) -> DataFrame:
@@ -135,15 +137,26 @@ def elbow(costs: DataFrame) -> DataFrame:
     return far.select(F.when(F.col("n") < 3, F.col("last")).otherwise(F.col("best")).alias("k"))
 
 
-def block_validation(rows: DataFrame, block: Column, ks: list[int], vector: str = "embedding", id_col: str = "photo_key", seed: int = 42, held_out: float = 0.1) -> DataFrame:
-    """k, train_cost, validation_cost: mean squared distances with whole spatial blocks held out by hash."""
+def block_validation(rows: DataFrame, block: Column, ks: list[int], vector: str = "embedding", id_col: str = "photo_key", seed: int = 42, held_out: float = 0.1, bank: DataFrame | None = None, by: str = "vec_id") -> DataFrame:
+    """k, train_cost, validation_cost: mean squared distances with whole spatial blocks held out by hash.
+
+    Where rows share vectors, bank has each once by the column ``by`` of both: a vector is
+    then fitted once with the number of its rows as weight, and none moves with the rows.
+    """
+    from pyspark.ml.functions import vector_to_array
+
     spark = rows.sparkSession
-    x = rows.select(id_col, array_to_vector(vectors.doubles(F.col(vector))).alias("__x"), (F.pmod(F.xxhash64(block, F.lit(seed)), F.lit(1000)) < int(1000 * held_out)).alias("held")).persist()
+    held = (F.pmod(F.xxhash64(block, F.lit(seed)), F.lit(1000)) < int(1000 * held_out)).alias("held")
+    weighted = rows.select(vector, held, F.lit(1.0).alias("w")) if bank is None else rows.groupBy(by, held).agg(F.count(F.lit(1)).cast("double").alias("w")).join(bank.select(by, vector), by)
+    x = weighted.select(array_to_vector(vectors.doubles(F.col(vector))).alias("__x"), "held", "w").persist()
     try:
         out = []
         n = x.where("not held").count()
+        # not one task for each of the shuffle's partitions, which grow in number where the rows don't
+        parts = max(spark.sparkContext.defaultParallelism, -(-n // FIT_ROWS))
+        few = x.coalesce(parts)
         for k in ks:
-            model = KMeans(k=max(2, min(k, n)), seed=seed, maxIter=20, featuresCol="__x", predictionCol="__c").fit(x.where("not held"))
+            model = KMeans(k=max(2, min(k, n)), seed=seed, maxIter=20, featuresCol="__x", predictionCol="__c", weightCol="w").fit(few.where("not held"))
             centres = spark.sparkContext.broadcast(np.array(model.clusterCenters()))
 
             @F.pandas_udf("double")
@@ -157,9 +170,9 @@ def block_validation(rows: DataFrame, block: Column, ks: list[int], vector: str
                         found.append(np.maximum(((m * m).sum(axis=1)[:, None] - 2 * m @ c.T + squares).min(axis=1), 0.0))
                     yield pd.Series(np.concatenate(found))
 
-            from pyspark.ml.functions import vector_to_array
-
-            row = x.withColumn("d", cost(vector_to_array("__x"))).agg(F.avg(F.when(~F.col("held"), F.col("d"))).alias("t"), F.avg(F.when(F.col("held"), F.col("d"))).alias("v")).first()
+            costs = few.withColumn("d", cost(vector_to_array("__x")) * F.col("w"))
+            mean = lambda of: F.sum(F.when(of, F.col("d"))) / F.sum(F.when(of, F.col("w")))
+            row = costs.agg(mean(~F.col("held")).alias("t"), mean(F.col("held")).alias("v")).first()
             out.append((k, row["t"], row["v"]))
         return spark.createDataFrame(out, "k long, train_cost double, validation_cost double")
     finally:

@@ -21,6 +21,32 @@ def shared_rows(spark, photos=600):
     return rows, bank
 
 
+def tasks_of(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    out = run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return out, [i.numTasks for i in map(tracker.getStageInfo, stages) if i and i.numCompletedTasks]
+
+
+def test_fits_take_no_task_for_each_partition(spark):
+    rows, bank = shared_rows(spark)
+    wide = rows.join(bank, "vec_id").repartition(64)
+    _, tasks = tasks_of(spark, "block_costs", lambda: cluster.block_validation(wide, F.col("block"), [2]).collect())
+    assert sum(n > spark.sparkContext.defaultParallelism for n in tasks) <= 3, "only what makes the rows may have 64 tasks"
+
+
+def test_costs_of_shared_vectors(spark):
+    """Vectors with weights cost what their rows cost each by itself."""
+    rows, bank = shared_rows(spark)
+    each = cluster.block_validation(rows.join(bank, "vec_id"), F.col("block"), [2]).first()
+    held = rows.join(bank, "vec_id").where(F.pmod(F.xxhash64("block", F.lit(42)), F.lit(1000)) < 100)
+    assert 0 < held.count() < 600
+    once = cluster.block_validation(rows, F.col("block"), [2], bank=bank).first()
+    assert [round(x, 6) for x in once] == [round(x, 6) for x in each]
+
+
 def test_medoids_of_shared_vectors(spark, monkeypatch):
     rows, bank = shared_rows(spark)
     whole = rows.join(bank, "vec_id")
