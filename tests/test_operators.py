@@ -64,6 +64,48 @@ def test_climate_outliers(spark, monkeypatch, part_bytes):
     assert ids(anomaly.climate_outliers(p, ("flickr",)), "photo_key") == ["bad"]
 
 
+def outliers_one_by_one(rows, unit, k=25):
+    """Keys of asked ET photos by plain loops. rows: (key, platform, lat, lon, code, c3, vector's number), all fitting."""
+    bank = []
+    for major in "AE":
+        of = [r for r in rows if r[4][0] == major]
+        mean = np.mean([unit[r[6]] for r in of], axis=0)
+        s = np.round([unit[r[6]] @ mean / np.linalg.norm(mean) for r in of], 6)
+        bank += [r for r, x in zip(of, s, strict=True) if x >= round(np.percentile(s, 10), 9)]
+    out = []
+    for a in (r for r in rows if r[1] == "flickr" and r[4] == "ET"):
+        other = [b for b in bank if b[5] != a[5]]
+        ok = [b for b in other if abs(b[2] - a[2]) > 3 or abs(b[3] - a[3]) > 3]
+        level = next((x for x in (ok, other) if len(x) >= k), bank)
+        top = sorted(level, key=lambda b: (-np.rint(unit[a[6]] @ unit[b[6]] * 1e6), b[0]))[:k]
+        out += [a[0]] if sum(b[4][0] == "A" for b in top) / k >= 0.5 else []
+    return sorted(out)
+
+
+@pytest.mark.parametrize("heads", [(1, 2), ()])
+@pytest.mark.parametrize(("lat", "lon"), [(60, 300), (4, 4), (0.5, 0.5)])
+def test_climate_outliers_of_shared_vectors(spark, monkeypatch, heads, lat, lon):
+    """Photos spread out, near each other and nearly all in one cell; heads of the ranking that are too short are not the answer."""
+    monkeypatch.setattr(anomaly, "HEADS", heads)
+    monkeypatch.setattr(anomaly, "LOT", 2)
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(40, 6)).astype("float32")
+    base[30:] = base[:10]  # equal vectors by other numbers
+    pictures = photo_rows(spark, [(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<float>")
+    rows = [(f"k{i * 7919 % 400:03d}", ("flickr", "inaturalist")[i % 2], float(rng.uniform(0, lat)), float(rng.uniform(0, lon)), ("Af", "ET")[i // 2 % 2], int(rng.integers(40))) for i in range(400)]
+    p = photo_rows(spark, rows, "photo_key string, Platform string, Latitude double, Longitude double, Koppen_Code string, vec_id long")
+    # every cell has one of another platform
+    trusted = p.select(F.concat(F.lit("z"), "photo_key").alias("photo_key"), F.lit("kartaview").alias("Platform"), "Latitude", "Longitude", "Koppen_Code", "vec_id")
+    p = p.union(trusted).withColumn("cell", grid.encode(F.col("Latitude"), F.col("Longitude"))).localCheckpoint()
+    unit = base.astype(float) / np.linalg.norm(base.astype(float), axis=1, keepdims=True)
+    plain = [tuple(r) for r in p.select("photo_key", "Platform", "Latitude", "Longitude", "Koppen_Code", grid.parent(F.col("cell"), 3), "vec_id").collect()]
+    want = outliers_one_by_one(plain, unit)
+    assert 0 < len(want) < 100
+    assert ids(anomaly.climate_outliers(p, ("flickr",), threshold=0.5, pictures=pictures), "photo_key") == want
+    whole = p.join(pictures, "vec_id").drop("vec_id")
+    assert ids(anomaly.climate_outliers(whole, ("flickr",), threshold=0.5), "photo_key") == want
+
+
 def test_asked_photos_go_to_few_parts_of_the_bank():
     # 75,000 reference pictures of 64 components are one part, however many ask
     assert [anomaly._parts(n << 20, 38 << 20, 12) for n in (0, 5, 3_000)] == [(1, 1), (3, 1), (94, 1)]

@@ -2,8 +2,12 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from geomill.functions import grid
 from geomill.functions.text import LAYOUT_PHRASES
+from geomill.operators import anomaly
 from geomill.plans import q_vectors
 
 
@@ -35,3 +39,19 @@ def test_recall_medoids_costs_and_keys_see_rows_behind_500(spark, tmp_path):
     assert run("text_image_matrix").count() == n * n // 100
     assert {r.cluster_id for r in run("medoid_summary").collect()} == {0, 1}
     assert q_vectors._with_vectors(spark, str(tmp_path)).selectExpr("count(*)", "count(distinct vec_id)").first() == (3 * n, n)
+
+
+def test_climate_banks_have_all_rows_of_a_group(spark):
+    """Forty rows of a group that come behind 15,500 trusted ones are the nearest."""
+    vector = "case when id < 13500 then array(1.0, 0.0, 0.0) when id < 15500 then array(-1.0, 0.0, 0.0) when id < 15540 then array(0.5, 1.0, 0.0) else array(0.0, 1.0, 0.3) end"
+    bank = spark.range(15_580).selectExpr(
+        "concat('p', id) photo_key",
+        "if(id between 15500 and 15539, 'flickr', 'inaturalist') Platform",
+        "cast(id % 100 - 50 as double) Latitude",
+        "cast(id * 37 % 340 - 170 as double) Longitude",
+        "if(id < 15540, 'Dfb', 'ET') Koppen_Code",
+        f"cast({vector} as array<float>) embedding",
+    )
+    asked = spark.createDataFrame([("lost", "flickr", -80.0, 20.0, "EF", [0.5, 1.0, 0.0])], bank.schema)
+    p = bank.union(asked).withColumn("cell", grid.encode(F.col("Latitude"), F.col("Longitude")))
+    assert [r.photo_key for r in anomaly.climate_outliers(p, ("flickr",)).collect()] == ["lost"]
